@@ -31,6 +31,8 @@ def _norm(v):
     if isinstance(v, float | np.floating):
         if math.isnan(v):
             return None
+        if float(v).is_integer():
+            return int(v)
         return round(float(v), 6)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
