@@ -13,18 +13,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postloom.functions.text import PUNCT, SPACE, WORD, unicode_strip
+from postloom.functions.text import PUNCT, SPACE, SPACE_BODY, WORD, WORD_BODY, unicode_strip
 
 TOKEN_RE = f"{WORD}+|{PUNCT}"
 ALNUM_RE = r"^[\p{L}\p{N}]+$"
 SENTENCE_END_RE = f"([.!?]+){SPACE}+"
 SEP = "\u0001"
+TOK = "\u0002"
+TOKEN_NO_SEP_RE = f"{WORD}+|[^{WORD_BODY}{SPACE_BODY}\\x01]"
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable (a
+    one-element ``transform``), so a Column tree does not recompute it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def sentences(c) -> Column:
     pieces = F.split(F.regexp_replace(F.coalesce(_c(c), F.lit("")), SENTENCE_END_RE, "$1" + SEP), SEP)
     return F.filter(pieces, lambda s: unicode_strip(s) != "")
@@ -34,13 +42,27 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(TOKEN_RE), 0)
 
 
+def sentence_token_counts(c) -> Column:
+    """Tokens per non-blank sentence, in three whole-text regex passes: mark
+    sentence ends, turn every token into one marker character, drop the rest;
+    the pieces between end marks then have one character per token.  (Blank
+    sentences are exactly the pieces without tokens.)"""
+    marked = F.regexp_replace(F.coalesce(_c(c), F.lit("")), SENTENCE_END_RE, "$1" + SEP)
+    tok = F.regexp_replace(marked, TOKEN_NO_SEP_RE, TOK)
+    only = F.regexp_replace(tok, f"[^{SEP}{TOK}]", "")
+    pieces = F.filter(F.split(only, SEP), lambda p: F.length(p) > 0)
+    return F.transform(pieces, lambda p: F.length(p).cast("double"))
+
+
 def burstiness(c) -> Column:
     """Population variance of tokens per sentence; 0.0 without sentences."""
-    counts = F.transform(sentences(c), lambda s: F.size(tokens(s)).cast("double"))
-    n = F.size(counts)
-    mean = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x) / n
-    var = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n
-    return F.when(n == 0, F.lit(0.0)).otherwise(var)
+
+    def variance(cs: Column) -> Column:
+        n = F.size(cs)
+        return let(F.aggregate(cs, F.lit(0.0), lambda acc, x: acc + x) / n,
+                   lambda mean: F.aggregate(cs, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n)
+
+    return let(sentence_token_counts(c), lambda cs: F.when(F.size(cs) == 0, F.lit(0.0)).otherwise(variance(cs)))
 
 
 def punctuation_density(c) -> Column:
@@ -57,7 +79,5 @@ def alnum_words(c) -> Column:
 
 def lexical_diversity(c) -> Column:
     """Distinct over total lower-cased alphanumeric tokens; 0.0 without any."""
-    w = alnum_words(c)
-    return F.when(F.size(w) == 0, F.lit(0.0)).otherwise(
-        F.size(F.array_distinct(w)).cast("double") / F.size(w).cast("double")
-    )
+    return let(alnum_words(c), lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(
+        F.size(F.array_distinct(w)).cast("double") / F.size(w).cast("double")))

@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
 
-from postloom.plans import q_ledger, q_profile, q_sampling, q_tables, q_text  # noqa: F401
+from postloom.plans import q_features, q_ledger, q_profile, q_sampling, q_tables, q_text  # noqa: F401
