@@ -57,13 +57,14 @@ def tokens_or_estimate(actual: Column, text: Column) -> Column:
     return F.coalesce(actual.cast("long"), T.token_estimate(text))
 
 
-def result_rows(gen: DataFrame) -> DataFrame:
+def result_rows(gen: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """G11 + P10: drop generations without text, strip the text, defaults for
-    family/cost/tokens, ``text_length`` and ``is_synthetic`` (S7 columns)."""
+    family/cost/tokens, ``text_length`` and ``is_synthetic`` (S7 columns);
+    ``keep`` columns pass through."""
     g = gen.filter(F.col("text").isNotNull())
     text = T.unicode_strip("text")
     return g.select(
-        "platform", text.alias("text"), "model",
+        *(keep or []), "platform", text.alias("text"), "model",
         F.coalesce(F.col("model_family"), F.col("model")).alias("model_family"),
         F.coalesce(F.col("cost_usd"), F.lit(0.0)).alias("cost_usd"),
         F.coalesce(F.col("input_tokens"), F.lit(0)).cast("long").alias("input_tokens"),

@@ -162,7 +162,7 @@ def request_plan(spark, d):
     return p.select("request_id", "platform", "model", "n_examples", F.round("temperature", 6).alias("temperature"))
 
 
-@query("request_examples", "R4", with_posts(PLAN_SQL + POOL_SQL + f""",
+EXAMPLES_SQL = POOL_SQL + f""",
  ranked AS (SELECT platform, bucket, post_id,
                    row_number() OVER (PARTITION BY platform, bucket ORDER BY {_md5(SEED, 'post_id')}, post_id) - 1 AS idx,
                    count(*) OVER (PARTITION BY platform, bucket) AS B
@@ -175,11 +175,22 @@ def request_plan(spark, d):
  pb AS (SELECT request_id, platform, 'short' AS bucket, q_s AS q, B_s AS B FROM q
         UNION ALL SELECT request_id, platform, 'medium', q_m, B_m FROM q
         UNION ALL SELECT request_id, platform, 'long', least(n_examples - q_s - q_m, B_l), B_l FROM q),
- slots AS (SELECT request_id, platform, bucket, B, unnest(range(0, q)) AS j FROM pb WHERE q > 0)
-SELECT s.request_id, s.platform, s.bucket, s.j, k.post_id
-FROM slots s JOIN ranked k ON k.platform = s.platform AND k.bucket = s.bucket
- AND k.idx = ({S.u32(SEED, "'offset'", 's.request_id', 's.bucket')} + s.j) % s.B"""))
+ slots AS (SELECT request_id, platform, bucket, B, unnest(range(0, q)) AS j FROM pb WHERE q > 0),
+ ex AS (SELECT s.request_id, s.platform, s.bucket, s.j, k.post_id
+        FROM slots s JOIN ranked k ON k.platform = s.platform AND k.bucket = s.bucket
+         AND k.idx = ({S.u32(SEED, "'offset'", 's.request_id', 's.bucket')} + s.j) % s.B)
+"""
+
+
+@query("request_examples", "R4", with_posts(PLAN_SQL + EXAMPLES_SQL + "SELECT request_id, platform, bucket, j, post_id FROM ex"))
 def request_examples(spark, d):
-    plan = SA.request_plan(_requests(spark, d), _pool_counts(spark, d), SEED)
-    ex = SA.request_examples(plan.select("request_id", "platform", "n_examples"), posts(spark, d), SEED)
-    return ex.select("request_id", "platform", "bucket", "j", "post_id")
+    return examples_for_requests(spark, d).select("request_id", "platform", "bucket", "j", "post_id")
+
+
+def request_plan_df(spark, d):
+    return SA.request_plan(_requests(spark, d), _pool_counts(spark, d), SEED)
+
+
+def examples_for_requests(spark, d, plan=None):
+    plan = plan if plan is not None else request_plan_df(spark, d)
+    return SA.request_examples(plan.select("request_id", "platform", "n_examples"), posts(spark, d), SEED)
