@@ -47,7 +47,7 @@ def _lit_ts(ingest_ts) -> Column:
     return F.lit(ingest_ts) if isinstance(ingest_ts, dt.datetime) else ingest_ts
 
 
-def _finish(cols: dict[str, Column], scraped_at: Column) -> list[Column]:
+def _finish(cols: dict[str, Column], scraped_at: Column, carry=()) -> list[Column]:
     cols.setdefault("scraped_at", scraped_at)
     cols.setdefault("sentiment", F.lit(None).cast("string"))
     cols.setdefault("category", F.lit(None).cast("string"))
@@ -56,10 +56,14 @@ def _finish(cols: dict[str, Column], scraped_at: Column) -> list[Column]:
     for n in OUT:
         c = cols[n]
         out.append((c.cast(types[n]) if n in types else c).alias(n))
-    return out
+    return out + [F.col(c) for c in carry]
+
+
+def _payload_cols(raw: DataFrame, carry) -> list[Column]:
+    return [F.col(c) for c in raw.columns if c not in carry]
 
 
-def normalize_twitter(raw: DataFrame, ingest_ts) -> DataFrame:
+def normalize_twitter(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
     """N1.  Falsy fallbacks (``id_str`` -> ``id``, ``text`` -> ``full_text``,
     a 0 metric -> the legacy field); reply/repost/media flags are null-safe
     (a NULL or empty ``referenced_tweets`` keeps the post, flag false)."""
@@ -89,15 +93,15 @@ def normalize_twitter(raw: DataFrame, ingest_ts) -> DataFrame:
         "is_repost": F.col("retweeted_status").isNotNull() | F.coalesce(first_ref["type"] == "retweeted", F.lit(False)),
         "has_media": F.col("entities")["media"].isNotNull() | F.col("extended_entities").isNotNull(),
         "created_at": created,
-        "raw_json": F.to_json(F.struct(*[F.col(c) for c in raw.columns])),
+        "raw_json": F.to_json(F.struct(*_payload_cols(raw, carry))),
         "hashtags": T.hashtags(text),
         "created_at_imputed": imputed,
         "reject_reason": F.when(post_id.isNull() | (post_id == ""), F.lit("missing id")),
     }
-    return raw.select(*_finish(cols, ts))
+    return raw.select(*_finish(cols, ts, carry))
 
 
-def normalize_reddit(raw: DataFrame, ingest_ts) -> DataFrame:
+def normalize_reddit(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
     """N2.  ``title + "\\n\\n" + selftext`` when selftext is non-empty; no author ->
     ``[deleted]`` with 0 followers; followers = link + comment karma (0 if
     either is missing); media = not a self post; epoch seconds in UTC."""
@@ -133,10 +137,10 @@ def normalize_reddit(raw: DataFrame, ingest_ts) -> DataFrame:
         "created_at_imputed": F.col("created_utc").isNull(),
         "reject_reason": F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("missing id")),
     }
-    return raw.select(*_finish(cols, ts))
+    return raw.select(*_finish(cols, ts, carry))
 
 
-def normalize_bluesky(raw: DataFrame, ingest_ts) -> DataFrame:
+def normalize_bluesky(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
     """N3.  ``post_id`` = last segment of the URI (empty -> rejected); reply,
     repost (``reasonRepost`` in the reason type) and media flags are
     null-safe; first language tag, else ``unknown``."""
@@ -167,12 +171,12 @@ def normalize_bluesky(raw: DataFrame, ingest_ts) -> DataFrame:
         "is_repost": F.coalesce(F.col("reason")["py_type"].contains("reasonRepost"), F.lit(False)),
         "has_media": F.coalesce(embed["images"].isNotNull() | embed["external"].isNotNull(), F.lit(False)),
         "created_at": created,
-        "raw_json": F.to_json(F.struct(*[F.col(c) for c in raw.columns])),
+        "raw_json": F.to_json(F.struct(*_payload_cols(raw, carry))),
         "hashtags": T.hashtags(text),
         "created_at_imputed": imputed,
         "reject_reason": F.when(post_id == "", F.lit("empty post id")),
     }
-    return raw.select(*_finish(cols, ts))
+    return raw.select(*_finish(cols, ts, carry))
 
 
 NORMALIZERS = {"twitter": normalize_twitter, "reddit": normalize_reddit, "bluesky": normalize_bluesky}

@@ -37,8 +37,8 @@ def _roundtrip(df, platform):
     return PL.parse_payloads(js, platform)
 
 
-def twitter_payloads(spark, d):
-    x = table(spark, d, "documents")
+def twitter_payloads(spark, d, docs=None):
+    x = docs if docs is not None else table(spark, d, "documents")
     i = F.col("doc_id")
     m = lambda k: i % k
     raw = x.select(
@@ -71,8 +71,8 @@ def twitter_payloads(spark, d):
     return _roundtrip(raw, "twitter")
 
 
-def reddit_payloads(spark, d):
-    x = table(spark, d, "documents")
+def reddit_payloads(spark, d, docs=None):
+    x = docs if docs is not None else table(spark, d, "documents")
     i = F.col("doc_id")
     raw = x.select(
         F.when(i % 17 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("r"), i.cast("string"))).alias("id"),
@@ -90,8 +90,8 @@ def reddit_payloads(spark, d):
     return _roundtrip(raw, "reddit")
 
 
-def bluesky_payloads(spark, d):
-    x = table(spark, d, "documents")
+def bluesky_payloads(spark, d, docs=None):
+    x = docs if docs is not None else table(spark, d, "documents")
     i = F.col("doc_id")
     embed_t = "struct<images:string,external:string>"
     raw = x.select(
