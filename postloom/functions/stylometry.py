@@ -73,8 +73,13 @@ def punctuation_density(c) -> Column:
     return F.when(t.isNull() | (n == 0), F.lit(0.0)).otherwise(k.cast("double") / n.cast("double"))
 
 
+# a maximal run of word characters without an underscore = an alphanumeric token
+ALNUM_TOKEN_RE = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}]+(?![\p{L}\p{N}_])"
+
+
 def alnum_words(c) -> Column:
-    return F.filter(tokens(F.lower(_c(c))), lambda w: w.rlike(ALNUM_RE))
+    """Lower-cased tokens made only of letters and digits (one regex pass)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(ALNUM_TOKEN_RE), 0)
 
 
 def lexical_diversity(c) -> Column:

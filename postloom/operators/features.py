@@ -30,6 +30,7 @@ from postloom import config
 from postloom.functions import stylometry as ST
 from postloom.functions import text as T
 from postloom.operators.sampling import exact_rank
+from postloom.session import materialize
 
 WORD_RE = f"{T.WORD}+"
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -46,21 +47,26 @@ def bigram_perplexity(df: DataFrame, key: str, text: str = "text", max_tokens: i
     """F4 (re-aimed): per text, exp(mean negative log-likelihood) of its bigrams
     under an add-one corpus bigram model, p = (c(prev, w) + 1) / (c(prev) + V).
     Texts with fewer than two tokens get 0.0.  ``max_tokens`` optionally
-    applies a model window; by default the whole text is scored."""
+    applies a model window; by default the whole text is scored.
+
+    One tokenizing pass: every token is paired with its successor (NULL for the
+    last one) and pre-aggregated per text; unigram counts, bigram counts and the
+    scored join all read that one aggregate (a reused exchange)."""
     toks = words(text)
     if max_tokens:
         toks = F.slice(toks, 1, max_tokens)
     t = df.select(key, toks.alias("t"))
-    n = F.size("t")
-    pairs = F.arrays_zip(F.slice("t", 1, n - 1).alias("prev"), F.slice("t", 2, n - 1).alias("w"))
-    occ = t.filter(n >= 2).select(key, F.explode(pairs).alias("b")).select(key, "b.prev", "b.w")
-    per_doc = occ.groupBy(key, "prev", "w").agg(F.count(F.lit(1)).alias("k"))
-    bigram = per_doc.groupBy("prev", "w").agg(F.sum("k").alias("c_bw"))
-    unigram = t.select(F.explode("t").alias("prev")).groupBy("prev").agg(F.count(F.lit(1)).alias("c_prev"))
+    pairs = F.arrays_zip(F.col("t").alias("prev"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("w"))
+    occ = t.select(key, F.explode(pairs).alias("b")).select(key, "b.prev", "b.w")
+    # read by three consumers: written once to the shared checkpoint folder
+    per_doc = materialize(occ.groupBy(key, "prev", "w").agg(F.count(F.lit(1)).alias("k")), "bigram-per-doc")
+    unigram = per_doc.groupBy("prev").agg(F.sum("k").alias("c_prev"))
+    pairs_doc = per_doc.filter(F.col("w").isNotNull())
+    bigram = pairs_doc.groupBy("prev", "w").agg(F.sum("k").alias("c_bw"))
     vocab = unigram.select(F.count(F.lit(1))).scalar()
     scored = bigram.join(unigram, "prev").select(
         "prev", "w", (-F.log((F.col("c_bw") + 1) / (F.col("c_prev") + vocab))).alias("nll"))
-    doc_nll = per_doc.join(scored, ["prev", "w"]).groupBy(key).agg(
+    doc_nll = pairs_doc.join(scored, ["prev", "w"]).groupBy(key).agg(
         (F.sum(F.col("nll") * F.col("k")) / F.sum("k")).alias("mean_nll"))
     return df.select(key).join(doc_nll, key, "left").select(
         key, F.coalesce(F.exp("mean_nll"), F.lit(0.0)).alias("perplexity"))
@@ -97,7 +103,12 @@ def token_ids(df: DataFrame, key: str, cleaned: str, vocab: DataFrame,
     """F6 (re-aimed): ``[start] ids... [end]`` per text, at most ``max_len`` ids
     (the encoder input limit), unknown words -> 1."""
     toks = df.select(key, clean_words(cleaned).alias("tokens"))
-    body = toks.select(key, F.posexplode_outer(F.slice("tokens", 1, max_len - 2)).alias("pos", "word"))
+    return ids_from_tokens(toks, key, vocab, max_len)
+
+
+def ids_from_tokens(toks: DataFrame, key: str, vocab: DataFrame, max_len: int = config.MAX_SEQUENCE_TOKENS,
+                    col: str = "tokens") -> DataFrame:
+    body = toks.select(key, F.posexplode_outer(F.slice(col, 1, max_len - 2)).alias("pos", "word"))
     looked = body.join(F.broadcast(vocab), "word", "left")  # vocab size is a parameter bound
     ids = looked.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(),
@@ -106,6 +117,16 @@ def token_ids(df: DataFrame, key: str, cleaned: str, vocab: DataFrame,
                                     F.array(F.lit(SEP))).alias("input_ids"))
 
 
+def vocabulary_and_ids(df: DataFrame, key: str, cleaned: str, vocab_size: int,
+                       max_len: int = config.MAX_SEQUENCE_TOKENS) -> DataFrame:
+    """Vocabulary over the whole corpus, then ids per text.  The cleaned token
+    arrays are written once (shared checkpoint folder) and read by both the
+    vocabulary count and the id lookup, so cleaning runs once per text."""
+    toks = materialize(df.select(key, clean_words(cleaned).alias("tokens")), "clean-tokens")
+    vocab = build_vocabulary(toks, vocab_size)
+    return ids_from_tokens(toks, key, vocab, max_len)
+
+
 def pad_batches(ids: DataFrame, key: str, batch_size: int = config.ENCODER_BATCH_SIZE,
                 seed: str = "batch", col: str = "input_ids") -> DataFrame:
     """Pad each sequence to the longest in its batch of ``batch_size`` (batches
@@ -121,17 +142,23 @@ def pad_batches(ids: DataFrame, key: str, batch_size: int = config.ENCODER_BATCH
         F.concat(F.array_repeat(F.lit(1), F.size(col)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 
 
+def word_bucket(w: Column, dim: int, seed: str = "emb") -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), w)), 1, 8), 16, 10).cast("long"), F.lit(dim))
+
+
 def hashed_embedding(df: DataFrame, key: str, cleaned: str, dim: int = 64, seed: str = "emb") -> DataFrame:
     """F7 (re-aimed): L2-normalised counts of words hashed into ``dim`` buckets
-    (all-zero vector for a text without words)."""
-    toks = clean_words(cleaned)
-    buckets = F.transform(
-        toks, lambda w: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), w)), 1, 8), 16, 10).cast("long"),
-                               F.lit(dim)))
-    x = df.select(key, buckets.alias("b"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda i: F.size(F.filter("b", lambda v: v == i)).cast("double"))
-    x = x.select(key, counts.alias("c"))
+    (all-zero vector for a text without words).  Words are exploded and counted
+    per (text, bucket) with map-side partial aggregation; the per-text regroup
+    holds at most ``dim`` entries."""
+    words_ = df.select(key, F.explode_outer(clean_words(cleaned)).alias("w"))
+    counts = words_.groupBy(key, word_bucket(F.col("w"), dim, seed).alias("b")).agg(
+        F.count("w").cast("double").alias("c"))
+    per_doc = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("b").isNotNull(), F.struct("b", "c")))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("m"), i.cast("long")), F.lit(0.0)))
+    x = per_doc.select(key, dense.alias("c"))
     norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v))
     return x.select(key, F.when(norm == 0, F.col("c")).otherwise(F.transform("c", lambda v: v / norm)).alias("embedding"))
 
@@ -147,9 +174,10 @@ def clean_track(posts: DataFrame, key: list[str], vocab_size: int, split_seed: s
     split = split_exact(labelled, key, split_seed)
     cleaned = split.withColumn("cleaned_text", T.clean_text(text)).filter(F.length("cleaned_text") > 0)
     kcol = "__key"
-    keyed = cleaned.withColumn(kcol, F.concat_ws("\u0001", *[F.col(k) for k in key]))
-    vocab = build_vocabulary(keyed.select(clean_words("cleaned_text").alias("tokens")), vocab_size)
-    ids = token_ids(keyed, kcol, "cleaned_text", vocab)
+    keyed = materialize(cleaned.withColumn(kcol, F.concat_ws("\u0001", *[F.col(k) for k in key])), "clean-track")
+    toks = keyed.select(kcol, clean_words("cleaned_text").alias("tokens"))
+    vocab = build_vocabulary(toks, vocab_size)
+    ids = ids_from_tokens(toks, kcol, vocab)
     emb = hashed_embedding(keyed, kcol, "cleaned_text", dim=16)
     out = keyed.join(ids, kcol).join(emb, kcol)
     return out.select(*key, F.col(text).alias("original_text"), "cleaned_text", "label", "category", "split_group",

@@ -88,9 +88,8 @@ TOK_SQL = f""", c AS (SELECT doc_id, {S.clean('text')} AS ct FROM documents),
 
 
 def _doc_ids(spark, d):
-    docs = table(spark, d, "documents").withColumn("ct", F.coalesce(FE.T.clean_text("text"), F.lit("")))
-    vocab = FE.build_vocabulary(docs.select(FE.clean_words("ct").alias("tokens")), 500)
-    return FE.token_ids(docs, "doc_id", "ct", vocab)
+    docs = table(spark, d, "documents").withColumn("ct", FE.T.clean_text("text"))
+    return FE.vocabulary_and_ids(docs, "doc_id", "ct", 500)
 
 
 @query("token_ids", "F6", f"""WITH {TOK_SQL.lstrip(', ')}

@@ -36,5 +36,19 @@ def query(name: str, ops: str, sql: str | None = None):
     return deco
 
 
+# Tables whose rows carry long texts (CPU-heavy regex work per row).
+TEXT_TABLES = ("documents", "pages", "conversations")
+REBALANCE_CONF = "postloom.scan.rebalancePartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan a driver table.  When ``postloom.scan.rebalancePartitions`` = N > 0,
+    text tables are spread round-robin over N partitions: for inputs written as
+    a single parquet row group (which one task must read whole) this puts all
+    cores to work.  Leave it unset for normally written data, where the scan
+    already splits by row group and the extra shuffle would only cost I/O."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = int(spark.conf.get(REBALANCE_CONF, "0") or 0)
+    if n > 0 and name in TEXT_TABLES:
+        df = df.repartition(n)
+    return df

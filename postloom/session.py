@@ -62,3 +62,13 @@ def local_dir(path: str) -> str:
 def makedirs(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_dir(path), exist_ok=True)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: the plan runs once, several consumers read the result, and the
+    lineage is cut (a lost executor does not force a recompute upstream)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
