@@ -7,6 +7,7 @@ from postloom.plans import (  # noqa: F401
     q_profile,
     q_prompts,
     q_sampling,
+    q_sinks,
     q_stream,
     q_tables,
     q_text,
