@@ -9,19 +9,17 @@ inside the pool are bounded (10..1000), so its state is bounded too.  Pass
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
 
 
 def counts_with_share(df: DataFrame, key: str = "platform") -> DataFrame:
-    """Rows per key, descending, with the percentage of the total (A1/A2).
-
-    The share is a window over the aggregated result (one row per key), not over
-    the data."""
+    """Rows per key with the percentage of the total (A1/A2).  The total is a
+    scalar subquery (one global count), so no window or join spans the groups."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    total = df.select(F.count(F.lit(1))).scalar()
     return g.withColumn("pct", F.col("n") * 100.0 / total)
 
 
