@@ -57,7 +57,7 @@ def event_posts(spark, d):
 
 def event_state(spark, d):
     ev = event_posts(spark, d)
-    return ev.filter(F.col("created_at") < F.lit(CUTOFF).cast("timestamp_ntz")).groupBy("platform", "query").agg(
+    return ev.filter(F.col("created_at") < F.lit(CUTOFF.isoformat(sep=" ")).cast("timestamp_ntz")).groupBy("platform", "query").agg(
         F.max("created_at").alias("last_timestamp"), F.max("event_id").cast("string").alias("last_post_id"))
 
 

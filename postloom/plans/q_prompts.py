@@ -201,7 +201,7 @@ def result_rows(spark, d):
         .otherwise(F.floor(F.length("ptext") / 3).cast("long")).alias("actual_out"))
     g = g.withColumn("output_tokens", LG.tokens_or_estimate(F.col("actual_out"), F.col("text")))
     g = g.withColumn("cost_usd", F.lit(None).cast("double")).withColumn("input_tokens", F.lit(None).cast("long"))
-    g = g.withColumn("generated_at", F.lit(GEN_AT))
+    g = g.withColumn("generated_at", F.lit(GEN_AT.isoformat(sep=" ")).cast("timestamp_ntz"))
     r = LG.result_rows(g, keep=["request_id"])
     return r.select("request_id", "platform", "text", "model", "model_family", "text_length", "output_tokens",
                     "is_synthetic")

@@ -123,7 +123,7 @@ MID = dt.datetime(2024, 1, 16)
 
 def _cursor_parts(spark, d):
     ev = event_posts(spark, d)
-    mid = F.lit(MID).cast("timestamp_ntz")
+    mid = F.lit(MID.isoformat(sep=" ")).cast("timestamp_ntz")
 
     def agg(df):
         newest = F.max_by(F.struct("post_id", "created_at", "value"), F.struct("created_at", "event_id"))
@@ -153,7 +153,7 @@ FROM o FULL JOIN n ON o.platform = n.platform AND o.query = n.query""")
 def cursor_merge(spark, d):
     old, new = _cursor_parts(spark, d)
     return TB.cursor_merge(old, new, ["platform", "query"], ["last_post_id", "last_timestamp", "cursor"],
-                           F.lit(AS_OF).cast("timestamp_ntz"))
+                           F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
 @query("cursor_advance", "J9", f"""WITH {CURSOR_SQL.lstrip(', ')},

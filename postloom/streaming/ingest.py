@@ -101,7 +101,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, as_of: dt.dateti
         new = first if known is None else TB.new_only(first, known, KEY)
         new = new.drop("__arrival").withColumn("batch", F.lit(batch_id)).persist()
         try:
-            (new.drop("hashtags").drop("batch").write.mode("overwrite")
+            # partitioned by platform: the store check reads keys only, per platform folder
+            (new.drop("hashtags").drop("batch").write.mode("overwrite").partitionBy("platform")
              .parquet(f"{store.posts}/batch={batch_id}"))
             (TB.hashtag_rows(new)
              .write.mode("overwrite").parquet(f"{store.hashtags}/batch={batch_id}"))
