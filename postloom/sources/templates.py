@@ -36,8 +36,8 @@ def templates(spark: SparkSession, path: str = DEFAULT_TEMPLATES) -> DataFrame:
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Spark read of a template file on shared storage: whole file as text,
     BOM stripped, parsed with ``from_json`` into a platform map, exploded."""
-    raw = spark.read.option("wholetext", True).text(path)
-    body = F.regexp_replace(F.col("value"), "^﻿", "")
+    raw = spark.read.text(path, wholetext=True)
+    body = F.regexp_replace(F.col("value"), "^\ufeff", "")
     schema = ("struct<metadata: struct<generated_at: string, samples_per_prompt: int, platforms: array<string>>, "
               "templates: map<string, struct<platform: string, system_prompt: string, num_examples: int, "
               "user_prompt_template: string>>>")
