@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from postloom.operators import filters as FL
 from postloom.operators import sampling as SA
 from postloom.plans.q_profile import P2_SQL
-from postloom.plans.q_sampling import _md5
+from postloom.plans import sqlfrag as S
+from postloom.plans.q_sampling import PLAN_SQL, _md5
 from postloom.plans.registry import query, table
 from postloom.plans.views import posts, with_posts
 from postloom.session import scratch_path
+from postloom.sources import payloads as PL
 from postloom.sources import sinks as SK
 
 
@@ -63,3 +65,36 @@ def table_preview(spark, d):
     # split(text, '') yields one element per character (code point)
     return SK.preview(docs, ["doc_id"], 5, array_cols=("chars",))
 
+
+
+@query("cleaned_scan", "S4/S5/F8", with_posts("""
+, sr AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || platform || '|' || post_id), platform, post_id) - 1 AS rk,
+                count(*) OVER () AS n FROM posts_v WHERE text IS NOT NULL),
+ sp AS (SELECT *, CASE WHEN rk < n - (3 * n + 9) // 10 THEN 'train'
+                       WHEN rk < n - (3 * n + 9) // 10 + (3 * n + 9) // 10 - ((3 * n + 9) // 10 + 1) // 2 THEN 'val'
+                       ELSE 'test' END AS split_group FROM sr)
+SELECT split_group, 0 AS label, CAST(count(*) AS BIGINT) AS n FROM sp
+WHERE length(""" + S.clean('text') + """) > 0 GROUP BY split_group"""))
+def cleaned_scan(spark, d):
+    from postloom.operators.features import clean_track
+
+    path = scratch_path(spark, "cleaned-posts")
+    clean_track(posts(spark, d), ["platform", "post_id"], vocab_size=1000).write.mode("overwrite").parquet(path)
+    scanned = PL.scan_cleaned(spark, path)  # projected scan, NULL text dropped
+    return scanned.groupBy("split_group", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("synthetic_append", "S7/P10/G11", with_posts(PLAN_SQL + """
+SELECT pl.platform, CAST(2 * count(*) AS BIGINT) AS n_rows, CAST(2 * sum(length(""" + S.strip("'  ' || p.text || chr(10)") + """)) AS BIGINT) AS sum_len
+FROM plan pl JOIN posts_v p ON p.post_id = CAST(pl.request_id AS VARCHAR)
+WHERE pl.request_id % 11 <> 0 GROUP BY pl.platform"""))
+def synthetic_append(spark, d):
+    from postloom.plans.q_prompts import result_rows
+
+    path = scratch_path(spark, "synthetic-posts")
+    rows = result_rows(spark, d).drop("request_id", "output_tokens")
+    rows = SK.synthetic_layout(rows.drop("text_length", "is_synthetic"))
+    SK.append(rows, path)
+    SK.append(rows, path)  # a second generation batch appends, never replaces
+    back = spark.read.parquet(path)
+    return back.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("text_length").cast("long").alias("sum_len"))
