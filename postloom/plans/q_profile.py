@@ -19,7 +19,7 @@ P1_SQL = f"text IS NOT NULL AND trim(text) <> '' AND length(text) BETWEEN {LO} A
 P2_SQL = f"{S.strip("coalesce(text, '')")} <> '' AND length(coalesce(text, '')) BETWEEN {LO} AND {HI}"
 
 
-@query("pool_filter_sql", "P1", with_posts(f"""
+@query("pool_filter_sql", "P1/N11", with_posts(f"""
 SELECT post_id, platform, CAST(length(text) AS BIGINT) AS text_length FROM posts_v WHERE {P1_SQL}"""))
 def pool_filter_sql(spark, d):
     return FL.pool_filter_sql(posts(spark, d)).select("post_id", "platform", T.text_length("text").alias("text_length"))
