@@ -130,7 +130,10 @@ def vocabulary_and_ids(df: DataFrame, key: str, cleaned: str, vocab_size: int,
 def pad_batches(ids: DataFrame, key: str, batch_size: int = config.ENCODER_BATCH_SIZE,
                 seed: str = "batch", col: str = "input_ids") -> DataFrame:
     """Pad each sequence to the longest in its batch of ``batch_size`` (batches
-    are consecutive runs of a seeded exact rank), with an attention mask."""
+    are consecutive runs of a seeded exact rank), with an attention mask.
+    The ids feed both rank passes and the per-batch maximum, so they are
+    written once to the shared checkpoint folder first."""
+    ids = materialize(ids, "token-ids")
     r = exact_rank(ids, [], seed, [key], rank_col="__rank")
     r = r.withColumn("batch_id", F.floor(F.col("__rank") / batch_size).cast("long")).drop("__rank")
     longest = r.groupBy("batch_id").agg(F.max(F.size(col)).alias("__max"))
