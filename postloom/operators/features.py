@@ -50,24 +50,22 @@ def bigram_perplexity(df: DataFrame, key: str, text: str = "text", max_tokens: i
     applies a model window; by default the whole text is scored.
 
     One tokenizing pass: every token is paired with its successor (NULL for the
-    last one) and pre-aggregated per text; unigram counts, bigram counts and the
-    scored join all read that one aggregate (a reused exchange)."""
+    last one) and the pairs are written once (shared checkpoint folder).  Unigram
+    counts, bigram counts (both with map-side partial aggregation) and the
+    per-text join all read those pairs; each distinct bigram is scored once."""
     toks = words(text)
     if max_tokens:
         toks = F.slice(toks, 1, max_tokens)
     t = df.select(key, toks.alias("t"))
     pairs = F.arrays_zip(F.col("t").alias("prev"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("w"))
-    occ = t.select(key, F.explode(pairs).alias("b")).select(key, "b.prev", "b.w")
-    # read by three consumers: written once to the shared checkpoint folder
-    per_doc = materialize(occ.groupBy(key, "prev", "w").agg(F.count(F.lit(1)).alias("k")), "bigram-per-doc")
-    unigram = per_doc.groupBy("prev").agg(F.sum("k").alias("c_prev"))
-    pairs_doc = per_doc.filter(F.col("w").isNotNull())
-    bigram = pairs_doc.groupBy("prev", "w").agg(F.sum("k").alias("c_bw"))
+    occ = materialize(t.select(key, F.explode(pairs).alias("b")).select(key, "b.prev", "b.w"), "bigram-occurrences")
+    unigram = occ.groupBy("prev").agg(F.count(F.lit(1)).alias("c_prev"))
+    bigrams = occ.filter(F.col("w").isNotNull())
+    counts = bigrams.groupBy("prev", "w").agg(F.count(F.lit(1)).alias("c_bw"))
     vocab = unigram.select(F.count(F.lit(1))).scalar()
-    scored = bigram.join(unigram, "prev").select(
+    scored = counts.join(unigram, "prev").select(
         "prev", "w", (-F.log((F.col("c_bw") + 1) / (F.col("c_prev") + vocab))).alias("nll"))
-    doc_nll = pairs_doc.join(scored, ["prev", "w"]).groupBy(key).agg(
-        (F.sum(F.col("nll") * F.col("k")) / F.sum("k")).alias("mean_nll"))
+    doc_nll = bigrams.join(scored, ["prev", "w"]).groupBy(key).agg(F.avg("nll").alias("mean_nll"))
     return df.select(key).join(doc_nll, key, "left").select(
         key, F.coalesce(F.exp("mean_nll"), F.lit(0.0)).alias("perplexity"))
 
