@@ -118,11 +118,12 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, as_of: dt.dateti
             cur = newest if old is None else TB.advance_cursor(old.select("platform", "query", "last_post_id",
                                                                            "last_timestamp"), newest, ["platform", "query"])
             cur.withColumn("updated_at", F.lit(as_of)).write.mode("overwrite").parquet(f"{store.state}/batch={batch_id}")
-            offered = ok.groupBy("platform").agg(F.count(F.lit(1)).alias("offered"))
+            # one pass over the batch for offered / rejected, one over the new rows
+            counts = batch.groupBy("platform").agg(
+                F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("offered"),
+                F.count(F.when(F.col("reject_reason").isNotNull(), 1)).alias("rejected"))
             saved = new.groupBy("platform").agg(F.count(F.lit(1)).alias("saved"))
-            rejected = bad.groupBy("platform").agg(F.count(F.lit(1)).alias("rejected"))
-            log = (offered.join(saved, "platform", "full_outer").join(rejected, "platform", "full_outer")
-                   .fillna(0, ["offered", "saved", "rejected"])
+            log = (counts.join(saved, "platform", "left").fillna(0, ["saved"])
                    .withColumn("run_id", F.lit(str(batch_id)))
                    .withColumn("status", F.lit("ok")).withColumn("started_at", F.lit(as_of)))
             log.write.mode("overwrite").parquet(f"{store.run_log}/batch={batch_id}")
