@@ -23,6 +23,11 @@ from postloom.sources import payloads as PL
 
 KEY = ["platform", "post_id"]
 
+# Most batch keys broadcast to probe the store; above it the check is a shuffle join.
+BROADCAST_KEYS_MAX = 2_000_000
+# Default files per micro-batch, so a batch (and its key broadcast) stays bounded.
+MAX_FILES_PER_TRIGGER = 1000
+
 
 @dataclass(frozen=True)
 class Store:
@@ -96,9 +101,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, as_of: dt.dateti
     batch = batch.persist()
     try:
         ok, bad = NZ.split_rejects(batch)
-        first = TB.first_wins(ok, KEY, ["__arrival"])
+        first = TB.first_wins(ok, KEY, ["__arrival"]).persist()
         known = stored_keys(spark, store, before_batch=batch_id)
-        new = first if known is None else TB.new_only(first, known, KEY)
+        new = first if known is None else not_stored(first, known)
         new = new.drop("__arrival").withColumn("batch", F.lit(batch_id)).persist()
         try:
             # partitioned by platform: the store check reads keys only, per platform folder
@@ -129,10 +134,23 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, as_of: dt.dateti
             log.write.mode("overwrite").parquet(f"{store.run_log}/batch={batch_id}")
         finally:
             new.unpersist()
+            first.unpersist()
     finally:
         batch.unpersist()
 
 
+def not_stored(first: DataFrame, known: DataFrame) -> DataFrame:
+    """J3 for a micro-batch against a large store.  When the batch has at most
+    ``BROADCAST_KEYS_MAX`` keys (checked), its keys are broadcast and the store
+    is only scanned (key columns) and probed, never shuffled; the few hits are
+    then removed from the batch.  Larger batches use a plain shuffle anti join."""
+    n = first.count()  # the batch is persisted, so this is cheap
+    if n <= BROADCAST_KEYS_MAX:
+        hits = known.join(F.broadcast(first.select(*KEY)), KEY, "left_semi")
+        return first.join(hits, KEY, "left_anti")
+    return TB.new_only(first, known, KEY)
+
+
 def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, checkpoint: str, as_of: dt.datetime,
                available_now: bool = True, processing_time: str | None = None, max_files: int | None = None,
                dedupe_watermark: str | None = None):
@@ -140,7 +158,7 @@ def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, check
     landed and stops (the initial pass); otherwise ``processing_time`` polls.
     With ``dedupe_watermark`` the stream also drops duplicates inside that
     event-time bound (bounded state), before the exact check in the batch."""
-    s = normalized_stream(spark, landing, as_of, stream=True, max_files=max_files)
+    s = normalized_stream(spark, landing, as_of, stream=True, max_files=max_files or MAX_FILES_PER_TRIGGER)
     if dedupe_watermark:
         s = s.withWatermark("created_at", dedupe_watermark).dropDuplicatesWithinWatermark(KEY)
     w = s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
