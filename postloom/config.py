@@ -49,6 +49,10 @@ DEFAULT_POLL_MINUTES = 15
 # Request ceiling per platform: (requests, period seconds).
 RATE_LIMITS = {"twitter": (450, 900), "reddit": (60, 60), "bluesky": (3000, 300)}
 
+# Scrape job id and display name formats.
+JOB_ID_FORMAT = "{platform}_{query}"
+JOB_NAME_FORMAT = "Scrape {platform}: {query}"
+
 # At most this many posts per fetch.
 MAX_POSTS_PER_FETCH = 100
 

@@ -14,11 +14,18 @@ def intervals(spark: SparkSession) -> DataFrame:
 
 
 def job_plan(spark: SparkSession, queries: DataFrame) -> DataFrame:
-    """``queries`` has (platform, query).  Duplicate jobs collapse to one id; the
-    interval table is config-sized, so it is broadcast."""
-    q = queries.dropDuplicates(["platform", "query"])
+    """``queries`` has (platform, query).  Platforms without an implementation
+    are skipped; a job id that repeats replaces the earlier one (one row per
+    id); the interval table is config-sized, so it is broadcast."""
+    q = queries.filter(F.col("platform").isin(*config.PLATFORMS)).dropDuplicates(["platform", "query"])
     j = q.join(F.broadcast(intervals(spark)), "platform", "left")
+
+    def fmt(pattern: str):
+        pre, rest = pattern.split("{platform}")
+        mid, post = rest.split("{query}")
+        return F.concat(F.lit(pre), F.col("platform"), F.lit(mid), F.col("query"), F.lit(post))
+
     out = j.select("platform", "query",
                    F.coalesce(F.col("minutes"), F.lit(config.DEFAULT_POLL_MINUTES)).alias("interval_minutes"),
-                   F.concat_ws(":", "platform", "query").alias("job_id"))
+                   fmt(config.JOB_ID_FORMAT).alias("job_id"), fmt(config.JOB_NAME_FORMAT).alias("job_name"))
     return out.dropDuplicates(["job_id"])

@@ -227,7 +227,7 @@ def _intervals_sql() -> str:
 
 @query("job_plan", "N9", with_posts(f"""
 SELECT q.platform, q.query, coalesce(iv.minutes, {config.DEFAULT_POLL_MINUTES}) AS interval_minutes,
-  q.platform || ':' || q.query AS job_id,
+  q.platform || '_' || q.query AS job_id, 'Scrape ' || q.platform || ': ' || q.query AS job_name,
   CASE WHEN regexp_matches(q.query, ' |:|"|OR|AND') THEN 'search' ELSE 'subreddit' END AS route
 FROM (SELECT DISTINCT platform, source AS query FROM posts_v p JOIN documents d ON p.post_id = CAST(d.doc_id AS VARCHAR)
       UNION SELECT DISTINCT platform, 'lang:' || language FROM posts_v) q
@@ -240,4 +240,5 @@ def job_plan(spark, d):
     queries = p.join(docs, "post_id").select("platform", F.col("source").alias("query")).unionByName(
         p.select("platform", F.concat(F.lit("lang:"), F.col("language")).alias("query")))
     out = plan(spark, queries)
-    return out.select("platform", "query", "interval_minutes", "job_id", T.search_route("query").alias("route"))
+    return out.select("platform", "query", "interval_minutes", "job_id", "job_name",
+                      T.search_route("query").alias("route"))
