@@ -1,8 +1,8 @@
 """Driver-table stand-ins for the pipeline's own tables.
 
-``posts`` is derived from ``documents``: platform skew 70/20/10, tags in two
-cases, mentions, links, contractions, tri-state ``has_media`` and a minute
-clock.  The same definition is given as SQL for the oracles.
+``posts`` is derived from ``documents`` (whole texts): platform skew 70/20/10,
+tags in two cases, mentions, links, contractions, tri-state ``has_media`` and a
+minute clock.  The same definition is given as SQL for the oracles.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ POSTS_SQL = """
 posts_v AS (
 SELECT CAST(doc_id AS VARCHAR) AS post_id,
  CASE WHEN doc_id % 10 < 7 THEN 'bluesky' WHEN doc_id % 10 < 9 THEN 'reddit' ELSE 'twitter' END AS platform,
- substr(text, 1, CAST(5 + (doc_id * 53) % 1100 AS INT))
+ text
  || CASE WHEN doc_id % 3 = 0 THEN ' #' || source || ' #' || upper(source) ELSE '' END
  || CASE WHEN doc_id % 4 = 0 THEN ' @user' || CAST(doc_id % 50 AS VARCHAR) ELSE '' END
  || CASE WHEN doc_id % 7 = 0 THEN ' https://' || source || '.example.com/' || CAST(doc_id AS VARCHAR) ELSE '' END
@@ -45,7 +45,7 @@ def posts_from_documents(documents: DataFrame) -> DataFrame:
     src = F.col("source")
     m10 = d % 10
     text = F.concat(
-        F.col("text").substr(F.lit(1), (F.lit(5) + (d * 53) % 1100).cast("int")),
+        F.col("text"),
         F.when(d % 3 == 0, F.concat(F.lit(" #"), src, F.lit(" #"), F.upper(src))).otherwise(F.lit("")),
         F.when(d % 4 == 0, F.concat(F.lit(" @user"), (d % 50).cast("string"))).otherwise(F.lit("")),
         F.when(d % 7 == 0, F.concat(F.lit(" https://"), src, F.lit(".example.com/"), d.cast("string"))).otherwise(F.lit("")),
