@@ -23,11 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom import config
-from postloom.functions.hashing import hash_hex, hash_prefix, u32, unit
-
-
-def _keys(keys) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+from postloom.functions.hashing import hash_hex, u32, unit
 
 
 def exact_rank(df: DataFrame, partition: list[str], seed: str, keys: list[str], width: int = 4,

@@ -40,7 +40,6 @@ def upsert(stored: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """A key present in ``updates`` takes every supplied column (NULL included);
     other columns keep the stored value; new keys are inserted."""
     supplied = [c for c in updates.columns if c not in keys]
-    kept = [c for c in stored.columns if c not in keys and c not in supplied]
     u = updates.select(*keys, *[F.col(c).alias(f"__u_{c}") for c in supplied]).withColumn("__upd", F.lit(True))
     j = stored.withColumn("__old", F.lit(True)).join(u, keys, "full_outer")
     cols = [F.col(k) for k in keys]
@@ -52,7 +51,6 @@ def upsert(stored: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
         else:
             cols.append(F.col(c))
     extra = [F.col(f"__u_{c}").alias(c) for c in supplied if c not in stored.columns]
-    _ = kept
     return j.select(*cols, *extra)
 
 

@@ -4,7 +4,6 @@ the rules in plain Python, and the Spark Column functions."""
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from postloom import config
 from postloom.functions import stylometry as ST
@@ -133,4 +132,3 @@ def test_format_fields(spark):
     assert df.select(T.format_duration("s")).first()[0] == "1:02:05"
     df = spark.createDataFrame([(None,)], "ts timestamp")
     assert df.select(T.format_ts("ts")).first()[0] == "N/A"
-    _ = F
