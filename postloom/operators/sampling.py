@@ -67,7 +67,7 @@ def split_exact(df: DataFrame, keys: list[str], seed: str = str(config.SPLIT_SEE
 def top_k_per_group(df: DataFrame, group: list[str], k: int, order: list[Column], rn: str = "rn") -> DataFrame:
     """``row_number() <= k`` per group; literal k lets Spark plan WindowGroupLimit."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)
+    return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k).withColumn(rn, F.col(rn).cast("long"))
 
 
 def random_k(pool: DataFrame, k: int, seed: str, key: str = "post_id", group: str = "platform") -> DataFrame:
@@ -139,7 +139,7 @@ def stratified_sample(posts: DataFrame, n: int, seed: str, key: str = "post_id",
     out = chosen.unionByName(fb)
     # shuffle: position by a third hash inside each platform (<= n rows per group)
     w = Window.partitionBy("platform").orderBy(hash_hex(seed, F.lit("shuffle"), key), F.col(key))
-    return out.withColumn("pos", F.row_number().over(w))
+    return out.withColumn("pos", F.row_number().over(w).cast("long"))
 
 
 def cdf_case(u: Column, weights: list[tuple[str, float]]) -> Column:
@@ -228,7 +228,7 @@ def request_examples(requests: DataFrame, posts: DataFrame, seed: str, key: str
             F.struct(F.lit("medium").alias("bucket"), F.col("q_m").alias("q"), F.col("B_m").alias("B")),
             F.struct(F.lit("long").alias("bucket"), F.col("q_l").alias("q"), F.col("B_l").alias("B")),
         )).alias("b")).select("request_id", "platform", "b.*").filter(F.col("q") > 0)
-    slots = per_bucket.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("q") - 1).cast("int")))).withColumn(
+    slots = per_bucket.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("q") - 1).cast("long")))).withColumn(
         "idx", (u32(seed, F.lit("offset"), "request_id", "bucket") + F.col("j")) % F.col("B"))
     picked = slots.join(ranked.select("platform", "bucket", "idx", key, col), ["platform", "bucket", "idx"])
     return picked.select("request_id", "platform", "bucket", "j", key, col)
