@@ -132,3 +132,27 @@ def test_format_fields(spark):
     assert df.select(T.format_duration("s")).first()[0] == "1:02:05"
     df = spark.createDataFrame([(None,)], "ts timestamp")
     assert df.select(T.format_ts("ts")).first()[0] == "N/A"
+
+
+def test_burstiness_fixture_3_5_10(spark):
+    # three sentences of 3, 5 and 10 tokens (end marks count as tokens)
+    s = "a b. c d e f. 1 2 3 4 5 6 7 8 9 10"
+    assert _one(spark, ST.burstiness("t"), [s])[0] == pytest.approx(26 / 3)
+
+
+def test_timestamp_parse_fixture(spark):
+    import datetime as dt
+
+    from postloom.operators.normalize import parse_time
+
+    ingest = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
+    df = spark.createDataFrame([("2026-04-08T19:50:36.273206Z",), ("2026-04-08",), ("garbage",), ("",), (None,)],
+                               "s string")
+    from pyspark.sql import functions as F
+
+    ts, imputed = parse_time(F.col("s"), F.lit(ingest))
+    got = df.select(F.unix_micros(ts).alias("us"), imputed.alias("imp")).collect()
+    ingest_us = int(ingest.timestamp() * 1_000_000)
+    assert got[0].us == int(dt.datetime(2026, 4, 8, 19, 50, 36, 273206, tzinfo=dt.UTC).timestamp() * 1_000_000)
+    assert got[0].imp is False and got[1].imp is False
+    assert [r.us for r in got[2:]] == [ingest_us] * 3 and all(r.imp for r in got[2:])
