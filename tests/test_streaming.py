@@ -62,3 +62,16 @@ def test_template_file_read_by_spark_with_bom(spark):
     assert set(rows) == {"reddit", "bluesky"}
     assert rows["reddit"].num_examples == 12 and rows["reddit"].system_prompt
     assert {r[0] for r in TP.load_template_rows()} == set(rows)
+
+
+def test_template_export_document(spark):
+    import json
+
+    import __spark_entry__ as E
+
+    doc = json.loads(E.queries()["template_export"](spark, SF001).first()["value"])
+    assert doc["metadata"]["samples_per_prompt"] == 12
+    assert sorted(doc["metadata"]["platforms"]) == sorted(doc["templates"]) == ["bluesky", "reddit"]
+    t = doc["templates"]["reddit"]
+    assert t["platform"] == "reddit" and t["system_prompt"] and "Example 1:" in t["user_prompt_template"]
+    assert 1 <= t["num_examples"] <= 12
