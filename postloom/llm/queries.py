@@ -1,5 +1,12 @@
 """Imports every query module of this subpackage: one query per operator, each over its
 whole table with production parameters."""
 
-from postloom.llm import queries_bpe, queries_rules, queries_secrets, queries_substring, queries_urls  # noqa: F401
+from postloom.llm import (  # noqa: F401
+    queries_bpe,
+    queries_quality,
+    queries_rules,
+    queries_secrets,
+    queries_substring,
+    queries_urls,
+)
 from postloom.llm.registry import ENTRIES  # noqa: F401
