@@ -229,7 +229,7 @@ def _kept(root: Node) -> list[Node]:
     if best.parent is None or best.tag == "body":
         return [best]
     if best.tag in ("article", "main"):
-        alike = [n for n in articles if n.parent is best.parent and n.tag == best.tag and n.points >= max(10, 0.2 * best.points)]
+        alike = [n for n in articles if n.parent is best.parent and n.tag == best.tag and (n is best or n.points >= max(10, 0.2 * best.points))]
         return [n for n in best.parent.children if isinstance(n, Node) and n in alike]
     out = []
     for n in best.parent.children:
