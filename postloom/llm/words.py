@@ -7,6 +7,7 @@ same word as the regular expression ``[^\\x20\\x09-\\x0D]+`` finds in the decode
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,3 +151,20 @@ def expand(raw: bytes, dtype: type) -> np.ndarray:
     width = np.dtype(dtype).itemsize
     planes = np.frombuffer(_unpack.decompress(raw), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+_NOT_WORD = re.compile(r"[\W_]+")
+
+
+def plain_word_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """As ``word_chunks``, over lower-cased texts in which only letters and digits make words."""
+    _, at = texts_of(column)
+    for i, j in chunks(at, limit):
+        texts = [_NOT_WORD.sub(" ", t.lower()).encode() if t else b"" for t in column[i:j].to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        yield i, j, split_words(np.frombuffer(b"".join(texts), np.uint8), ends)
+
+
+def cuts(groups: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the groups 0 .. n - 1 begins in a sorted array of group numbers, and the end."""
+    return np.searchsorted(groups, np.arange(n + 1))
