@@ -5,6 +5,7 @@ from postloom.llm import (  # noqa: F401
     queries_bpe,
     queries_decontaminate,
     queries_html,
+    queries_near,
     queries_quality,
     queries_rules,
     queries_secrets,
