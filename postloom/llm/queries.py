@@ -3,6 +3,7 @@ whole table with production parameters."""
 
 from postloom.llm import (  # noqa: F401
     queries_bpe,
+    queries_chat,
     queries_decontaminate,
     queries_html,
     queries_near,
