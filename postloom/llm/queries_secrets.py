@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from postloom.llm.registry import query, read
-from postloom.llm.secret_scan import digest, scan
+from postloom.llm.secret_scan import find_secrets
 
 
 @query("op10_secret_scan")
 def op10_secret_scan(spark, sf_dir):
-    return digest(scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return find_secrets(read(spark, sf_dir, "documents"))

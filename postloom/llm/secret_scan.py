@@ -23,8 +23,8 @@ between the matches, so they are right wherever a match lies.
 
 Edge cases: null or empty text has no spans (base_sha256 of the empty string).  No candidate
 at all gives no thresholds and no added span.  Rows are kept one to one (null or repeated
-doc_id too); extra columns are kept by ``scan`` and ``redact``, and may bear any name that
-does not begin with ``_scan_``.
+doc_id too); extra columns are ignored by ``find_secrets``, kept by ``scan`` and ``redact``,
+and may bear any name that does not begin with ``_scan_``.
 """
 
 from __future__ import annotations
@@ -83,12 +83,13 @@ def base_spans(text: Column) -> Column:
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal (rational approximation, absolute error below 7.5e-8 near
     the middle; the asymptotic series takes over above z = 4)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    density = F.exp(-x * x / 2) * 0.3989422804014327
-    tail = F.when(x > 4, density / x * (1 - 1 / (x * x) + 3 / (x * x * x * x))).otherwise(density * poly)
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+    def tail(x: Column) -> Column:
+        t = 1 / (1 + 0.2316419 * x)
+        density = F.exp(-x * x / 2) * 0.3989422804014327
+        poly = let(t, lambda u: u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429)))))
+        return density * F.when(x > 4, (1 - 1 / (x * x) + 3 / (x * x * x * x)) / x).otherwise(poly)
+
+    return let(z, lambda y: F.when(y >= 0, tail(F.abs(y))).otherwise(1 - tail(F.abs(y))))
 
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -114,32 +115,42 @@ def battery(s: Column) -> Column:
         values = F.transform(symbols, lambda c: F.instr(e["alphabet"], c).cast("double") - 1)  # -1: outside the alphabet
         return let(values, lambda v: sums(e, v))
 
+    zero, add = F.lit(0.0), lambda a, x: a + x
+
     def sums(e: Column, v: Column) -> Column:
-        m, zero = F.length(e["alphabet"]).cast("double"), F.lit(0.0)
-        n = F.size(v).cast("double")
-        add = lambda a, x: a + x
-        squares = F.aggregate(F.transform(F.array_distinct(v), lambda x: F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), 2.0)), zero, add)
-        chi = squares * m / n - n
-        df = m - 1
-        z_chi = (F.pow(F.greatest(chi, zero) / df, 1 / 3.0) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        m = F.length(e["alphabet"]).cast("double")
         high = F.transform(v, lambda x: (x >= m / 2).cast("double"))
-        ones = F.aggregate(high, zero, add)
-        changed = F.aggregate(F.transform(upto(F.size(v) - 1), lambda i: ((v[i] >= m / 2) != (v[i + 1] >= m / 2)).cast("double")), zero, add)
-        mean = 2 * ones * (n - ones) / n + 1
-        var = F.greatest((mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
-        z_runs = F.abs(changed + 1 - mean) / F.sqrt(var)
-        average = F.aggregate(v, zero, add) / n
-        lag = F.aggregate(F.transform(upto(F.size(v) - 1), lambda i: (v[i] - average) * (v[i + 1] - average)), zero, add)
-        spread = F.greatest(F.aggregate(F.transform(v, lambda x: (x - average) * (x - average)), zero, add), F.lit(1e-9))
-        z_serial = F.abs(lag / spread + 1 / n) * F.sqrt(n)
-        p_random = F.least(F.lit(1.0), 3 * F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial)))
-        return F.struct(p_random.alias("p_random"), n.alias("n"))
+        pairs = upto(F.size(v) - 1)
+        counts = F.transform(F.array_distinct(v), lambda x: F.pow(F.size(F.filter(v, lambda y: y == x)).cast("double"), 2.0))
+        first = F.struct(
+            m.alias("m"), F.size(v).cast("double").alias("n"), F.aggregate(counts, zero, add).alias("squares"), F.aggregate(high, zero, add).alias("ones"),
+            let(high, lambda h: F.aggregate(F.transform(pairs, lambda i: (h[i] != h[i + 1]).cast("double")), zero, add)).alias("changed"),
+            F.aggregate(v, zero, add).alias("total"))
+        return let(first, lambda c: moments(c, v))
+
+    def moments(c: Column, v: Column) -> Column:
+        mean = c["total"] / c["n"]
+        lag = let(mean, lambda a: F.aggregate(F.transform(upto(F.size(v) - 1), lambda i: (v[i] - a) * (v[i + 1] - a)), zero, add))
+        spread = let(mean, lambda a: F.aggregate(F.transform(v, lambda x: (x - a) * (x - a)), zero, add))
+        runs = 2 * c["ones"] * (c["n"] - c["ones"]) / c["n"] + 1  # expected number of runs
+        second = F.struct(c["m"].alias("m"), c["n"].alias("n"), c["squares"].alias("squares"), c["changed"].alias("changed"),
+                          runs.alias("runs"), lag.alias("lag"), F.greatest(spread, F.lit(1e-9)).alias("spread"))
+        return let(second, tests_of)
+
+    def tests_of(c: Column) -> Column:
+        n, df = c["n"], c["m"] - 1
+        chi = F.greatest(c["squares"] * c["m"] / n - n, zero)
+        z_chi = (F.pow(chi / df, 1 / 3.0) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        var = F.greatest((c["runs"] - 1) * (c["runs"] - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
+        z_runs = F.abs(c["changed"] + 1 - c["runs"]) / F.sqrt(var)
+        z_serial = F.abs(c["lag"] / c["spread"] + 1 / n) * F.sqrt(n)
+        return F.least(F.lit(1.0), 3 * F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial)))
 
     classes = F.translate(s, LOWER + UPPER + DIGITS + "+/_=-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5)
     changes = F.length(F.regexp_replace(F.regexp_replace(classes, r"(.)\1+", "$1"), "^.", "")).cast("double")
     n = F.length(s).cast("double") - 1
     p_text = upper_tail((changes - 0.5 - n * CHANGE) / F.sqrt(n * CHANGE * (1 - CHANGE)))
-    return F.struct(let(_encoding(s), tests)["p_random"].alias("p_random"), F.greatest(p_text, F.lit(1e-300)).alias("p_text"),
+    return F.struct(let(_encoding(s), tests).alias("p_random"), F.greatest(p_text, F.lit(1e-300)).alias("p_text"),
                     F.floor(F.log2(F.length(s).cast("double"))).cast("int").alias("size"))
 
 
@@ -167,8 +178,8 @@ def thresholds(docs: DataFrame) -> DataFrame:
     return per.select("size", F.array_min(F.transform(good, lambda x: x["bin"])).alias("least")).where("least is not null")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """The documents with ``spans``: array<struct<start, kind, end>> by start, then kind."""
+def scan(docs: DataFrame, column: str = "spans") -> DataFrame:
+    """The documents with ``column``: array<struct<start, kind, end>> by start, then kind."""
     # a scalar subquery: a map with one entry per length class (31 at most)
     limits = thresholds(docs).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("size", "least"))).alias("_scan_limits"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -177,7 +188,7 @@ def scan(docs: DataFrame) -> DataFrame:
                      & ~F.exists("_scan_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     spans = F.sort_array(F.concat("_scan_base", F.transform(added, lambda x: F.struct(
         x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))))
-    return found.withColumn("spans", spans).drop("_scan_limits", "_scan_base", "_scan_more")
+    return found.withColumn(column, spans).drop("_scan_limits", "_scan_base", "_scan_more")
 
 
 def spans_text(spans: Column) -> Column:
@@ -185,8 +196,9 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def digest(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document."""
+    scanned = scan(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return scanned.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                           F.sha2(spans_text(F.filter("spans", lambda x: x["kind"] < 3)).cast("binary"), 256).alias("base_sha256"),
@@ -206,9 +218,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return F.aggregate(spans, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
-    scanned = scan(docs)
-    some = F.size("spans") > 0
-    out = scanned.withColumn("_scan_text", F.when(some, cut(F.col("spans"), F.col("text").cast("string"))).otherwise(F.col("text")))
+    scanned = scan(docs, "_scan_spans")
+    some = F.size("_scan_spans") > 0
+    out = scanned.withColumn("_scan_text", F.when(some, cut(F.col("_scan_spans"), F.col("text").cast("string"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("_scan_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.withColumn("text", F.col("_scan_text")).select(*docs.columns)
