@@ -81,6 +81,7 @@ CONTRACTIONS = [
 # Tokenizer / encoder sizes and the perplexity window of the source pipeline.
 ENCODER_BATCH_SIZE = 32
 MAX_SEQUENCE_TOKENS = 512
+EMBEDDING_DIM = 768
 PERPLEXITY_WINDOW = 1024
 
 # Split shares and seed.
@@ -106,15 +107,6 @@ MODEL_PRICE_KEY = {
 }
 
 
-@dataclass(frozen=True)
-class SampleConfig:
-    seed: str = "42"
-    examples: int = SAMPLES_PER_PROMPT
-    min_len: int = MIN_TEXT_LENGTH
-    max_len: int = MAX_TEXT_LENGTH
-    buckets: dict = field(default_factory=lambda: LENGTH_BUCKETS)
-
-
 def bucket_quotas(n: int) -> tuple[int, int]:
     """Quotas of the short and medium bucket for ``n`` examples; long takes the rest."""
     return max(1, (3 * n) // 10), max(1, (4 * n) // 10)

@@ -8,13 +8,14 @@ where a real scorer plugs in.
 
 Scale notes
 -----------
-* Perplexity pre-aggregates bigram occurrences per document before any join,
-  scores each distinct bigram once (bigram counts joined with unigram counts),
-  and joins the scored table back on (prev, word): one data-sized join.
-* The vocabulary is a global top-V (``TakeOrderedAndProject`` keeps V rows
-  per task) and so has a size bound; it is broadcast.
-* Per-document regrouping (``collect_list``) is bounded by the sequence
-  length cap of the encoder input, never by the corpus.
+* Words and bigrams are grouped inside their row first (sorted, then cut into
+  runs), so what leaves a text is one row per distinct word or bigram of it.
+* Lookups of a word or bigram (``_look_up``) never send a hot one to one task:
+  those with more than a thousandth of all occurrences number a thousand at
+  most, whatever the corpus, and are broadcast; the rest meet in a shuffle join.
+* Every distinct corpus word has an id (an exact rank, no top-V), and every
+  token of a text reaches a sequence.
+* Per-text regrouping is bounded by the text itself, never by the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -43,41 +44,75 @@ def words(c) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(WORD_RE), 0)
 
 
-def bigram_perplexity(df: DataFrame, key: str, text: str = "text", max_tokens: int | None = None) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _runs(ordered: Column, same: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """Cut a sorted array into runs of equal ``same(element)``; ``make(first, run)`` per run."""
+    def cut(s: Column) -> Column:
+        index = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(index, lambda k: (k == 0) | ~same(F.get(s, k)).eqNullSafe(same(F.get(s, k - 1))))
+        return F.transform(F.array(starts), lambda at: F.transform(
+            at, lambda k, j: make(s[k], F.slice(s, k + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - k))))[0]
+
+    return F.transform(F.array(ordered), cut)[0]
+
+
+HOT_SHARE = 1000  # a value with more than 1 / HOT_SHARE of all occurrences is hot: HOT_SHARE rows at most
+SALTS = 4096
+
+
+def _look_up(rows: DataFrame, table: DataFrame, on: list[str], value: str, count: str, spread: list[str]) -> DataFrame:
+    """``rows`` with ``value`` of ``table`` (one stored row per ``on``, NULLs equal; ``count`` its occurrences).
+
+    Hot entries are broadcast.  Rows that they answer are spread over the shuffle by a salt of
+    their ``spread`` columns; the others meet the table by hash."""
+    total = table.select(F.sum(count)).scalar()
+    hot = table.where(F.col(count) * HOT_SHARE > total).select(*[F.col(c).alias(f"__h_{c}") for c in on], F.col(value).alias("__hot"))
+    match = lambda p: [F.col(c).eqNullSafe(F.col(f"{p}{c}")) for c in on]
+    first = rows.join(F.broadcast(hot), match("__h_"), "left").drop(*[f"__h_{c}" for c in on])
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    cold = table.select(*[F.col(c).alias(f"__c_{c}") for c in on], F.col(value).alias("__cold"), F.lit(0).alias("__c_salt"))
+    joined = first.withColumn("__salt", salt).join(cold, [*match("__c_"), F.col("__salt") == F.col("__c_salt")], "left")
+    return joined.select(*rows.columns, F.coalesce("__hot", "__cold").alias(value))
+
+
+def bigram_perplexity(df: DataFrame, key: str | list[str], text: str = "text", max_tokens: int | None = None) -> DataFrame:
     """F4 (re-aimed): per text, exp(mean negative log-likelihood) of its bigrams
     under an add-one corpus bigram model, p = (c(prev, w) + 1) / (c(prev) + V).
     Texts with fewer than two tokens get 0.0.  ``max_tokens`` optionally
     applies a model window; by default the whole text is scored.
 
-    One tokenizing pass: every token is paired with its successor (NULL for the
-    last one) and the pairs are written once (shared checkpoint folder).  Unigram
-    counts, bigram counts (both with map-side partial aggregation) and the
-    per-text join all read those pairs; each distinct bigram is scored once."""
+    A text leaves its row as distinct bigrams with their counts (the last token
+    with a NULL successor, so the same rows give the unigram counts).  Only the
+    corpus counts, one row per distinct bigram, are stored; the texts are read
+    again for the lookup."""
+    keys = _keys(key)
     toks = words(text)
     if max_tokens:
         toks = F.slice(toks, 1, max_tokens)
-    t = df.select(key, toks.alias("t"))
-    pairs = F.arrays_zip(F.col("t").alias("prev"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("w"))
-    occ = materialize(t.select(key, F.explode(pairs).alias("b")).select(key, "b.prev", "b.w"), "bigram-occurrences")
-    unigram = occ.groupBy("prev").agg(F.count(F.lit(1)).alias("c_prev"))
-    bigrams = occ.filter(F.col("w").isNotNull())
-    counts = bigrams.groupBy("prev", "w").agg(F.count(F.lit(1)).alias("c_bw"))
+    pairs = F.transform(F.array(toks), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("prev"), F.get(t, i + 1).alias("w"))))[0]
+    runs = _runs(F.sort_array(pairs), lambda x: x, lambda x, run: F.struct(x["prev"].alias("prev"), x["w"].alias("w"), F.size(run).cast("long").alias("k")))
+    occ = df.select(*keys, F.explode_outer(runs).alias("b")).select(*keys, "b.prev", "b.w", "b.k")
+    counts = materialize(occ.where("prev is not null").groupBy("prev", "w").agg(F.sum("k").alias("c_bw")), "bigram-counts")
+    unigram = counts.groupBy("prev").agg(F.sum("c_bw").alias("c_prev"))
     vocab = unigram.select(F.count(F.lit(1))).scalar()
-    scored = counts.join(unigram, "prev").select(
-        "prev", "w", (-F.log((F.col("c_bw") + 1) / (F.col("c_prev") + vocab))).alias("nll"))
-    doc_nll = bigrams.join(scored, ["prev", "w"]).groupBy(key).agg(F.avg("nll").alias("mean_nll"))
-    return df.select(key).join(doc_nll, key, "left").select(
-        key, F.coalesce(F.exp("mean_nll"), F.lit(0.0)).alias("perplexity"))
+    scored = materialize(counts.join(unigram, "prev").select(
+        "prev", "w", "c_bw", F.when(F.col("w").isNotNull(), -F.log((F.col("c_bw") + 1) / (F.col("c_prev") + vocab))).alias("nll")).where("w is not null"), "bigram-scores")
+    found = _look_up(occ, scored, ["prev", "w"], "nll", "c_bw", keys)
+    mean = F.sum(F.col("nll") * F.col("k")) / F.sum(F.when(F.col("w").isNotNull(), F.col("k")))
+    return found.groupBy(*keys).agg(F.coalesce(F.exp(mean), F.lit(0.0)).alias("perplexity"))
 
 
-def stylometric_features(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def stylometric_features(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
     """One row per text with burstiness, punctuation density,
     lexical diversity and (joined) perplexity."""
     base = df.select(
-        key, ST.burstiness(text).alias("burstiness"),
+        *_keys(key), ST.burstiness(text).alias("burstiness"),
         ST.punctuation_density(text).alias("punctuation_density"),
         ST.lexical_diversity(text).alias("lexical_diversity"))
-    return base.join(bigram_perplexity(df, key, text), key)
+    return base.join(bigram_perplexity(df, key, text), _keys(key))
 
 
 def clean_words(c) -> Column:
@@ -86,59 +121,58 @@ def clean_words(c) -> Column:
     return F.filter(F.split(col, " "), lambda w: w != "")
 
 
-def build_vocabulary(tokens: DataFrame, size: int, col: str = "tokens") -> DataFrame:
-    """Top ``size`` words by (count desc, word) with ids from 4 (0 pad, 1 unknown,
-    2 start, 3 end)."""
+def build_vocabulary(tokens: DataFrame, col: str = "tokens", seed: str = "vocab") -> DataFrame:
+    """(word, cnt, id) for every distinct word: ids from 4 (0 pad, 1 unknown, 2 start, 3 end) by an
+    exact rank, so the vocabulary may be of any size."""
     counts = tokens.select(F.explode(col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    top = counts.orderBy(F.desc("cnt"), "word").limit(size)
-    # window over at most ``size`` rows
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("cnt"), "word")
-    return top.select("word", (F.row_number().over(w) + FIRST_WORD_ID - 1).alias("id"))
+    ranked = exact_rank(materialize(counts, "word-counts"), [], seed, ["word"], rank_col="id")
+    return ranked.select("word", "cnt", (F.col("id") + FIRST_WORD_ID).cast("int").alias("id"))
 
 
-def token_ids(df: DataFrame, key: str, cleaned: str, vocab: DataFrame,
+def token_ids(df: DataFrame, key: str | list[str], cleaned: str, vocab: DataFrame | None = None,
               max_len: int = config.MAX_SEQUENCE_TOKENS) -> DataFrame:
-    """F6 (re-aimed): ``[start] ids... [end]`` per text, at most ``max_len`` ids
-    (the encoder input limit), unknown words -> 1."""
-    toks = df.select(key, clean_words(cleaned).alias("tokens"))
-    return ids_from_tokens(toks, key, vocab, max_len)
-
-
-def ids_from_tokens(toks: DataFrame, key: str, vocab: DataFrame, max_len: int = config.MAX_SEQUENCE_TOKENS,
+    """F6 (re-aimed): ``[start] ids... [end]`` sequences of at most ``max_len`` ids (the encoder's
+    input limit): (key, seq_no, input_ids).  A longer text gives consecutive sequences, so no
+    token is lost; a text without words gives one of the two marks.  ``vocab`` (a stored table,
+    by default that of the corpus itself) may lack words: those get id 1."""
+    keys = _keys(key)
+    toks = df.select(*keys, clean_words(cleaned).alias("tokens"))
+    if vocab is None:
+        vocab = materialize(build_vocabulary(toks), "vocabulary")
+    return ids_from_tokens(toks, keys, vocab, max_len).select(*keys, F.posexplode("sequences").alias("seq_no", "input_ids"))
+
+
+def ids_from_tokens(toks: DataFrame, key: str | list[str], vocab: DataFrame, max_len: int = config.MAX_SEQUENCE_TOKENS,
                     col: str = "tokens") -> DataFrame:
-    body = toks.select(key, F.posexplode_outer(F.slice(col, 1, max_len - 2)).alias("pos", "word"))
-    looked = body.join(F.broadcast(vocab), "word", "left")  # vocab size is a parameter bound
-    ids = looked.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(),
-                                           F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id"))))).alias("s"))
-    return ids.select(key, F.concat(F.array(F.lit(CLS)), F.transform("s", lambda x: x["id"].cast("int")),
-                                    F.array(F.lit(SEP))).alias("input_ids"))
-
-
-def vocabulary_and_ids(df: DataFrame, key: str, cleaned: str, vocab_size: int,
-                       max_len: int = config.MAX_SEQUENCE_TOKENS) -> DataFrame:
-    """Vocabulary over the whole corpus, then ids per text.  The cleaned token
-    arrays are written once (shared checkpoint folder) and read by both the
-    vocabulary count and the id lookup, so cleaning runs once per text."""
-    toks = materialize(df.select(key, clean_words(cleaned).alias("tokens")), "clean-tokens")
-    vocab = build_vocabulary(toks, vocab_size)
-    return ids_from_tokens(toks, key, vocab, max_len)
-
-
-def pad_batches(ids: DataFrame, key: str, batch_size: int = config.ENCODER_BATCH_SIZE,
+    """(key, sequences array<array<int>>): every token of the text, in sequences of ``max_len`` ids."""
+    keys, body = _keys(key), max_len - 2
+    places = F.sort_array(F.transform(F.col(col), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    distinct = _runs(places, lambda x: x["w"], lambda x, run: F.struct(x["w"].alias("word"), F.transform(run, lambda y: y["i"]).alias("at")))
+    rows = toks.select(*keys, F.explode_outer(distinct).alias("d")).select(*keys, "d.word", "d.at")
+    looked = _look_up(rows, vocab, ["word"], "id", "cnt", keys)
+    per = looked.groupBy(*keys).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("d"))
+    flat = F.sort_array(F.flatten(F.transform("d", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("id"))))))
+    ids = F.transform(flat, lambda y: y["id"].cast("int"))
+    number = lambda s: F.greatest(F.ceil(F.size(s) / body), F.lit(1)).cast("int")
+    cut = F.transform(F.array(ids), lambda s: F.transform(F.sequence(F.lit(0), number(s) - 1), lambda k: F.concat(
+        F.array(F.lit(CLS)), F.slice(s, k * body + 1, F.lit(body)), F.array(F.lit(SEP)))))[0]
+    return per.select(*keys, cut.alias("sequences"))
+
+
+def pad_batches(ids: DataFrame, key: str | list[str], batch_size: int = config.ENCODER_BATCH_SIZE,
                 seed: str = "batch", col: str = "input_ids") -> DataFrame:
     """Pad each sequence to the longest in its batch of ``batch_size`` (batches
-    are consecutive runs of a seeded exact rank), with an attention mask.
-    The ids feed both rank passes and the per-batch maximum, so they are
-    written once to the shared checkpoint folder first."""
+    are consecutive runs of a seeded exact rank), with an attention mask.  The
+    rank sees keys and lengths only; the ids, stored once, join it at the end."""
+    keys = _keys(key)
     ids = materialize(ids, "token-ids")
-    r = exact_rank(ids, [], seed, [key], rank_col="__rank")
+    r = exact_rank(ids.select(*keys, F.size(col).alias("__n")), [], seed, keys, rank_col="__rank")
     r = r.withColumn("batch_id", F.floor(F.col("__rank") / batch_size).cast("long")).drop("__rank")
-    longest = r.groupBy("batch_id").agg(F.max(F.size(col)).alias("__max"))
-    j = r.join(longest, "batch_id")
+    longest = r.groupBy("batch_id").agg(F.max("__n").alias("__max"))
+    j = ids.join(r.join(longest, "batch_id").drop("__n"), keys)
     pad = F.col("__max") - F.size(col)
     return j.select(
-        key, "batch_id",
+        *keys, "batch_id",
         F.concat(F.col(col), F.array_repeat(F.lit(PAD), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size(col)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 
@@ -147,42 +181,45 @@ def word_bucket(w: Column, dim: int, seed: str = "emb") -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), w)), 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
-def hashed_embedding(df: DataFrame, key: str, cleaned: str, dim: int = 64, seed: str = "emb") -> DataFrame:
+def embedding(tokens: Column, dim: int, seed: str = "emb") -> Column:
     """F7 (re-aimed): L2-normalised counts of words hashed into ``dim`` buckets
-    (all-zero vector for a text without words).  Words are exploded and counted
-    per (text, bucket) with map-side partial aggregation; the per-text regroup
-    holds at most ``dim`` entries."""
-    words_ = df.select(key, F.explode_outer(clean_words(cleaned)).alias("w"))
-    counts = words_.groupBy(key, word_bucket(F.col("w"), dim, seed).alias("b")).agg(
-        F.count("w").cast("double").alias("c"))
-    per_doc = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(
-        F.when(F.col("b").isNotNull(), F.struct("b", "c")))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i.cast("long")), F.lit(0.0)))
-    x = per_doc.select(key, dense.alias("c"))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, v: a + v * v))
-    return x.select(key, F.when(norm == 0, F.col("c")).otherwise(F.transform("c", lambda v: v / norm)).alias("embedding"))
-
-
-def clean_track(posts: DataFrame, key: list[str], vocab_size: int, split_seed: str = str(config.SPLIT_SEED),
-                label: int = 0, category: str = "human_written", text: str = "text") -> DataFrame:
+    (all-zero vector without words), inside the row: buckets are sorted and their
+    runs counted."""
+    buckets = F.sort_array(F.transform(tokens, lambda w: word_bucket(w, dim, seed)))
+    counts = F.map_from_entries(_runs(buckets, lambda b: b, lambda b, run: F.struct(b, F.size(run).cast("double"))))
+    dense = F.transform(F.array(counts), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(m[i.cast("long")], F.lit(0.0))))[0]
+
+    def unit(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+        return F.transform(F.array(norm), lambda n: F.transform(c, lambda v: F.when(n == 0, v).otherwise(v / n)))[0]
+
+    return F.transform(F.array(dense), unit)[0]
+
+
+def hashed_embedding(df: DataFrame, key: str | list[str], cleaned: str, dim: int = 64, seed: str = "emb") -> DataFrame:
+    return df.select(*_keys(key), embedding(clean_words(cleaned), dim, seed).alias("embedding"))
+
+
+def clean_track(posts: DataFrame, key: list[str], split_seed: str = str(config.SPLIT_SEED),
+                label: int = 0, category: str = "human_written", text: str = "text",
+                dim: int = config.EMBEDDING_DIM) -> DataFrame:
     """F8: label, exact split (before cleaning), clean, drop empty cleaned text,
-    token ids, hashed embedding -> the ``cleaned_posts`` table."""
+    token ids, hashed embedding -> the ``cleaned_posts`` table.  ``input_ids`` holds the
+    text's sequences (one for a text of up to 510 words), ``attention_mask`` theirs."""
     from postloom.operators.sampling import split_exact
 
     labelled = posts.filter(F.col(text).isNotNull()).withColumn("label", F.lit(label)).withColumn(
         "category", F.lit(category))
     split = split_exact(labelled, key, split_seed)
-    cleaned = split.withColumn("cleaned_text", T.clean_text(text)).filter(F.length("cleaned_text") > 0)
-    kcol = "__key"
-    keyed = materialize(cleaned.withColumn(kcol, F.concat_ws("\u0001", *[F.col(k) for k in key])), "clean-track")
-    toks = keyed.select(kcol, clean_words("cleaned_text").alias("tokens"))
-    vocab = build_vocabulary(toks, vocab_size)
-    ids = ids_from_tokens(toks, kcol, vocab)
-    emb = hashed_embedding(keyed, kcol, "cleaned_text", dim=16)
-    out = keyed.join(ids, kcol).join(emb, kcol)
+    # cleaned once per row: the filter sits on an exploded one-element array
+    cleaned = split.withColumn("cleaned_text", F.explode(F.filter(F.array(T.clean_text(text)), lambda c: F.length(c) > 0)))
+    stored = materialize(cleaned.withColumn("embedding", embedding(clean_words("cleaned_text"), dim)), "clean-track")
+    toks = stored.select(*key, clean_words("cleaned_text").alias("tokens"))
+    ids = ids_from_tokens(toks, key, materialize(build_vocabulary(toks), "vocabulary"))
+    out = stored.join(ids, key)
     return out.select(*key, F.col(text).alias("original_text"), "cleaned_text", "label", "category", "split_group",
-                      "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "embedding")
+                      F.col("sequences").alias("input_ids"),
+                      F.transform("sequences", lambda s: F.array_repeat(F.lit(1), F.size(s))).alias("attention_mask"), "embedding")
 
 
 def model_hook(df: DataFrame, text: str, loader: Callable[[], Callable[[pd.Series], pd.Series]],

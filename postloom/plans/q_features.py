@@ -12,6 +12,7 @@ from postloom.operators import sampling as SA
 from postloom.plans import sqlfrag as S
 from postloom.plans.registry import query, table
 from postloom.plans.views import posts, with_posts
+from postloom.session import materialize
 
 WORD_RE = FE.WORD_RE
 
@@ -35,7 +36,8 @@ def lexical_diversity(spark, d):
         "doc_id", F.round(ST.lexical_diversity("text"), 6).alias("lexical_diversity"))
 
 
-PPL_SQL = f""", toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {S.q(WORD_RE)}, 0) AS t FROM documents),
+def ppl_sql(where: str = "") -> str:
+    return f""", toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {S.q(WORD_RE)}, 0) AS t FROM documents {where}),
  occ AS (SELECT doc_id, t[i] AS prev, t[i + 1] AS w FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM toks WHERE len(t) >= 2)),
  per_doc AS (SELECT doc_id, prev, w, count(*) AS k FROM occ GROUP BY ALL),
  bigram AS (SELECT prev, w, sum(k) AS c_bw FROM per_doc GROUP BY ALL),
@@ -43,10 +45,13 @@ PPL_SQL = f""", toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,
  scored AS (SELECT b.prev, b.w, -ln(CAST(b.c_bw + 1 AS DOUBLE) / CAST(u.c_prev + (SELECT count(*) FROM unigram) AS DOUBLE)) AS nll
             FROM bigram b JOIN unigram u USING (prev)),
  dn AS (SELECT doc_id, sum(nll * k) / sum(k) AS m FROM per_doc JOIN scored USING (prev, w) GROUP BY doc_id),
- ppl AS (SELECT d.doc_id, coalesce(exp(m), 0.0) AS perplexity FROM documents d LEFT JOIN dn USING (doc_id))
+ ppl AS (SELECT toks.doc_id, coalesce(exp(m), 0.0) AS perplexity FROM toks LEFT JOIN dn USING (doc_id))
 """
 
 
+PPL_SQL = ppl_sql()
+
+
 @query("perplexity_bigram", "F4", f"WITH {PPL_SQL.lstrip(', ')} SELECT doc_id, round(perplexity, 6) AS perplexity FROM ppl")
 def perplexity_bigram(spark, d):
     p = FE.bigram_perplexity(table(spark, d, "documents"), "doc_id")
@@ -61,53 +66,57 @@ SPLIT_SQL = """, sr AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' ||
 """
 
 
-@query("feature_table", "F5/J11", f"""WITH {PPL_SQL.lstrip(', ')}{SPLIT_SQL}
+# the raw track reads the clean table: texts whose cleaned form is empty are not in it
+CLEANABLE = f"WHERE text IS NOT NULL AND length({S.clean('text')}) > 0"
+
+
+@query("feature_table", "F5/J11", f"""WITH {ppl_sql(CLEANABLE).lstrip(', ')}{SPLIT_SQL}
 SELECT d.doc_id, sp.split_group, 0 AS label, round(ppl.perplexity, 6) AS perplexity,
   round({S.burstiness('d.text')}, 6) AS burstiness, round({S.punct_density('d.text')}, 6) AS punctuation_density,
   round({S.lexical_diversity('d.text')}, 6) AS lexical_diversity
 FROM documents d JOIN ppl USING (doc_id) JOIN sp USING (doc_id)""")
 def feature_table(spark, d):
-    docs = table(spark, d, "documents")
-    feats = FE.stylometric_features(docs, "doc_id")
-    split = SA.split_exact(docs.filter(F.col("text").isNotNull()).select("doc_id"), ["doc_id"], "42")
-    out = feats.join(split, "doc_id").withColumn("label", F.lit(0))
-    return out.select("doc_id", "split_group", "label",
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    split = SA.split_exact(docs.filter(F.col("text").isNotNull()), ["doc_id"], "42")
+    clean = materialize(split.filter(F.length(FE.T.clean_text("text")) > 0), "raw-track")
+    out = FE.stylometric_features(clean, "doc_id").join(clean.select("doc_id", "split_group"), "doc_id")
+    return out.select("doc_id", "split_group", F.lit(0).alias("label"),
                       *[F.round(c, 6).alias(c) for c in ("perplexity", "burstiness", "punctuation_density",
                                                          "lexical_diversity")])
 
 
 TOK_SQL = f""", c AS (SELECT doc_id, {S.clean('text')} AS ct FROM documents),
  tk AS (SELECT doc_id, list_filter(string_split(ct, ' '), lambda w: w <> '') AS t FROM c),
- cnt AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(t) AS word FROM tk) GROUP BY word),
- vocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, word) + 3 AS id FROM (
-             SELECT * FROM cnt ORDER BY cnt DESC, word LIMIT 500)),
- e AS (SELECT doc_id, unnest(t[1:510]) AS word, unnest(range(1, len(t[1:510]) + 1)) AS pos FROM tk),
- l AS (SELECT e.doc_id, list(coalesce(v.id, 1) ORDER BY e.pos) AS body FROM e LEFT JOIN vocab v USING (word) GROUP BY e.doc_id),
- ids AS (SELECT tk.doc_id, [2] || coalesce(l.body, []) || [3] AS input_ids FROM tk LEFT JOIN l USING (doc_id))
+ cnt AS (SELECT DISTINCT unnest(t) AS word FROM tk),
+ vocab AS (SELECT word, row_number() OVER (ORDER BY md5('vocab|' || word), word) + 3 AS id FROM cnt),
+ e AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM tk),
+ l AS (SELECT e.doc_id, e.pos // 510 AS seq_no, list(v.id ORDER BY e.pos) AS body FROM e JOIN vocab v USING (word) GROUP BY ALL),
+ ids AS (SELECT doc_id, seq_no, [2] || body || [3] AS input_ids FROM l
+         UNION ALL SELECT doc_id, 0, [2, 3] FROM tk WHERE len(t) = 0)
 """
 
 
 def _doc_ids(spark, d):
-    docs = table(spark, d, "documents").withColumn("ct", FE.T.clean_text("text"))
-    return FE.vocabulary_and_ids(docs, "doc_id", "ct", 500)
+    docs = table(spark, d, "documents").select("doc_id", FE.T.clean_text("text").alias("ct"))
+    return FE.token_ids(materialize(docs, "cleaned-texts"), "doc_id", "ct")
 
 
 @query("token_ids", "F6", f"""WITH {TOK_SQL.lstrip(', ')}
-SELECT doc_id, CAST(len(input_ids) AS BIGINT) AS n_ids, array_to_string(input_ids, ' ') AS ids FROM ids""")
+SELECT doc_id, CAST(seq_no AS BIGINT) AS seq_no, CAST(len(input_ids) AS BIGINT) AS n_ids, array_to_string(input_ids, ' ') AS ids FROM ids""")
 def token_ids(spark, d):
     ids = _doc_ids(spark, d)
-    return ids.select("doc_id", F.size("input_ids").cast("long").alias("n_ids"),
+    return ids.select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), F.size("input_ids").cast("long").alias("n_ids"),
                       F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("pad_batches", "F6 padding", f"""WITH {TOK_SQL.lstrip(', ')},
- r AS (SELECT doc_id, len(input_ids) AS n,
-         (row_number() OVER (ORDER BY md5('batch|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) // 32 AS batch_id FROM ids)
-SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(max(n) OVER (PARTITION BY batch_id) AS BIGINT) AS padded_len,
-       CAST(n AS BIGINT) AS mask_sum FROM r""")
+ r AS (SELECT doc_id, seq_no, len(input_ids) AS n,
+         (row_number() OVER (ORDER BY md5('batch|' || CAST(doc_id AS VARCHAR) || '|' || CAST(seq_no AS VARCHAR)), doc_id, seq_no) - 1) // 32 AS batch_id FROM ids)
+SELECT doc_id, CAST(seq_no AS BIGINT) AS seq_no, CAST(batch_id AS BIGINT) AS batch_id,
+       CAST(max(n) OVER (PARTITION BY batch_id) AS BIGINT) AS padded_len, CAST(n AS BIGINT) AS mask_sum FROM r""")
 def pad_batches(spark, d):
-    p = FE.pad_batches(_doc_ids(spark, d), "doc_id")
-    return p.select("doc_id", "batch_id", F.size("input_ids").cast("long").alias("padded_len"),
+    p = FE.pad_batches(_doc_ids(spark, d), ["doc_id", "seq_no"])
+    return p.select("doc_id", F.col("seq_no").cast("long").alias("seq_no"), "batch_id", F.size("input_ids").cast("long").alias("padded_len"),
                     F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
 
 
@@ -132,14 +141,18 @@ def hashed_embedding(spark, d):
                 count(*) OVER () AS n FROM posts_v WHERE text IS NOT NULL),
  sp AS (SELECT *, CASE WHEN rk < n - (3 * n + 9) // 10 THEN 'train'
                        WHEN rk < n - (3 * n + 9) // 10 + (3 * n + 9) // 10 - ((3 * n + 9) // 10 + 1) // 2 THEN 'val'
-                       ELSE 'test' END AS split_group, {S.clean('text')} AS cleaned_text FROM sr)
+                       ELSE 'test' END AS split_group, {S.clean('text')} AS cleaned_text FROM sr),
+ tk AS (SELECT *, list_filter(string_split(cleaned_text, ' '), lambda w: w <> '') AS t FROM sp WHERE length(cleaned_text) > 0),
+ vocab AS (SELECT word, row_number() OVER (ORDER BY md5('vocab|' || word), word) + 3 AS id FROM (SELECT DISTINCT unnest(t) AS word FROM tk)),
+ total AS (SELECT platform, post_id, sum(id) AS s FROM (SELECT platform, post_id, unnest(t) AS word FROM tk) JOIN vocab USING (word) GROUP BY ALL)
 SELECT platform, post_id, split_group, 0 AS label, 'human_written' AS category, cleaned_text,
-  CAST(2 + least(len(list_filter(string_split(cleaned_text, ' '), lambda w: w <> '')), 510) AS BIGINT) AS n_ids
-FROM sp WHERE length(cleaned_text) > 0"""))
+  CAST(len(t) + 2 * ((len(t) + 509) // 510) AS BIGINT) AS n_ids, CAST(s + 5 * ((len(t) + 509) // 510) AS BIGINT) AS sum_ids
+FROM tk JOIN total USING (platform, post_id)"""))
 def clean_track(spark, d):
-    t = FE.clean_track(posts(spark, d), ["platform", "post_id"], vocab_size=1000)
-    return t.select("platform", "post_id", "split_group", "label", "category", "cleaned_text",
-                    F.size("input_ids").cast("long").alias("n_ids"))
+    t = FE.clean_track(posts(spark, d), ["platform", "post_id"])
+    flat = F.flatten("input_ids")
+    return t.select("platform", "post_id", "split_group", "label", "category", "cleaned_text", F.size(flat).cast("long").alias("n_ids"),
+                    F.aggregate(flat, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
 
 
 @query("split_sync", "J11", with_posts(f"""
@@ -151,10 +164,11 @@ def clean_track(spark, d):
 SELECT platform, post_id, split_group, 0 AS label, round({S.punct_density('text')}, 6) AS punctuation_density,
        round({S.lexical_diversity('text')}, 6) AS lexical_diversity FROM sp"""))
 def split_sync(spark, d):
-    # raw-track features take split and label from the clean table, so rows
-    # dropped by the clean track (empty cleaned text) drop here too
-    p = posts(spark, d)
-    clean = FE.clean_track(p, ["platform", "post_id"], vocab_size=1000).select("platform", "post_id", "split_group", "label")
+    # split and label come from the clean table (here its key and label columns, which is all that
+    # is read of it), so rows the clean track drops (empty cleaned text) drop here too
+    p = posts(spark, d).filter(F.col("text").isNotNull())
+    split = SA.split_exact(p.select("platform", "post_id", "text"), ["platform", "post_id"], "42")
+    clean = split.filter(F.length(FE.T.clean_text("text")) > 0).select("platform", "post_id", "split_group", F.lit(0).alias("label"))
     feats = p.select("platform", "post_id", F.round(ST.punctuation_density("text"), 6).alias("punctuation_density"),
                      F.round(ST.lexical_diversity("text"), 6).alias("lexical_diversity"))
     return clean.join(feats, ["platform", "post_id"])
