@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 RESULT_FIELDS = [
     ("text", "string"), ("model_family", "string"), ("cost_usd", "double"),
@@ -22,12 +21,13 @@ RESULT_FIELDS = [
 
 
 def batch_generate(requests: DataFrame, generate: Callable[[dict, int], dict], attempts: int = 3,
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, needs: list[str] | None = None) -> DataFrame:
     """Run ``generate(row, attempt) -> {text, model_family?, cost_usd?,
     input_tokens?, output_tokens?}`` for every request row.
 
     Output: the ``keep`` columns, the result fields, ``status`` (ok / failed),
-    ``error`` and ``attempts`` used.  A result without ``text`` is a failure."""
+    ``error`` (whole) and ``attempts`` used.  A result without ``text`` is a failure, and so is a
+    request that lacks one of the columns it ``needs`` (0 attempts): no request is dropped."""
     keep = keep or [c for c in requests.columns]
     in_types = dict(requests.dtypes)
     schema = ", ".join([f"{c} {in_types[c]}" for c in keep] + [f"{n} {t}" for n, t in RESULT_FIELDS]
@@ -37,8 +37,10 @@ def batch_generate(requests: DataFrame, generate: Callable[[dict, int], dict], a
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                res, err, used = None, None, 0
-                for attempt in range(1, attempts + 1):
+                res, used = None, 0
+                missing = [c for c in needs or () if pd.isna(row[c])]
+                err = f"{missing[0]} is missing" if missing else None
+                for attempt in range(1, 0 if missing else attempts + 1):
                     used = attempt
                     try:
                         res = generate(row, attempt)
@@ -47,7 +49,7 @@ def batch_generate(requests: DataFrame, generate: Callable[[dict, int], dict], a
                             break
                         err, res = "empty result", None
                     except Exception as e:  # noqa: BLE001 - recorded per row
-                        err, res = f"{type(e).__name__}: {e}"[:500], None
+                        err, res = f"{type(e).__name__}: {e}", None
                 rec = {c: row[c] for c in keep}
                 for n, _ in RESULT_FIELDS:
                     rec[n] = (res or {}).get(n)
@@ -60,11 +62,3 @@ def batch_generate(requests: DataFrame, generate: Callable[[dict, int], dict], a
             yield frame
 
     return requests.select(*keep).mapInPandas(run, schema)
-
-
-def synthetic_rows(results: DataFrame, generated_at) -> DataFrame:
-    """Successful generations in the ``synthetic_posts`` layout (via G11)."""
-    from postloom.operators.ledger import result_rows
-
-    ok = results.filter(F.col("status") == "ok").withColumn("generated_at", F.lit(generated_at))
-    return result_rows(ok)

@@ -5,6 +5,8 @@ is a deterministic function of the data and has a SQL oracle.
 
 Scale notes
 -----------
+* An exact split finds its two boundary rows and compares every row with them;
+  no row moves.
 * Global ranks never use a single-partition window.  ``exact_rank`` is a
   two-phase rank: count rows per hash-prefix block (at most ``16**width`` rows
   per partition key), prefix-sum those counts on the small table, then
@@ -56,12 +58,30 @@ def split_sizes(n: Column) -> tuple[Column, Column]:
 
 
 def split_exact(df: DataFrame, keys: list[str], seed: str = str(config.SPLIT_SEED), width: int = 4) -> DataFrame:
-    """Exact 70/15/15 assignment by hash rank; adds ``split_group``."""
-    r = exact_rank(df, [], seed, keys, width=width, rank_col="__rank", size_col="__n")
+    """Exact 70/15/15 assignment by hash rank; adds ``split_group``.
+
+    An exact split needs only the two rows at which a new group begins.  Their blocks come from
+    the block counts, their keys from a rank inside these (two at most), and every row is then
+    compared with them where it lies: the rows themselves are not shuffled.  ``keys`` are unique."""
+    h = hash_hex(seed, *keys)
+    slim = df.select(*keys, h.alias("__h")).withColumn("__blk", F.substring("__h", 1, width))
+    blocks = slim.groupBy("__blk").agg(F.count(F.lit(1)).alias("__cnt"))  # 16**width rows at most
+    w = Window.partitionBy(F.lit(0))
+    blocks = blocks.withColumn("__n", F.sum("__cnt").over(w)).withColumn(
+        "__off", F.sum("__cnt").over(w.orderBy("__blk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__cnt"))
     train, val = split_sizes(F.col("__n"))
-    g = (F.when(F.col("__rank") < train, "train")
-         .when(F.col("__rank") < train + val, "val").otherwise("test"))
-    return r.withColumn("split_group", g).drop("__rank", "__n")
+    begin = F.explode(F.array(F.struct(F.lit("val").alias("g"), train.alias("at")), F.struct(F.lit("test").alias("g"), (train + val).alias("at"))))
+    starts = blocks.select("__blk", "__off", "__cnt", begin.alias("s")).where("s.at >= __off AND s.at < __off + __cnt").select(
+        "__blk", "s.g", (F.col("s.at") - F.col("__off") + 1).alias("__nth"))
+    ranked = slim.join(F.broadcast(starts.select("__blk").distinct()), "__blk").withColumn(
+        "__rn", F.row_number().over(Window.partitionBy("__blk").orderBy("__h", *keys)))
+    found = ranked.join(F.broadcast(starts), "__blk").where("__rn = __nth")
+    first = lambda g: F.max(F.when(F.col("g") == g, F.struct("__h", *keys)))
+    bounds = found.agg(F.struct(first("val").alias("val"), first("test").alias("test"))).scalar()
+    here = F.struct(h.alias("__h"), *keys)
+    g = (F.when(F.coalesce(here < F.col("__b")["val"], F.lit(True)), "train")
+         .when(F.coalesce(here < F.col("__b")["test"], F.lit(True)), "val").otherwise("test"))
+    return df.withColumn("__b", bounds).withColumn("split_group", g).drop("__b")
 
 
 def top_k_per_group(df: DataFrame, group: list[str], k: int, order: list[Column], rn: str = "rn") -> DataFrame:
@@ -162,23 +182,18 @@ def choose_model(requests: DataFrame, seed: str, id_col: str = "request_id",
     return requests.withColumn("model", cdf_case(unit(seed, F.lit("model"), id_col), weights))
 
 
-def platform_cdf(counts: DataFrame, key: str = "platform", n: str = "n") -> DataFrame:
-    """Cumulative ranges [lo, hi) per platform from per-platform counts (A2)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(key)
-    return counts.select(key, F.col(n).cast("long").alias("__n")).withColumn(
-        "__hi", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(
-        key, (F.col("__hi") - F.col("__n")).alias("__lo"), "__hi", F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__tot"))
-
-
 def choose_platform(requests: DataFrame, counts: DataFrame, seed: str, id_col: str = "request_id") -> DataFrame:
     """Platform chosen proportionally to the valid-pool size of each platform.
 
-    ``counts`` has one row per platform, and platforms are restricted to the
-    closed set of ``config.PLATFORMS``: the broadcast side is bounded by that set."""
-    cdf = platform_cdf(counts.filter(F.col("platform").isin(*config.PLATFORMS)))
-    x = requests.withColumn("__u", unit(seed, F.lit("platform"), id_col))
-    j = x.join(F.broadcast(cdf), (x["__u"] * cdf["__tot"] >= cdf["__lo"]) & (x["__u"] * cdf["__tot"] < cdf["__hi"]), "left")
-    return j.drop("__u", "__lo", "__hi", "__tot")
+    ``counts`` has one row (platform, n) per platform of the table, whichever it holds; they
+    become one array with cumulative sizes (a scalar subquery), so no join is needed."""
+    entries = F.sort_array(F.collect_list(F.struct("platform", F.col("n").cast("long").alias("n"))))
+    sums = F.transform("e", lambda x, i: F.struct(x["platform"].alias("platform"), F.aggregate(
+        F.slice("e", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("hi")))
+    cdf = counts.where("n > 0").agg(entries.alias("e")).select(sums.alias("c")).scalar()
+    at = unit(seed, F.lit("platform"), id_col) * F.element_at("__cdf", -1)["hi"]
+    x = requests.withColumn("__cdf", cdf).withColumn("__at", F.when(F.size("__cdf") > 0, at))
+    return x.withColumn("platform", F.get(F.filter("__cdf", lambda c: F.col("__at") < c["hi"]), 0)["platform"]).drop("__cdf", "__at")
 
 
 def model_family(model: Column) -> Column:
@@ -200,35 +215,47 @@ def request_plan(requests: DataFrame, counts: DataFrame, seed: str, id_col: str
 
 def request_examples(requests: DataFrame, posts: DataFrame, seed: str, key: str = "post_id",
                      col: str = "text", width: int = 4) -> DataFrame:
-    """Examples for many requests at once by an index join.
-
-    Each (platform, bucket) pool is ranked once (``exact_rank``, idx 0..B-1).
-    A request needing q rows of a bucket takes the slots j = 0..min(q, B)-1 at
-    ``idx = (offset + j) mod B`` with ``offset = u32(request|bucket) mod B``:
-    distinct rows inside a request, and an equi-join on (platform, bucket, idx).
-    Quotas follow R2 (short/medium shares, long takes the rest).
-    ``requests`` needs ``request_id``, ``platform``, ``n_examples``."""
-    pool = example_pool(posts, col).withColumn("bucket", length_bucket(F.col("platform"), F.length(col))).filter(
-        F.col("bucket").isNotNull())
-    ranked = exact_rank(pool, ["platform", "bucket"], seed, [key], width=width, rank_col="idx", size_col="B")
-    sizes = ranked.groupBy("platform").agg(
-        F.max(F.when(F.col("bucket") == "short", F.col("B"))).alias("B_s"),
-        F.max(F.when(F.col("bucket") == "medium", F.col("B"))).alias("B_m"),
-        F.max(F.when(F.col("bucket") == "long", F.col("B"))).alias("B_l"))
+    """Examples for many requests at once by index joins: (request_id, platform, bucket, j, key).
+
+    Each (platform, bucket) pool is ranked once (idx 0..B-1).  A request needing q rows of a
+    bucket takes the slots j = 0..min(q, B)-1 at ``idx = (offset + j) mod B`` with ``offset =
+    u32(request|bucket) mod B``: distinct rows inside a request, and an equi-join on (platform,
+    bucket, idx).  Quotas follow R2 (short/medium shares, long takes the rest).
+
+    A request that the buckets leave short is filled up from its platform's whole pool, any
+    length (bucket ``fallback``): it walks min(n, pool) consecutive slots of a second rank from
+    another offset, leaves out what it has, and takes the first that it needs.  So every request
+    gets min(n_examples, pool) different posts.
+
+    Only keys and buckets are ranked and joined; sizes come from the pool's counts.  Texts are
+    left to the caller.  ``requests`` needs ``request_id``, ``platform``, ``n_examples``."""
+    from postloom.session import materialize
+
+    pool = materialize(example_pool(posts, col).select("platform", key, length_bucket(F.col("platform"), F.length(col)).alias("bucket")), "example-pool")
+    ranked = exact_rank(pool.where("bucket is not null"), ["platform", "bucket"], seed, [key], width=width, rank_col="idx")
+    anywhere = exact_rank(pool.drop("bucket"), ["platform"], f"{seed}-any", [key], width=width, rank_col="idx")
+    count = lambda b: F.count(F.when(F.col("bucket") == b, 1))
+    sizes = pool.groupBy("platform").agg(count("short").alias("B_s"), count("medium").alias("B_m"), count("long").alias("B_l"), F.count(F.lit(1)).alias("P"))
     n = F.col("n_examples")
-    r = requests.join(sizes, "platform", "left").fillna(0, ["B_s", "B_m", "B_l"])
+    r = requests.select("request_id", "platform", "n_examples").join(sizes, "platform")
     q_s = F.least(F.greatest(F.lit(1), F.floor(n * 3 / 10).cast("long")), F.col("B_s"))
     q_m = F.least(F.greatest(F.lit(1), F.floor(n * 4 / 10).cast("long")), F.col("B_m"))
-    r = r.withColumn("q_s", q_s).withColumn("q_m", q_m).withColumn(
-        "q_l", F.least(n - F.col("q_s") - F.col("q_m"), F.col("B_l")))
-    per_bucket = r.select(
-        "request_id", "platform",
-        F.explode(F.array(
-            F.struct(F.lit("short").alias("bucket"), F.col("q_s").alias("q"), F.col("B_s").alias("B")),
-            F.struct(F.lit("medium").alias("bucket"), F.col("q_m").alias("q"), F.col("B_m").alias("B")),
-            F.struct(F.lit("long").alias("bucket"), F.col("q_l").alias("q"), F.col("B_l").alias("B")),
-        )).alias("b")).select("request_id", "platform", "b.*").filter(F.col("q") > 0)
-    slots = per_bucket.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("q") - 1).cast("long")))).withColumn(
-        "idx", (u32(seed, F.lit("offset"), "request_id", "bucket") + F.col("j")) % F.col("B"))
-    picked = slots.join(ranked.select("platform", "bucket", "idx", key, col), ["platform", "bucket", "idx"])
-    return picked.select("request_id", "platform", "bucket", "j", key, col)
+    r = r.withColumn("q_s", q_s).withColumn("q_m", q_m).withColumn("q_l", F.least(n - F.col("q_s") - F.col("q_m"), F.col("B_l")))
+    r = r.withColumn("want", F.least(n.cast("long"), F.col("P"))).withColumn("need", F.col("want") - F.col("q_s") - F.col("q_m") - F.col("q_l"))
+
+    def walk(x: DataFrame, q: str, size: str, bucket: Column) -> DataFrame:
+        slots = x.where(F.col(q) > 0).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), (F.col(q) - 1).cast("long"))))
+        return slots.withColumn("idx", (u32(seed, F.lit("offset"), "request_id", bucket) + F.col("j")) % F.col(size))
+
+    per_bucket = r.select("request_id", "platform", F.explode(F.array(*[
+        F.struct(F.lit(b).alias("bucket"), F.col(q).alias("q"), F.col(size).alias("B"))
+        for b, q, size in (("short", "q_s", "B_s"), ("medium", "q_m", "B_m"), ("long", "q_l", "B_l"))])).alias("b")).select("request_id", "platform", "b.*")
+    slots = walk(per_bucket, "q", "B", F.col("bucket"))
+    chosen = slots.join(ranked, ["platform", "bucket", "idx"]).select("request_id", "platform", "bucket", "j", key)
+    chosen = materialize(chosen, "bucket-examples")
+    short = walk(r.where("need > 0"), "want", "P", F.lit("fallback")).join(anywhere, ["platform", "idx"]).select("request_id", "platform", "need", "j", key)
+    fresh = short.join(chosen.select("request_id", key), ["request_id", key], "left_anti")
+    order = Window.partitionBy("request_id").orderBy("j")  # MAX_EXAMPLES rows at most
+    extra = fresh.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= F.col("need")).select(
+        "request_id", "platform", F.lit("fallback").alias("bucket"), (F.col("__rn") - 1).cast("long").alias("j"), key)
+    return chosen.unionByName(extra)

@@ -4,6 +4,7 @@ results and batch inference (G2-G12, S6, S7, S11, J14)."""
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from postloom.plans.q_profile import P1_SQL
 from postloom.plans.q_sampling import EXAMPLES_SQL, PLAN_SQL, SEED, _md5, examples_for_requests, request_plan_df
 from postloom.plans.registry import query, table
 from postloom.plans.views import posts, with_posts
+from postloom.session import scratch_path
 from postloom.sources import templates as TP
 
 NL = "chr(10)"
@@ -48,7 +50,7 @@ BASE_SQL = PLAN_SQL + EXAMPLES_SQL + BLOCK_SQL + _tpl_sql()
 def _examples(spark, d, plan):
     ex = examples_for_requests(spark, d, plan)
     p = posts(spark, d).select("platform", "post_id", "text")
-    ex = ex.drop("text").join(p, ["platform", "post_id"]).withColumn(
+    ex = ex.join(p, ["platform", "post_id"]).withColumn(
         "h", hash_hex(SEED, F.lit("shuffle"), "request_id", "post_id"))
     return PM.ordered_examples(ex)
 
@@ -157,13 +159,25 @@ def platform_templates(spark, d):
     k = SA.random_k(pool, config.SAMPLES_PER_PROMPT, "12")
     ex = k.groupBy("platform").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]).alias("examples"))
-    tpl = TP.templates(spark)
-    j = tpl.join(ex, "platform")
+    # The template file read by Spark, here from shared storage
+    path = scratch_path(spark, "templates")
+    spark.createDataFrame([("\ufeff" + json.dumps(TP.load_document()),)], "value string").coalesce(1).write.text(path)
+    j = TP.read_templates(spark, path).join(ex, "platform")
     return j.select("platform", F.size("examples").alias("num_examples"), F.md5("system_prompt").alias("system_md5"),
                     F.md5(PM.platform_template(F.col("system_prompt"), F.col("examples"))).alias("template_md5"))
 
 
-@query("template_export", "S11")
+@query("template_export", "S11", with_posts(_tpl_sql() + f"""
+, pool AS (SELECT platform, post_id, text FROM posts_v WHERE {P1_SQL}),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY {_md5('12', 'post_id')}, post_id) AS rn FROM pool),
+ ex AS (SELECT platform, string_agg('Example ' || CAST(rn AS VARCHAR) || ':' || {NL} || text || {NL} || {NL}, '' ORDER BY rn) AS block,
+               count(*) AS n FROM rk WHERE rn <= {config.SAMPLES_PER_PROMPT} GROUP BY platform),
+ t AS (SELECT t.platform, '{{"platform":' || to_json(t.platform) || ',"system_prompt":' || to_json(t.system_prompt) || ',"user_prompt_template":'
+          || to_json({_sql_lit(PM.TEMPLATE_HEADER)} || ex.block || {_sql_lit(PM.TEMPLATE_FOOTER)}) || ',"num_examples":' || ex.n || '}}' AS body
+       FROM tpl t JOIN ex USING (platform))
+SELECT '{{"metadata":{{"generated_at":"2026-01-01T00:00:00","samples_per_prompt":{config.SAMPLES_PER_PROMPT},"platforms":['
+  || string_agg(to_json(platform), ',' ORDER BY platform) || ']}},"templates":{{'
+  || string_agg(to_json(platform) || ':' || body, ',' ORDER BY platform) || '}}}}' AS value FROM t"""))
 def template_export(spark, d):
     pool = FL.pool_filter_sql(posts(spark, d))
     k = SA.random_k(pool, config.SAMPLES_PER_PROMPT, "12")
@@ -207,6 +221,17 @@ def result_rows(spark, d):
                     "is_synthetic")
 
 
+@query("generation_ledger", "P10/A10/G11", with_posts(PLAN_SQL + """
+SELECT CAST(count(*) FILTER (WHERE request_id % 11 <> 0) AS BIGINT) AS success, CAST(count(*) FILTER (WHERE request_id % 11 = 0) AS BIGINT) AS failure
+FROM plan"""))
+def generation_ledger(spark, d):
+    """Failed generations stay in the ledger: the batch summary counts them."""
+    gen = request_plan_df(spark, d).select(
+        "request_id", F.when(F.col("request_id") % 11 != 0, F.concat(F.lit("post "), F.col("platform"))).alias("text"),
+        F.lit(0.0).alias("cost_usd"), F.lit(GEN_AT.isoformat(sep=" ")).cast("timestamp_ntz").alias("generated_at"))
+    return LG.batch_summary(LG.with_status(gen), ts="generated_at").select("success", "failure")
+
+
 def _stub_generate(row: dict, attempt: int) -> dict:
     """Stand-in for a model client (no network here): answers with the length
     of the prompt it was given; request ids divisible by 7 fail on their first
@@ -221,12 +246,29 @@ def _stub_generate(row: dict, attempt: int) -> dict:
     return {"text": text, "input_tokens": len(prompt) // 4, "output_tokens": len(text) // 4}
 
 
-@query("batch_inference", "G12/G9")
+def _prices_sql() -> str:
+    price = {m: (i, o) for m, mode, i, o in config.PRICES if mode == "realtime"}
+    rows = ", ".join(f"('{k}', CAST({price.get(v, config.DEFAULT_PRICE)[0]} AS DOUBLE), CAST({price.get(v, config.DEFAULT_PRICE)[1]} AS DOUBLE))"
+                     for k, v in config.MODEL_PRICE_KEY.items())
+    return f"(VALUES {rows}) AS pr(model, input_per_m, output_per_m)"
+
+
+@query("batch_inference", "G12/G9/P10", with_posts(BASE_SQL + f"""
+, pr AS (SELECT pl.request_id, pl.platform, pl.model, length(t.system_prompt || {_sql_lit(PM.EXAMPLES_HEADER_SINGLE)} || b.block || {_sql_lit(PM.INSTRUCTION)}) AS n
+         FROM plan pl LEFT JOIN blk b USING (request_id) LEFT JOIN tpl t USING (platform)),
+ res AS (SELECT *, CASE WHEN n IS NULL OR request_id % 101 = 0 THEN 'failed' ELSE 'ok' END AS status,
+           CAST(CASE WHEN n IS NULL THEN 0 WHEN request_id % 101 = 0 THEN 3 WHEN request_id % 7 = 0 THEN 2 ELSE 1 END AS INT) AS attempts,
+           CASE WHEN n IS NULL THEN 'prompt is missing' WHEN request_id % 101 = 0 THEN 'RuntimeError: upstream rejected the request' END AS error,
+           length('post for ' || platform || ' after ' || n || ' prompt characters') AS len FROM pr)
+SELECT request_id, platform, r.model, status, attempts, error, CASE WHEN status = 'ok' THEN CAST(len AS BIGINT) END AS text_length,
+  CASE WHEN status = 'ok' THEN round(CAST(n // 4 AS DOUBLE) / 1000000 * coalesce(pr.input_per_m, {config.DEFAULT_PRICE[0]})
+                               + CAST(len // 4 AS DOUBLE) / 1000000 * coalesce(pr.output_per_m, {config.DEFAULT_PRICE[1]}), 9) END AS cost_usd
+FROM res r LEFT JOIN {_prices_sql()} ON pr.model = r.model"""))
 def batch_inference(spark, d):
-    b = _prompt_base(spark, d).filter(F.col("status") == "ok")
-    req = b.select("request_id", "platform", "model",
-                   PM.single_prompt(F.col("system_prompt"), F.col("examples")).alias("prompt"))
-    res = GE.batch_generate(req, _stub_generate, attempts=3, keep=["request_id", "platform", "model", "prompt"])
+    # every request stays: one without a template is a failed row, not a lost one
+    req = _prompt_base(spark, d).select("request_id", "platform", "model",
+                                        PM.single_prompt(F.col("system_prompt"), F.col("examples")).alias("prompt"))
+    res = GE.batch_generate(req, _stub_generate, attempts=3, keep=["request_id", "platform", "model", "prompt"], needs=["prompt"])
     pm = F.lit("mystery")
     for k, v in reversed(list(config.MODEL_PRICE_KEY.items())):
         pm = F.when(F.col("model") == k, F.lit(v)).otherwise(pm)

@@ -11,6 +11,7 @@ from postloom.plans import sqlfrag as S
 from postloom.plans.q_profile import P1_SQL, P2_SQL
 from postloom.plans.registry import query, table
 from postloom.plans.views import posts, with_posts
+from postloom.session import materialize
 
 SEED = "7"
 N = config.SAMPLES_PER_PROMPT
@@ -176,9 +177,19 @@ EXAMPLES_SQL = POOL_SQL + f""",
         UNION ALL SELECT request_id, platform, 'medium', q_m, B_m FROM q
         UNION ALL SELECT request_id, platform, 'long', least(n_examples - q_s - q_m, B_l), B_l FROM q),
  slots AS (SELECT request_id, platform, bucket, B, unnest(range(0, q)) AS j FROM pb WHERE q > 0),
- ex AS (SELECT s.request_id, s.platform, s.bucket, s.j, k.post_id
+ bx AS (SELECT s.request_id, s.platform, s.bucket, s.j, k.post_id
         FROM slots s JOIN ranked k ON k.platform = s.platform AND k.bucket = s.bucket
-         AND k.idx = ({S.u32(SEED, "'offset'", 's.request_id', 's.bucket')} + s.j) % s.B)
+         AND k.idx = ({S.u32(SEED, "'offset'", 's.request_id', 's.bucket')} + s.j) % s.B),
+ anyr AS (SELECT platform, post_id, row_number() OVER (PARTITION BY platform ORDER BY {_md5(SEED + '-any', 'post_id')}, post_id) - 1 AS idx,
+                 count(*) OVER (PARTITION BY platform) AS P FROM pool),
+ short_of AS (SELECT p.request_id, p.platform, least(p.n_examples, x.P) AS want, least(p.n_examples, x.P) - coalesce(g.got, 0) AS need, x.P
+              FROM plan p JOIN (SELECT DISTINCT platform, P FROM anyr) x USING (platform)
+              LEFT JOIN (SELECT request_id, count(*) AS got FROM bx GROUP BY request_id) g USING (request_id)),
+ fs AS (SELECT request_id, platform, need, P, unnest(range(0, want)) AS j FROM short_of WHERE need > 0),
+ fb AS (SELECT f.request_id, f.platform, f.need, k.post_id, row_number() OVER (PARTITION BY f.request_id ORDER BY f.j) - 1 AS j
+        FROM fs f JOIN anyr k ON k.platform = f.platform AND k.idx = ({S.u32(SEED, "'offset'", 'f.request_id', "'fallback'")} + f.j) % f.P
+        ANTI JOIN bx ON bx.request_id = f.request_id AND bx.post_id = k.post_id),
+ ex AS (SELECT * FROM bx UNION ALL SELECT request_id, platform, 'fallback', j, post_id FROM fb WHERE j < need)
 """
 
 
@@ -188,7 +199,8 @@ def request_examples(spark, d):
 
 
 def request_plan_df(spark, d):
-    return SA.request_plan(_requests(spark, d), _pool_counts(spark, d), SEED)
+    """The request plan, stored: every query on prompts reads it more than once."""
+    return materialize(SA.request_plan(_requests(spark, d), _pool_counts(spark, d), SEED), "request-plan")
 
 
 def examples_for_requests(spark, d, plan=None):

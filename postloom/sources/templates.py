@@ -17,10 +17,14 @@ DEFAULT_TEMPLATES = os.path.join(os.path.dirname(__file__), "data", "prompt_temp
 TEMPLATE_SCHEMA = "platform string, system_prompt string, num_examples int, user_prompt_template string"
 
 
+def load_document(path: str = DEFAULT_TEMPLATES) -> dict:
+    with open(path, encoding="utf-8-sig") as f:
+        return json.load(f)
+
+
 def load_template_rows(path: str = DEFAULT_TEMPLATES) -> list[tuple]:
     """Driver-side read of a small template file (BOM tolerated)."""
-    with open(path, encoding="utf-8-sig") as f:
-        doc = json.load(f)
+    doc = load_document(path)
     rows = []
     for platform, t in doc.get("templates", {}).items():
         rows.append((t.get("platform", platform), t.get("system_prompt"), int(t.get("num_examples", 0) or 0),
