@@ -59,8 +59,16 @@ def _finish(cols: dict[str, Column], scraped_at: Column, carry=()) -> list[Colum
     return out + [F.col(c) for c in carry]
 
 
-def _payload_cols(raw: DataFrame, carry) -> list[Column]:
-    return [F.col(c) for c in raw.columns if c not in carry]
+def _payload(raw: DataFrame, carry) -> Column:
+    """The payload as it came: the landing line where the source kept it, else the columns."""
+    if "raw_json" in raw.columns:
+        return F.col("raw_json")
+    return F.to_json(F.struct(*[F.col(c) for c in raw.columns if c not in carry]))
+
+
+def _reject(raw: DataFrame, reason: Column) -> Column:
+    """A malformed line is rejected as such, before any other reason."""
+    return F.when(F.col("malformed"), F.lit("malformed payload")).otherwise(reason) if "malformed" in raw.columns else reason
 
 
 def normalize_twitter(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
@@ -93,10 +101,10 @@ def normalize_twitter(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
         "is_repost": F.col("retweeted_status").isNotNull() | F.coalesce(first_ref["type"] == "retweeted", F.lit(False)),
         "has_media": F.col("entities")["media"].isNotNull() | F.col("extended_entities").isNotNull(),
         "created_at": created,
-        "raw_json": F.to_json(F.struct(*_payload_cols(raw, carry))),
+        "raw_json": _payload(raw, carry),
         "hashtags": T.hashtags(text),
         "created_at_imputed": imputed,
-        "reject_reason": F.when(post_id.isNull() | (post_id == ""), F.lit("missing id")),
+        "reject_reason": _reject(raw, F.when(post_id.isNull() | (post_id == ""), F.lit("missing id"))),
     }
     return raw.select(*_finish(cols, ts, carry))
 
@@ -114,6 +122,7 @@ def normalize_reddit(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
     karma = F.when(author.isNull(), F.lit(0)).otherwise(
         F.coalesce(author["link_karma"] + author["comment_karma"], F.lit(0)))
     created = F.coalesce(F.timestamp_micros((F.col("created_utc") * 1_000_000).cast("long")), ts)
+    kept = F.to_json(F.struct("subreddit", "score", "url"))  # the fields that are stored of a reddit payload
     cols = {
         "post_id": F.col("id"),
         "platform": F.lit("reddit"),
@@ -132,10 +141,10 @@ def normalize_reddit(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
         "is_repost": F.lit(False),
         "has_media": ~F.coalesce(F.col("is_self"), F.lit(False)),
         "created_at": created,
-        "raw_json": F.to_json(F.struct("subreddit", "score", "url")),
+        "raw_json": F.when(F.col("malformed"), F.col("raw_json")).otherwise(kept) if "malformed" in raw.columns else kept,
         "hashtags": T.hashtags(text),
         "created_at_imputed": F.col("created_utc").isNull(),
-        "reject_reason": F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("missing id")),
+        "reject_reason": _reject(raw, F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("missing id"))),
     }
     return raw.select(*_finish(cols, ts, carry))
 
@@ -171,10 +180,10 @@ def normalize_bluesky(raw: DataFrame, ingest_ts, carry=()) -> DataFrame:
         "is_repost": F.coalesce(F.col("reason")["py_type"].contains("reasonRepost"), F.lit(False)),
         "has_media": F.coalesce(embed["images"].isNotNull() | embed["external"].isNotNull(), F.lit(False)),
         "created_at": created,
-        "raw_json": F.to_json(F.struct(*_payload_cols(raw, carry))),
+        "raw_json": _payload(raw, carry),
         "hashtags": T.hashtags(text),
         "created_at_imputed": imputed,
-        "reject_reason": F.when(post_id == "", F.lit("empty post id")),
+        "reject_reason": _reject(raw, F.when(post_id == "", F.lit("empty post id"))),
     }
     return raw.select(*_finish(cols, ts, carry))
 
@@ -189,7 +198,7 @@ def normalize_any(frames: dict[str, DataFrame], ingest_ts) -> DataFrame:
     for platform, raw in frames.items():
         fn = NORMALIZERS.get(platform)
         if fn is None:
-            raw_json = F.to_json(F.struct(*[F.col(c) for c in raw.columns]))
+            raw_json = _payload(raw, ())
             cols = {n: F.lit(None).cast(t) for n, t in POST_COLUMNS}
             cols.update(platform=F.lit(platform), raw_json=raw_json)
             part = raw.select(*[c.alias(n) for n, c in cols.items()],

@@ -58,12 +58,13 @@ def json_export(spark, d):
 
 @query("table_preview", "S12/L4/T17", """
 SELECT doc_id, '[Array of ' || CAST(length(text) AS VARCHAR) || ' items]' AS chars,
-       CAST(length(text) AS BIGINT) AS n_chars FROM documents ORDER BY doc_id LIMIT 5""")
+       CAST(length(text) AS BIGINT) AS n_chars, CAST((SELECT count(*) FROM documents) AS BIGINT) AS n_rows
+FROM documents ORDER BY doc_id LIMIT 5""")
 def table_preview(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.split(F.col("text"), "").alias("chars"),
                                                F.length("text").cast("long").alias("n_chars"))
     # split(text, '') yields one element per character (code point)
-    return SK.preview(docs, ["doc_id"], 5, array_cols=("chars",))
+    return SK.preview(docs, ["doc_id"], 5, array_cols=("chars",), count="n_rows")
 
 
 
@@ -79,7 +80,7 @@ def cleaned_scan(spark, d):
     from postloom.operators.features import clean_track
 
     path = scratch_path(spark, "cleaned-posts")
-    clean_track(posts(spark, d), ["platform", "post_id"], vocab_size=1000).write.mode("overwrite").parquet(path)
+    clean_track(posts(spark, d), ["platform", "post_id"]).write.mode("overwrite").parquet(path)
     scanned = PL.scan_cleaned(spark, path)  # projected scan, NULL text dropped
     return scanned.groupBy("split_group", "label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -98,3 +99,17 @@ def synthetic_append(spark, d):
     SK.append(rows, path)  # a second generation batch appends, never replaces
     back = spark.read.parquet(path)
     return back.groupBy("platform").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("text_length").cast("long").alias("sum_len"))
+
+
+@query("recent_synthetic", "L2/S7", """
+SELECT request_id, generated_at FROM (SELECT event_id AS request_id, ts AS generated_at FROM events WHERE event_type <> 'error')
+ORDER BY generated_at DESC, request_id LIMIT 10""")
+def recent_synthetic(spark, d):
+    """The latest rows of the stored synthetic table by ``generated_at``."""
+    from postloom.operators import windows as WN
+
+    path = scratch_path(spark, "synthetic-posts")
+    rows = table(spark, d, "events").where("event_type <> 'error'").select(
+        F.col("event_id").alias("request_id"), F.col("event_type").alias("platform"), F.col("props").alias("text"), F.col("ts").alias("generated_at"))
+    SK.append(SK.synthetic_layout(rows), path)
+    return WN.most_recent(spark.read.parquet(path), 10, "generated_at", "request_id").select("request_id", "generated_at")

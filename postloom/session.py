@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,13 +29,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pos
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only pick our own when it is unset
-    (local tests), never a machine-local folder on a real cluster.
-    """
+    A cluster names a shared folder there.  Where it is unset, a local session (tests) gets a
+    folder of its own; any other master is refused, as executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="postloom-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -44,24 +44,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: list[str] = []  # folders this process has handed out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for written intermediate tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders handed out so far; returns how many.  Call it once the results
+    that read them are written or collected (a DataFrame built on them can't be read afterwards)."""
+    n = len(_scratch)
+    while _scratch:
+        path = _scratch.pop()
+        file_system(spark, path).delete(hadoop_path(spark, path), True)
+    return n
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path: the store may be one that only Spark reads."""
+    return hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
+def exists(spark: SparkSession, path: str) -> bool:
+    return file_system(spark, path).exists(hadoop_path(spark, path))
 
 
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme so the Python side can create landing folders in tests."""
-    return path[5:] if path.startswith("file:") else path
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark job has finished writing ``path`` (its ``_SUCCESS`` marker)."""
+    return exists(spark, f"{path}/_SUCCESS")
 
 
-def makedirs(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_dir(path), exist_ok=True)
+def sub_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist.  Any other fault is raised."""
+    if not exists(spark, path):
+        return []
+    return sorted(s.getPath().getName() for s in file_system(spark, path).listStatus(hadoop_path(spark, path)) if s.isDirectory())
 
 
 def materialize(df, name: str):
@@ -71,4 +97,4 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

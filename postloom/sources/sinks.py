@@ -2,10 +2,11 @@
 JSON / CSV exports (S9, S10) and the table preview (S12).
 
 Parquet has no row-level update, so a keyed merge writes a complete new
-version directory ``<base>/v=<n>`` and readers take the highest committed
-version (a version appears only after Spark's job commit).  Nothing is
-overwritten in place, so a reader never sees a half-written table and a
-failed writer leaves the previous version intact.
+version folder ``<base>/v=<n>``.  A version counts once its ``_SUCCESS`` marker
+is there; readers take the highest such one.  No committed version is ever
+overwritten: a failed writer leaves a folder without marker, which the next
+merge replaces.  Only "no such folder" means "no table"; any other fault of the
+store is raised.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.functions import text as T
-from postloom.operators.tables import latest_wins
+from postloom.operators.tables import last_wins, latest_wins
+from postloom.session import committed, sub_folders
 
 
 def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("platform",)) -> None:
@@ -28,12 +30,9 @@ def synthetic_layout(results: DataFrame) -> DataFrame:
 
 
 def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Highest committed version number under ``base`` (partition metadata only)."""
-    try:
-        row = spark.read.parquet(base).agg(F.max("v").alias("v")).first()
-    except Exception:  # noqa: BLE001 - no table yet
-        return None
-    return None if row is None or row["v"] is None else int(row["v"])
+    """Highest committed version number under ``base`` (folder names and markers only)."""
+    names = [n for n in sub_folders(spark, base) if n.startswith("v=")]
+    return max((int(n[2:]) for n in names if committed(spark, f"{base}/{n}")), default=None)
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
@@ -43,11 +42,14 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/v={v}")
 
 
-def merge_into_new_version(spark: SparkSession, new: DataFrame, base: str, keys: list[str]) -> int:
-    """Insert-or-replace ``new`` rows by key; returns the version written."""
+def merge_into_new_version(spark: SparkSession, new: DataFrame, base: str, keys: list[str], order: list[str] | None = None) -> int:
+    """Insert-or-replace ``new`` rows by key (of several for a key the last by ``order``);
+    returns the version written."""
     v = latest_version(spark, base)
-    old = None if v is None else spark.read.parquet(f"{base}/v={v}")
-    merged = new if old is None else latest_wins(old, new, keys)
+    if v is None:
+        merged = last_wins(new, keys, order).drop(*(order or []))
+    else:
+        merged = latest_wins(spark.read.parquet(f"{base}/v={v}"), new, keys, order)
     nv = 0 if v is None else v + 1
     merged.write.mode("overwrite").parquet(f"{base}/v={nv}")
     return nv
@@ -64,9 +66,12 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def preview(df: DataFrame, order: list[str], n: int = 5, array_cols: tuple[str, ...] = ()) -> DataFrame:
-    """First ``n`` rows in an explicit order, long arrays summarised."""
+def preview(df: DataFrame, order: list[str], n: int = 5, array_cols: tuple[str, ...] = (), count: str | None = None) -> DataFrame:
+    """First ``n`` rows in an explicit order, long arrays summarised; with ``count``
+    each row also carries the table's number of rows."""
     out = df.orderBy(*order).limit(n)
+    if count:
+        out = out.withColumn(count, df.select(F.count(F.lit(1))).scalar())
     for c in array_cols:
         out = out.withColumn(c, T.array_summary(c))
     return out

@@ -1,175 +1,229 @@
-"""Ingest: landing JSON -> normalize -> dedupe -> posts / hashtags / cursor /
-run log.  One function serves batch and Structured Streaming (X1-X6).
-
-``ingest_batch`` is the ``foreachBatch`` body.  Each output of batch ``b`` is
-written to its own ``batch=<b>`` folder with overwrite, so a retried batch
-(after an executor or driver loss) replaces its own output instead of
-appending twice; the stream checkpoint records which batches committed.
-Duplicates are removed (1) inside the batch, first arrival wins, and (2)
-against everything stored, by a left-anti join on (platform, post_id).
+"""Ingest: landing JSON -> normalize -> incremental filter -> dedupe -> posts / hashtags /
+cursor / run log.  One function serves batch and Structured Streaming (X1-X6).
+
+``ingest_batch`` is the ``foreachBatch`` body, one stream per platform.  Everything a batch
+writes lies in folders named by the stream's run (its query id, which lives as long as its
+checkpoint) and the batch, and counts once the batch's commit folder has its marker: a retried
+batch replaces its own output, a fresh checkpoint is a new run and replaces nothing, and a
+half-written batch is never read.  Only "no such folder" means "nothing stored yet"; any other
+fault of the store is raised.
+
+Times are taken per batch.  Duplicates are removed (1) inside the batch, first arrival wins,
+and (2) against every committed batch, by an anti join on (platform, post_id).  Posts are
+partitioned by platform and creation date, so that join reads the dates of the batch only;
+posts whose creation time had to be imputed lie in a partition of their own that is always
+read, and a batch that holds such posts reads all dates.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom import config
+from postloom.operators import filters as FL
 from postloom.operators import normalize as NZ
 from postloom.operators import tables as TB
+from postloom.session import committed, sub_folders
 from postloom.sources import payloads as PL
+from postloom.sources.schemas import POSTS
 
 KEY = ["platform", "post_id"]
-
-# Most batch keys broadcast to probe the store; above it the check is a shuffle join.
-BROADCAST_KEYS_MAX = 2_000_000
-# Default files per micro-batch, so a batch (and its key broadcast) stays bounded.
+STORED_POSTS = f"{POSTS}, created_at_imputed boolean, created_on string, run string, batch int"
+CURSOR = ["platform", "query"]
+IMPUTED = "imputed"
+# Default files per micro-batch, so a batch stays bounded.
 MAX_FILES_PER_TRIGGER = 1000
+# Ids of this platform are numbers in order of time: its cursor is the last id.
+ID_CURSOR = ("twitter",)
+
+
+def utc_now() -> dt.datetime:
+    return dt.datetime.now(dt.UTC)
 
 
 @dataclass(frozen=True)
 class Store:
-    """Folder layout of the ingest tables (on shared storage)."""
+    """Folder layout of the ingest tables (on shared storage): <table>/run=<run>/batch=<id>/..."""
     root: str
 
-    @property
-    def posts(self) -> str:
-        return f"{self.root}/posts"
-
-    @property
-    def hashtags(self) -> str:
-        return f"{self.root}/post_hashtags"
-
-    @property
-    def rejects(self) -> str:
-        return f"{self.root}/rejects"
-
-    @property
-    def state(self) -> str:
-        return f"{self.root}/scraper_state"
-
-    @property
-    def run_log(self) -> str:
-        return f"{self.root}/run_log"
-
-
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - table not created yet
+    def folder(self, table: str, run: str, batch: int) -> str:
+        return f"{self.root}/{table}/run={run}/batch={batch}"
+
+    def committed(self, spark: SparkSession) -> list[tuple[str, int]]:
+        """(run, batch) of every committed batch, from folder names and markers."""
+        out = []
+        for r in sub_folders(spark, f"{self.root}/commits"):
+            for b in sub_folders(spark, f"{self.root}/commits/{r}"):
+                if committed(spark, f"{self.root}/commits/{r}/{b}"):
+                    out.append((r.removeprefix("run="), int(b.removeprefix("batch="))))
+        return out
+
+    def read(self, spark: SparkSession, table: str, batches: list[tuple[str, int]] | None = None) -> DataFrame | None:
+        """A table over the given (by default all) committed batches; None without any."""
+        batches = self.committed(spark) if batches is None else batches
+        if not batches:
+            return None
+        r = spark.read.option("basePath", f"{self.root}/{table}")
+        r = r.schema(STORED_POSTS) if table == "posts" else r  # a batch without new posts leaves no file to infer it from
+        return r.parquet(*[self.folder(table, *b) for b in batches])
+
+
+def normalized(lines: DataFrame, platform: str, as_of: dt.datetime) -> DataFrame:
+    """Payload lines (value, query, arrival) of one platform in the posts layout, with their query and arrival."""
+    raw = PL.parse_payloads(lines, platform, keep=("query", "arrival"))
+    norm = NZ.NORMALIZERS[platform](raw, as_of, carry=("query", "arrival"))
+    # arrival order: landing-file time and name, then event time and payload as tie-breaks
+    return norm.withColumn("arrival", F.struct("arrival.mtime", "arrival.file", "created_at", F.md5("raw_json").alias("digest")))
+
+
+def _settled(spark: SparkSession, store: Store, run: str, batch: int, since: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The batches whose cursors filter this one, fixed at its first attempt: a retry must not skip
+    posts because later batches have moved the cursor."""
+    path, schema = store.folder("since", run, batch), "run_id string, batch_id int"
+    if not committed(spark, path):
+        spark.createDataFrame(since, schema).coalesce(1).write.mode("overwrite").parquet(path)
+        return since
+    return [(r.run_id, r.batch_id) for r in spark.read.schema(schema).parquet(path).collect()]
+
+
+def cursors(spark: SparkSession, store: Store, batches: list[tuple[str, int]]) -> DataFrame | None:
+    """The newest cursor of each (platform, query) over the given batches: each batch wrote the
+    cursors it touched, so this reads a few rows per batch."""
+    state = store.read(spark, "scraper_state", batches)
+    if state is None:
         return None
+    return TB.first_wins(state.select(*CURSOR, "last_post_id", "last_timestamp", "cursor", "updated_at", F.col("last_timestamp").isNull().alias("none"),
+                                      F.expr("-unix_micros(last_timestamp)").alias("age"), F.expr("-unix_micros(updated_at)").alias("since")),
+                         CURSOR, ["none", "age", "since"]).drop("none", "age", "since")
 
 
-def stored_keys(spark: SparkSession, store: Store, before_batch: int | None = None) -> DataFrame | None:
-    """Keys of posts already stored (optionally only by earlier batches, so a
-    retried batch does not see its own first attempt)."""
-    df = _read_or_none(spark, store.posts)
-    if df is None:
-        return None
-    if before_batch is not None:
-        df = df.filter(F.col("batch") < before_batch)
-    return df.select(*KEY)
+def not_stored(first: DataFrame, stored: DataFrame) -> DataFrame:
+    """J3 against the store: only the creation dates of the batch and the imputed partition are read."""
+    days = [r[0] for r in first.select("created_on").distinct().collect()]  # calendar days of one batch
+    if IMPUTED not in days:
+        stored = stored.where(F.col("created_on").isin(*days, IMPUTED))
+    return TB.new_only(first, stored, KEY)
 
 
-def normalized_stream(spark: SparkSession, landing: dict[str, str], ingest_ts, stream: bool = True,
-                      max_files: int | None = None) -> DataFrame:
-    """Union of the normalized payload streams (or batch reads) of all platforms."""
-    parts = []
-    for platform, path in landing.items():
-        raw = (PL.stream_payloads(spark, path, platform, max_files) if stream
-               else PL.read_payloads(spark, path, platform))
-        # arrival order: landing-file time and name (file-source metadata), then
-        # event time and payload hash as deterministic tie-breaks
-        raw = raw.select("*", F.col("_metadata.file_modification_time").alias("__mtime"),
-                         F.col("_metadata.file_path").alias("__file"))
-        norm = NZ.NORMALIZERS[platform](raw, ingest_ts, carry=("__mtime", "__file"))
-        norm = norm.withColumn("__arrival", F.struct("__mtime", "__file", "created_at", F.md5("raw_json"))).drop(
-            "__mtime", "__file")
-        parts.append(norm)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def ingest_batch(batch: DataFrame, batch_id: int, store: Store, as_of: dt.datetime) -> None:
-    """foreachBatch body: J4 in-batch first-wins, J3 against the store, J10
-    tags, J9+J7 cursor (forward only), X5 run log, N5 quarantine."""
-    spark = batch.sparkSession
-    batch = batch.persist()
+def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: Store, clock: Callable[[], dt.datetime] = utc_now,
+                 since: list[tuple[str, int]] | None = None) -> None:
+    """foreachBatch body: N5 quarantine, P4-P6 incremental filter, J4 in-batch first-wins, J3 against
+    the store, J10 tags, J9 + J7 cursors per (platform, query), X5 run log.
+
+    ``since``: the committed batches whose cursors the incremental filter uses (those there
+    before the run began, as a fetch would have used them); None leaves the filter out.  A
+    failure is logged with its reason and raised."""
+    spark, as_of, began = lines.sparkSession, clock(), time.monotonic()
+    folder = lambda table: store.folder(table, run, batch)
     try:
-        ok, bad = NZ.split_rejects(batch)
-        first = TB.first_wins(ok, KEY, ["__arrival"]).persist()
-        known = stored_keys(spark, store, before_batch=batch_id)
-        new = first if known is None else not_stored(first, known)
-        new = new.drop("__arrival").withColumn("batch", F.lit(batch_id)).persist()
+        rows = normalized(lines, platform, as_of).persist()
         try:
-            # partitioned by platform: the store check reads keys only, per platform folder
-            (new.drop("hashtags").drop("batch").write.mode("overwrite").partitionBy("platform")
-             .parquet(f"{store.posts}/batch={batch_id}"))
-            (TB.hashtag_rows(new)
-             .write.mode("overwrite").parquet(f"{store.hashtags}/batch={batch_id}"))
-            bad.drop("__arrival").write.mode("overwrite").parquet(f"{store.rejects}/batch={batch_id}")
-            # cursor: newest post per (platform, query); the query is the platform feed here
-            newest = TB.newest_per_key(ok.withColumn("query", F.lit("")), ["platform", "query"], "post_id",
-                                       "created_at")
-            old = _read_or_none(spark, store.state)
-            if old is not None:
-                old = old.filter(F.col("batch") < batch_id)
-                latest = old.agg(F.max("batch")).first()[0]
-                old = None if latest is None else old.filter(F.col("batch") == latest).drop("batch")
-            cur = newest if old is None else TB.advance_cursor(old.select("platform", "query", "last_post_id",
-                                                                           "last_timestamp"), newest, ["platform", "query"])
-            cur.withColumn("updated_at", F.lit(as_of)).write.mode("overwrite").parquet(f"{store.state}/batch={batch_id}")
-            # one pass over the batch for offered / rejected, one over the new rows
-            counts = batch.groupBy("platform").agg(
-                F.count(F.when(F.col("reject_reason").isNull(), 1)).alias("offered"),
-                F.count(F.when(F.col("reject_reason").isNotNull(), 1)).alias("rejected"))
-            saved = new.groupBy("platform").agg(F.count(F.lit(1)).alias("saved"))
-            log = (counts.join(saved, "platform", "left").fillna(0, ["saved"])
-                   .withColumn("run_id", F.lit(str(batch_id)))
-                   .withColumn("status", F.lit("ok")).withColumn("started_at", F.lit(as_of)))
-            log.write.mode("overwrite").parquet(f"{store.run_log}/batch={batch_id}")
+            others = [b for b in store.committed(spark) if b != (run, batch)]
+            ok, bad = NZ.split_rejects(rows)
+            since = None if since is None else _settled(spark, store, run, batch, since)
+            state = cursors(spark, store, since) if since else None
+            fresh = ok
+            if state is not None:
+                if platform in ID_CURSOR:
+                    fresh = FL.after_id(ok, state, CURSOR)
+                else:
+                    fresh = FL.after_cursor(ok, state, CURSOR, keep_null_ts=True).drop("had_cursor")
+            fresh = fresh.persist()
+            day = F.when(F.col("created_at_imputed"), F.lit(IMPUTED)).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
+            first = TB.first_wins(fresh, KEY, ["arrival"]).withColumn("created_on", day)
+            stored = store.read(spark, "posts", others)
+            new = (first if stored is None else not_stored(first, stored)).drop("arrival").persist()
+            try:
+                (new.drop("hashtags", "query").write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts")))
+                TB.hashtag_rows(new).write.mode("overwrite").parquet(folder("post_hashtags"))
+                bad.drop("arrival").write.mode("overwrite").parquet(folder("rejects"))
+                # an imputed time is no cursor: it would put every later post behind it
+                newest = TB.newest_per_key(fresh.where(~F.col("created_at_imputed")), CURSOR, "post_id", "created_at").withColumn("cursor", F.lit(None).cast("string"))
+                old = cursors(spark, store, others)
+                if old is None:
+                    touched = newest.withColumn("updated_at", F.lit(as_of))
+                else:
+                    ahead = TB.advance_cursor(old, newest, CURSOR).withColumn("cursor", F.lit(None).cast("string"))
+                    touched = TB.cursor_merge(old, ahead.join(newest.select(*CURSOR), CURSOR, "left_semi"), CURSOR,
+                                              ["last_post_id", "last_timestamp", "cursor"], F.lit(as_of)).join(newest.select(*CURSOR), CURSOR, "left_semi")
+                touched.write.mode("overwrite").parquet(folder("scraper_state"))
+                tally = rows.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("offered"), F.count("reject_reason").alias("rejected"))
+                tally = tally.join(fresh.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("fresh")), CURSOR, "left")
+                tally = tally.join(new.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("saved")), CURSOR, "left").fillna(0)
+                log = tally.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
+                _write_log(log, folder("run_log"), run, batch, "ok", None, as_of, began)
+                # the batch counts from here on
+                spark.range(1).select(F.lit(run).alias("run_id"), F.lit(batch).alias("batch_id")).write.mode("overwrite").parquet(
+                    store.folder("commits", run, batch))
+            finally:
+                new.unpersist()
+                fresh.unpersist()
         finally:
-            new.unpersist()
-            first.unpersist()
-    finally:
-        batch.unpersist()
-
-
-def not_stored(first: DataFrame, known: DataFrame) -> DataFrame:
-    """J3 for a micro-batch against a large store.  When the batch has at most
-    ``BROADCAST_KEYS_MAX`` keys (checked), its keys are broadcast and the store
-    is only scanned (key columns) and probed, never shuffled; the few hits are
-    then removed from the batch.  Larger batches use a plain shuffle anti join."""
-    n = first.count()  # the batch is persisted, so this is cheap
-    if n <= BROADCAST_KEYS_MAX:
-        hits = known.join(F.broadcast(first.select(*KEY)), KEY, "left_semi")
-        return first.join(hits, KEY, "left_anti")
-    return TB.new_only(first, known, KEY)
-
-
-def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, checkpoint: str, as_of: dt.datetime,
-               available_now: bool = True, processing_time: str | None = None, max_files: int | None = None,
-               dedupe_watermark: str | None = None):
-    """Start the ingest stream.  ``available_now`` processes what has
-    landed and stops (the initial pass); otherwise ``processing_time`` polls.
-    With ``dedupe_watermark`` the stream also drops duplicates inside that
-    event-time bound (bounded state), before the exact check in the batch."""
-    s = normalized_stream(spark, landing, as_of, stream=True, max_files=max_files or MAX_FILES_PER_TRIGGER)
-    if dedupe_watermark:
-        s = s.withWatermark("created_at", dedupe_watermark).dropDuplicatesWithinWatermark(KEY)
-    w = s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda df, bid: ingest_batch(df, bid, store, as_of))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "7 minutes")
-    q = w.start()
+            rows.unpersist()
+    except Exception as e:
+        none = F.lit(None).cast("long")
+        failed = spark.range(1).select(F.lit(platform).alias("platform"), F.lit(None).cast("string").alias("query"),
+                                       *[none.alias(c) for c in ("offered", "rejected", "skipped", "saved")])
+        _write_log(failed, f"{store.root}/failures/run={run}/batch={batch}/attempt={uuid.uuid4().hex}", run, batch, "failed",
+                   f"{type(e).__name__}: {e}", as_of, began)
+        raise
+
+
+def _write_log(counts: DataFrame, path: str, run: str, batch: int, status: str, error: str | None, as_of: dt.datetime, began: float) -> None:
+    counts.select(F.lit(run).alias("run_id"), F.lit(batch).cast("long").alias("batch_id"), "platform", "query", F.lit(status).alias("status"), "offered", "rejected",
+                  "skipped", "saved", F.lit(as_of).alias("started_at"), F.lit(time.monotonic() - began).alias("elapsed_s"),
+                  F.lit(error).cast("string").alias("error")).write.mode("overwrite").parquet(path)
+
+
+def run_log(spark: SparkSession, store: Store) -> DataFrame | None:
+    """Every run: committed batches (ok) and failed attempts."""
+    ok = store.read(spark, "run_log")
+    ok = None if ok is None else ok.drop("run", "batch")
+    failed = None
+    if sub_folders(spark, f"{store.root}/failures"):
+        failed = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.root}/failures")
+    return ok if failed is None else failed if ok is None else ok.unionByName(failed)
+
+
+def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, checkpoint: str, clock: Callable[[], dt.datetime] = utc_now,
+               available_now: bool = True, intervals: dict[str, int] | None = None, max_files: int | None = None,
+               incremental: bool = True) -> dict:
+    """One stream per platform, each with its checkpoint below ``checkpoint`` and, when
+    polling, its own interval (minutes, ``config.POLL_INTERVALS`` by default).  ``available_now``
+    processes what has landed and stops.  Returns the queries by platform.
+
+    With ``incremental`` posts at or before the cursor that their (platform, query) had when the
+    run began are skipped and counted."""
+    since = store.committed(spark) if incremental else None
+    queries = {}
+    for platform, path in landing.items():
+        def body(df: DataFrame, batch: int, platform: str = platform) -> None:
+            run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            ingest_batch(df, platform, run, batch, store, clock, since)
+
+        w = PL.stream_lines(spark, path, max_files or MAX_FILES_PER_TRIGGER).writeStream.option("checkpointLocation", f"{checkpoint}/{platform}").foreachBatch(body)
+        minutes = (intervals or config.POLL_INTERVALS).get(platform, config.DEFAULT_POLL_MINUTES)
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{minutes} minutes")
+        queries[platform] = w.start()
     if available_now:
-        q.awaitTermination()
-    return q
-
-
-def ingest_once(spark: SparkSession, landing: dict[str, str], store: Store, as_of: dt.datetime, batch_id: int) -> None:
-    """Batch path: the same body over a plain read of the landing folders."""
-    ingest_batch(normalized_stream(spark, landing, as_of, stream=False), batch_id, store, as_of)
+        for q in queries.values():
+            q.awaitTermination()
+    return queries
+
+
+def ingest_once(spark: SparkSession, landing: dict[str, str], store: Store, run: str | None = None, clock: Callable[[], dt.datetime] = utc_now,
+                incremental: bool = True) -> str:
+    """Batch path: the same body over a plain read of the landing folders, as batch 0.. of a run;
+    returns the run.  A repeated call with the same ``run`` replaces that run's output."""
+    run = run or uuid.uuid4().hex
+    since = [b for b in store.committed(spark) if b[0] != run] if incremental else None
+    for batch, (platform, path) in enumerate(landing.items()):
+        ingest_batch(PL.read_lines(spark, path), platform, run, batch, store, clock, since)
+    return run
