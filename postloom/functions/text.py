@@ -103,9 +103,13 @@ def format_ts(c) -> Column:
 
 
 def format_duration(seconds) -> Column:
-    """Whole seconds as ``H:MM:SS`` (fraction dropped)."""
+    """Whole seconds (fraction dropped) as ``H:MM:SS``, from a day on as ``1 day, H:MM:SS`` or
+    ``N days, H:MM:SS``; a negative duration counts days down (``-1 day, 23:59:59``)."""
     s = F.floor(_col(seconds)).cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60)
+    days, rest = F.floor(s / 86400).cast("long"), F.pmod(s, F.lit(86400))
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor((rest % 3600) / 60), rest % 60)
+    word = F.when(F.abs(days) == 1, F.lit(" day, ")).otherwise(F.lit(" days, "))
+    return F.when(days == 0, clock).otherwise(F.concat(days.cast("string"), word, clock))
 
 
 def last_path_segment(c) -> Column:

@@ -11,18 +11,26 @@ from postloom import config
 from postloom.functions import text as T
 
 
+def in_pool_sql(col: str = "text", lo: int = config.MIN_TEXT_LENGTH, hi: int = config.MAX_TEXT_LENGTH) -> Column:
+    t = F.col(col)
+    return t.isNotNull() & (F.trim(t) != "") & F.length(t).between(lo, hi)
+
+
+def in_pool_strip(col: str = "text", lo: int = config.MIN_TEXT_LENGTH, hi: int = config.MAX_TEXT_LENGTH) -> Column:
+    t = F.coalesce(F.col(col), F.lit(""))
+    return (T.unicode_strip(t) != "") & F.length(t).between(lo, hi)
+
+
 def pool_filter_sql(df: DataFrame, col: str = "text", lo: int = config.MIN_TEXT_LENGTH,
                     hi: int = config.MAX_TEXT_LENGTH) -> DataFrame:
     """Not NULL, ``TRIM(text) <> ''`` (spaces only), lo <= length <= hi."""
-    t = F.col(col)
-    return df.filter(t.isNotNull() & (F.trim(t) != "") & F.length(t).between(lo, hi))
+    return df.filter(in_pool_sql(col, lo, hi))
 
 
 def pool_filter_strip(df: DataFrame, col: str = "text", lo: int = config.MIN_TEXT_LENGTH,
                       hi: int = config.MAX_TEXT_LENGTH) -> DataFrame:
     """NULL -> '', non-empty after a Unicode strip, length bounds on the text."""
-    t = F.coalesce(F.col(col), F.lit(""))
-    return df.filter((T.unicode_strip(t) != "") & F.length(t).between(lo, hi))
+    return df.filter(in_pool_strip(col, lo, hi))
 
 
 def no_media(col: str = "has_media") -> Column:
@@ -54,16 +62,23 @@ def after_cursor(posts: DataFrame, state: DataFrame, keys: list[str], ts: str =
 
 def after_id(posts: DataFrame, state: DataFrame, keys: list[str], id_col: str = "post_id",
              state_id: str = "last_post_id") -> DataFrame:
-    """Numeric ``id > since_id`` on decimal(20,0) ids (string ids compare wrongly)."""
+    """Ids after the cursor.  Numeric ids compare as numbers of up to 38 digits (string ids
+    compare wrongly); ids that are no such number sort after all numeric ones, among themselves by
+    (length, text), so a mixed feed still has one order and no row fails the job."""
     s = state.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(state_id).alias("__since"))
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"__s_{k}"))
         cond = c if cond is None else cond & c
-    num = F.col(id_col).cast("decimal(20,0)")
-    since = F.col("__since").cast("decimal(20,0)")
+
+    def place(c: Column) -> Column:
+        text = c.cast("string")
+        number = F.when(text.rlike(r"^\s*[+-]?[0-9]{1,38}\s*$"), text.try_cast("decimal(38,0)"))
+        word = F.when(number.isNull(), text)
+        return F.struct(number.isNull().alias("word"), number.alias("n"), F.length(word).alias("size"), word.alias("t"))
+
     return (posts.join(s, cond, "left")
-            .filter(F.col("__since").isNull() | (num > since))
+            .filter(F.col("__since").isNull() | (place(F.col(id_col)) > place(F.col("__since"))))
             .drop(*[f"__s_{k}" for k in keys], "__since"))
 
 

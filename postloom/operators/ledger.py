@@ -1,10 +1,9 @@
 """Generation cost ledger: prices, token estimates, cost, per-model summary,
 batch summary, running totals, budget stop (G8-G13, A9, A10, A11, W3).
 
-Running totals are computed in two phases so that no window spans a whole run
-(or the whole ledger): totals per (run, block) -> exclusive prefix over the
-small block table -> running sum inside each (run, block) plus the offset.  A
-block is any column monotone in the ledger order (e.g. the hour of ``ts``).
+Running totals are computed in two phases so that no window spans a whole run,
+a whole hour or the whole ledger: the rows are cut into blocks of bounded size
+along the ledger order, and each block's offset comes from the block sums.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postloom import config
 from postloom.functions import text as T
+from postloom.session import materialize
 
 
 # Money is summed as DECIMAL: exact, so totals do not depend on summation order
@@ -57,8 +57,14 @@ def tokens_or_estimate(actual: Column, text: Column) -> Column:
     return F.coalesce(actual.cast("long"), T.token_estimate(text))
 
 
+def with_status(gen: DataFrame) -> DataFrame:
+    """P10: every generation with ``status``: one without text is failed, and stays in the ledger."""
+    return gen.withColumn("status", F.when(F.col("text").isNotNull(), "ok").otherwise("failed"))
+
+
 def result_rows(gen: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """G11 + P10: drop generations without text, strip the text, defaults for
+    """The posts among the generations (those with text; ``with_status`` keeps the others in
+    the ledger): strip the text, defaults for
     family/cost/tokens, ``text_length`` and ``is_synthetic`` (S7 columns);
     ``keep`` columns pass through."""
     g = gen.filter(F.col("text").isNotNull())
@@ -103,27 +109,34 @@ def batch_summary(ledger: DataFrame, ts: str = "ts", status: str = "status") ->
         "posts_per_s", F.try_divide(F.col("success").cast("double"), F.col("elapsed_s")))
 
 
-def running_totals(df: DataFrame, part: list[str], order: list[str], block: Column,
-                   sums: dict[str, Column]) -> DataFrame:
+RUN_ROWS = 100_000  # rows of a block in running totals
+
+
+def running_totals(df: DataFrame, part: list[str], order: list[str], sums: dict[str, Column], rows: int = RUN_ROWS) -> DataFrame:
     """Cumulative sums (and the 1-based sequence ``seq``) per ``part`` in ``order``.
 
-    Two-phase; ``block`` must be non-decreasing in ``order`` within a part."""
-    x = df.withColumn("__blk", block)
+    Two-phase: the rows are range-partitioned by (part, order) into blocks of about ``rows`` rows,
+    so neither a long run nor a busy hour makes a large block; each block sums its parts, the
+    block table (one row per block and part) gives every block its offset, and a running sum
+    inside a block adds to it.  ``order`` should be unique within a part."""
+    n = max(1, -(-df.count() // rows))
+    x = df
     for name, expr in sums.items():
         x = x.withColumn(f"__v_{name}", expr)
-    vals = [f"__v_{n}" for n in sums]
+    vals = [f"__v_{n_}" for n_ in sums]
+    # stored, so that block numbers are the same for both phases
+    x = materialize(x.repartitionByRange(n, *part, *order).withColumn("__blk", F.spark_partition_id()), "running-totals")
     tot = x.groupBy(*part, "__blk").agg(F.count(F.lit(1)).alias("__cnt"), *[F.sum(v).alias(f"{v}_t") for v in vals])
     wp = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("__blk").rowsBetween(
         Window.unboundedPreceding, -1)
     tot = tot.select(*part, "__blk",
                      F.coalesce(F.sum("__cnt").over(wp), F.lit(0)).alias("__o_cnt"),
                      *[F.coalesce(F.sum(f"{v}_t").over(wp), F.lit(0)).alias(f"{v}_o") for v in vals])
-    wi = Window.partitionBy(*part, "__blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = x.withColumn("__rn", F.row_number().over(Window.partitionBy(*part, "__blk").orderBy(*order)))
+    wi = Window.partitionBy("__blk", *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = x.withColumn("__rn", F.row_number().over(Window.partitionBy("__blk", *part).orderBy(*order)))
     for v in vals:
         inner = inner.withColumn(f"{v}_c", F.sum(v).over(wi))
-    j = inner.join(tot, [*part, "__blk"])
-    out = j.withColumn("seq", F.col("__o_cnt") + F.col("__rn"))
+    out = inner.join(tot, [*part, "__blk"]).withColumn("seq", F.col("__o_cnt") + F.col("__rn"))
     for name in sums:
         v = f"__v_{name}"
         out = out.withColumn(name, F.col(f"{v}_o") + F.col(f"{v}_c"))
@@ -131,12 +144,12 @@ def running_totals(df: DataFrame, part: list[str], order: list[str], block: Colu
     return out.drop(*drop)
 
 
-def progress(ledger: DataFrame, run: str, order: list[str], block: Column, every: int = 10,
+def progress(ledger: DataFrame, run: str, order: list[str], every: int = 10,
              status: str = "status", cost_col: str = "cost_usd") -> DataFrame:
     """Cumulative successes, failures and cost per run, reported on every
     ``every``-th row of the run."""
     ok = F.col(status) == "ok"
-    r = running_totals(ledger, [run], order, block, {
+    r = running_totals(ledger, [run], order, {
         "cum_success": F.when(ok, 1).otherwise(0).cast("long"),
         "cum_failure": F.when(ok, 0).otherwise(1).cast("long"),
         "cum_cost": F.when(ok, money(cost_col)).otherwise(F.lit(0).cast(MONEY)),
@@ -144,8 +157,8 @@ def progress(ledger: DataFrame, run: str, order: list[str], block: Column, every
     return r.filter(F.col("seq") % every == 0)
 
 
-def within_budget(ledger: DataFrame, order: list[str], block: Column, cap: float = config.MAX_BUDGET_USD,
+def within_budget(ledger: DataFrame, order: list[str], cap: float = config.MAX_BUDGET_USD,
                   cost_col: str = "cost_usd", part: list[str] | None = None) -> DataFrame:
     """Rows processed before the cumulative cost passes ``cap``."""
-    r = running_totals(ledger, part or [], order, block, {"cum_cost": money(cost_col)})
+    r = running_totals(ledger, part or [], order, {"cum_cost": money(cost_col)})
     return r.filter(F.col("cum_cost") <= cap)

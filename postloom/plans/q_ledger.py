@@ -107,18 +107,21 @@ SELECT run_id, seq, event_id, CAST(cum_success AS BIGINT) AS cum_success, CAST(c
   FROM ledger WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 WHERE seq % 10 = 0""")
 def progress_ledger(spark, d):
-    p = LG.progress(ledger(spark, d), "run_id", ["ts", "event_id"], F.date_trunc("day", F.col("ts")))
+    p = LG.progress(ledger(spark, d), "run_id", ["ts", "event_id"])
     return p.select("run_id", "seq", "event_id", "cum_success", "cum_failure",
                     F.round("cum_cost", 6).cast("double").alias("cum_cost"))
 
 
+BUDGET = 0.5  # low enough to stop the ledger of every test size part of the way
+
+
 @query("budget_cap", "G13", f"""WITH {LEDGER_SQL.lstrip(', ')}
 SELECT event_id, seq, CAST(round(cum_cost, 6) AS DOUBLE) AS cum_cost FROM (
   SELECT event_id, row_number() OVER w AS seq, sum(CAST(cost_usd AS DECIMAL(38,12))) OVER w AS cum_cost
   FROM ledger WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-WHERE cum_cost <= {config.MAX_BUDGET_USD}""")
+WHERE cum_cost <= {BUDGET}""")
 def budget_cap(spark, d):
-    b = LG.within_budget(ledger(spark, d), ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
+    b = LG.within_budget(ledger(spark, d), ["ts", "event_id"], cap=BUDGET)
     return b.select("event_id", "seq", F.round("cum_cost", 6).cast("double").alias("cum_cost"))
 
 

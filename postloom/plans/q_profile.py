@@ -77,6 +77,20 @@ def incremental_by_id(spark, d):
     return FL.after_id(event_posts(spark, d), event_state(spark, d), ["platform", "query"]).select("event_id")
 
 
+@query("incremental_mixed_ids", "P6", """
+WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id || 'abc' || (doc_id % 7) WHEN doc_id % 3 = 1 THEN CAST(doc_id * 1000003 AS VARCHAR) ELSE '-' || doc_id END AS id, lang FROM documents),
+ st(lang, since) AS (VALUES ('en', '100000300'), ('de', '50abc1'))
+SELECT doc_id FROM f LEFT JOIN st USING (lang)
+WHERE since IS NULL OR (TRY_CAST(id AS HUGEINT) IS NULL, coalesce(TRY_CAST(id AS HUGEINT), 0), CASE WHEN TRY_CAST(id AS HUGEINT) IS NULL THEN length(id) ELSE 0 END, CASE WHEN TRY_CAST(id AS HUGEINT) IS NULL THEN id ELSE '' END)
+   > (TRY_CAST(since AS HUGEINT) IS NULL, coalesce(TRY_CAST(since AS HUGEINT), 0), CASE WHEN TRY_CAST(since AS HUGEINT) IS NULL THEN length(since) ELSE 0 END, CASE WHEN TRY_CAST(since AS HUGEINT) IS NULL THEN since ELSE '' END)""")
+def incremental_mixed_ids(spark, d):
+    i = F.col("doc_id")
+    ids = F.when(i % 3 == 0, F.concat(i, F.lit("abc"), i % 7)).when(i % 3 == 1, (i * 1000003).cast("string")).otherwise(F.concat(F.lit("-"), i))
+    feed = table(spark, d, "documents").select("doc_id", ids.alias("post_id"), "lang")
+    state = spark.createDataFrame([("en", "100000300"), ("de", "50abc1")], "lang string, last_post_id string")
+    return FL.after_id(feed, state, ["lang"]).select("doc_id")
+
+
 @query("last_24h", "P7/L3", """
 SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
 def last_24h(spark, d):
@@ -98,19 +112,15 @@ SELECT a.platform, a.n_sql, b.n_strip FROM
  FULL JOIN (SELECT platform, CAST(count(*) AS BIGINT) AS n_strip FROM posts_v WHERE {P2_SQL} GROUP BY platform) b
  USING (platform)"""))
 def pool_platform_counts(spark, d):
-    p = posts(spark, d)
-    a = FL.pool_filter_sql(p).groupBy("platform").agg(F.count(F.lit(1)).alias("n_sql"))
-    b = FL.pool_filter_strip(p).groupBy("platform").agg(F.count(F.lit(1)).alias("n_strip"))
-    return a.join(b, "platform", "full_outer")
+    a, b = FL.in_pool_sql(), FL.in_pool_strip()
+    return posts(spark, d).groupBy("platform").agg(F.count(F.when(a, 1)).alias("n_sql"), F.count(F.when(b, 1)).alias("n_strip")).where(
+        "n_sql > 0 OR n_strip > 0").select("platform", F.nullif("n_sql", F.lit(0)).alias("n_sql"), F.nullif("n_strip", F.lit(0)).alias("n_strip"))
 
 
 @query("platform_total", "A3/P8", with_posts("""
 SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) FILTER (WHERE platform = 'reddit') AS BIGINT) AS n_reddit FROM posts_v"""))
 def platform_total(spark, d):
-    p = posts(spark, d)
-    a = PR.total_count(p).withColumnRenamed("n", "n_all").withColumn("__k", F.lit(1))
-    b = PR.total_count(p, "reddit").withColumnRenamed("n", "n_reddit").withColumn("__k", F.lit(1))
-    return a.join(b, "__k").select("n_all", "n_reddit")
+    return posts(spark, d).agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(F.col("platform") == "reddit", 1)).alias("n_reddit"))
 
 
 @query("date_range", "A4", with_posts("""

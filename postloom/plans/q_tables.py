@@ -212,3 +212,63 @@ def merge_by_key(spark, d):
     new = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("value"))
     return TB.latest_wins(old, new, ["doc_id"])
 
+
+# Copies of a text share a key: batches, updates, predictions and new rows that repeat keys.
+COPIES_SQL = """, cp AS (SELECT md5(text) AS text_key, doc_id, source, lang FROM documents),
+ st AS (SELECT DISTINCT text_key FROM cp WHERE lang = 'en'),
+ lab AS (SELECT cp.text_key, l.doc_id, l.quality, l.toxic, cp.source FROM labels l JOIN cp USING (doc_id)),
+ last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_key ORDER BY doc_id DESC) AS rn FROM lab) WHERE rn = 1)
+"""
+
+
+def _copies(spark, d):
+    return table(spark, d, "documents").select(F.md5("text").alias("text_key"), "doc_id", "source", "lang")
+
+
+def _labels_by_text(spark, d):
+    return table(spark, d, "labels").join(_copies(spark, d).select("doc_id", "text_key", "source"), "doc_id").select("text_key", "doc_id", "quality", "toxic", "source")
+
+
+@query("insert_flags_repeats", "J5/A13", f"""WITH {COPIES_SQL.lstrip(', ')}
+SELECT doc_id, text_key NOT IN (SELECT text_key FROM st) AND row_number() OVER (PARTITION BY text_key ORDER BY doc_id) = 1 AS inserted FROM cp""")
+def insert_flags_repeats(spark, d):
+    c = _copies(spark, d)
+    return TB.with_inserted_flag(c, c.where("lang = 'en'"), ["text_key"], ["doc_id"]).select("doc_id", "inserted")
+
+
+@query("upsert_repeats", "J6", f"""WITH {COPIES_SQL.lstrip(', ')}
+SELECT coalesce(st.text_key, last.text_key) AS text_key, last.quality, CASE WHEN last.text_key IS NULL THEN 'stored' ELSE last.source END AS source
+FROM st FULL JOIN last ON st.text_key = last.text_key""")
+def upsert_repeats(spark, d):
+    stored = _copies(spark, d).where("lang = 'en'").select("text_key").distinct().select("text_key", F.lit(None).cast("int").alias("quality"), F.lit("stored").alias("source"))
+    updates = _labels_by_text(spark, d).select("text_key", "quality", "source", "doc_id")
+    return TB.upsert(stored, updates, ["text_key"], order=["doc_id"])
+
+
+@query("upsert_tags", "J6/J10", with_posts(f"""
+, old AS (SELECT * FROM posts_v WHERE language = 'en'), upd AS (SELECT * FROM posts_v WHERE author_id <> '7')
+SELECT platform, post_id, unnest({S.tag_keys('text')}) AS hashtag FROM old
+UNION ALL SELECT u.platform, u.post_id, unnest({S.tag_keys('u.text')}) AS hashtag FROM upd u ANTI JOIN old ON old.platform = u.platform AND old.post_id = u.post_id"""))
+def upsert_tags(spark, d):
+    p = posts(spark, d).select(*KEY, "text", "language", "author_id")
+    old = p.where("language = 'en'").select(*KEY, "text")
+    updates = p.where("author_id <> '7'").select(*KEY, "text")
+    return TB.upsert_with_tags(old, TB.hashtag_rows(old), updates, KEY)[1]
+
+
+@query("writeback_repeats", "J12", f"""WITH {COPIES_SQL.lstrip(', ')}
+SELECT cp.doc_id, CASE WHEN last.quality = 1 THEN 'high' WHEN last.quality = 0 THEN 'low' ELSE 'none' END AS category
+FROM cp LEFT JOIN last ON cp.text_key = last.text_key""")
+def writeback_repeats(spark, d):
+    pred = _labels_by_text(spark, d).select("text_key", "doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("category"))
+    c = _copies(spark, d).select("text_key", "doc_id", F.lit("none").alias("category"))
+    return TB.writeback(c, pred, ["text_key"], ["category"], order=["doc_id"]).select("doc_id", "category")
+
+
+@query("merge_repeats", "S8", f"""WITH {COPIES_SQL.lstrip(', ')}
+SELECT text_key, 'old' AS value FROM st WHERE text_key NOT IN (SELECT text_key FROM lab)
+UNION ALL SELECT text_key, source AS value FROM last""")
+def merge_repeats(spark, d):
+    old = _copies(spark, d).where("lang = 'en'").select("text_key").distinct().withColumn("value", F.lit("old"))
+    new = _labels_by_text(spark, d).select("text_key", F.col("source").alias("value"), "doc_id")
+    return TB.latest_wins(old, new, ["text_key"], order=["doc_id"])

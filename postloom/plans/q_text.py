@@ -19,9 +19,9 @@ def clean_text(spark, d):
 SELECT post_id, platform, cleaned_text FROM (
   SELECT post_id, platform, {S.clean('text')} AS cleaned_text FROM posts_v) WHERE length(cleaned_text) > 0"""))
 def clean_nonempty(spark, d):
-    return (posts(spark, d)
-            .select("post_id", "platform", T.clean_text("text").alias("cleaned_text"))
-            .filter(F.length("cleaned_text") > 0))
+    # cleaned once per row: a filter on the column itself would be pushed below it and clean again
+    kept = F.filter(F.array(T.clean_text("text")), lambda c: F.length(c) > 0)
+    return posts(spark, d).select("post_id", "platform", F.explode(kept).alias("cleaned_text"))
 
 
 @query("clean_pages", "T13 on markup", f"SELECT page_id, {S.clean('html')} AS cleaned_text FROM pages")
@@ -135,3 +135,13 @@ def format_fields(spark, d):
                     T.last_path_segment(url).alias("last_segment"),
                     url.contains(".example.com").alias("is_example"))
 
+
+@query("durations", "T6", """
+SELECT event_id, CASE WHEN abs(dd) = 0 THEN '' WHEN abs(dd) = 1 THEN dd || ' day, ' ELSE dd || ' days, ' END
+  || printf('%d:%02d:%02d', r // 3600, (r % 3600) // 60, r % 60) AS elapsed
+FROM (SELECT event_id, CAST(floor(s / 86400.0) AS BIGINT) AS dd, s - 86400 * CAST(floor(s / 86400.0) AS BIGINT) AS r
+      FROM (SELECT event_id, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) - epoch(TIMESTAMP '2024-01-10 12:00:00')::BIGINT AS s FROM events))""")
+def durations(spark, d):
+    # event times around a fixed moment: under a day, one day, many days, and before it
+    base = F.unix_timestamp(F.lit("2024-01-10 12:00:00").cast("timestamp_ntz").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", T.format_duration(F.unix_timestamp(F.col("ts").cast("timestamp")) - base).alias("elapsed"))

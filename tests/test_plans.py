@@ -4,17 +4,18 @@ operators, pushed filters and pruned reads, top-k pushed below the shuffle."""
 import pytest
 
 import __spark_entry__ as E
+from postloom.plans.registry import REGISTRY
 from tests.conftest import SF001
 
 PYTHON_ALLOWED = {"batch_inference", "model_hook"}  # caller-supplied Python by design
-STREAMING = {"stream_ingest", "stream_run_log", "stream_dedupe"}  # run eagerly, return the stored table
+STREAMING = {n for n in REGISTRY if n.startswith("stream_")}  # run eagerly, return the stored table
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAMING))
 def test_no_cartesian_and_no_python(spark, name):
     plan = _plan(E.queries()[name](spark, SF001))
     assert "CartesianProduct" not in plan
@@ -22,12 +23,16 @@ def test_no_cartesian_and_no_python(spark, name):
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "MapInPandas" not in plan
 
 
-def test_platform_range_join_is_the_only_nested_loop(spark):
-    for name in ("platform_choice", "request_plan"):
-        plan = _plan(E.queries()[name](spark, SF001))
-        if "BroadcastNestedLoopJoin" in plan:
-            # the broadcast side is the per-platform CDF: one row per platform
-            assert "BuildRight" in plan
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAMING))
+def test_no_nested_loop(spark, name):
+    assert "NestedLoopJoin" not in _plan(E.queries()[name](spark, SF001))
+
+
+def test_split_moves_no_rows(spark):
+    """Rows are compared with the two boundary rows where they lie: no exchange above the scan of texts."""
+    plan = _plan(E.queries()["split_exact"](spark, SF001))
+    top = plan.split("Subquery")[0]
+    assert "Exchange" not in top and "Window" not in top
 
 
 def test_filter_pushdown_and_pruning(spark):
