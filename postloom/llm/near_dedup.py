@@ -297,7 +297,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size for every row."""
     rows = materialize(_labelled(docs), "labelled")
     some = rows.where("label is not null")
-    named = some.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # stored, so that the join below is one of two plain exchanges, which a large class may split
+    named = materialize(some.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     out = some.join(named, "label").select("doc_id", "class_id", "class_size")
     return out.union(rows.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
@@ -306,7 +307,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns."""
     rows = materialize(_labelled(docs), "labelled")
     some = rows.where("label is not null")
-    first = some.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first"))
+    first = materialize(some.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("first")), "classes")
     copies = some.join(first, "label").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag"))))
     gone = materialize(copies.select(F.col("doc_id").alias("_copy_id"), F.col("tag").alias("_copy_tag")).distinct(), "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
