@@ -15,8 +15,8 @@ from postloom.functions import text as T
 
 # Our own wording for the instruction blocks (structure: numbered examples).
 EXAMPLES_HEADER_PAIR = "Real posts from this platform, for style only:\n"
-EXAMPLES_HEADER_SINGLE = "\n\n## Example Posts:\n"
-TEMPLATE_HEADER = "\n\n## Example Posts:\n\n"
+EXAMPLES_HEADER_SINGLE = "\n\n# What people post here\n"
+TEMPLATE_HEADER = "\n\n# What people post here\n\n"
 INSTRUCTION = ("\n---\n\nWrite one new post that could sit among these. Match their register, length and "
                "punctuation habits without copying any of them. Reply with the post text only.")
 MESSAGE_INSTRUCTION = ("Write one new post that could sit among these. Match their register, length and "

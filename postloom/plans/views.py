@@ -34,10 +34,7 @@ FROM documents)
 def with_posts(sql: str) -> str:
     """Prefix an oracle query with the ``posts_v`` CTE (the query may add more CTEs
     by starting with ``, name AS (...)``)."""
-    body = sql.strip()
-    if body.startswith(","):
-        return "WITH " + POSTS_SQL.strip() + "\n" + body
-    return "WITH " + POSTS_SQL.strip() + "\n" + body
+    return "WITH " + POSTS_SQL.strip() + "\n" + sql.strip()
 
 
 def posts_from_documents(documents: DataFrame) -> DataFrame:
