@@ -4,7 +4,7 @@ import corpus_pipeline
 from postloom.llm.near_dedup import classes
 from postloom.llm.decontaminate import leaks
 from postloom.llm.quality_model import score
-from postloom.llm.registry import ENTRIES
+from postloom.llm.queries import ENTRIES
 from postloom.session import materialize
 from tests.conftest import SF001
 from tests.oracle_harness import digest, duck
