@@ -42,6 +42,7 @@ NEVER = re.compile(
     r"replies|reply|respond|sharing|share\w*|shoutbox|sidebar\w*|signup|skyscraper|social\w*|sponsor\w*|subscri\w*|toolbar|tooltip|topbar|widget\w*)(?=$|[\s_-])", re.I)
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:community|disclaimer|discussion|extra|header|legends|masthead|meta|remark|rss|sidecol|tags?)(?=$|[\s_-])", re.I)
 READERS = re.compile(r"(?:^|[\s_-])(?:comment\w*|replies|reply|respond|disqus\w*)(?=$|[\s_-])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")  # mainNav names a nav as main-nav does
 _LAYOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]\S+", re.I)  # classes that only name what surrounds
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|post\w*|story|text)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -136,7 +137,7 @@ def _unlikely(node: Node, by_hint: bool) -> bool:
         return not (node.tag == "header" and node.parent is not None and node.parent.tag in ("article", "main") and _has_title(node))
     if not node.hint or not by_hint or node.tag in ("html", "body", "main", "#root"):
         return False
-    hint = _LAYOUT.sub(" ", node.hint)
+    hint = _LAYOUT.sub(" ", f"{node.hint} {_CAMEL.sub(' ', node.hint)}")
     if node.tag == "article":
         return bool(READERS.search(hint))
     return bool(NEVER.search(hint) or UNLIKELY.search(hint) and not LIKELY.search(hint))
@@ -215,6 +216,16 @@ def link_density(node: Node) -> float:
     return node.link_len / node.text_len if node.text_len else 0.0
 
 
+def _drop_link_lists(root: Node) -> None:
+    """Takes out unnamed menus: containers below ``root`` whose text is mostly links."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not (
+            c.tag in ("ul", "ol", "dl", "div", "section", "table") and c.text_len and link_density(c) > 0.7)]
+        todo += [c for c in node.children if isinstance(c, Node)]
+
+
 def _kept(root: Node) -> list[Node]:
     """The best container and those siblings that belong to it."""
     scored = score(root)
@@ -223,21 +234,25 @@ def _kept(root: Node) -> list[Node]:
     articles = [n for n in order if n.tag in ("article", "main") and n.text_len]
     best = max(articles or scored, key=lambda n: n.points, default=None)
     if best is None or best.tag in ("html", "#root"):
+        _drop_link_lists(body)
         return [body]
     if best.tag in ("ul", "ol", "dl", "table", "tbody", "tr", "p", "blockquote", "li") and best.parent is not None and best.parent.tag != "#root":
         best = best.parent
+    if best.tag not in ("article", "main"):
+        _drop_link_lists(best if best.parent is None else best.parent)
     if best.parent is None or best.tag == "body":
         return [best]
     if best.tag in ("article", "main"):
         alike = [n for n in articles if n.parent is best.parent and n.tag == best.tag and (n is best or n.points >= max(10, 0.2 * best.points))]
         return [n for n in best.parent.children if isinstance(n, Node) and n in alike]
     out = []
+    enough = max(0.2 * best.points, min(10, 0.6 * best.points))
     for n in best.parent.children:
         if not isinstance(n, Node):
             continue
         bonus = 0.2 * best.points if n.hint and n.hint == best.hint else 0.0
         text = _own_text(n) if n.tag == "p" else ""
-        if n is best or n.has_points and n.points + bonus >= max(10, 0.2 * best.points):
+        if n is best or n.has_points and n.points + bonus >= enough:
             out.append(n)
         elif n.tag in KEEP_HEADER and not out or n.tag == "p" and (len(text) > 80 and link_density(n) < 0.25 or text and link_density(n) == 0 and re.search(r"\.( |$)", text)):
             out.append(n)

@@ -34,6 +34,13 @@ def test_broken_markup():
     assert main_text("<div class='sidebar'>all there is</div>") == "all there is"
 
 
+def test_menus_without_a_name():
+    menu = "<div><a href=/>Home</a> | <a href=/a>About us</a> | <a href=/c>Contact and imprint</a></div>"
+    assert main_text(f"<body>{menu}<h1>Head</h1><p>{P1}</p><p>{P2}</p>{menu}</body>") == f"Head\n\n{P1}\n\n{P2_TEXT}"
+    assert main_text(f"<body><div class='mainNav'>{P1}</div><div><p>{P1}</p></div><div class='layout has-sidebar'><p>{P2}</p></div></body>").endswith(P2_TEXT)
+    assert main_text(f"<article><p>{P1}</p><ul><li><a href=/>a source</a></li></ul></article>") == f"{P1}\n\na source"
+
+
 def test_query_shape(spark, rows_of):
     rows = [(1, "u", f"<article><p>{P1}</p></article>", 5), (1, "u", None, 6), (None, None, "", None), (2, "v", "<p>é</p>", 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
