@@ -48,6 +48,15 @@ def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _own(keys: list[str]) -> list[str]:
+    """Names for the key columns inside an operator, so that they clash with none of its own."""
+    return [f"__key_{i}" for i in range(len(keys))]
+
+
+def _named(own: list[str], keys: list[str]) -> list[Column]:
+    return [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
+
+
 def _runs(ordered: Column, same: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
     """Cut a sorted array into runs of equal ``same(element)``; ``make(first, run)`` per run."""
     def cut(s: Column) -> Column:
@@ -88,13 +97,14 @@ def bigram_perplexity(df: DataFrame, key: str | list[str], text: str = "text", m
     with a NULL successor, so the same rows give the unigram counts).  Only the
     corpus counts, one row per distinct bigram, are stored; the texts are read
     again for the lookup."""
-    keys = _keys(key)
+    names = _keys(key)
+    keys = _own(names)
     toks = words(text)
     if max_tokens:
         toks = F.slice(toks, 1, max_tokens)
     pairs = F.transform(F.array(toks), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("prev"), F.get(t, i + 1).alias("w"))))[0]
     runs = _runs(F.sort_array(pairs), lambda x: x, lambda x, run: F.struct(x["prev"].alias("prev"), x["w"].alias("w"), F.size(run).cast("long").alias("k")))
-    occ = df.select(*keys, F.explode_outer(runs).alias("b")).select(*keys, "b.prev", "b.w", "b.k")
+    occ = df.select(*_named(names, keys), F.explode_outer(runs).alias("b")).select(*keys, "b.prev", "b.w", "b.k")
     counts = materialize(occ.where("prev is not null").groupBy("prev", "w").agg(F.sum("k").alias("c_bw")), "bigram-counts")
     unigram = counts.groupBy("prev").agg(F.sum("c_bw").alias("c_prev"))
     vocab = unigram.select(F.count(F.lit(1))).scalar()
@@ -102,7 +112,7 @@ def bigram_perplexity(df: DataFrame, key: str | list[str], text: str = "text", m
         "prev", "w", "c_bw", F.when(F.col("w").isNotNull(), -F.log((F.col("c_bw") + 1) / (F.col("c_prev") + vocab))).alias("nll")).where("w is not null"), "bigram-scores")
     found = _look_up(occ, scored, ["prev", "w"], "nll", "c_bw", keys)
     mean = F.sum(F.col("nll") * F.col("k")) / F.sum(F.when(F.col("w").isNotNull(), F.col("k")))
-    return found.groupBy(*keys).agg(F.coalesce(F.exp(mean), F.lit(0.0)).alias("perplexity"))
+    return found.groupBy(*keys).agg(F.coalesce(F.exp(mean), F.lit(0.0)).alias("perplexity")).select(*_named(keys, names), "perplexity")
 
 
 def stylometric_features(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
@@ -145,10 +155,11 @@ def token_ids(df: DataFrame, key: str | list[str], cleaned: str, vocab: DataFram
 def ids_from_tokens(toks: DataFrame, key: str | list[str], vocab: DataFrame, max_len: int = config.MAX_SEQUENCE_TOKENS,
                     col: str = "tokens") -> DataFrame:
     """(key, sequences array<array<int>>): every token of the text, in sequences of ``max_len`` ids."""
-    keys, body = _keys(key), max_len - 2
+    names, body = _keys(key), max_len - 2
+    keys = _own(names)
     places = F.sort_array(F.transform(F.col(col), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     distinct = _runs(places, lambda x: x["w"], lambda x, run: F.struct(x["w"].alias("word"), F.transform(run, lambda y: y["i"]).alias("at")))
-    rows = toks.select(*keys, F.explode_outer(distinct).alias("d")).select(*keys, "d.word", "d.at")
+    rows = toks.select(*_named(names, keys), F.explode_outer(distinct).alias("d")).select(*keys, "d.word", "d.at")
     looked = _look_up(rows, vocab, ["word"], "id", "cnt", keys)
     per = looked.groupBy(*keys).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("d"))
     flat = F.sort_array(F.flatten(F.transform("d", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("id"))))))
@@ -156,7 +167,7 @@ def ids_from_tokens(toks: DataFrame, key: str | list[str], vocab: DataFrame, max
     number = lambda s: F.greatest(F.ceil(F.size(s) / body), F.lit(1)).cast("int")
     cut = F.transform(F.array(ids), lambda s: F.transform(F.sequence(F.lit(0), number(s) - 1), lambda k: F.concat(
         F.array(F.lit(CLS)), F.slice(s, k * body + 1, F.lit(body)), F.array(F.lit(SEP)))))[0]
-    return per.select(*keys, cut.alias("sequences"))
+    return per.select(*_named(keys, names), cut.alias("sequences"))
 
 
 def pad_batches(ids: DataFrame, key: str | list[str], batch_size: int = config.ENCODER_BATCH_SIZE,

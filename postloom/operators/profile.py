@@ -75,8 +75,8 @@ def length_stats(df: DataFrame, key: str = "platform", col: str = "text", approx
 def pool_profile(pool: DataFrame, min_len: int, max_len: int, key: str = "platform",
                  col: str = "text", approx: bool = False) -> DataFrame:
     """Valid-pool metadata as one row (A8): total, map key -> count, length stats,
-    filter settings.  Both parts are single-row aggregates; the per-key map
-    collects one entry per key (a closed set of platforms)."""
+    filter settings.  The per-key map, one entry per platform of the table, comes in
+    as a scalar subquery."""
     n = F.length(F.col(col)).cast("long")
     stats = pool.select(n.alias("__len")).agg(
         F.count(F.lit(1)).alias("total_samples"),
@@ -84,12 +84,12 @@ def pool_profile(pool: DataFrame, min_len: int, max_len: int, key: str = "platfo
         _median(F.col("__len"), approx).alias("median"),
         F.min("__len").alias("min"),
         F.max("__len").alias("max"),
-    ).withColumn("__k", F.lit(1))
+    )
     per_key = pool.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("n"))))).alias("platforms")
-    ).withColumn("__k", F.lit(1))
-    return stats.join(per_key, "__k").select(
-        "total_samples", "platforms",
+    ).scalar()
+    return stats.select(
+        "total_samples", per_key.alias("platforms"),
         F.lit(min_len).alias("min_length"), F.lit(max_len).alias("max_length"),
         F.struct("mean", "median", "min", "max").alias("length_stats"),
         F.struct(F.lit(min_len).alias("min_text_length"), F.lit(max_len).alias("max_text_length"),

@@ -240,7 +240,8 @@ def request_examples(requests: DataFrame, posts: DataFrame, seed: str, key: str
     r = requests.select("request_id", "platform", "n_examples").join(sizes, "platform")
     q_s = F.least(F.greatest(F.lit(1), F.floor(n * 3 / 10).cast("long")), F.col("B_s"))
     q_m = F.least(F.greatest(F.lit(1), F.floor(n * 4 / 10).cast("long")), F.col("B_m"))
-    r = r.withColumn("q_s", q_s).withColumn("q_m", q_m).withColumn("q_l", F.least(n - F.col("q_s") - F.col("q_m"), F.col("B_l")))
+    # a request for fewer posts than the quotas' minimum takes no more than it asks for
+    r = r.withColumn("q_s", F.least(q_s, n)).withColumn("q_m", F.least(q_m, n - F.col("q_s"))).withColumn("q_l", F.least(n - F.col("q_s") - F.col("q_m"), F.col("B_l")))
     r = r.withColumn("want", F.least(n.cast("long"), F.col("P"))).withColumn("need", F.col("want") - F.col("q_s") - F.col("q_m") - F.col("q_l"))
 
     def walk(x: DataFrame, q: str, size: str, bucket: Column) -> DataFrame:

@@ -90,7 +90,7 @@ def test_cost_and_default_price(spark):
 def test_running_totals_monotone_and_exact(spark):
     rows = [(i % 3, i, float(i % 7) / 10) for i in range(600)]
     df = spark.createDataFrame(rows, "run int, seq0 int, cost double")
-    r = LG.running_totals(df, ["run"], ["seq0"], F.floor(F.col("seq0") / 50), {"cum": LG.money("cost")})
+    r = LG.running_totals(df, ["run"], ["seq0"], {"cum": LG.money("cost")}, rows=50)
     got = sorted((x.run, x.seq, float(x.cum)) for x in r.collect())
     for run in range(3):
         mine = [g for g in got if g[0] == run]
@@ -148,3 +148,42 @@ def test_request_examples_without_replacement(spark):
     assert all(r.n == r.d for r in per)
     want = {i: 8 + i % 8 for i in range(50)}
     assert all(r.n == want[r.request_id] for r in per)
+
+
+def test_requests_get_all_examples_that_the_pool_has(spark):
+    """Any platform of the table is chosen; short buckets are filled up from the pool, without repeats."""
+    posts = spark.createDataFrame([("threads" if i % 2 else "bluesky", str(i), "x" * (5 + i % 9 if i < 40 else 4000), False) for i in range(60)],
+                                  "platform string, post_id string, text string, has_media boolean")
+    counts = posts.groupBy("platform").count().withColumnRenamed("count", "n")
+    req = SA.choose_platform(spark.range(300).withColumnRenamed("id", "request_id"), counts, "3")
+    assert {r.platform for r in req.select("platform").distinct().collect()} == {"threads", "bluesky"}
+    req = req.withColumn("n_examples", (F.col("request_id") % 40).cast("int"))
+    got = SA.request_examples(req, posts, "3").groupBy("request_id").agg(F.count("*").alias("n"), F.countDistinct("post_id").alias("d")).collect()
+    pool = {r.platform: r.n for r in counts.collect()}
+    want = {r.request_id: min(r.n_examples, pool[r.platform]) for r in req.collect()}
+    assert {r.request_id: r.n for r in got} == {k: v for k, v in want.items() if v} and all(r.n == r.d for r in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 7, 20])
+def test_split_of_few_rows(spark, n):
+    s = SA.split_exact(spark.range(n).withColumnRenamed("id", "k"), ["k"], "42")
+    rest = -(-3 * n // 10)
+    want = {"train": n - rest, "val": rest - (rest + 1) // 2, "test": (rest + 1) // 2}
+    assert {r.split_group: r["count"] for r in s.groupBy("split_group").count().collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_last_of_repeated_keys_counts(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "x", 2), (2, "y", 1), (3, "p", 5), (3, "q", 7)], "k int, v string, at int")
+    for out in (TB.upsert(stored, new, ["k"], ["at"]), TB.latest_wins(stored, new, ["k"], ["at"]), TB.writeback(stored.union(spark.createDataFrame([(3, "c")], "k int, v string")), new, ["k"], ["v"], ["at"])):
+        assert sorted(tuple(r) for r in out.select("k", "v").collect()) == [(1, "a"), (2, "x"), (3, "q")]
+    flags = TB.with_inserted_flag(new, stored, ["k"], ["at"]).collect()
+    assert sorted((r.k, r.at, r.inserted) for r in flags) == [(2, 1, False), (2, 2, False), (3, 5, True), (3, 7, False)]
+
+
+def test_scratch_is_released(spark):
+    from postloom.session import exists, materialize, release_scratch
+
+    df = materialize(spark.range(3), "t-release")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert exists(spark, path) and release_scratch(spark) > 0 and not exists(spark, path)

@@ -3,6 +3,7 @@ plans avoid a window over the whole hot key where the design says so."""
 
 from pyspark.sql import functions as F
 
+from postloom.operators import features as FE
 from postloom.operators import ledger as LG
 from postloom.operators import sampling as SA
 from postloom.operators import tables as TB
@@ -33,13 +34,13 @@ def test_exact_rank_on_hot_key_is_complete(spark):
     assert "Window [row_number()" in _plan(r) and "__blk" in _plan(r)
 
 
-def test_first_wins_keeps_one_row_per_key_without_window(spark):
+def test_first_wins_sends_one_row_per_key_and_task(spark):
     df = _skewed(spark).withColumn("k", F.when(F.col("platform") == "hot", F.lit("hot")).otherwise(F.col("post_id")))
     out = TB.first_wins(df, ["k"], ["ts_s", "post_id"])
     assert out.count() == 20001
     assert out.filter(F.col("k") == "hot").first()["ts_s"] == 0
     plan = _plan(out)
-    assert "Window" not in plan and "partial_min_by" in plan
+    assert "row_number(), 1, Partial" in plan  # the limit stands before the exchange
 
 
 def test_top_k_and_running_totals_on_hot_key(spark):
@@ -47,8 +48,39 @@ def test_top_k_and_running_totals_on_hot_key(spark):
     top = WN.newest_per_key(df, ["platform"], 3, ts="ts_s", tie="post_id")
     assert top.filter(F.col("platform") == "hot").count() == 3
     assert "WindowGroupLimit" in _plan(top)
-    run = LG.running_totals(df, ["platform"], ["ts_s", "post_id"], F.floor(F.col("ts_s") / 10),
-                            {"cum": LG.money("cost")})
+    run = LG.running_totals(df, ["platform"], ["ts_s", "post_id"], {"cum": LG.money("cost")}, rows=1000)
     last = run.filter(F.col("platform") == "hot").agg(F.max("seq"), F.max("cum")).first()
     want = df.filter(F.col("platform") == "hot").agg(F.count("*"), F.sum("cost")).first()
     assert last[0] == want[0] and float(last[1]) == want[1]
+
+
+def test_blocks_of_running_totals_are_bounded(spark):
+    """One hour may hold all rows: blocks follow the rows, not the clock."""
+    df = spark.range(20000).select(F.lit("run").alias("r"), F.lit(0).alias("ts"), F.col("id"), F.lit(1.0).alias("cost"))
+    out = LG.running_totals(df, ["r"], ["ts", "id"], {"cum": LG.money("cost")}, rows=500)
+    assert out.where(F.col("seq") != F.col("id") + 1).count() == 0
+    widest = df.repartitionByRange(40, "r", "ts", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert widest < 4 * 500
+
+
+def test_hot_bigram_and_word(spark):
+    """One bigram is a third of all tokens and more: same values as brute force, and no token lost."""
+    import math
+    from collections import Counter
+
+    texts = {i: ("of the " * (200 + i) + f"w{i} w{i + 1}").strip() for i in range(30)} | {100: "", 101: "one", 102: None}
+    df = spark.createDataFrame(list(texts.items()), "k int, text string")
+    toks = {k: (t or "").split() for k, t in texts.items()}
+    uni = Counter(w for t in toks.values() for w in t)
+    bi = Counter(p for t in toks.values() for p in zip(t, t[1:], strict=False))
+    want = {k: math.exp(sum(-math.log((bi[p] + 1) / (uni[p[0]] + len(uni))) for p in zip(t, t[1:], strict=False)) / (len(t) - 1)) if len(t) > 1 else 0.0 for k, t in toks.items()}
+    got = {r.k: r.perplexity for r in FE.bigram_perplexity(df, "k").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    seqs = FE.token_ids(df, "k", "text", max_len=12).collect()
+    vocab = {}
+    for k, t in toks.items():
+        mine = sorted((r.seq_no, r.input_ids) for r in seqs if r.k == k)
+        assert [s for s, _ in mine] == list(range(max(1, -(-len(t) // 10)))) and all(x[0] == FE.CLS and x[-1] == FE.SEP and len(x) <= 12 for _, x in mine)
+        for w, i in zip(t, [i for _, x in mine for i in x[1:-1]], strict=True):
+            assert vocab.setdefault(w, i) == i
+    assert sorted(vocab.values()) == list(range(FE.FIRST_WORD_ID, FE.FIRST_WORD_ID + len(uni)))
