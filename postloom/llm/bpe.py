@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.words import chunks
+from postloom.llm.words import chunks, texts_of
 
 KNOWN_WORDS = 1 << 17  # words kept with their ids in a task; all are forgotten when the table is full
 _WIDE = regex.compile("[^\\x00-\\u02ff]")
@@ -46,8 +46,7 @@ def byte_symbols() -> list[str]:
 
 class Bpe:
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
+        self.source, self._library = source, None
         spec = json.loads(source)
         model = spec["model"]
         self.vocab: dict[str, int] = dict(model["vocab"])
@@ -61,7 +60,6 @@ class Bpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order  # a pair's place in the file is its rank
         self.merged = np.array([self.vocab[a + b] for a, b in pairs], np.int64)  # by rank
-        self.library = Tokenizer.from_str(source)
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         symbols = byte_symbols()
@@ -70,6 +68,15 @@ class Bpe:
         self.of_symbol = {s: bytes([b]) for b, s in enumerate(symbols)}
         self.known: dict[str, tuple[str, str, int]] = {}
 
+    @property
+    def library(self):
+        """The library's own tokenizer, loaded when the first text needs its normalizer."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.source)
+        return self._library
+
     def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each piece (a word's bytes)."""
         size = np.array([len(p) for p in pieces])
@@ -136,10 +143,8 @@ def _run(source, digest: bool, keep: list[str]):
         key = hashlib.sha256(source.value.encode()).hexdigest()
         bpe = _loaded.get(key) or _loaded.setdefault(key, Bpe(source.value))  # once per worker, not per task
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            at = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64)
-            for i, j in chunks(at, 1 << 20):
-                rows = bpe.encode([t or "" for t in texts[i:j]])
+            for i, j in chunks(texts_of(batch["text"])[1], 1 << 20):
+                rows = bpe.encode([t or "" for t in batch["text"][i:j].to_pylist()])
                 ids = [" ".join([w[0] for w in r]) for r in rows]
                 tokens = [" ".join([w[1] for w in r]) for r in rows]
                 count = [sum([w[2] for w in r]) for r in rows]

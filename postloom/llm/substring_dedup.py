@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from postloom.llm.words import expand, mix, squeeze, texts_of, chunks, split_words, windows, word_chunks
 
 WINDOW = 20
+RUN_BYTES = 2 << 20  # texts whose windows are settled together before the shuffle
 NULL_ID = -(1 << 63)
 _SENT = "bucket int, docs binary, tags binary, counts binary, starts binary, hashes binary"
 
@@ -97,7 +98,7 @@ def _map_windows(size: int, n: int):
             order = np.lexsort((batch["tag"].to_numpy(), batch["key"].to_numpy()))
             batch = batch.take(pa.array(order))
             keys, tags = batch["key"].to_numpy(), batch["tag"].to_numpy().astype(np.int64)
-            for i, j, words in word_chunks(batch["text"]):
+            for i, j, words in word_chunks(batch["text"], RUN_BYTES):
                 doc, start, h = windows(words, words.hashes(), size)
                 if not len(h):
                     continue

@@ -18,7 +18,7 @@ import zstandard
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-CHUNK_BYTES = 2 << 20  # texts are worked on in runs of about this many bytes (one text at least)
+CHUNK_BYTES = 1 << 20  # texts are worked on in runs of about this many bytes (one text at least)
 
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
