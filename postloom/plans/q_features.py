@@ -10,7 +10,7 @@ from postloom.functions import stylometry as ST
 from postloom.operators import features as FE
 from postloom.operators import sampling as SA
 from postloom.plans import sqlfrag as S
-from postloom.plans.registry import query, table
+from postloom.plans.registry import query, spread, table
 from postloom.plans.views import posts, with_posts
 from postloom.session import materialize
 
@@ -54,7 +54,7 @@ PPL_SQL = ppl_sql()
 
 @query("perplexity_bigram", "F4", f"WITH {PPL_SQL.lstrip(', ')} SELECT doc_id, round(perplexity, 6) AS perplexity FROM ppl")
 def perplexity_bigram(spark, d):
-    p = FE.bigram_perplexity(table(spark, d, "documents"), "doc_id")
+    p = FE.bigram_perplexity(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
     return p.select("doc_id", F.round("perplexity", 6).alias("perplexity"))
 
 
@@ -76,7 +76,7 @@ SELECT d.doc_id, sp.split_group, 0 AS label, round(ppl.perplexity, 6) AS perplex
   round({S.lexical_diversity('d.text')}, 6) AS lexical_diversity
 FROM documents d JOIN ppl USING (doc_id) JOIN sp USING (doc_id)""")
 def feature_table(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     split = SA.split_exact(docs.filter(F.col("text").isNotNull()), ["doc_id"], "42")
     clean = materialize(split.filter(F.length(FE.T.clean_text("text")) > 0), "raw-track")
     out = FE.stylometric_features(clean, "doc_id").join(clean.select("doc_id", "split_group"), "doc_id")
@@ -97,7 +97,7 @@ TOK_SQL = f""", c AS (SELECT doc_id, {S.clean('text')} AS ct FROM documents),
 
 
 def _doc_ids(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", FE.T.clean_text("text").alias("ct"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", FE.T.clean_text("text").alias("ct"))
     return FE.token_ids(materialize(docs, "cleaned-texts"), "doc_id", "ct")
 
 
@@ -131,7 +131,7 @@ DIM = 8
 SELECT doc_id, {', '.join(f'round(CASE WHEN norm = 0 THEN c[{i + 1}] ELSE c[{i + 1}] / norm END, 6) AS e{i}' for i in range(DIM))}
 FROM nn""")
 def hashed_embedding(spark, d):
-    docs = table(spark, d, "documents").withColumn("ct", FE.T.clean_text("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("ct", FE.T.clean_text("text"))
     e = FE.hashed_embedding(docs, "doc_id", "ct", dim=DIM)
     return e.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(f"e{i}") for i in range(DIM)])
 
@@ -149,7 +149,7 @@ SELECT platform, post_id, split_group, 0 AS label, 'human_written' AS category,
   CAST(len(t) + 2 * ((len(t) + 509) // 510) AS BIGINT) AS n_ids, CAST(s + 5 * ((len(t) + 509) // 510) AS BIGINT) AS sum_ids
 FROM tk JOIN total USING (platform, post_id)"""))
 def clean_track(spark, d):
-    t = FE.clean_track(posts(spark, d), ["platform", "post_id"])
+    t = FE.clean_track(spread(posts(spark, d)), ["platform", "post_id"])
     flat = F.flatten("input_ids")
     return t.select("platform", "post_id", "split_group", "label", "category", "cleaned_text", F.size(flat).cast("long").alias("n_ids"),
                     F.aggregate(flat, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))

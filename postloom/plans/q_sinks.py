@@ -10,7 +10,7 @@ from postloom.operators import sampling as SA
 from postloom.plans.q_profile import P2_SQL
 from postloom.plans import sqlfrag as S
 from postloom.plans.q_sampling import PLAN_SQL, _md5
-from postloom.plans.registry import query, table
+from postloom.plans.registry import query, spread, table
 from postloom.plans.views import posts, with_posts
 from postloom.session import scratch_path
 from postloom.sources import payloads as PL
@@ -80,7 +80,7 @@ def cleaned_scan(spark, d):
     from postloom.operators.features import clean_track
 
     path = scratch_path(spark, "cleaned-posts")
-    clean_track(posts(spark, d), ["platform", "post_id"]).write.mode("overwrite").parquet(path)
+    clean_track(spread(posts(spark, d)), ["platform", "post_id"]).write.mode("overwrite").parquet(path)
     scanned = PL.scan_cleaned(spark, path)  # projected scan, NULL text dropped
     return scanned.groupBy("split_group", "label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -52,3 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if n > 0 and name in TEXT_TABLES:
         df = df.repartition(n)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For heavy work on whole texts: a scan with fewer partitions than the cluster has cores (a
+    small file of one row group) is dealt out to all of them; any larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
