@@ -15,10 +15,10 @@ bucket with probability 0.99993.  In each bucket all members are compared with o
 the member that meets most others in all its buckets; so a group of copies costs one
 comparison per member and bucket, not one per pair.  Members that fail against their leader
 are compared with each other (inside tasks, by signature, then by multiset, and only while
-they are not yet connected); buckets with more than ``GROUP`` such members are first cut by
-further slots, four ways each, so no task holds a large group.  A link is made only if
-2 * the multiset overlap shows a weighted Jaccard similarity of ``SIMILARITY`` or more.
-Components of the links are the classes.
+they are not yet connected); more than ``GROUP`` such members of a bucket are dealt into blocks,
+and every block meets every other in a task of its own, so no task holds a large group and no
+pair is lost.  A link is made only if the multiset overlap shows a weighted Jaccard similarity
+of ``SIMILARITY`` or more.  Components of the links are the classes.
 
 What leaves the first map is a signature row per text; texts are read again only for members
 of buckets.  That list is counted: up to ``BROADCAST_ROWS`` it is broadcast as a filter, beyond
@@ -190,29 +190,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(linked, pa.bool_())})
 
 
-def _alike(signature: np.ndarray) -> np.ndarray:
-    """Pairs (i < j) of rows whose signatures may belong to linked texts, most alike first."""
-    n, out = len(signature), []
-    block = max(1, (16 << 20) // max(1, n * SLOTS))
-    for i in range(0, n, block):
-        same = (signature[i : i + block, None, :] == signature[None, :, :]).sum(2)
+def _alike(table: pa.Table) -> np.ndarray:
+    """Pairs of rows of one piece whose signatures may belong to linked texts, most alike first."""
+    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SLOTS)
+    side = table["side"].to_numpy()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    x, y = np.ascontiguousarray(signature[left].T), np.ascontiguousarray(signature[right].T)
+    out, block = [np.zeros((0, 3), np.int64)], max(1, (1 << 18) // max(1, len(right)))
+    for i in range(0, len(left), block):
+        same = np.zeros((len(left[i : i + block]), len(right)), np.uint8)
+        for k in range(SLOTS):
+            same += x[k, i : i + block, None] == y[k]
         a, b = np.nonzero(same >= (SIMILARITY - _LOOKS) * SLOTS)
-        keep = a + i < b
-        out.append(np.stack([same[a[keep], b[keep]], a[keep] + i, b[keep]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        found = np.stack([same[a, b].astype(np.int64), left[i + a], right[b]], 1)
+        out.append(found[(side[found[:, 1]] != 2) | (found[:, 1] < found[:, 2])])  # a block with itself: each pair once
+    pairs = np.concatenate(out)
     return pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:]
 
 
 def _partners(table: pa.Table) -> pa.Table:
-    """Members of one group that have a partner by signature."""
-    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SLOTS)
-    keep = np.unique(_alike(signature))
-    return table.select(["bucket", "node", "signature"]).take(pa.array(keep))
+    """Members of one piece that have a partner by signature."""
+    return table.take(pa.array(np.unique(_alike(table))))
 
 
 def _connect(table: pa.Table) -> pa.Table:
-    """Links inside one group: multisets are compared only while the two are not connected yet."""
-    signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SLOTS)
+    """Links inside one piece: multisets are compared only while the two are not connected yet."""
     bags, node = table["bag"].to_pylist(), table["node"].to_numpy()
     parent = list(range(len(node)))
 
@@ -223,7 +225,7 @@ def _connect(table: pa.Table) -> pa.Table:
         return x
 
     links = []
-    for i, j in _alike(signature).tolist():
+    for i, j in _alike(table).tolist():
         a, b = root(i), root(j)
         if a != b and overlap(bags[i], bags[j]) >= SIMILARITY:
             parent[a] = b
@@ -231,22 +233,21 @@ def _connect(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _small_groups(failed: DataFrame) -> DataFrame:
-    """(bucket, node, signature) in groups of ``GROUP`` at most where the signatures allow it: a larger
-    group is cut four ways by three further slots each, again and again until the slots are used up."""
-    done, level = None, 0
-    while True:
-        size = failed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        sized = materialize(failed.join(size, "bucket"), "groups")
-        small = sized.where((F.col("n") <= GROUP) if level < SLOTS // 12 else F.lit(True)).select("bucket", "node", "signature")
-        done = small if done is None else done.union(small)
-        large = sized.where(F.col("n") > GROUP)
-        if level >= SLOTS // 12 or large.isEmpty():
-            return done
-        slots = [[(level * 12 + way * 3 + k) for k in range(3)] for way in range(4)]
-        keys = [F.xxhash64("bucket", F.lit(way), *[F.substring("signature", 2 * s + 1, 2) for s in three]) for way, three in enumerate(slots)]
-        failed = large.select(F.explode(F.array(*keys)).alias("bucket"), "node", "signature")
-        level += 1
+PIECE = "bucket long, left int, right int, side int, node long, signature binary"
+
+
+def _pieces(members: DataFrame) -> DataFrame:
+    """``PIECE`` rows: groups of ``GROUP`` members at most stay whole; the members of a larger one are
+    dealt into blocks of half that size, and each block meets itself and every other in a piece of its
+    own, so every pair meets in one piece.  ``side``: 0 left block, 1 right block, 2 a block with itself."""
+    size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = materialize(members.join(size, "bucket"), "groups")
+    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / max(1, GROUP // 2))).otherwise(1).cast("int")
+    dealt = sized.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("met")
+    return dealt.select("bucket", "node", "signature", "own", met).select(
+        "bucket", F.least("own", "met").alias("left"), F.greatest("own", "met").alias("right"),
+        F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1).alias("side"), "node", "signature")
 
 
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -279,9 +280,9 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
     lost = starred.join(judged.where(~F.col("linked")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_semi")
     failed = lost.select("bucket", "node").join(nodes.select("node", "signature"), "node")
-    groups = _small_groups(failed.select("bucket", "node", "signature"))
-    partners = groups.groupBy("bucket").applyInArrow(_partners, "bucket long, node long, signature binary")
-    connected = partners.join(bags, "node").groupBy("bucket").applyInArrow(_connect, "a long, b long")
+    pieces = _pieces(failed.select("bucket", "node", "signature"))
+    partners = pieces.groupBy("bucket", "left", "right").applyInArrow(_partners, PIECE)
+    connected = partners.join(bags, "node").groupBy("bucket", "left", "right").applyInArrow(_connect, "a long, b long")
     return judged.where("linked").select("a", "b").union(connected)
 
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.llm import near_dedup
 from postloom.llm.components import components
@@ -122,3 +123,27 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert got == label
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_groups_lose_no_pair(spark, rows_of, monkeypatch):
+    """Pairs under one template that meet in one bucket only, where no leader is near to them."""
+    monkeypatch.setattr(near_dedup, "GROUP", 30)
+    rows, template = [], prose(1, 200).split()
+    for k in range(120):
+        r = random.Random(50 + k)
+        own = list(template)
+        at = r.sample(range(5, 195, 5), 8)
+        for x in at[:5]:
+            own[x] = f"own{k}x{x}"
+        rows.append((2 * k, " ".join(own)))
+        for x in at[5:]:
+            own[x] = f"new{k}x{x}"
+        rows.append((2 * k + 1, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = near_dedup.signatures(df).withColumn("bands", F.array(F.lit(1).cast("long"))).localCheckpoint()
+    name = {r.node: r.doc_id for r in signed.collect()}
+    label = {name[r.node]: name[r.label] for r in components(near_dedup.links(signed, df)).collect()}
+    got = [label.get(i, i) for i, _ in rows]
+    want = {i: c for i, c, _ in brute(rows)}
+    smallest = {c: min(i for (i, _), d in zip(rows, got) if d == c) for c in got}
+    assert [smallest[c] for c in got] == [want[i] for i, _ in rows]
