@@ -13,12 +13,14 @@ Linking: texts with the same words collapse first (pre-aggregation; a group of e
 is one row from there on).  ``BANDS`` bands of ``ROWS`` slots make buckets; a pair at 0.8 shares a
 bucket with probability 0.99993.  In each bucket all members are compared with one leader,
 the member that meets most others in all its buckets; so a group of copies costs one
-comparison per member and bucket, not one per pair.  Members that fail against their leader
-are compared with each other (inside tasks, by signature, then by multiset, and only while
-they are not yet connected); more than ``GROUP`` such members of a bucket are dealt into blocks,
-and every block meets every other in a task of its own, so no task holds a large group and no
-pair is lost.  A link is made only if the multiset overlap shows a weighted Jaccard similarity
-of ``SIMILARITY`` or more.  Components of the links are the classes.
+comparison per member and bucket, not one per pair.  The links found give components; then, in
+each bucket, all members that are still of different components are compared with each other,
+whether linked to the leader or not (inside tasks, each pair in the first bucket it shares, by
+signature, then by multiset, and only while the two are not yet connected).  So each pair that
+shares a bucket is verified, ruled out by signature, or already connected.  More than ``GROUP``
+members of such a bucket are dealt into blocks that meet each other in tasks of their own, so no
+task holds a large group and no pair is lost.  A link is made only if the multiset overlap shows
+a weighted Jaccard similarity of ``SIMILARITY`` or more.  Components of the links are the classes.
 
 What leaves the first map is a signature row per text; texts are read again only for members
 of buckets.  That list is counted: up to ``BROADCAST_ROWS`` it is broadcast as a filter, beyond
@@ -190,10 +192,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(linked, pa.bool_())})
 
 
+def _first_bucket(bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first bucket that rows ``a`` and ``b`` share, pair by pair."""
+    return bands[a, (bands[a] == bands[b]).argmax(1)]
+
+
 def _alike(table: pa.Table) -> np.ndarray:
-    """Pairs of rows of one piece whose signatures may belong to linked texts, most alike first."""
+    """Pairs of rows of one piece whose signatures may belong to linked texts, most alike first: not those of
+    one label, and those that share more buckets only in the first of them."""
     signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SLOTS)
-    side = table["side"].to_numpy()
+    side, label, bucket = (table[c].to_numpy() for c in ("side", "label", "bucket"))
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     x, y = np.ascontiguousarray(signature[left].T), np.ascontiguousarray(signature[right].T)
     out, block = [np.zeros((0, 3), np.int64)], max(1, (1 << 18) // max(1, len(right)))
@@ -201,9 +210,11 @@ def _alike(table: pa.Table) -> np.ndarray:
         same = np.zeros((len(left[i : i + block]), len(right)), np.uint8)
         for k in range(SLOTS):
             same += x[k, i : i + block, None] == y[k]
-        a, b = np.nonzero(same >= (SIMILARITY - _LOOKS) * SLOTS)
+        a, b = np.nonzero((same >= (SIMILARITY - _LOOKS) * SLOTS) & (label[left[i : i + block], None] != label[right]))
         found = np.stack([same[a, b].astype(np.int64), left[i + a], right[b]], 1)
-        out.append(found[(side[found[:, 1]] != 2) | (found[:, 1] < found[:, 2])])  # a block with itself: each pair once
+        found = found[(side[found[:, 1]] != 2) | (found[:, 1] < found[:, 2])]  # a block with itself: each pair once
+        first = np.concatenate([_first_bucket(bands, found[k : k + 10000, 1], found[k : k + 10000, 2]) for k in range(0, len(found), 10000)] or [bucket[:0]])
+        out.append(found[first == bucket[found[:, 1]]])
     pairs = np.concatenate(out)
     return pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:]
 
@@ -216,7 +227,8 @@ def _partners(table: pa.Table) -> pa.Table:
 def _connect(table: pa.Table) -> pa.Table:
     """Links inside one piece: multisets are compared only while the two are not connected yet."""
     bags, node = table["bag"].to_pylist(), table["node"].to_numpy()
-    parent = list(range(len(node)))
+    _, first, which = np.unique(table["label"].to_numpy(), return_index=True, return_inverse=True)
+    parent = first[which].tolist()  # what has one label is connected
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -233,25 +245,33 @@ def _connect(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-PIECE = "bucket long, left int, right int, side int, node long, signature binary"
+PIECE = "bucket long, left int, right int, side int, node long, label long, bands array<long>, signature binary"
 
 
 def _pieces(members: DataFrame) -> DataFrame:
-    """``PIECE`` rows: groups of ``GROUP`` members at most stay whole; the members of a larger one are
-    dealt into blocks of half that size, and each block meets itself and every other in a piece of its
-    own, so every pair meets in one piece.  ``side``: 0 left block, 1 right block, 2 a block with itself."""
-    size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = materialize(members.join(size, "bucket"), "groups")
-    blocks = F.when(F.col("n") > GROUP, F.ceil(F.col("n") / max(1, GROUP // 2))).otherwise(1).cast("int")
-    dealt = sized.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
-    met = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("met")
-    return dealt.select("bucket", "node", "signature", "own", met).select(
+    """(bucket, left, right, side, node, label) of all members (bucket, node, label) of buckets with more than one label.
+
+    Groups of ``GROUP`` members at most stay whole.  A larger one is dealt into blocks of half that size,
+    the members of its most frequent label apart from the others; each block of the others meets
+    itself and all blocks in pieces of their own, so every pair of different labels meets in one piece.
+    ``side``: 0 left block, 1 right block, 2 a block with itself."""
+    labels = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    mixed = labels.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("n_labels"))
+    sized = materialize(members.join(mixed.where("n_labels > 1"), "bucket"), "groups")
+    half, small, other = max(1, GROUP // 2), F.col("n") <= GROUP, F.col("label") != F.col("most.label")
+    others, most = F.ceil((F.col("n") - F.col("most.n")) / half), F.ceil(F.col("most.n") / half)
+    hashed = F.xxhash64("node")
+    own = F.when(small, 0).when(other, F.pmod(hashed, others)).otherwise(others + F.pmod(hashed, most)).cast("int")
+    last = (F.when(small, 1).when(other, others + most).otherwise(others) - 1).cast("int")
+    dealt = sized.select("bucket", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("met"))
+    return dealt.select(
         "bucket", F.least("own", "met").alias("left"), F.greatest("own", "met").alias("right"),
-        F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1).alias("side"), "node", "signature")
+        F.when(F.col("own") == F.col("met"), 2).when(F.col("own") < F.col("met"), 0).otherwise(1).alias("side"), "node", "label")
 
 
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes; ``signed``: stored result of ``signatures(docs)``."""
+    """Links (a, b) between nodes, verified ones or from a node to its component of verified ones;
+    ``signed``: stored result of ``signatures(docs)``."""
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"),
                                                                 F.min(F.struct("doc_id", "tag")).alias("doc"))
     nodes = materialize(nodes, "nodes")
@@ -278,12 +298,13 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = starred.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     judged = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long, linked boolean"), "judged")
 
-    lost = starred.join(judged.where(~F.col("linked")), (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_semi")
-    failed = lost.select("bucket", "node").join(nodes.select("node", "signature"), "node")
-    pieces = _pieces(failed.select("bucket", "node", "signature"))
-    partners = pieces.groupBy("bucket", "left", "right").applyInArrow(_partners, PIECE)
+    # what the leaders left apart: in each bucket, members of different components are compared
+    stars = materialize(components(judged.where("linked").select("a", "b")), "star-labels")
+    labelled = starred.select("bucket", "node").join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pieces = _pieces(labelled).join(nodes.select("node", "bands", "signature"), "node").select(*[c.split()[0] for c in PIECE.split(", ")])
+    partners = materialize(pieces.groupBy("bucket", "left", "right").applyInArrow(_partners, PIECE), "partners")
     connected = partners.join(bags, "node").groupBy("bucket", "left", "right").applyInArrow(_connect, "a long, b long")
-    return judged.where("linked").select("a", "b").union(connected)
+    return stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(connected)
 
 
 def _labelled(docs: DataFrame) -> DataFrame:

@@ -139,11 +139,32 @@ def test_large_groups_lose_no_pair(spark, rows_of, monkeypatch):
         for x in at[5:]:
             own[x] = f"new{k}x{x}"
         rows.append((2 * k + 1, " ".join(own)))
+    assert in_one_bucket(spark, rows) == [min(r) for r in brute_ids(rows)]
+
+
+def test_peripheral_copies_stay_in_their_class(spark):
+    """Long chains of versions in one bucket: each is near to its neighbours only, one of them to the leader."""
+    rows = []
+    for g in range(5):
+        text = prose(6000 + g, 150)
+        for k in range(30):
+            rows.append((100 * g + k, text))
+            text = edited(text, 0.014, 80 * g + k)
+    assert {n for _, _, n in brute(rows)} == {30}
+    assert in_one_bucket(spark, rows) == [min(r) for r in brute_ids(rows)]
+
+
+def brute_ids(rows):
+    """For each row the ids of its class; ids are distinct."""
+    label = {i: c for i, c, _ in brute(rows)}
+    return [[j for j, _ in rows if label[j] == label[i]] for i, _ in rows]
+
+
+def in_one_bucket(spark, rows):
+    """For each row the smallest id of its class, if all texts share one bucket and no other."""
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     signed = near_dedup.signatures(df).withColumn("bands", F.array(F.lit(1).cast("long"))).localCheckpoint()
     name = {r.node: r.doc_id for r in signed.collect()}
     label = {name[r.node]: name[r.label] for r in components(near_dedup.links(signed, df)).collect()}
-    got = [label.get(i, i) for i, _ in rows]
-    want = {i: c for i, c, _ in brute(rows)}
-    smallest = {c: min(i for (i, _), d in zip(rows, got) if d == c) for c in got}
-    assert [smallest[c] for c in got] == [want[i] for i, _ in rows]
+    found = [label.get(i, i) for i, _ in rows]
+    return [min(i for (i, _), d in zip(rows, found, strict=True) if d == c) for c in found]
