@@ -2,8 +2,9 @@
 
 Method: the page becomes a tree; every paragraph passes points for its length and commas to
 its parent (whole) and the ancestors above (halves, then thirds and so on), a container's
-points are discounted by its link density, and the best container is kept together with
-siblings that score well or read like text.  Menus, headers, footers, sidebars, notices,
+points are discounted by its link density, and the best container (the article or main around
+it, if there is one) is kept together with siblings that score well or read like text.  Articles
+and mains start with more points than others and compete with all.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are taken out of the tree before, by element
 and by the words of class, id and role.
 
@@ -46,6 +47,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")  # mainNav names a nav as main-nav d
 _LAYOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]\S+", re.I)  # classes that only name what surrounds
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|post\w*|story|text)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+WHOLE = frozenset(("article", "main"))  # kept whole if they hold the best container
 KEEP_HEADER = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=[/A-Za-z!?])[^<]*$", re.S)
@@ -217,13 +219,13 @@ def link_density(node: Node) -> float:
 
 
 def _drop_link_lists(root: Node) -> None:
-    """Takes out unnamed menus: containers below ``root`` whose text is mostly links."""
+    """Takes out unnamed menus: containers below ``root``, outside inner articles, whose text is mostly links."""
     todo = [root]
     while todo:
         node = todo.pop()
         node.children = [c for c in node.children if isinstance(c, str) or not (
             c.tag in ("ul", "ol", "dl", "div", "section", "table") and c.text_len and link_density(c) > 0.7)]
-        todo += [c for c in node.children if isinstance(c, Node)]
+        todo += [c for c in node.children if isinstance(c, Node) and c.tag not in WHOLE]
 
 
 def _kept(root: Node) -> list[Node]:
@@ -231,31 +233,38 @@ def _kept(root: Node) -> list[Node]:
     scored = score(root)
     order = list(reversed(_post_order(root)))
     body = next((n for n in order if n.tag == "body"), root)
-    articles = [n for n in order if n.tag in ("article", "main") and n.text_len]
-    best = max(articles or scored, key=lambda n: n.points, default=None)
+    # without any points (short texts only) an article goes before the whole body
+    best = max(scored or [n for n in order if n.tag in WHOLE and n.text_len], key=lambda n: n.points, default=None)
     if best is None or best.tag in ("html", "#root"):
         _drop_link_lists(body)
         return [body]
-    if best.tag in ("ul", "ol", "dl", "table", "tbody", "tr", "p", "blockquote", "li") and best.parent is not None and best.parent.tag != "#root":
+    points, around = best.points, best
+    while around is not None and around.tag not in WHOLE:
+        around = around.parent
+    if around is not None:
+        best = around
+    elif best.tag in ("ul", "ol", "dl", "table", "tbody", "tr", "p", "blockquote", "li") and best.parent is not None and best.parent.tag != "#root":
         best = best.parent
-    if best.tag not in ("article", "main"):
-        _drop_link_lists(best if best.parent is None else best.parent)
+        points = best.points
+    points = max(points, best.points)
+    _drop_link_lists(best if best.parent is None else best.parent)
     if best.parent is None or best.tag == "body":
         return [best]
-    if best.tag in ("article", "main"):
-        alike = [n for n in articles if n.parent is best.parent and n.tag == best.tag and (n is best or n.points >= max(10, 0.2 * best.points))]
-        return [n for n in best.parent.children if isinstance(n, Node) and n in alike]
-    out = []
-    enough = max(0.2 * best.points, min(10, 0.6 * best.points))
+    out, headings = [], []
+    enough = max(0.2 * points, min(10, 0.6 * points))
     for n in best.parent.children:
         if not isinstance(n, Node):
             continue
-        bonus = 0.2 * best.points if n.hint and n.hint == best.hint else 0.0
+        bonus = 0.2 * points if n.hint and n.hint == best.hint else 0.0
         text = _own_text(n) if n.tag == "p" else ""
-        if n is best or n.has_points and n.points + bonus >= enough:
-            out.append(n)
-        elif n.tag in KEEP_HEADER and not out or n.tag == "p" and (len(text) > 80 and link_density(n) < 0.25 or text and link_density(n) == 0 and re.search(r"\.( |$)", text)):
-            out.append(n)
+        if n is best or n.has_points and n.points + bonus >= enough or n.tag in KEEP_HEADER and not out or n.tag == "p" and (
+                len(text) > 80 and link_density(n) < 0.25 or text and link_density(n) == 0 and re.search(r"\.( |$)", text)):
+            out += [*headings, n]
+            headings = []
+        elif n.tag in KEEP_HEADER:  # kept with what it heads
+            headings.append(n)
+        elif n.text_len:
+            headings = []
     return out
 
 

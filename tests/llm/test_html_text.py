@@ -41,6 +41,20 @@ def test_menus_without_a_name():
     assert main_text(f"<article><p>{P1}</p><ul><li><a href=/>a source</a></li></ul></article>") == f"{P1}\n\na source"
 
 
+def test_article_competes_with_other_containers():
+    long = "".join(f"<p>{P1}</p><p>{P2}</p>" for _ in range(10))
+    long_text = "\n\n".join([P1, P2_TEXT] * 10)
+    for teaser in ("<article>More</article>", f"<article><h2>Read on</h2><p>{P1}</p></article>"):
+        assert main_text(f"<body><div class='content'>{long}</div><div>{teaser}</div></body>") == long_text
+    assert main_text(f"<body><article>More</article><div class='content'>{long}</div></body>") == long_text
+    assert main_text(f"<body><article><div>{long}</div><ul><li>x</li></ul></article></body>") == f"{long_text}\n\nx"
+
+
+def test_siblings_of_an_article():
+    page = f"<body><h1>Head</h1><p>A lead, short.</p><article><p>{P1}</p></article><h2>Part two</h2><section><p>{P2}</p><p>{P2}</p></section><h2>Links</h2><div><a href=/>{P1}</a></div></body>"
+    assert main_text(page) == f"Head\n\nA lead, short.\n\n{P1}\n\nPart two\n\n{P2_TEXT}\n\n{P2_TEXT}"
+
+
 def test_query_shape(spark, rows_of):
     rows = [(1, "u", f"<article><p>{P1}</p></article>", 5), (1, "u", None, 6), (None, None, "", None), (2, "v", "<p>é</p>", 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
