@@ -18,7 +18,8 @@ only lets more false places through, which the exact join drops.
 
 Words are lower-cased runs of letters and digits, compared by 64-bit hashes of five.
 
-Edge cases: null or empty text holds nothing; items of fewer than five words match nothing;
+Edge cases: null or empty text holds nothing; an item of one to four words has one seed, all its
+words, and is leaked by each document that holds them in a row; an item without a word matches nothing;
 an empty benchmark leaks nowhere.  Rows that share a doc_id are told apart by their text;
 equal rows give one result row.  Null ids pass through.  Repeated item ids are told apart by
 their text, and the item with the best coverage is reported once per document and id.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.words import cuts, plain_word_chunks, windows
+from postloom.llm.words import Words, cuts, mix, plain_word_chunks, windows
 from postloom.session import materialize
 
 SEED = 5
@@ -44,11 +45,22 @@ BROADCAST_SEEDS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 
 
+def _short_windows(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of all runs of ``n`` words, 0 < n < SEED; their hashes differ from seeds'."""
+    doc, at, h = windows(words, hashes, n)
+    return doc, at, mix(h + np.uint64(n))
+
+
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per item: its number of words and its seeds in order."""
+    """One row per item: its number of words and its seeds in order (below ``SEED`` words: one of all words)."""
     for batch in batches:
         for i, j, words in plain_word_chunks(batch["text"]):
-            doc, _, h = windows(words, words.hashes(), SEED)
+            h = words.hashes()
+            found = [windows(words, h, SEED), *(_short_windows(words, h, n) for n in range(1, SEED))]
+            own = [np.ones(len(d), bool) if n == 0 else words.counts()[d] == n for n, (d, _, _) in enumerate(found)]
+            doc, h = (np.concatenate([x[c][keep] for x, keep in zip(found, own, strict=True)]) for c in (0, 2))
+            by = np.argsort(doc, kind="stable")
+            doc, h = doc[by], h[by]
             at = cuts(doc, j - i).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "item_id": batch["item_id"][i:j], "item_tag": batch["item_tag"][i:j], "n_item_words": pa.array(words.counts(), pa.int32()),
@@ -56,7 +68,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, item_tag, n_item_words, item_seeds; items without a seed are left out."""
+    """item_id, item_tag, n_item_words, item_seeds; items without a word are left out."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = benchmark.select("item_id", F.xxhash64("text").alias("item_tag"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_seed_rows, f"item_id {kind}, item_tag long, n_item_words int, item_seeds array<long>").where(F.size("item_seeds") > 0)
@@ -78,16 +90,29 @@ def bit_table(seeds: DataFrame, n_seeds: int) -> np.ndarray:
     return table
 
 
-def _keep_hits(table):
+def _keep_hits(table, short: list[int]):
+    """``short``: the lengths of the items below ``SEED`` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
         mask = np.uint64(len(held) * 64 - 1)
         for batch in batches:
             for i, j, words in plain_word_chunks(batch["text"]):
-                doc, at, h = windows(words, words.hashes(), SEED)
-                place = h & mask
-                hit = (held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                doc, at, h = doc[hit], at[hit], h[hit]
+                hashes, found = words.hashes(), []
+                for n in (SEED, *short):
+                    doc, at, h = windows(words, hashes, SEED) if n == SEED else _short_windows(words, hashes, n)
+                    place = h & mask
+                    hit = (held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    doc, at, h = doc[hit], at[hit], h[hit]
+                    if n != SEED and len(doc):  # one place of each tells that the text holds it
+                        by = np.lexsort((at, h, doc))
+                        by = by[np.r_[True, (np.diff(doc[by]) != 0) | (h[by][1:] != h[by][:-1])]]
+                        doc, at, h = doc[by], at[by], h[by]
+                    found.append((doc, at, h))
+                doc, at, h = found[0]
+                if len(found) > 1:
+                    doc, at, h = (np.concatenate([x[c] for x in found]) for c in range(3))
+                    by = np.lexsort((at, doc))
+                    doc, at, h = doc[by], at[by], h[by]
                 if not len(doc):
                     continue
                 some = np.unique(doc)
@@ -136,8 +161,8 @@ def tile(places: np.ndarray, seeds: np.ndarray, item_seeds: np.ndarray) -> tuple
 
 def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [tile(np.asarray(p, np.int64), np.asarray(s, np.int64), np.asarray(t, np.int64)) for p, s, t in zip(
-            batch["places"].to_pylist(), batch["seeds"].to_pylist(), batch["item_seeds"].to_pylist(), strict=True)]
+        out = [tile(np.asarray(p, np.int64), np.asarray(s, np.int64), np.asarray(t, np.int64)) if n >= SEED else (n, 1) if t[0] in s else (0, 0) for p, s, t, n in zip(
+            batch["places"].to_pylist(), batch["seeds"].to_pylist(), batch["item_seeds"].to_pylist(), batch["n_item_words"].to_pylist(), strict=True)]
         covered = np.array([c for c, _ in out], np.int64)
         words = batch["n_item_words"].to_numpy()
         yield pa.RecordBatch.from_pydict({
@@ -155,13 +180,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
     prefix = ranked.select("item_id", "item_tag", F.explode(F.array_distinct(F.transform(
         F.slice("r", F.lit(1), F.greatest(F.lit(1), F.size("r") - needed + 1)), lambda x: x["h"]))).alias("h"))
     prefix = materialize(prefix, "benchmark-seeds")
-    n_seeds = items.select(F.sum(F.size("item_seeds")).alias("n")).first()["n"] or 0
+    about = items.select(F.sum(F.size("item_seeds")).alias("n"), F.collect_set(F.when(F.col("n_item_words") < SEED, F.col("n_item_words"))).alias("short")).first()
+    n_seeds = about["n"] or 0
     table = docs.sparkSession.sparkContext.broadcast(bit_table(places.select("h"), n_seeds))
     small = (lambda df: F.broadcast(df)) if n_seeds <= BROADCAST_SEEDS else (lambda df: df)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    hits = materialize(texts.mapInArrow(_keep_hits(table), f"doc_id {kind}, tag long, places array<int>, seeds array<long>").dropDuplicates(["doc_id", "tag"]), "benchmark-hits")
+    hits = materialize(texts.mapInArrow(_keep_hits(table, sorted(about["short"])), f"doc_id {kind}, tag long, places array<int>, seeds array<long>").dropDuplicates(["doc_id", "tag"]), "benchmark-hits")
     keyed = hits.withColumn("row", F.xxhash64("doc_id", "tag"))
     candidates = keyed.select("row", F.explode(F.array_distinct("seeds")).alias("h")).join(small(prefix), "h").select("row", "item_id", "item_tag").distinct()
     pairs = candidates.join(keyed, "row").join(small(items.withColumn("item_key", F.xxhash64("item_id", "item_tag")).drop("item_id", "item_tag")),

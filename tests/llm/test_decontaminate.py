@@ -90,3 +90,14 @@ def test_edges(spark, edge_docs, no_docs, clashing_docs, rows_of):
     assert {r[0] for r in got} == {1, 2, None, 11, -5} and len(got) == 5
     assert remove_leaks(clashing_docs, b).columns == clashing_docs.columns
     assert remove_leaks(edge_docs, b.limit(0)).count() == edge_docs.count()
+
+
+def test_items_shorter_than_a_seed(spark, rows_of):
+    """An item of one to four words leaks where its words stand in a row."""
+    items = [(1, "Forty-two"), (2, "yes"), (3, "the blue whale swims"), (4, "..."), (5, prose(7, 20)), (6, "no such thing")]
+    docs = [(10, "It said: forty two! And FORTY two."), (11, "two forty"), (12, "oh yes"), (13, prose(7, 20) + " the blue whale, swims"),
+            (14, "the blue"), (15, "the blue fat whale swims"), (16, "Yes"), (17, ""), (18, None), (19, "yesterday " * 9)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(10, 1, 1, 2, 2, 1.0), (12, 2, 1, 1, 1, 1.0), (16, 2, 1, 1, 1, 1.0), (13, 3, 1, 4, 4, 1.0), (13, 5, 1, 20, 20, 1.0)], key=repr)
+    assert rows_of(leaks(d, b)) == want
+    assert sorted(r.doc_id for r in remove_leaks(d, b).collect()) == [11, 14, 15, 17, 18, 19]
