@@ -2,6 +2,7 @@
 whole table with production parameters."""
 
 from postloom.llm import (  # noqa: F401
+    queries_audit,
     queries_bpe,
     queries_chat,
     queries_decontaminate,
