@@ -7,7 +7,9 @@ from postloom.llm import (  # noqa: F401
     queries_chat,
     queries_decontaminate,
     queries_html,
+    queries_language,
     queries_near,
+    queries_negatives,
     queries_quality,
     queries_rules,
     queries_secrets,
