@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from postloom.llm.words import SPACES, Words, chunks, expand, split_words, squeeze, texts_of
 from postloom.session import materialize
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 HOT = 1000
 FILTERS = "ABCDE"
