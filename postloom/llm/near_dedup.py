@@ -13,8 +13,8 @@ Linking: texts with the same words collapse first (pre-aggregation; a group of e
 is one row from there on).  ``BANDS`` bands of ``ROWS`` slots make buckets; a pair at 0.8 shares a
 bucket with probability 0.99993.  In each bucket all members are compared with one leader,
 the member that meets most others in all its buckets; so a group of copies costs one
-comparison per member and bucket, not one per pair.  The links found give components; then, in
-each bucket, all members that are still of different components are compared with each other,
+comparison per member and bucket, not one per pair.  One round of star links labels what common
+leaders connect; then, in each bucket, all members that still have different labels are compared with each other,
 whether linked to the leader or not (inside tasks, each pair in the first bucket it shares, by
 signature, then by multiset, and only while the two are not yet connected).  So each pair that
 shares a bucket is verified, ruled out by signature, or already connected.  More than ``GROUP``
@@ -192,29 +192,33 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(linked, pa.bool_())})
 
 
-def _first_bucket(bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first bucket that rows ``a`` and ``b`` share, pair by pair."""
-    return bands[a, (bands[a] == bands[b]).argmax(1)]
-
-
 def _alike(table: pa.Table) -> np.ndarray:
     """Pairs of rows of one piece whose signatures may belong to linked texts, most alike first: not those of
-    one label, and those that share more buckets only in the first of them."""
+    one label, and those that share more buckets only in the first of them (which the bands tell before any
+    signature is read)."""
     signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(-1, SLOTS)
     side, label, bucket = (table[c].to_numpy() for c in ("side", "label", "bucket"))
     bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    x, y = np.ascontiguousarray(signature[left].T), np.ascontiguousarray(signature[right].T)
-    out, block = [np.zeros((0, 3), np.int64)], max(1, (1 << 18) // max(1, len(right)))
+    earlier = int((bands[0] == bucket[0]).argmax())  # the bands before this bucket's
+    x, y = np.ascontiguousarray(bands[left, :earlier].T), np.ascontiguousarray(bands[right, :earlier].T)
+    slots, others = np.ascontiguousarray(signature[left].T), np.ascontiguousarray(signature[right].T)
+    out, block, least = [np.zeros((0, 3), np.int64)], max(1, (1 << 18) // max(1, len(right))), (SIMILARITY - _LOOKS) * SLOTS
     for i in range(0, len(left), block):
-        same = np.zeros((len(left[i : i + block]), len(right)), np.uint8)
-        for k in range(SLOTS):
-            same += x[k, i : i + block, None] == y[k]
-        a, b = np.nonzero((same >= (SIMILARITY - _LOOKS) * SLOTS) & (label[left[i : i + block], None] != label[right]))
-        found = np.stack([same[a, b].astype(np.int64), left[i + a], right[b]], 1)
-        found = found[(side[found[:, 1]] != 2) | (found[:, 1] < found[:, 2])]  # a block with itself: each pair once
-        first = np.concatenate([_first_bucket(bands, found[k : k + 10000, 1], found[k : k + 10000, 2]) for k in range(0, len(found), 10000)] or [bucket[:0]])
-        out.append(found[first == bucket[found[:, 1]]])
+        own = left[i : i + block]
+        open_ = (label[own, None] != label[right]) & ((side[own, None] != 2) | (own[:, None] < right))  # a block with itself: each pair once
+        for k in range(earlier):
+            open_ &= x[k, i : i + block, None] != y[k]
+        a, b = np.nonzero(open_)
+        if len(a) * 4 < open_.size:
+            same = np.concatenate([(signature[own[a[k : k + 20000]]] == signature[right[b[k : k + 20000]]]).sum(1) for k in range(0, len(a), 20000)] or [a])
+        else:
+            dense = np.zeros(open_.shape, np.uint8)
+            for k in range(SLOTS):
+                dense += slots[k, i : i + block, None] == others[k]
+            same = dense[a, b].astype(np.int64)
+        some = same >= least
+        out.append(np.stack([same[some], own[a[some]], right[b[some]]], 1))
     pairs = np.concatenate(out)
     return pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:]
 
@@ -270,8 +274,7 @@ def _pieces(members: DataFrame) -> DataFrame:
 
 
 def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, verified ones or from a node to its component of verified ones;
-    ``signed``: stored result of ``signatures(docs)``."""
+    """Verified links (a, b) between nodes; ``signed``: stored result of ``signatures(docs)``."""
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"),
                                                                 F.min(F.struct("doc_id", "tag")).alias("doc"))
     nodes = materialize(nodes, "nodes")
@@ -298,13 +301,14 @@ def links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = starred.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     judged = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long, linked boolean"), "judged")
 
-    # what the leaders left apart: in each bucket, members of different components are compared
-    stars = materialize(components(judged.where("linked").select("a", "b")), "star-labels")
+    # what the leaders left apart: in each bucket, members that no common leader connects are compared
+    linked = judged.where("linked").select("a", "b")
+    stars = materialize(components(linked, rounds=1), "star-labels")
     labelled = starred.select("bucket", "node").join(stars, "node", "left").withColumn("label", F.coalesce("label", "node"))
     pieces = _pieces(labelled).join(nodes.select("node", "bands", "signature"), "node").select(*[c.split()[0] for c in PIECE.split(", ")])
     partners = materialize(pieces.groupBy("bucket", "left", "right").applyInArrow(_partners, PIECE), "partners")
     connected = partners.join(bags, "node").groupBy("bucket", "left", "right").applyInArrow(_connect, "a long, b long")
-    return stars.select(F.col("node").alias("a"), F.col("label").alias("b")).union(connected)
+    return linked.union(connected)
 
 
 def _labelled(docs: DataFrame) -> DataFrame:

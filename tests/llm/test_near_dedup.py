@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import near_dedup
 from postloom.llm.components import components
+from postloom.session import materialize
 from postloom.llm.near_dedup import bag_minhash, classes, deduplicate
 from postloom.llm.words import mix
 
@@ -163,7 +164,7 @@ def brute_ids(rows):
 def in_one_bucket(spark, rows):
     """For each row the smallest id of its class, if all texts share one bucket and no other."""
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    signed = near_dedup.signatures(df).withColumn("bands", F.array(F.lit(1).cast("long"))).localCheckpoint()
+    signed = materialize(near_dedup.signatures(df).withColumn("bands", F.array(F.lit(1).cast("long"))), "signed")
     name = {r.node: r.doc_id for r in signed.collect()}
     label = {name[r.node]: name[r.label] for r in components(near_dedup.links(signed, df)).collect()}
     found = [label.get(i, i) for i, _ in rows]
