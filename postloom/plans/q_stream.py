@@ -36,7 +36,7 @@ def store_of(spark, d) -> Store:
     key = (spark.sparkContext.applicationId, d)
     if key not in _stores or not exists(spark, _stores[key].root):
         root = scratch_path(spark, "stream")
-        store = Store(f"{root}/store")
+        store = Store(f"{root}/store", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
         for _ in range(2):
             landing = _land(spark, d, root)
             run_ingest(spark, landing, store, f"{root}/checkpoint", clock=lambda: INGEST)
@@ -97,4 +97,4 @@ def stream_rejects(spark, d):
 SELECT platform, query, arg_max(post_id, (ts, post_id)) AS last_post_id, epoch_us(max(ts)) AS last_us FROM timed GROUP BY platform, query""")
 def stream_cursors(spark, d):
     store = store_of(spark, d)
-    return cursors(spark, store, store.committed(spark)).select("platform", "query", "last_post_id", F.unix_micros("last_timestamp").alias("last_us"))
+    return cursors(spark, store).select("platform", "query", "last_post_id", F.unix_micros("last_timestamp").alias("last_us"))

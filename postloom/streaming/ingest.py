@@ -8,11 +8,21 @@ batch replaces its own output, a fresh checkpoint is a new run and replaces noth
 half-written batch is never read.  Only "no such folder" means "nothing stored yet"; any other
 fault of the store is raised.
 
-Times are taken per batch.  Duplicates are removed (1) inside the batch, first arrival wins,
-and (2) against every committed batch, by an anti join on (platform, post_id).  Posts are
-partitioned by platform and creation date, so that join reads the dates of the batch only;
-posts whose creation time had to be imputed lie in a partition of their own that is always
-read, and a batch that holds such posts reads all dates.
+What a batch needs of all batches before it does not grow with them:
+
+* Cursors and counters per (platform, query) are state of the stream (``with_progress``): the
+  batch's lines are counted per task, the counts meet the state, and one row per touched query comes
+  back beside the lines, with the floor that the incremental filter uses.  The rows themselves never
+  pass the state operator, so a busy query makes no busy task.  Each commit publishes the cursors of
+  all queries of its platform as one small table, which batch runs and new checkpoints start from.
+* Keys of stored posts lie in a bucketed key store per platform (``sources.keystore``), so the exact
+  check against every committed batch shuffles the batch's keys only.
+* One manifest per platform names the live key segments and the cursor table; publishing it is the
+  last step.  One writer per platform at a time (a second one fails at publishing).
+
+Times are taken per batch.  Duplicates are removed (1) inside the batch, first arrival wins, and
+(2) against the key store, by (platform, post_id).  Posts are partitioned by platform and creation
+date; posts whose creation time had to be imputed lie in a partition of their own.
 """
 
 from __future__ import annotations
@@ -20,9 +30,10 @@ from __future__ import annotations
 import datetime as dt
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +41,11 @@ from postloom import config
 from postloom.operators import filters as FL
 from postloom.operators import normalize as NZ
 from postloom.operators import tables as TB
-from postloom.session import committed, sub_folders
+from postloom.session import committed, materialize, sub_folders
+from postloom.sources import keystore as KS
+from postloom.sources import manifest as MF
 from postloom.sources import payloads as PL
-from postloom.sources.schemas import POSTS
+from postloom.sources.schemas import POSTS, SCRAPER_STATE
 
 KEY = ["platform", "post_id"]
 STORED_POSTS = f"{POSTS}, created_at_imputed boolean, created_on string, run string, batch int"
@@ -50,12 +63,29 @@ def utc_now() -> dt.datetime:
 
 @dataclass(frozen=True)
 class Store:
-    """Folder layout of the ingest tables (on shared storage): <table>/run=<run>/batch=<id>/..."""
+    """Folder layout of the ingest tables (on shared storage): <table>/run=<run>/batch=<id>/...;
+    progress/<platform> holds the manifest, keys/<platform> the key store (``buckets`` must not change)."""
     root: str
+    buckets: int = KS.BUCKETS
 
     def folder(self, table: str, run: str, batch: int) -> str:
         return f"{self.root}/{table}/run={run}/batch={batch}"
 
+    def keys(self, platform: str) -> KS.KeyStore:
+        return KS.KeyStore(f"{self.root}/keys/{platform}", buckets=self.buckets)
+
+    def progress(self, spark: SparkSession, platform: str) -> tuple[int, dict]:
+        """The platform's manifest: version, and {"segments": live key segments, "cursors": folder of the cursor table}."""
+        if platform not in sub_folders(spark, f"{self.root}/progress"):
+            return -1, {"segments": [], "cursors": None}
+        version, document = MF.read(spark, f"{self.root}/progress/{platform}")
+        return version, {"segments": [], "cursors": None} | document
+
+    def cursors(self, spark: SparkSession, platform: str) -> DataFrame:
+        """The platform's cursor table as last published."""
+        folder = self.progress(spark, platform)[1]["cursors"]
+        return spark.createDataFrame([], SCRAPER_STATE) if folder is None else spark.read.schema(SCRAPER_STATE).parquet(f"{self.root}/{folder}")
+
     def committed(self, spark: SparkSession) -> list[tuple[str, int]]:
         """(run, batch) of every committed batch, from folder names and markers."""
         out = []
@@ -83,90 +113,147 @@ def normalized(lines: DataFrame, platform: str, as_of: dt.datetime) -> DataFrame
     return norm.withColumn("arrival", F.struct("arrival.mtime", "arrival.file", "created_at", F.md5("raw_json").alias("digest")))
 
 
-def _settled(spark: SparkSession, store: Store, run: str, batch: int, since: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The batches whose cursors filter this one, fixed at its first attempt: a retry must not skip
-    posts because later batches have moved the cursor."""
-    path, schema = store.folder("since", run, batch), "run_id string, batch_id int"
-    if not committed(spark, path):
-        spark.createDataFrame(since, schema).coalesce(1).write.mode("overwrite").parquet(path)
-        return since
-    return [(r.run_id, r.batch_id) for r in spark.read.schema(schema).parquet(path).collect()]
-
-
-def cursors(spark: SparkSession, store: Store, batches: list[tuple[str, int]]) -> DataFrame | None:
-    """The newest cursor of each (platform, query) over the given batches: each batch wrote the
-    cursors it touched, so this reads a few rows per batch."""
-    state = store.read(spark, "scraper_state", batches)
-    if state is None:
-        return None
-    return TB.first_wins(state.select(*CURSOR, "last_post_id", "last_timestamp", "cursor", "updated_at", F.col("last_timestamp").isNull().alias("none"),
-                                      F.expr("-unix_micros(last_timestamp)").alias("age"), F.expr("-unix_micros(updated_at)").alias("since")),
-                         CURSOR, ["none", "age", "since"]).drop("none", "age", "since")
+def cursors(spark: SparkSession, store: Store) -> DataFrame | None:
+    """The cursor of each (platform, query): one small table per platform, whatever the history."""
+    out = None
+    for platform in sub_folders(spark, f"{store.root}/progress"):
+        one = store.cursors(spark, platform)
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-def not_stored(first: DataFrame, stored: DataFrame) -> DataFrame:
-    """J3 against the store: only the creation dates of the batch and the imputed partition are read."""
-    days = [r[0] for r in first.select("created_on").distinct().collect()]  # calendar days of one batch
-    if IMPUTED not in days:
-        stored = stored.where(F.col("created_on").isin(*days, IMPUTED))
-    return TB.new_only(first, stored, KEY)
+def pinned(spark: SparkSession, store: Store, run: str, platform: str) -> DataFrame:
+    """The cursors that stood when a run began, fixed at its first attempt: a retry must not skip
+    posts because later batches have moved the cursor."""
+    path = f"{store.root}/since/run={run}/platform={platform}"
+    if not committed(spark, path):
+        store.cursors(spark, platform).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema(SCRAPER_STATE).parquet(path)
+
+
+# -- cursors and counters as state of the stream ------------------------------------------------
+
+_PARTIAL = "platform string, query string, offered long, rejected long, newest_id string, newest_us long"
+_STATE = "last_post_id string, last_us long, floor_id string, floor_us long, poll string, offered long, rejected long, batches long"
+PROGRESS = f"platform string, query string, {_STATE}"
+
+
+def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per (platform, query) of some rows: how many, how many rejected, and the newest with a time of its own."""
+    for f in frames:
+        for (platform, query), g in f.groupby(["platform", "query"], dropna=False):
+            timed = g[g["us"].notna()].sort_values(["us", "post_id"])
+            last = timed.iloc[-1] if len(timed) else None
+            yield pd.DataFrame({"platform": [platform], "query": [None if pd.isna(query) else query], "offered": [len(g)], "rejected": [int(g["rejected"].sum())],
+                                "newest_id": [None if last is None else last["post_id"]],
+                                "newest_us": pd.array([None if last is None else int(last["us"])], "Int64")})
+
+
+def _value(x):
+    return None if x is None or pd.isna(x) else x
+
+
+def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """One (platform, query): its floor moves to its cursor when a new poll begins, its cursor only forward."""
+    old = state.get if state.exists else None
+    offered = rejected = 0
+    newest, first = None, None
+    for f in frames:
+        offered, rejected = offered + int(f["offered"].sum()), rejected + int(f["rejected"].sum())
+        for r in f.itertuples(index=False):
+            first = first or r
+            if _value(r.newest_us) is not None:
+                newest = max(newest or (int(r.newest_us), r.newest_id), (int(r.newest_us), r.newest_id))
+    if old is None:  # a query that this checkpoint has not seen starts where the store's cursors stand
+        last_id, last_us, n, bad, batches, floor_id, floor_us = _value(first.seed_id), _value(first.seed_us), 0, 0, 0, None, None
+        last_us = None if last_us is None else int(last_us)
+        poll = None
+    else:
+        last_id, last_us, floor_id, floor_us, poll, n, bad, batches = old
+    if poll != first.poll:
+        floor_id, floor_us, poll = last_id, last_us, first.poll
+    if newest is not None and (last_us is None or newest[0] > last_us):
+        last_us, last_id = newest
+    now = (last_id, last_us, floor_id, floor_us, poll, n + offered, bad + rejected, batches + 1)
+    state.update(now)
+    names = [c.split()[0] for c in _STATE.split(", ")]
+    yield pd.DataFrame({"platform": [key[0]], "query": [_value(key[1])]} | {
+        c: pd.array([v], "Int64") if c in ("last_us", "floor_us") else [v] for c, v in zip(names, now, strict=True)})
+
+
+def with_progress(lines: DataFrame, platform: str, seeds: DataFrame, poll: str) -> DataFrame:
+    """A stream of lines and, for each query a batch touches, its progress: (value, query, arrival, progress).
+
+    ``seeds``: cursors for queries without state; ``poll`` names the run, floors move when it changes."""
+    rows = normalized(lines, platform, dt.datetime(1970, 1, 1, tzinfo=dt.UTC))  # imputed times are no cursors, so this one counts for nothing
+    slim = rows.select("platform", "query", "post_id", F.col("reject_reason").isNotNull().alias("rejected"),
+                       F.when(~F.col("created_at_imputed") & F.col("reject_reason").isNull(), F.unix_micros("created_at")).alias("us"))
+    own = seeds.select(*[F.col(c).alias(f"seed_{c}") for c in CURSOR], F.col("last_post_id").alias("seed_id"), F.unix_micros("last_timestamp").alias("seed_us"))
+    same = [F.col(c).eqNullSafe(F.col(f"seed_{c}")) for c in CURSOR]
+    counted = slim.mapInPandas(_partial, _PARTIAL).join(own, same, "left").drop(*[f"seed_{c}" for c in CURSOR])
+    state = counted.withColumn("poll", F.lit(poll)).groupBy(*CURSOR).applyInPandasWithState(_advance, PROGRESS, _STATE, "append", "NoTimeout")
+    kind = lines.schema
+    none = [F.lit(None).cast(kind[c].dataType).alias(c) for c in ("value", "query", "arrival")]
+    return lines.select("value", "query", "arrival", F.lit(None).cast(f"struct<{PROGRESS.replace(' ', ': ').replace(',: ', ', ')}>").alias("progress")).union(
+        state.select(*none, F.struct("*").alias("progress")))
+
+
+def _floors(progress: DataFrame) -> DataFrame:
+    return progress.select(*CURSOR, F.col("floor_id").alias("last_post_id"), F.timestamp_micros("floor_us").alias("last_timestamp"))
 
 
 def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: Store, clock: Callable[[], dt.datetime] = utc_now,
-                 since: list[tuple[str, int]] | None = None) -> None:
+                 floors: DataFrame | None = None, progress: DataFrame | None = None) -> None:
     """foreachBatch body: N5 quarantine, P4-P6 incremental filter, J4 in-batch first-wins, J3 against
-    the store, J10 tags, J9 + J7 cursors per (platform, query), X5 run log.
+    the key store, J10 tags, J9 + J7 cursors per (platform, query), X5 run log.
 
-    ``since``: the committed batches whose cursors the incremental filter uses (those there
-    before the run began, as a fetch would have used them); None leaves the filter out.  A
-    failure is logged with its reason and raised."""
+    ``floors``: the cursors that the incremental filter uses; None leaves the filter out.
+    ``progress``: the stream's state of the touched queries; without it the cursors are advanced from
+    the published ones.  A failure is logged with its reason and raised."""
     spark, as_of, began = lines.sparkSession, clock(), time.monotonic()
     folder = lambda table: store.folder(table, run, batch)
     try:
+        keys = store.keys(platform)
+        version, live = store.progress(spark, platform)
+        # a batch that is done again replaces itself: its own keys do not count as stored
+        again = committed(spark, store.folder("commits", run, batch))
+        own = materialize(store.read(spark, "posts", [(run, batch)]).select("post_id"), "own-keys") if again else None
         rows = normalized(lines, platform, as_of).persist()
         try:
-            others = [b for b in store.committed(spark) if b != (run, batch)]
             ok, bad = NZ.split_rejects(rows)
-            since = None if since is None else _settled(spark, store, run, batch, since)
-            state = cursors(spark, store, since) if since else None
             fresh = ok
-            if state is not None:
+            if floors is not None:
                 if platform in ID_CURSOR:
-                    fresh = FL.after_id(ok, state, CURSOR)
+                    fresh = FL.after_id(ok, floors, CURSOR)
                 else:
-                    fresh = FL.after_cursor(ok, state, CURSOR, keep_null_ts=True).drop("had_cursor")
-            fresh = fresh.persist()
+                    fresh = FL.after_cursor(ok, floors, CURSOR, keep_null_ts=True).drop("had_cursor")
             day = F.when(F.col("created_at_imputed"), F.lit(IMPUTED)).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
             first = TB.first_wins(fresh, KEY, ["arrival"]).withColumn("created_on", day)
-            stored = store.read(spark, "posts", others)
-            new = (first if stored is None else not_stored(first, stored)).drop("arrival").persist()
-            try:
-                (new.drop("hashtags", "query").write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts")))
-                TB.hashtag_rows(new).write.mode("overwrite").parquet(folder("post_hashtags"))
-                bad.drop("arrival").write.mode("overwrite").parquet(folder("rejects"))
-                # an imputed time is no cursor: it would put every later post behind it
-                newest = TB.newest_per_key(fresh.where(~F.col("created_at_imputed")), CURSOR, "post_id", "created_at").withColumn("cursor", F.lit(None).cast("string"))
-                old = cursors(spark, store, others)
-                if old is None:
-                    touched = newest.withColumn("updated_at", F.lit(as_of))
-                else:
-                    ahead = TB.advance_cursor(old, newest, CURSOR).withColumn("cursor", F.lit(None).cast("string"))
-                    touched = TB.cursor_merge(old, ahead.join(newest.select(*CURSOR), CURSOR, "left_semi"), CURSOR,
-                                              ["last_post_id", "last_timestamp", "cursor"], F.lit(as_of)).join(newest.select(*CURSOR), CURSOR, "left_semi")
-                touched.write.mode("overwrite").parquet(folder("scraper_state"))
-                tally = rows.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("offered"), F.count("reject_reason").alias("rejected"))
-                tally = tally.join(fresh.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("fresh")), CURSOR, "left")
-                tally = tally.join(new.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("saved")), CURSOR, "left").fillna(0)
-                log = tally.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
-                _write_log(log, folder("run_log"), run, batch, "ok", None, as_of, began)
-                # the batch counts from here on
-                spark.range(1).select(F.lit(run).alias("run_id"), F.lit(batch).alias("batch_id")).write.mode("overwrite").parquet(
-                    store.folder("commits", run, batch))
-            finally:
-                new.unpersist()
-                fresh.unpersist()
+            stored = keys.keys(spark, live["segments"])
+            stored = stored if own is None else TB.new_only(stored, own, ["post_id"])
+            new = first.join(stored, "post_id", "left_anti").drop("arrival")
+            # query and tags go into the files too; readers of the posts table do not see them
+            new.write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts"))
+            written = spark.read.schema(f"{STORED_POSTS}, query string, hashtags array<string>").parquet(folder("posts"))
+            TB.hashtag_rows(written).write.mode("overwrite").parquet(folder("post_hashtags"))
+            bad.drop("arrival").write.mode("overwrite").parquet(folder("rejects"))
+            segment = f"b{run}-{batch}"
+            keys.add(written.select("post_id"), segment)
+            tally = rows.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("offered"), F.count("reject_reason").alias("rejected"))
+            tally = tally.join(fresh.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("fresh")), CURSOR, "left")
+            tally = tally.join(written.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("saved")), CURSOR, "left").fillna(0, ["fresh", "saved"])
+            log = tally.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
+            _write_log(log, folder("run_log"), run, batch, "ok", None, as_of, began)
+            table = f"cursors/{platform}/run={run}/batch={batch}-{uuid.uuid4().hex}"
+            _moved(store.cursors(spark, platform), fresh, progress, as_of).coalesce(1).write.parquet(f"{store.root}/{table}")
         finally:
             rows.unpersist()
+        # the batch counts from here on
+        spark.range(1).select(F.lit(run).alias("run_id"), F.lit(batch).alias("batch_id")).write.mode("overwrite").parquet(
+            store.folder("commits", run, batch))
+        segments, gone = keys.compact(spark, [s for s in live["segments"] if s[0] != segment])
+        MF.publish(spark, f"{store.root}/progress/{platform}", version + 1, {"segments": [*segments, [segment, 0]], "cursors": table})
+        keys.drop(spark, gone)
     except Exception as e:
         none = F.lit(None).cast("long")
         failed = spark.range(1).select(F.lit(platform).alias("platform"), F.lit(None).cast("string").alias("query"),
@@ -176,6 +263,23 @@ def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: S
         raise
 
 
+def _moved(old: DataFrame, fresh: DataFrame, progress: DataFrame | None, as_of: dt.datetime) -> DataFrame:
+    """J9 + J7: the platform's cursor table after a batch; cursors move forward only."""
+    if progress is None:
+        # an imputed time is no cursor: it would put every later post behind it
+        newest = TB.newest_per_key(fresh.where(~F.col("created_at_imputed")), CURSOR, "post_id", "created_at")
+    else:
+        newest = progress.where("last_us is not null").select(*CURSOR, "last_post_id", F.timestamp_micros("last_us").alias("last_timestamp"))
+    # matched null-safe: lines without a query have a cursor too
+    o = old.select(*[F.col(c).alias(f"__o_{c}") for c in old.columns], F.lit(True).alias("__old"))
+    j = o.join(newest, [F.col(f"__o_{c}").eqNullSafe(F.col(c)) for c in CURSOR], "full_outer")
+    ahead = F.col("last_timestamp").isNotNull() & (F.col("__o_last_timestamp").isNull() | (F.col("last_timestamp") > F.col("__o_last_timestamp")))
+    touched = F.col("last_timestamp").isNotNull()
+    pick = lambda c: F.when(ahead, F.col(c)).otherwise(F.col(f"__o_{c}")).alias(c)
+    return j.select(*[F.when(F.col("__old"), F.col(f"__o_{c}")).otherwise(F.col(c)).alias(c) for c in CURSOR], pick("last_post_id"), pick("last_timestamp"),
+                    F.col("__o_cursor").alias("cursor"), F.when(touched, F.lit(as_of)).otherwise(F.col("__o_updated_at")).alias("updated_at"))
+
+
 def _write_log(counts: DataFrame, path: str, run: str, batch: int, status: str, error: str | None, as_of: dt.datetime, began: float) -> None:
     counts.select(F.lit(run).alias("run_id"), F.lit(batch).cast("long").alias("batch_id"), "platform", "query", F.lit(status).alias("status"), "offered", "rejected",
                   "skipped", "saved", F.lit(as_of).alias("started_at"), F.lit(time.monotonic() - began).alias("elapsed_s"),
@@ -192,6 +296,16 @@ def run_log(spark: SparkSession, store: Store) -> DataFrame | None:
     return ok if failed is None else failed if ok is None else ok.unionByName(failed)
 
 
+def _poll(spark: SparkSession, folder: str) -> tuple[int, str]:
+    """The run of polls that is open at a checkpoint, or a new one: a run that did not end is gone on with, so its floors stand."""
+    version, last = MF.read(spark, folder)
+    if last.get("open"):
+        return version, last["poll"]
+    poll = uuid.uuid4().hex
+    MF.publish(spark, folder, version + 1, {"poll": poll, "open": True})
+    return version + 1, poll
+
+
 def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, checkpoint: str, clock: Callable[[], dt.datetime] = utc_now,
                available_now: bool = True, intervals: dict[str, int] | None = None, max_files: int | None = None,
                incremental: bool = True) -> dict:
@@ -200,21 +314,32 @@ def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, check
     processes what has landed and stops.  Returns the queries by platform.
 
     With ``incremental`` posts at or before the cursor that their (platform, query) had when the
-    run began are skipped and counted."""
-    since = store.committed(spark) if incremental else None
-    queries = {}
+    run began are skipped and counted.  A run that crashed, or was stopped while polling, is gone on
+    with by the next call: its floors stand until a run with ``available_now`` has ended."""
+    queries, polls = {}, {}
     for platform, path in landing.items():
+        polls[platform] = _poll(spark, f"{checkpoint}/polls/{platform}")
+        seeds = pinned(spark, store, polls[platform][1], platform)
+
         def body(df: DataFrame, batch: int, platform: str = platform) -> None:
             run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-            ingest_batch(df, platform, run, batch, store, clock, since)
+            df = df.persist()  # lines as they came; the state operator runs once
+            try:
+                progress = df.where("progress is not null").select("progress.*")
+                ingest_batch(df.where("progress is null").drop("progress"), platform, run, batch, store, clock, _floors(progress) if incremental else None, progress)
+            finally:
+                df.unpersist()
 
-        w = PL.stream_lines(spark, path, max_files or MAX_FILES_PER_TRIGGER).writeStream.option("checkpointLocation", f"{checkpoint}/{platform}").foreachBatch(body)
+        lines = with_progress(PL.stream_lines(spark, path, max_files or MAX_FILES_PER_TRIGGER), platform, seeds, polls[platform][1])
+        w = lines.writeStream.option("checkpointLocation", f"{checkpoint}/{platform}").foreachBatch(body)
         minutes = (intervals or config.POLL_INTERVALS).get(platform, config.DEFAULT_POLL_MINUTES)
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{minutes} minutes")
         queries[platform] = w.start()
     if available_now:
-        for q in queries.values():
+        for platform, q in queries.items():
             q.awaitTermination()
+            version, poll = polls[platform]
+            MF.publish(spark, f"{checkpoint}/polls/{platform}", version + 1, {"poll": poll, "open": False})
     return queries
 
 
@@ -223,7 +348,7 @@ def ingest_once(spark: SparkSession, landing: dict[str, str], store: Store, run:
     """Batch path: the same body over a plain read of the landing folders, as batch 0.. of a run;
     returns the run.  A repeated call with the same ``run`` replaces that run's output."""
     run = run or uuid.uuid4().hex
-    since = [b for b in store.committed(spark) if b[0] != run] if incremental else None
     for batch, (platform, path) in enumerate(landing.items()):
-        ingest_batch(PL.read_lines(spark, path), platform, run, batch, store, clock, since)
+        floors = pinned(spark, store, run, platform) if incremental else None
+        ingest_batch(PL.read_lines(spark, path), platform, run, batch, store, clock, floors)
     return run

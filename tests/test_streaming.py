@@ -49,7 +49,7 @@ def tweet(i, **more):
 def test_batch_equals_stream_and_redelivery_is_idempotent(spark):
     root = scratch_path(spark, "t-stream")
     landing = _landing(spark, root)
-    s_store, b_store = Store(f"{root}/s"), Store(f"{root}/b")
+    s_store, b_store = Store(f"{root}/s", 8), Store(f"{root}/b", 8)
     run_ingest(spark, landing, s_store, f"{root}/ckpt", clock)
     run = ingest_once(spark, landing, b_store, clock=clock)
     s, b = _keys(spark, s_store), _keys(spark, b_store)
@@ -67,7 +67,7 @@ def test_batch_equals_stream_and_redelivery_is_idempotent(spark):
 
 def test_a_fresh_checkpoint_keeps_the_store(spark):
     root = scratch_path(spark, "t-fresh")
-    store, landing = Store(f"{root}/store"), {"twitter": f"{root}/landing/twitter"}
+    store, landing = Store(f"{root}/store", 8), {"twitter": f"{root}/landing/twitter"}
     _drop(spark, landing["twitter"], [tweet(i) for i in range(3)])
     run_ingest(spark, landing, store, f"{root}/ckpt-a", clock)
     _drop(spark, landing["twitter"], [tweet(i) for i in (10, 11)])
@@ -78,7 +78,7 @@ def test_a_fresh_checkpoint_keeps_the_store(spark):
 
 def test_no_post_is_lost_to_a_wrong_clock_and_rejects_are_kept(spark):
     root = scratch_path(spark, "t-future")
-    store, landing = Store(f"{root}/store"), {"twitter": f"{root}/landing/twitter"}
+    store, landing = Store(f"{root}/store", 8), {"twitter": f"{root}/landing/twitter"}
     _drop(spark, landing["twitter"], [tweet(1) | {"created_at": "2099-01-01T00:00:00Z"}])
     run_ingest(spark, landing, store, f"{root}/ckpt", clock, incremental=False)
     _drop(spark, landing["twitter"], [tweet(i) for i in range(2, 6)] + ['{"id_str": "9", "te', "[1]", {"text": "no id"}, {"text": "no id 2"}, {"text": "no id 2"}])
@@ -90,7 +90,7 @@ def test_no_post_is_lost_to_a_wrong_clock_and_rejects_are_kept(spark):
 
 def test_unknown_keys_stay_in_the_payload(spark):
     root = scratch_path(spark, "t-raw")
-    store, landing = Store(f"{root}/store"), {"twitter": f"{root}/landing/twitter"}
+    store, landing = Store(f"{root}/store", 8), {"twitter": f"{root}/landing/twitter"}
     line = '{"id_str": "5",  "text": "x", "geo": {"lat": 1.50}, "source": "web"}'
     _drop(spark, landing["twitter"], [line])
     ingest_once(spark, landing, store, clock=clock)
@@ -99,12 +99,12 @@ def test_unknown_keys_stay_in_the_payload(spark):
 
 def test_incremental_filter_and_cursor_per_query(spark):
     root = scratch_path(spark, "t-cursor")
-    store, base = Store(f"{root}/store"), f"{root}/landing/bluesky"
+    store, base = Store(f"{root}/store", 8), f"{root}/landing/bluesky"
     post = lambda i, day: {"uri": f"at://x/app.bsky.feed.post/{i}", "record": {"text": "t", "created_at": f"2024-01-{day:02d}T00:00:00Z"}}
     _drop(spark, f"{base}/query=a%20b", [post("p1", 5), post("p2", 9)])
     _drop(spark, f"{base}/query=c", [post("p3", 3)])
     ingest_once(spark, {"bluesky": base}, store, clock=clock)
-    got = {r.query: (r.last_post_id, str(r.last_timestamp)[:10]) for r in cursors(spark, store, store.committed(spark)).collect()}
+    got = {r.query: (r.last_post_id, str(r.last_timestamp)[:10]) for r in cursors(spark, store).collect()}
     assert got == {"a b": ("p2", "2024-01-09"), "c": ("p3", "2024-01-03")}
     later = f"{root}/later/bluesky"
     _drop(spark, f"{later}/query=a%20b", [post("p4", 7), post("p5", 10)])  # p4 lies before that query's cursor
@@ -113,13 +113,13 @@ def test_incremental_filter_and_cursor_per_query(spark):
     assert {k for _, k in _keys(spark, store)} == {"p1", "p2", "p3", "p5", "p6"}
     log = {(r.query, r.started_at.day): (r.offered, r.skipped, r.saved) for r in run_log(spark, store).collect()}
     assert log == {("a b", 1): (2, 0, 2), ("c", 1): (1, 0, 1), ("a b", 2): (2, 1, 1), ("c", 2): (1, 0, 1)}
-    got = {r.query: (r.last_post_id, r.updated_at.day) for r in cursors(spark, store, store.committed(spark)).collect()}
+    got = {r.query: (r.last_post_id, r.updated_at.day) for r in cursors(spark, store).collect()}
     assert got == {"a b": ("p5", 2), "c": ("p6", 2)}
 
 
 def test_a_failed_batch_is_logged_and_not_read(spark, monkeypatch):
     root = scratch_path(spark, "t-fail")
-    store, landing = Store(f"{root}/store"), _landing(spark, root, ("bluesky",))
+    store, landing = Store(f"{root}/store", 8), _landing(spark, root, ("bluesky",))
     real = TB.hashtag_rows
 
     def broken(*a, **k):
@@ -141,7 +141,7 @@ def test_a_failing_read_is_not_an_empty_store(spark, monkeypatch):
     from postloom.sources import sinks
 
     root = scratch_path(spark, "t-read")
-    store, landing = Store(f"{root}/store"), _landing(spark, root, ("reddit",))
+    store, landing = Store(f"{root}/store", 8), _landing(spark, root, ("reddit",))
     ingest_once(spark, landing, store, clock=clock)
     before = store.read(spark, "posts").count()
 
@@ -196,7 +196,7 @@ def test_template_export_document(spark):
 
 def test_polling_uses_each_platforms_interval(spark):
     root = scratch_path(spark, "t-poll")
-    store, landing = Store(f"{root}/store"), _landing(spark, root, ("reddit", "bluesky"))
+    store, landing = Store(f"{root}/store", 8), _landing(spark, root, ("reddit", "bluesky"))
     ticks = []
 
     def tick():
