@@ -15,6 +15,7 @@ from postloom.plans.views import posts, with_posts
 from postloom.session import scratch_path
 from postloom.sources import payloads as PL
 from postloom.sources import sinks as SK
+from postloom.sources.buckets import BucketTable
 
 
 @query("versioned_merge", "S8", """
@@ -30,6 +31,18 @@ def versioned_merge(spark, d):
     return SK.read_latest(spark, base).withColumn("version", F.lit(v))
 
 
+@query("bucket_merge", "S8", """
+WITH old AS (SELECT doc_id, lang, source AS value FROM documents),
+     new AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS value FROM labels)
+SELECT doc_id, old.lang, coalesce(new.value, old.value) AS value, CAST(1 AS BIGINT) AS version FROM old FULL JOIN new USING (doc_id)""")
+def bucket_merge(spark, d):
+    """A table in hash buckets; an upsert rewrites the buckets of its keys only."""
+    t = BucketTable(scratch_path(spark, "bucket-table"), ("doc_id",), 16)
+    t.merge(table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("value")))
+    done = t.upsert(table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("value")))
+    return t.read(spark).withColumn("version", F.lit(done["version"]).cast("long"))
+
+
 @query("csv_export", "S10/R6", with_posts(f"""
 SELECT platform, post_id, CAST(length(text) AS BIGINT) AS text_length FROM posts_v WHERE {P2_SQL}
 ORDER BY {_md5('42', 'post_id')}, post_id LIMIT 100"""))
