@@ -109,39 +109,53 @@ def batch_summary(ledger: DataFrame, ts: str = "ts", status: str = "status") ->
         "posts_per_s", F.try_divide(F.col("success").cast("double"), F.col("elapsed_s")))
 
 
-RUN_ROWS = 100_000  # rows of a block in running totals
+BLOCK_ROWS = 100_000  # rows of a sub-block in running totals
 
 
-def running_totals(df: DataFrame, part: list[str], order: list[str], sums: dict[str, Column], rows: int = RUN_ROWS) -> DataFrame:
+def running_totals(df: DataFrame, part: list[str], order: list[str], sums: dict[str, Column], rows: int = BLOCK_ROWS,
+                   partitions: int | None = None) -> DataFrame:
     """Cumulative sums (and the 1-based sequence ``seq``) per ``part`` in ``order``.
 
-    Two-phase: the rows are range-partitioned by (part, order) into blocks of about ``rows`` rows,
-    so neither a long run nor a busy hour makes a large block; each block sums its parts, the
-    block table (one row per block and part) gives every block its offset, and a running sum
-    inside a block adds to it.  ``order`` should be unique within a part."""
-    n = max(1, -(-df.count() // rows))
+    A prefix scan of two levels.  The rows are range-partitioned by (part, order) into ``partitions``
+    ranges (by default as many as any other shuffle has, whatever the number of rows) and stored in
+    order, so that each row knows its range and its place in it; ``rows`` consecutive places make a
+    sub-block.  Three small tables of sums give the offsets: sub-blocks are scanned inside their
+    range, ranges inside their part (``partitions`` rows of a part at most, so not even one part for
+    all rows makes a long scan), and a running sum inside each sub-block adds to both.  A run that
+    holds all rows is spread over all ranges.  ``order`` should be unique within a part; a NULL
+    part is a part."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df
     for name, expr in sums.items():
         x = x.withColumn(f"__v_{name}", expr)
-    vals = [f"__v_{n_}" for n_ in sums]
-    # stored, so that block numbers are the same for both phases
-    x = materialize(x.repartitionByRange(n, *part, *order).withColumn("__blk", F.spark_partition_id()), "running-totals")
-    tot = x.groupBy(*part, "__blk").agg(F.count(F.lit(1)).alias("__cnt"), *[F.sum(v).alias(f"{v}_t") for v in vals])
-    wp = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("__blk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    tot = tot.select(*part, "__blk",
-                     F.coalesce(F.sum("__cnt").over(wp), F.lit(0)).alias("__o_cnt"),
-                     *[F.coalesce(F.sum(f"{v}_t").over(wp), F.lit(0)).alias(f"{v}_o") for v in vals])
-    wi = Window.partitionBy("__blk", *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = x.withColumn("__rn", F.row_number().over(Window.partitionBy("__blk", *part).orderBy(*order)))
-    for v in vals:
-        inner = inner.withColumn(f"{v}_c", F.sum(v).over(wi))
-    out = inner.join(tot, [*part, "__blk"]).withColumn("seq", F.col("__o_cnt") + F.col("__rn"))
-    for name in sums:
-        v = f"__v_{name}"
-        out = out.withColumn(name, F.col(f"{v}_o") + F.col(f"{v}_c"))
-    drop = ["__blk", "__rn", "__o_cnt"] + [c for v in vals for c in (v, f"{v}_o", f"{v}_c")]
-    return out.drop(*drop)
+    vals = [f"__v_{name}" for name in sums]
+    place = F.monotonically_increasing_id()  # the range's number, and the place in the range in its lower 33 bits
+    x = x.repartitionByRange(n, *part, *order).sortWithinPartitions(*part, *order).withColumn("__at", place)
+    x = materialize(x, "running-totals").withColumn("__range", F.shiftright("__at", 33)).withColumn(
+        "__block", F.floor(F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) / rows))
+    total = [F.sum(v).alias(v) for v in vals]
+    blocks = materialize(x.groupBy(*part, "__range", "__block").agg(F.count(F.lit(1)).alias("__n"), *total), "block-sums")
+    ranges = blocks.groupBy(*part, "__range").agg(F.sum("__n").alias("__n"), *total)
+
+    def before(w, c: str) -> Column:
+        return F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inside = Window.partitionBy(*part, "__range").orderBy("__block")
+    across = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy("__range")
+    low = blocks.select(*part, "__range", "__block", *[before(inside, c).alias(f"{c}_in") for c in ("__n", *vals)])
+    high = ranges.select(*part, "__range", *[before(across, c).alias(f"{c}_over") for c in ("__n", *vals)])
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        named = right.select(*[F.col(c).alias(f"__m_{c}") if c in on else F.col(c) for c in right.columns])
+        return left.join(named, [F.col(c).eqNullSafe(F.col(f"__m_{c}")) for c in on]).drop(*[f"__m_{c}" for c in on])
+
+    offsets = meet(low, high, [*part, "__range"])
+    wi = Window.partitionBy(*part, "__range", "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    inner = x.select("*", F.row_number().over(Window.partitionBy(*part, "__range", "__block").orderBy("__at")).alias("__rn"),
+                     *[F.sum(v).over(wi).alias(f"{v}_run") for v in vals])
+    out = meet(inner, offsets, [*part, "__range", "__block"])
+    return out.select(*df.columns, (F.col("__n_over") + F.col("__n_in") + F.col("__rn")).alias("seq"),
+                      *[(F.col(f"__v_{k}_over") + F.col(f"__v_{k}_in") + F.col(f"__v_{k}_run")).alias(k) for k in sums])
 
 
 def progress(ledger: DataFrame, run: str, order: list[str], every: int = 10,

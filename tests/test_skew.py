@@ -55,12 +55,28 @@ def test_top_k_and_running_totals_on_hot_key(spark):
 
 
 def test_blocks_of_running_totals_are_bounded(spark):
-    """One hour may hold all rows: blocks follow the rows, not the clock."""
-    df = spark.range(20000).select(F.lit("run").alias("r"), F.lit(0).alias("ts"), F.col("id"), F.lit(1.0).alias("cost"))
-    out = LG.running_totals(df, ["r"], ["ts", "id"], {"cum": LG.money("cost")}, rows=500)
-    assert out.where(F.col("seq") != F.col("id") + 1).count() == 0
-    widest = df.repartitionByRange(40, "r", "ts", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-    assert widest < 4 * 500
+    """One hour and one run may hold all rows: blocks follow the rows, the number of ranges does not."""
+    def totals(n, rows, part=True):
+        df = spark.range(n).select(F.lit("run").alias("r"), F.lit(0).alias("ts"), F.col("id"), F.lit(1.0).alias("cost"))
+        return LG.running_totals(df, ["r"] if part else [], ["ts", "id"], {"cum": LG.money("cost")}, rows=rows, partitions=6)
+
+    for part in (True, False):
+        out = totals(20000, 500, part)
+        assert out.where((F.col("seq") != F.col("id") + 1) | (F.col("cum") != F.col("seq"))).count() == 0 and out.count() == 20000
+        plan = _plan(out)
+        # the rows meet in windows of one sub-block, the scans see sums only
+        assert "Window [row_number()" in plan and plan.count("__block") > 0 and "SinglePartition" not in plan.split("Window [row_number()")[1][:200]
+    small, large = _plan(totals(2000, 500)), _plan(totals(60000, 500))
+    assert small.count("Exchange") == large.count("Exchange")
+
+
+def test_running_totals_keep_null_parts_and_ties(spark):
+    rows = [(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 4.0), ("a", 1, 4.0), ("a", 3, 8.0), ("b", 1, None)]
+    out = LG.running_totals(spark.createDataFrame(rows, "r string, t int, cost double"), ["r"], ["t"], {"cum": LG.money("cost")}, rows=2, partitions=3)
+    got = sorted(((r.r, r.t, r.seq, None if r.cum is None else float(r.cum)) for r in out.collect()), key=repr)
+    assert [x for x in got if x[0] is None] == [(None, 1, 1, 1.0), (None, 2, 2, 3.0)]
+    assert sorted(x[2:] for x in got if x[0] == "a") == [(1, 4.0), (2, 8.0), (3, 16.0)]
+    assert [x[:3] for x in got if x[0] == "b"] == [("b", 1, 1)]
 
 
 def test_hot_bigram_and_word(spark):
