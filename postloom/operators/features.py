@@ -48,13 +48,24 @@ def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _own(keys: list[str]) -> list[str]:
-    """Names for the key columns inside an operator, so that they clash with none of its own."""
-    return [f"__key_{i}" for i in range(len(keys))]
+ROW = "__row"  # a row's own number: texts are told apart by it, never by their keys, which may repeat or be null
 
 
-def _named(own: list[str], keys: list[str]) -> list[Column]:
-    return [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
+def _with_row(df: DataFrame) -> DataFrame:
+    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _carried(df: DataFrame, columns: list[str], parts: Column, alias: str) -> DataFrame:
+    """(row number, carried struct, ``alias``): one row per element of ``parts``, one at least; the
+    carried columns travel with a row's first element only."""
+    place = f"{alias}_at"
+    rows = _with_row(df).select(ROW, F.struct(*columns).alias("__carried"), F.posexplode_outer(parts).alias(place, alias))
+    return rows.select(ROW, F.when(F.coalesce(F.col(place), F.lit(0)) == 0, F.col("__carried")).alias("__carried"), alias)
+
+
+def _one(columns: list[str]) -> tuple[Column, list[Column]]:
+    """The aggregate that brings a row's carried columns back, and their names."""
+    return F.first("__carried", ignorenulls=True).alias("__carried"), [F.col("__carried").getField(c).alias(c) for c in columns]
 
 
 def _runs(ordered: Column, same: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
@@ -87,42 +98,60 @@ def _look_up(rows: DataFrame, table: DataFrame, on: list[str], value: str, count
     return joined.select(*rows.columns, F.coalesce("__hot", "__cold").alias(value))
 
 
-def bigram_perplexity(df: DataFrame, key: str | list[str], text: str = "text", max_tokens: int | None = None) -> DataFrame:
+def _bigram_runs(text: str, max_tokens: int | None) -> Column:
+    """Distinct bigrams (prev, w) of a text with their counts; the last token has a NULL successor."""
+    toks = words(text)
+    if max_tokens:
+        toks = F.slice(toks, 1, max_tokens)
+    pairs = F.transform(F.array(toks), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("prev"), F.get(t, i + 1).alias("w"))))[0]
+    return _runs(F.sort_array(pairs), lambda x: x, lambda x, run: F.struct(x["prev"].alias("prev"), x["w"].alias("w"), F.size(run).cast("long").alias("k")))
+
+
+def bigram_counts(df: DataFrame, text: str = "text", max_tokens: int | None = None) -> DataFrame:
+    """(prev, w, c_bw) over all texts; w is NULL for the last token of a text."""
+    occ = df.select(F.explode(_bigram_runs(text, max_tokens)).alias("b"))
+    return occ.groupBy("b.prev", "b.w").agg(F.sum("b.k").alias("c_bw"))
+
+
+def _scored_texts(df: DataFrame, columns: list[str], text: str, max_tokens: int | None, look_up) -> DataFrame:
+    """``columns`` and perplexity of every row: exp of the mean ``nll`` that ``look_up`` gives its
+    bigrams, 0.0 for fewer than two tokens."""
+    occ = _carried(df, columns, _bigram_runs(text, max_tokens), "b").select(ROW, "__carried", "b.prev", "b.w", "b.k")
+    found = look_up(occ)
+    mean = F.sum(F.col("nll") * F.col("k")) / F.sum(F.when(F.col("w").isNotNull(), F.col("k")))
+    carried, named = _one(columns)
+    return found.groupBy(ROW).agg(F.coalesce(F.exp(mean), F.lit(0.0)).alias("__perplexity"), carried).select(*named, F.col("__perplexity").alias("perplexity"))
+
+
+def bigram_perplexity(df: DataFrame, key: str | list[str], text: str = "text", max_tokens: int | None = None,
+                      carry: list[str] | None = None) -> DataFrame:
     """F4 (re-aimed): per text, exp(mean negative log-likelihood) of its bigrams
     under an add-one corpus bigram model, p = (c(prev, w) + 1) / (c(prev) + V).
     Texts with fewer than two tokens get 0.0.  ``max_tokens`` optionally
-    applies a model window; by default the whole text is scored.
+    applies a model window; by default the whole text is scored.  One row per row
+    given, with its keys and the ``carry`` columns (keys may repeat or be null).
 
     A text leaves its row as distinct bigrams with their counts (the last token
     with a NULL successor, so the same rows give the unigram counts).  Only the
     corpus counts, one row per distinct bigram, are stored; the texts are read
     again for the lookup."""
-    names = _keys(key)
-    keys = _own(names)
-    toks = words(text)
-    if max_tokens:
-        toks = F.slice(toks, 1, max_tokens)
-    pairs = F.transform(F.array(toks), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("prev"), F.get(t, i + 1).alias("w"))))[0]
-    runs = _runs(F.sort_array(pairs), lambda x: x, lambda x, run: F.struct(x["prev"].alias("prev"), x["w"].alias("w"), F.size(run).cast("long").alias("k")))
-    occ = df.select(*_named(names, keys), F.explode_outer(runs).alias("b")).select(*keys, "b.prev", "b.w", "b.k")
-    counts = materialize(occ.where("prev is not null").groupBy("prev", "w").agg(F.sum("k").alias("c_bw")), "bigram-counts")
+    counts = materialize(bigram_counts(df, text, max_tokens), "bigram-counts")
     unigram = counts.groupBy("prev").agg(F.sum("c_bw").alias("c_prev"))
     vocab = unigram.select(F.count(F.lit(1))).scalar()
     scored = materialize(counts.join(unigram, "prev").select(
         "prev", "w", "c_bw", F.when(F.col("w").isNotNull(), -F.log((F.col("c_bw") + 1) / (F.col("c_prev") + vocab))).alias("nll")).where("w is not null"), "bigram-scores")
-    found = _look_up(occ, scored, ["prev", "w"], "nll", "c_bw", keys)
-    mean = F.sum(F.col("nll") * F.col("k")) / F.sum(F.when(F.col("w").isNotNull(), F.col("k")))
-    return found.groupBy(*keys).agg(F.coalesce(F.exp(mean), F.lit(0.0)).alias("perplexity")).select(*_named(keys, names), "perplexity")
+    return _scored_texts(df, [*_keys(key), *(carry or [])], text, max_tokens,
+                         lambda occ: _look_up(occ, scored, ["prev", "w"], "nll", "c_bw", [ROW]))
 
 
-def stylometric_features(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
-    """One row per text with burstiness, punctuation density,
-    lexical diversity and (joined) perplexity."""
-    base = df.select(
-        *_keys(key), ST.burstiness(text).alias("burstiness"),
-        ST.punctuation_density(text).alias("punctuation_density"),
-        ST.lexical_diversity(text).alias("lexical_diversity"))
-    return base.join(bigram_perplexity(df, key, text), _keys(key))
+def stylometric_features(df: DataFrame, key: str | list[str], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per text with its keys, the ``carry`` columns, burstiness, punctuation
+    density, lexical diversity and perplexity.  The row-wise features travel with the row."""
+    own = {"burstiness": ST.burstiness(text), "punctuation_density": ST.punctuation_density(text), "lexical_diversity": ST.lexical_diversity(text)}
+    # named apart from the input's columns until the end
+    base = df.select("*", *[c.alias(f"__f_{n}") for n, c in own.items()])
+    out = bigram_perplexity(base, key, text, carry=[*(carry or []), *[f"__f_{n}" for n in own]])
+    return out.select(*_keys(key), *(carry or []), *[F.col(f"__f_{n}").alias(n) for n in own], "perplexity")
 
 
 def clean_words(c) -> Column:
@@ -144,7 +173,8 @@ def token_ids(df: DataFrame, key: str | list[str], cleaned: str, vocab: DataFram
     """F6 (re-aimed): ``[start] ids... [end]`` sequences of at most ``max_len`` ids (the encoder's
     input limit): (key, seq_no, input_ids).  A longer text gives consecutive sequences, so no
     token is lost; a text without words gives one of the two marks.  ``vocab`` (a stored table,
-    by default that of the corpus itself) may lack words: those get id 1."""
+    by default that of the corpus itself) may lack words: those get id 1.  Each row has sequences of
+    its own, also if its key repeats or is null."""
     keys = _keys(key)
     toks = df.select(*keys, clean_words(cleaned).alias("tokens"))
     if vocab is None:
@@ -152,38 +182,46 @@ def token_ids(df: DataFrame, key: str | list[str], cleaned: str, vocab: DataFram
     return ids_from_tokens(toks, keys, vocab, max_len).select(*keys, F.posexplode("sequences").alias("seq_no", "input_ids"))
 
 
+def cut_sequences(ids: Column, max_len: int = config.MAX_SEQUENCE_TOKENS) -> Column:
+    """array<array<int>>: the ids between start and end marks, at most ``max_len`` with them; one sequence at least."""
+    body = max_len - 2
+    number = lambda s: F.greatest(F.ceil(F.size(s) / body), F.lit(1)).cast("int")
+    return F.transform(F.array(ids), lambda s: F.transform(F.sequence(F.lit(0), number(s) - 1), lambda k: F.concat(
+        F.array(F.lit(CLS)), F.slice(s, k * body + 1, F.lit(body)), F.array(F.lit(SEP)))))[0]
+
+
 def ids_from_tokens(toks: DataFrame, key: str | list[str], vocab: DataFrame, max_len: int = config.MAX_SEQUENCE_TOKENS,
                     col: str = "tokens") -> DataFrame:
-    """(key, sequences array<array<int>>): every token of the text, in sequences of ``max_len`` ids."""
-    names, body = _keys(key), max_len - 2
-    keys = _own(names)
+    """(key, sequences array<array<int>>) of every row: every token of the text, in sequences of
+    ``max_len`` ids.  A ``__row`` column of a stored table is taken as the row's number."""
+    columns = [*_keys(key), *([ROW] if ROW in toks.columns else [])]
     places = F.sort_array(F.transform(F.col(col), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     distinct = _runs(places, lambda x: x["w"], lambda x, run: F.struct(x["w"].alias("word"), F.transform(run, lambda y: y["i"]).alias("at")))
-    rows = toks.select(*_named(names, keys), F.explode_outer(distinct).alias("d")).select(*keys, "d.word", "d.at")
-    looked = _look_up(rows, vocab, ["word"], "id", "cnt", keys)
-    per = looked.groupBy(*keys).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("d"))
+    rows = _carried(toks, columns, distinct, "d").select(ROW, "__carried", "d.word", "d.at")
+    looked = _look_up(rows, vocab, ["word"], "id", "cnt", [ROW])
+    carried, named = _one(columns)
+    per = looked.groupBy(ROW).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id")))).alias("d"), carried)
     flat = F.sort_array(F.flatten(F.transform("d", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["id"].alias("id"))))))
     ids = F.transform(flat, lambda y: y["id"].cast("int"))
-    number = lambda s: F.greatest(F.ceil(F.size(s) / body), F.lit(1)).cast("int")
-    cut = F.transform(F.array(ids), lambda s: F.transform(F.sequence(F.lit(0), number(s) - 1), lambda k: F.concat(
-        F.array(F.lit(CLS)), F.slice(s, k * body + 1, F.lit(body)), F.array(F.lit(SEP)))))[0]
-    return per.select(*_named(keys, names), cut.alias("sequences"))
+    return per.select(*named, cut_sequences(ids, max_len).alias("sequences"))
 
 
 def pad_batches(ids: DataFrame, key: str | list[str], batch_size: int = config.ENCODER_BATCH_SIZE,
                 seed: str = "batch", col: str = "input_ids") -> DataFrame:
     """Pad each sequence to the longest in its batch of ``batch_size`` (batches
     are consecutive runs of a seeded exact rank), with an attention mask.  The
-    rank sees keys and lengths only; the ids, stored once, join it at the end."""
+    rank sees keys and lengths only; the ids, stored once, join it at the end by their row."""
     keys = _keys(key)
-    ids = materialize(ids, "token-ids")
-    r = exact_rank(ids.select(*keys, F.size(col).alias("__n")), [], seed, keys, rank_col="__rank")
-    r = r.withColumn("batch_id", F.floor(F.col("__rank") / batch_size).cast("long")).drop("__rank")
-    longest = r.groupBy("batch_id").agg(F.max("__n").alias("__max"))
-    j = ids.join(r.join(longest, "batch_id").drop("__n"), keys)
+    ids = materialize(_with_row(ids), "token-ids")
+    slim = ids.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], ROW, F.size(col).alias("__n"))
+    # equal keys are ranked by their rows' numbers
+    r = exact_rank(slim, [], seed, [f"__k_{i}" for i in range(len(keys))], rank_col="__rank", ties=[ROW])
+    r = r.select(ROW, "__n", F.floor(F.col("__rank") / batch_size).cast("long").alias("__batch"))
+    longest = r.groupBy("__batch").agg(F.max("__n").alias("__max"))
+    j = ids.join(r.join(longest, "__batch").drop("__n"), ROW)
     pad = F.col("__max") - F.size(col)
     return j.select(
-        *keys, "batch_id",
+        *keys, F.col("__batch").alias("batch_id"),
         F.concat(F.col(col), F.array_repeat(F.lit(PAD), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size(col)), F.array_repeat(F.lit(0), pad)).alias("attention_mask"))
 
@@ -224,10 +262,11 @@ def clean_track(posts: DataFrame, key: list[str], split_seed: str = str(config.S
     split = split_exact(labelled, key, split_seed)
     # cleaned once per row: the filter sits on an exploded one-element array
     cleaned = split.withColumn("cleaned_text", F.explode(F.filter(F.array(T.clean_text(text)), lambda c: F.length(c) > 0)))
-    stored = materialize(cleaned.withColumn("embedding", embedding(clean_words("cleaned_text"), dim)), "clean-track")
-    toks = stored.select(*key, clean_words("cleaned_text").alias("tokens"))
-    ids = ids_from_tokens(toks, key, materialize(build_vocabulary(toks), "vocabulary"))
-    out = stored.join(ids, key)
+    # stored with each row's number, by which its sequences come back to it
+    stored = materialize(_with_row(cleaned.withColumn("embedding", embedding(clean_words("cleaned_text"), dim))), "clean-track")
+    toks = stored.select(ROW, clean_words("cleaned_text").alias("tokens"))
+    ids = ids_from_tokens(toks, [], materialize(build_vocabulary(toks), "vocabulary"))
+    out = stored.join(ids, ROW)
     return out.select(*key, F.col(text).alias("original_text"), "cleaned_text", "label", "category", "split_group",
                       F.col("sequences").alias("input_ids"),
                       F.transform("sequences", lambda s: F.array_repeat(F.lit(1), F.size(s))).alias("attention_mask"), "embedding")

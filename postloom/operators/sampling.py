@@ -29,8 +29,8 @@ from postloom.functions.hashing import hash_hex, u32, unit
 
 
 def exact_rank(df: DataFrame, partition: list[str], seed: str, keys: list[str], width: int = 4,
-               rank_col: str = "rank", size_col: str | None = None) -> DataFrame:
-    """0-based rank of each row inside ``partition`` by (md5(seed|keys), keys),
+               rank_col: str = "rank", size_col: str | None = None, ties: list[str] | None = None) -> DataFrame:
+    """0-based rank of each row inside ``partition`` by (md5(seed|keys), keys, ``ties``),
     without a window over a whole partition.  Optionally adds the partition size."""
     h = hash_hex(seed, *keys)
     x = df.withColumn("__h", h).withColumn("__blk", F.conv(F.substring("__h", 1, width), 16, 10).cast("long"))
@@ -40,7 +40,7 @@ def exact_rank(df: DataFrame, partition: list[str], seed: str, keys: list[str],
         "__off", F.coalesce(F.sum("__cnt").over(w.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if size_col:
         blocks = blocks.withColumn(size_col, F.sum("__cnt").over(w))
-    inner = Window.partitionBy(*partition, "__blk").orderBy("__h", *keys)
+    inner = Window.partitionBy(*partition, "__blk").orderBy("__h", *keys, *(ties or []))
     ranked = x.withColumn("__rn", F.row_number().over(inner)).join(
         blocks.drop("__cnt"), [*partition, "__blk"])
     out = ranked.withColumn(rank_col, F.col("__off") + F.col("__rn") - 1)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from postloom.functions import stylometry as ST
 from postloom.operators import features as FE
+from postloom.operators import language_model as LM
 from postloom.operators import sampling as SA
+from postloom.operators import subwords as SW
 from postloom.plans import sqlfrag as S
 from postloom.plans.registry import query, spread, table
 from postloom.plans.views import posts, with_posts
@@ -58,6 +60,27 @@ def perplexity_bigram(spark, d):
     return p.select("doc_id", F.round("perplexity", 6).alias("perplexity"))
 
 
+KN_SQL = f"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {S.q(WORD_RE)}, 0) AS t FROM documents),
+ per_doc AS (SELECT doc_id, t[i] AS prev, t[i + 1] AS w, count(*) AS k FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM toks WHERE len(t) >= 2) GROUP BY ALL),
+ b AS (SELECT prev, w, sum(k) AS c FROM per_doc GROUP BY ALL),
+ voc AS (SELECT count(DISTINCT word) AS v FROM (SELECT unnest(t) AS word FROM toks)),
+ bw AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+ bp AS (SELECT prev, CAST(sum(c) AS DOUBLE) AS c_prev, count(*) AS n_after FROM b GROUP BY prev),
+ d AS (SELECT CASE WHEN count(*) FILTER (c = 1) = 0 THEN {LM.PLAIN_DISCOUNT} ELSE count(*) FILTER (c = 1) / CAST(count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2) AS DOUBLE) END AS d FROM b),
+ d1 AS (SELECT CASE WHEN count(*) FILTER (n = 1) = 0 THEN {LM.PLAIN_DISCOUNT} ELSE count(*) FILTER (n = 1) / CAST(count(*) FILTER (n = 1) + 2 * count(*) FILTER (n = 2) AS DOUBLE) END AS d1,
+               CAST(sum(n) AS DOUBLE) AS types, count(*) AS followers FROM bw),
+ p1 AS (SELECT w, greatest(n - d1, 0) / types + d1 * followers / types / (v + 1) AS p1 FROM bw, d1, voc),
+ s AS (SELECT b.prev, b.w, -ln(greatest(c - d, 0) / c_prev + d * n_after / c_prev * p1) AS nll FROM b JOIN bp USING (prev) JOIN p1 USING (w), d),
+ m AS (SELECT doc_id, sum(nll * k) / sum(k) AS m FROM per_doc JOIN s USING (prev, w) GROUP BY doc_id)
+SELECT doc_id, round(coalesce(exp(m), 0.0), 6) AS perplexity FROM toks LEFT JOIN m USING (doc_id)"""
+
+
+@query("perplexity_kneser_ney", "F4", KN_SQL)
+def perplexity_kneser_ney(spark, d):
+    p = LM.kneser_ney_perplexity(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id")
+    return p.select("doc_id", F.round("perplexity", 6).alias("perplexity"))
+
+
 SPLIT_SQL = """, sr AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rk,
                 count(*) OVER () AS n FROM documents WHERE text IS NOT NULL),
  sp AS (SELECT doc_id, CASE WHEN rk < n - (3 * n + 9) // 10 THEN 'train'
@@ -79,7 +102,7 @@ def feature_table(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     split = SA.split_exact(docs.filter(F.col("text").isNotNull()), ["doc_id"], "42")
     clean = materialize(split.filter(F.length(FE.T.clean_text("text")) > 0), "raw-track")
-    out = FE.stylometric_features(clean, "doc_id").join(clean.select("doc_id", "split_group"), "doc_id")
+    out = FE.stylometric_features(clean, "doc_id", carry=["split_group"])
     return out.select("doc_id", "split_group", F.lit(0).alias("label"),
                       *[F.round(c, 6).alias(c) for c in ("perplexity", "burstiness", "punctuation_density",
                                                          "lexical_diversity")])
@@ -120,6 +143,19 @@ def pad_batches(spark, d):
                     F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
 
 
+# pieces are learned by iteration, which SQL cannot express; that ids are never unknown and stand for the words, it can
+@query("subword_ids", "F6", f"""WITH c AS (SELECT doc_id, {S.clean('text')} AS ct FROM documents)
+SELECT doc_id, array_to_string(list_filter(string_split(ct, ' '), lambda w: w <> ''), ' ') AS decoded, CAST(0 AS BIGINT) AS n_unknown FROM c""")
+def subword_ids(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", FE.T.clean_text("text").alias("ct"))
+    docs = materialize(docs, "cleaned-texts")
+    tokens = FE.clean_words("ct")
+    pieces = SW.train(SW.count_words(docs, tokens))
+    ids = docs.select("doc_id", SW.piece_ids(pieces, docs, tokens).alias("ids"))
+    return ids.select("doc_id", SW.decoded(pieces, docs, F.col("ids")).alias("decoded"),
+                      F.size(F.filter("ids", lambda i: i == FE.UNK)).cast("long").alias("n_unknown"))
+
+
 DIM = 8
 
 
@@ -164,14 +200,13 @@ def clean_track(spark, d):
 SELECT platform, post_id, split_group, 0 AS label, round({S.punct_density('text')}, 6) AS punctuation_density,
        round({S.lexical_diversity('text')}, 6) AS lexical_diversity FROM sp"""))
 def split_sync(spark, d):
-    # split and label come from the clean table (here its key and label columns, which is all that
-    # is read of it), so rows the clean track drops (empty cleaned text) drop here too
+    # split and label are columns of the clean table and travel with the row, so rows the clean track
+    # drops (empty cleaned text) drop here too
     p = posts(spark, d).filter(F.col("text").isNotNull())
     split = SA.split_exact(p.select("platform", "post_id", "text"), ["platform", "post_id"], "42")
-    clean = split.filter(F.length(FE.T.clean_text("text")) > 0).select("platform", "post_id", "split_group", F.lit(0).alias("label"))
-    feats = p.select("platform", "post_id", F.round(ST.punctuation_density("text"), 6).alias("punctuation_density"),
-                     F.round(ST.lexical_diversity("text"), 6).alias("lexical_diversity"))
-    return clean.join(feats, ["platform", "post_id"])
+    clean = split.filter(F.length(FE.T.clean_text("text")) > 0)
+    return clean.select("platform", "post_id", "split_group", F.lit(0).alias("label"), F.round(ST.punctuation_density("text"), 6).alias("punctuation_density"),
+                        F.round(ST.lexical_diversity("text"), 6).alias("lexical_diversity"))
 
 
 def _word_count_model():
