@@ -1,12 +1,17 @@
 """BPE encoding and decoding with the vocabulary of a public tokenizer file.
 
-Method: batched numpy merge rounds.  The words of many texts that are not known yet lie in
-one flat symbol array; in each round every neighbouring pair is looked up by binary search
-over the sorted pair keys of the merge table, every word merges its pair of lowest rank
-(all its places, left to right), and words without a pair leave the array.
+Method: batched numpy merge rounds.  The texts of a run are cut at ASCII white space (no word of
+the file's pattern crosses it, and neither does composing) and dictionary-encoded, so that what
+follows is done once per distinct string of a run: the pattern cuts it into words, and all words
+that are not known yet lie in one flat symbol array.  In each round every neighbouring pair is
+looked up by binary search over the sorted pair keys of the merge table, every word merges its
+pair of lowest rank (all its places, left to right), and words without a pair leave the array.
+A text's ids, and their decimal and token forms, are gathered from those of its strings.
 
 Map only: no shuffle, and a task holds one run of texts, the merge table (shipped once to
-each executor; its size is that of the tokenizer file) and a bounded table of known words.
+each executor; its size is that of the tokenizer file) and a bounded table of known words in two
+generations: when the younger is full, the older one goes, so words in use stay known
+(as do the strings that they make).
 
 The result equals the tokenizers library's ``encode(text, add_special_tokens=False)`` and
 ``decode(ids, skip_special_tokens=False)``: special tokens found in a text get their ids,
@@ -30,9 +35,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.words import chunks, texts_of
+from postloom.llm.words import chunks, split_words, texts_of
 
-KNOWN_WORDS = 1 << 17  # words kept with their ids in a task; all are forgotten when the table is full
+RUN_BYTES = 4 << 20
+KNOWN_WORDS = 1 << 17  # strings and words of a generation that are kept with their ids; there are two
 _WIDE = regex.compile("[^\\x00-\\u02ff]")
 
 
@@ -66,7 +72,11 @@ class Bpe:
         self.inner = np.array([self.vocab[s] for s in symbols], np.int64)
         self.last = np.array([self.vocab[s + self.end] for s in symbols], np.int64)
         self.of_symbol = {s: bytes([b]) for b, s in enumerate(symbols)}
-        self.known: dict[str, tuple[str, str, int]] = {}
+        every = range(max(self.token, default=-1) + 1)
+        self.decimal = pa.array([b"%d " % i for i in every], pa.large_binary())
+        self.shown = pa.array([self.token.get(i, "").encode() + b" " for i in every], pa.large_binary())
+        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes, bytes]] = {}
 
     @property
     def library(self):
@@ -77,38 +87,51 @@ class Bpe:
             self._library = Tokenizer.from_str(self.source)
         return self._library
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece (a word's bytes)."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces (each a word's bytes), one after the other, and how many each has."""
         size = np.array([len(p) for p in pieces])
         symbols = self.inner[np.frombuffer(b"".join(pieces), np.uint8)]
         ends = np.cumsum(size)
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         symbols[ends - 1] = self.last[raw[ends - 1]]
         word = np.repeat(np.arange(len(pieces)), size)
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
-        none = len(self.merged)
+        ready: list[tuple[np.ndarray, np.ndarray]] = []  # (word, symbol) of words that are done
+        none, rank = len(self.merged), np.empty(len(symbols), np.int64)  # rank: of a symbol and its right neighbour
+        changed = np.arange(len(symbols))
         while len(symbols):
-            pair = np.full(len(symbols), -1, np.int64)
-            inner = word[1:] == word[:-1]
-            pair[:-1][inner] = symbols[:-1][inner] * self.base + symbols[1:][inner]
+            right = np.minimum(changed + 1, len(symbols) - 1)
+            inner = (word[right] == word[changed]) & (right > changed)
+            pair = np.where(inner, symbols[changed] * self.base + symbols[right], -1)
             at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == pair, self.ranks[at], none)
-            heads = np.flatnonzero(np.r_[True, ~inner])
+            rank[changed] = np.where(self.keys[at] == pair, self.ranks[at], none)
+            heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, heads)
             length = np.diff(np.r_[heads, len(symbols)])
-            done = np.repeat(best == none, length)
-            if done.any():
-                for i in np.flatnonzero(best == none):
-                    out[word[heads[i]]] = symbols[heads[i] : heads[i] + length[i]]
-            hit = (rank == np.repeat(best, length)) & ~done
+            least = np.repeat(best, length)
+            done = least == none
+            ready.append((word[done], symbols[done]))
+            hit = (rank == least) & ~done
             # in a run of adjacent hits (a pair of two equal symbols) every second one merges
             place = np.arange(len(hit))
             run = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
             hit &= (place - run) % 2 == 0
             symbols[hit] = self.merged[rank[hit]]
-            gone = np.r_[False, hit[:-1]] | done
-            symbols, word = symbols[~gone], word[~gone]
-        return out
+            left = ~(np.r_[False, hit[:-1]] | done)
+            symbols, word, rank, hit = symbols[left], word[left], rank[left], hit[left]
+            changed = np.flatnonzero(hit | np.r_[hit[1:], False])  # merged symbols and those before them
+        words, ids = (np.concatenate([r[k] for r in ready]) for k in (0, 1))
+        return ids[np.argsort(words, kind="stable")], np.bincount(words, minlength=len(pieces))
+
+    def render(self, ids: np.ndarray, count: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
+        """Entries of words with so many ids each: slices of three byte strings."""
+        columns = []
+        for forms in (self.decimal, self.shown):
+            data, at = texts_of(forms.take(pa.array(ids)))
+            columns.append((data.tobytes(), at))
+        columns.append((ids.astype(np.int32).tobytes(), np.arange(len(ids) + 1) * 4))
+        ends = np.concatenate([[0], np.cumsum(count)])
+        cuts = [at[ends].tolist() for _, at in columns]
+        return list(zip(*[[raw[a:b] for a, b in zip(c[:-1], c[1:], strict=True)] for (raw, _), c in zip(columns, cuts, strict=True)], strict=True))
 
     def pieces(self, text: str) -> list[str]:
         """Words before byte mapping; a special token stands for itself."""
@@ -119,47 +142,95 @@ class Bpe:
         shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [b"".join(map(self.of_symbol.__getitem__, p)).decode() for p, _ in shown]
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, str, int]]]:
-        """Per text its words as (decimal ids, tokens, number of ids), each joined by a space."""
-        split = [self.pieces(t) for t in texts]
-        known = self.known
+    def encode(self, strings: list[str]) -> list[tuple[bytes, bytes, bytes]]:
+        """Of each string its ids in decimal and its tokens, each followed by a space, and its ids as int32."""
+        known, older = self.known, self.older
+        out = [known.get(s) for s in strings]
+        rest: list[tuple[int, list[str]]] = []  # strings that are not known yet, as words
+        new: dict[str, None] = {}
+        for k, entry in enumerate(out):
+            if entry is None:
+                s = strings[k]
+                entry = out[k] = older.get(s)
+                if entry is not None:
+                    known[s] = entry
+                    continue
+                words = [s] if s.isascii() and s.isalpha() and s.islower() else self.pieces(s)
+                rest.append((k, words))
+                for p in words:
+                    if p not in known:
+                        entry = older.get(p)
+                        if entry is None:
+                            new[p] = None
+                        else:
+                            known[p] = entry
+        plain = [p for p in new if p not in self.special]
+        if plain:
+            known.update(zip(plain, self.render(*self.merge([p.encode() for p in plain])), strict=True))
+        for p in new:
+            if p in self.special:
+                known[p] = self.render(np.array([self.special[p]]), np.array([1]))[0]
+        for k, words in rest:
+            if len(words) == 1:
+                entry = known[words[0]]
+            else:
+                parts = [known[p] for p in words]
+                entry = (b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts]), b"".join([x[2] for x in parts]))
+            out[k] = known[strings[k]] = entry
         if len(known) > KNOWN_WORDS:
-            known.clear()
-        new = [p for p in {p for ps in split for p in ps if p not in known} if p not in self.special]
-        known |= {s: (str(i), s, 1) for s, i in self.special.items()}
-        if new:
-            token = self.token
-            for p, ids in zip(new, self.merge([p.encode() for p in new]), strict=True):
-                ids = ids.tolist()
-                known[p] = (" ".join(map(str, ids)), " ".join([token[i] for i in ids]), len(ids))
-        return [[known[p] for p in ps] for ps in split]
+            self.known, self.older = {}, known
+        return out
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
+    def encode_run(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+        """Texts given as UTF-8 bytes and offsets: the place of each one's first string (and the end); decimals,
+        tokens and ids (int32 bytes) string by string; and the number of ids before each text (and of all)."""
+        words = split_words(data, at)
+        size = words.end - words.start
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[words.start] += 1
+        inside[words.end] -= 1
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        flat = pa.py_buffer(np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]))
+        strings = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(ends), flat]).dictionary_encode()
+        entries = self.encode(strings.dictionary.to_numpy(zero_copy_only=False).tolist())
+        columns = [pa.array([e[k] for e in entries], pa.large_binary()).take(strings.indices) for k in range(3)]
+        count = np.concatenate([[0], np.cumsum(np.array([len(e[2]) // 4 for e in entries], np.int64)[strings.indices.to_numpy()])])
+        return words.first, columns, count[words.first]
 
 
 _loaded: dict[str, Bpe] = {}
 
 
+def _joined(strings: pa.Array, first: np.ndarray) -> list[memoryview]:
+    """Each text's bytes, without the space after its last one."""
+    data, at = texts_of(strings)
+    raw, at = memoryview(data), at[first]
+    return [raw[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _run(source, digest: bool, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hashlib.sha256(source.value.encode()).hexdigest()
         bpe = _loaded.get(key) or _loaded.setdefault(key, Bpe(source.value))  # once per worker, not per task
         try:
             for batch in batches:
-                for i, j in chunks(texts_of(batch["text"])[1], 1 << 20):
-                    rows = bpe.encode([t or "" for t in batch["text"][i:j].to_pylist()])
-                    ids = [" ".join([w[0] for w in r]) for r in rows]
-                    tokens = [" ".join([w[1] for w in r]) for r in rows]
-                    count = [sum([w[2] for w in r]) for r in rows]
-                    out = {c: batch[c][i:j] for c in keep} | {"n_tokens": pa.array(count, pa.int64())}
+                data, at = texts_of(batch["text"])
+                for i, j in chunks(at, RUN_BYTES):
+                    first, (decimals, tokens, ids), before = bpe.encode_run(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    out = {c: batch[c][i:j] for c in keep} | {"n_tokens": pa.array(np.diff(before), pa.int64())}
+                    shown, numbers = _joined(tokens, first), _joined(decimals, first)
                     if not digest:
-                        flat = np.array(" ".join(x for x in ids if x).split(), dtype=np.int32)
-                        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                        out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                        out["decoded"] = pa.array(tokens, pa.string())
-                    out["ids_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string())
-                    out["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in tokens], pa.string())
+                        flat, _ = texts_of(ids)
+                        out["ids"] = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(np.frombuffer(flat.tobytes(), np.int32)))
+                        out["decoded"] = pa.array([str(x, "utf-8") for x in shown], pa.string())
+                    out["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in numbers], pa.string())
+                    out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in shown], pa.string())
                     yield pa.RecordBatch.from_pydict(out)
         finally:
-            bpe.known.clear()  # an idle worker holds no words
+            bpe.forget()  # an idle worker holds no words
 
     return run
 

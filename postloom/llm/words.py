@@ -79,7 +79,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     if len(column) == 0 or offsets is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
