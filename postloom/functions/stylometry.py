@@ -54,15 +54,20 @@ def sentence_token_counts(c) -> Column:
     return F.transform(pieces, lambda p: F.length(p).cast("double"))
 
 
-def burstiness(c) -> Column:
-    """Population variance of tokens per sentence; 0.0 without sentences."""
+def variance(counts: Column) -> Column:
+    """Population variance of an array of doubles; 0.0 if it is empty."""
 
-    def variance(cs: Column) -> Column:
+    def of(cs: Column) -> Column:
         n = F.size(cs)
         return let(F.aggregate(cs, F.lit(0.0), lambda acc, x: acc + x) / n,
                    lambda mean: F.aggregate(cs, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n)
 
-    return let(sentence_token_counts(c), lambda cs: F.when(F.size(cs) == 0, F.lit(0.0)).otherwise(variance(cs)))
+    return let(counts, lambda cs: F.when(F.size(cs) == 0, F.lit(0.0)).otherwise(of(cs)))
+
+
+def burstiness(c) -> Column:
+    """Population variance of tokens per sentence; 0.0 without sentences."""
+    return variance(sentence_token_counts(c))
 
 
 def punctuation_density(c) -> Column:

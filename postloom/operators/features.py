@@ -84,17 +84,23 @@ SALTS = 4096
 
 
 def _look_up(rows: DataFrame, table: DataFrame, on: list[str], value: str, count: str, spread: list[str]) -> DataFrame:
-    """``rows`` with ``value`` of ``table`` (one stored row per ``on``, NULLs equal; ``count`` its occurrences).
+    """``rows`` with ``value`` of ``table`` (one stored row per ``on``; ``count`` its occurrences), NULL
+    where there is none.  A NULL in ``on`` meets nothing.
 
-    Hot entries are broadcast.  Rows that they answer are spread over the shuffle by a salt of
-    their ``spread`` columns; the others meet the table by hash."""
+    Hot entries are broadcast.  Rows that they answer, and rows that cannot meet any, are spread over the
+    shuffle by a salt of their ``spread`` columns; the others meet the table by hash."""
     total = table.select(F.sum(count)).scalar()
     hot = table.where(F.col(count) * HOT_SHARE > total).select(*[F.col(c).alias(f"__h_{c}") for c in on], F.col(value).alias("__hot"))
-    match = lambda p: [F.col(c).eqNullSafe(F.col(f"{p}{c}")) for c in on]
+    match = lambda p: [F.col(c) == F.col(f"{p}{c}") for c in on]
     first = rows.join(F.broadcast(hot), match("__h_"), "left").drop(*[f"__h_{c}" for c in on])
-    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    done = F.col("__hot").isNotNull()
+    for c in on:
+        done = done | F.col(c).isNull()
+    salt = F.when(done, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    # a NULL key would send its rows to one task whatever the salt: for the join it is empty
     cold = table.select(*[F.col(c).alias(f"__c_{c}") for c in on], F.col(value).alias("__cold"), F.lit(0).alias("__c_salt"))
-    joined = first.withColumn("__salt", salt).join(cold, [*match("__c_"), F.col("__salt") == F.col("__c_salt")], "left")
+    meet = [F.coalesce(F.col(c), F.lit("")) == F.col(f"__c_{c}") for c in on]
+    joined = first.withColumn("__salt", salt).join(cold, [*meet, F.col("__salt") == F.col("__c_salt")], "left")
     return joined.select(*rows.columns, F.coalesce("__hot", "__cold").alias(value))
 
 

@@ -32,8 +32,8 @@ from postloom.session import materialize
 START = "▁"
 LONGEST = 8  # characters of a piece, the mark not counted
 SIZE, SEEDS = 8000, 40000
-ROUNDS = 2  # expectation-maximisation rounds before each cut and after the last
-KEEP = 0.7  # share of the pieces that a cut leaves
+ROUNDS = 1  # expectation-maximisation rounds before each cut and after the last
+KEEP = 0.5  # share of the pieces that a cut leaves
 FIRST_BYTE, FIRST_PIECE = 4, 260
 _NONE = -math.inf
 
@@ -137,7 +137,8 @@ def used(counts: dict[str, float], before: dict[str, float]) -> dict[str, float]
 def train(words: DataFrame, size: int = SIZE, seeds: int = SEEDS) -> Pieces:
     """Pieces for the counted words (word with its mark, n)."""
     spark = words.sparkSession
-    words = materialize(words, "subword-words")
+    # the work is by word, not by byte: as many partitions as any shuffle has, however small the table
+    words = materialize(words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "subword-words")
     counts = seed_pieces(words, seeds)
 
     def expect(counts: dict[str, float]) -> dict[str, float]:

@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from postloom.functions import stylometry as ST
+from postloom.operators import dense as DE
 from postloom.operators import features as FE
 from postloom.operators import language_model as LM
 from postloom.operators import sampling as SA
+from postloom.operators import sentences as SE
 from postloom.operators import subwords as SW
 from postloom.plans import sqlfrag as S
 from postloom.plans.registry import query, spread, table
@@ -24,6 +26,24 @@ def burstiness(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(ST.burstiness("text"), 6).alias("burstiness"))
 
 
+@query("burstiness_learned", "F1", f"""WITH toks AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), {S.q(SE.TYPE_RE)}, 0)) AS t FROM documents),
+ types AS (SELECT regexp_replace(t, '\\.$', '') AS type, CAST(count(*) FILTER (ends_with(t, '.')) AS DOUBLE) AS c1,
+                  CAST(count(*) FILTER (NOT ends_with(t, '.')) AS DOUBLE) AS c0 FROM toks GROUP BY 1),
+ tot AS (SELECT sum(c1) / sum(c1 + c0) AS p FROM types),
+ sized AS (SELECT *, CAST(length(replace(type, '.', '')) AS DOUBLE) AS n, CAST(length(type) - length(replace(type, '.', '')) AS DOUBLE) AS inner_ FROM types, tot WHERE c1 > 0),
+ ab AS (SELECT type FROM sized WHERE regexp_matches(type, '\\p{{L}}') AND 2 * ((c1 * ln({SE.ABBREVIATION_SHARE}) + c0 * ln(1 - {SE.ABBREVIATION_SHARE}))
+          - (c1 * ln(p) + CASE WHEN p >= 1 THEN 0 ELSE c0 * ln(1 - p) END)) * exp(-n) * (inner_ + 1) * pow(n, -c0) >= {SE.THRESHOLD}
+          OR regexp_matches(type, '^\\p{{L}}$')),
+ parts AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS s FROM (SELECT doc_id, {S.sentences("text")} AS s FROM documents)),
+ f AS (SELECT doc_id, i, CAST(len({S.tokens("s")}) AS DOUBLE) AS n, regexp_extract(lower(s), {S.q(SE.LAST_RE)}, 1) IN (SELECT type FROM ab) AS goes_on FROM parts),
+ g AS (SELECT doc_id, n, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM f),
+ l AS (SELECT doc_id, var_pop(n) AS v FROM (SELECT doc_id, sid, sum(n) AS n FROM g GROUP BY doc_id, sid) GROUP BY doc_id)
+SELECT d.doc_id, round(coalesce(v, 0.0), 6) AS burstiness FROM documents d LEFT JOIN l USING (doc_id)""")
+def burstiness_learned(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return SE.learned_burstiness(docs, "doc_id").select("doc_id", F.round("burstiness", 6).alias("burstiness"))
+
+
 @query("punctuation_density", "F2",
        f"SELECT doc_id, round({S.punct_density('text')}, 6) AS punctuation_density FROM documents")
 def punctuation_density(spark, d):
@@ -172,6 +192,12 @@ def hashed_embedding(spark, d):
     return e.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(f"e{i}") for i in range(DIM)])
 
 
+@query("svd_embedding", "F7")  # singular vectors have no SQL form: tested against numpy
+def svd_embedding(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("ct", FE.T.clean_text("text"))
+    return DE.svd_embedding(docs, "doc_id", "ct")
+
+
 @query("clean_track", "F8/N10/P9/T18", with_posts(f"""
 , sr AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || platform || '|' || post_id), platform, post_id) - 1 AS rk,
                 count(*) OVER () AS n FROM posts_v WHERE text IS NOT NULL),

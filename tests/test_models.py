@@ -215,3 +215,82 @@ def test_no_word_is_unknown_and_ids_decode(spark):
     table = pieces.table(spark)
     assert table.count() == len(pieces.ids) and table.agg(F.sum(F.exp("log_p"))).first()[0] == pytest.approx(1.0)
     assert SW.train(SW.count_words(spark.createDataFrame([], "w string"), F.array("w"))).logs == {}
+
+
+# -- dense vectors --------------------------------------------------------------------------------
+
+
+def tfidf(rows, features):
+    import numpy as np
+
+    a = np.zeros((len(rows), features))
+    for k, cols in enumerate(rows):
+        for c, n in Counter(cols).items():
+            a[k, c] = 1 + math.log(n)
+    a *= np.log((1 + len(rows)) / (1 + (a > 0).sum(0))) + 1
+    norm = np.sqrt((a * a).sum(1, keepdims=True))
+    return a / np.where(norm > 0, norm, 1)
+
+
+def test_svd_vectors_reconstruct_as_well_as_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from postloom.operators import dense as DE
+
+    monkeypatch.setattr(DE, "FAN", 2)  # several levels of the tree of sums
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", T.clean_text("text").alias("c"))
+    rows = materialize(docs.select("doc_id", DE.hashed(FE.clean_words("c"), 512).alias("columns")).repartition(5), "hashed")
+    got = rows.orderBy("doc_id").collect()
+    a = tfidf([r["columns"] for r in got], 512)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    for dim in (4, 20):
+        v = DE.learn(rows.select("columns"), dim, 512)
+        assert np.allclose(v.singular, s[:dim], rtol=0.05)
+        best = np.linalg.norm(a - (u[:, :dim] * s[:dim]) @ vt[:dim])
+        assert np.linalg.norm(a - a @ v.right @ v.right.T) <= 1.05 * best
+        assert np.allclose(v.right.T @ v.right, np.eye(dim), atol=1e-8)
+        out = {r.doc_id: np.array(r.embedding) for r in DE.project(rows, v, unit=False).collect()}
+        assert np.allclose(np.stack([out[r.doc_id] for r in got]), a @ v.right, atol=1e-5)
+
+
+def test_svd_edges(spark):
+    from postloom.operators import dense as DE
+
+    df = spark.createDataFrame([(1, "a b c"), (1, "x y"), (None, "a b"), (2, ""), (2, None)], "k int, c string")
+    out = DE.svd_embedding(df, "k", "c", dim=3, features=64).collect()
+    assert sorted((str(r.k) for r in out)) == ["1", "1", "2", "2", "None"]
+    assert all(len(r.embedding) == 3 for r in out)
+    assert all(abs(sum(x * x for x in r.embedding) - (0 if r.k == 2 else 1)) < 1e-5 for r in out)
+    assert DE.svd_embedding(spark.createDataFrame([], "k int, c string"), "k", "c", dim=3, features=64).count() == 0
+
+
+# -- sentences ------------------------------------------------------------------------------------
+
+
+def test_abbreviations_do_not_end_a_sentence(spark):
+    from postloom.operators import sentences as SE
+
+    ends = ["here", "more", "left", "road", "came"]  # seen inside sentences as well as at their ends
+    plain = [f"The {ends[k % 5]} one is {ends[(k + 1) % 5]}. It has a {ends[(k + 2) % 5]} of size {k % 7}. We saw word{k} and {ends[(k + 3) % 5]}." for k in range(150)]
+    some = [f"Mr. Smith met Dr. Jones at {k} p.m. on the road. They spoke, e.g. about J. Doe etc. and left." for k in range(40)]
+    rows = list(enumerate(plain + some)) + [(None, "Dr. No came. He left."), (0, "Dr. No came. He left."), (900, ""), (901, None), (902, "One. Two! Three? Four... five.")]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(3)
+    found = {r.word for r in SE.abbreviations(materialize(SE.type_counts(df), "types")).collect()}
+    assert {"mr", "dr", "p.m", "e.g", "etc", "j"} <= found
+    assert not {*ends, "1", "5"} & found
+    got = sorted(((r.k, r.text, r.lengths) for r in SE.sentence_lengths(df, "k", carry=["text"]).collect()), key=repr)
+    assert sorted(((k, t) for k, t, _ in got), key=repr) == sorted(rows, key=repr)
+    by_text = {t: x for _, t, x in got}
+    assert all(len(by_text[t]) == 3 for t in plain) and all(len(by_text[t]) == 2 for t in some)
+    assert len(by_text["Dr. No came. He left."]) == 2 and by_text[""] == [] and by_text[None] == [] and len(by_text["One. Two! Three? Four... five."]) == 5
+    flat = {r.k: r.burstiness for r in SE.learned_burstiness(df, "k").collect()}
+    x = by_text[plain[3]]
+    assert flat[3] == pytest.approx(sum((v - sum(x) / 3) ** 2 for v in x) / 3) and flat[901] == 0.0
+
+
+def test_texts_without_periods_have_no_abbreviations(spark):
+    from postloom.operators import sentences as SE
+
+    df = spark.createDataFrame([(1, "no end here"), (2, "nor here! yes")], "k int, text string")
+    assert SE.abbreviations(materialize(SE.type_counts(df), "types")).count() == 0
+    assert sorted((r.k, r.lengths) for r in SE.sentence_lengths(df, "k").collect()) == [(1, [3]), (2, [3, 1])]
