@@ -5,9 +5,9 @@ Base kinds (leftmost, non-overlapping per kind):
   access  AKIA and capitals or digits, 20 characters or more
   hex     24 or more of 0-9a-f
 
-Method: runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit are
-candidates.  The encoding of each is inferred from its characters (decimal, hex, base32,
-base36, base64).  Three tests ask whether its symbols can be uniform over that alphabet:
+Method: runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that hold a digit, or a capital
+after a small letter, are candidates (a run of letters in one case is taken for a word).  The
+encoding of each is inferred from its characters (decimal, hex, base32, letters, base36, base64).  Three tests ask whether its symbols can be uniform over that alphabet:
 chi-squared of the symbol counts, runs above and below the alphabet's middle, and serial
 correlation of neighbours; the smallest p-value times three must reach ``ALPHA``.  Ordinary
 text passes such tests when it is short, so discoveries are controlled separately: under the
@@ -38,12 +38,13 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LIKELY = r"""(?i:passw|secret|token|api_?key)\w*["']?\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more; a shorter one has no longer match inside it
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 VALUE_CHARS = 6
 ALPHA = 0.003
 FDR = 0.01
 CHANGE = 0.15
+DIGIT_AGAIN = 0.5
 BINS_PER_DECADE = 20
 LAST_BIN = 399
 
@@ -102,7 +103,7 @@ def _encoding(s: Column) -> Column:
     return let(plain, lambda b: F.struct(
         F.when(b.rlike("^[0-9A-F]+$"), F.lower(b)).otherwise(b).alias("body"),
         F.when(b.rlike("^[0-9]+$"), F.lit(DIGITS)).when(b.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(DIGITS + "abcdef"))
-        .when(b.rlike("^[A-Z2-7]+$"), F.lit(UPPER + "234567")).when(b.rlike("^[0-9a-z]+$"), F.lit(DIGITS + LOWER))
+        .when(b.rlike("^[A-Za-z]+$"), F.lit(UPPER + LOWER)).when(b.rlike("^[A-Z2-7]+$"), F.lit(UPPER + "234567")).when(b.rlike("^[0-9a-z]+$"), F.lit(DIGITS + LOWER))
         .when(b.rlike("^[0-9A-Z]+$"), F.lit(DIGITS + UPPER)).otherwise(F.lit(UPPER + LOWER + DIGITS + "+/")).alias("alphabet")))
 
 
@@ -149,7 +150,8 @@ def battery(s: Column) -> Column:
     classes = F.translate(s, LOWER + UPPER + DIGITS + "+/_=-", "a" * 26 + "A" * 26 + "0" * 10 + "+" * 5)
     changes = F.length(F.regexp_replace(F.regexp_replace(classes, r"(.)\1+", "$1"), "^.", "")).cast("double")
     n = F.length(s).cast("double") - 1
-    p_text = upper_tail((changes - 0.5 - n * CHANGE) / F.sqrt(n * CHANGE * (1 - CHANGE)))
+    p_text = F.when(classes.rlike("^0+$"), F.pow(F.lit(DIGIT_AGAIN), n)).otherwise(
+        upper_tail((changes - 0.5 - n * CHANGE) / F.sqrt(n * CHANGE * (1 - CHANGE))))
     return F.struct(let(_encoding(s), tests).alias("p_random"), F.greatest(p_text, F.lit(1e-300)).alias("p_text"),
                     F.floor(F.log2(F.length(s).cast("double"))).cast("int").alias("size"))
 
