@@ -3,10 +3,12 @@
 Method: the page becomes a tree; every paragraph passes points for its length and commas to
 its parent (whole) and the ancestors above (halves, then thirds and so on), a container's
 points are discounted by its link density, and the best container (the article or main around
-it, if there is one) is kept together with siblings that score well or read like text.  Articles
-and mains start with more points than others and compete with all.  Menus, headers, footers, sidebars, notices,
+it, if there is one) is kept together with siblings that score well or read like text, and with
+all that lies between kept siblings and is no list of links.  Articles and mains start with more
+points than others and compete with all.  Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are taken out of the tree before, by element
-and by the words of class, id and role.
+and, if they can hold others, by the words of class, id and role.  Lists of links go at the edges of what is kept only:
+before its first paragraph, or after its last one without a heading of their own.
 
 Map only, one page at a time; a task holds one batch of pages.
 
@@ -39,16 +41,18 @@ PARAGRAPHS = frozenset("p pre blockquote li dd td div section article main body
 # words of class and id: never part of an article / only outside what is named as content
 NEVER = re.compile(
     r"(?:^|[\s_-])(?:ad(?:s|box|unit|slot|block|sense|sbygoogle|vert\w*|\d+)?|banners?|breadcrumbs?|captcha|combx|comment\w*|consent|cookie\w*|disqus\w*|"
-    r"footer\w*|footnav|gdpr|login|menu\w*|modal|nav\w*|newsletter\w*|notices?|notification\w*|alert\w*|pager|pagination|popup|promo\w*|related\w*|"
+    r"footer\w*|footnav|gdpr|login|menu\w*|modal|nav\w*|newsletter\w*|notices?|notifications?|alerts?|pager|pagination|popup|promos?|promotions?|related\w*|"
     r"replies|reply|respond|sharing|share\w*|shoutbox|sidebar\w*|signup|skyscraper|social\w*|sponsor\w*|subscri\w*|toolbar|tooltip|topbar|widget\w*)(?=$|[\s_-])", re.I)
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:community|disclaimer|discussion|extra|header|legends|masthead|meta|remark|rss|sidecol|tags?)(?=$|[\s_-])", re.I)
 READERS = re.compile(r"(?:^|[\s_-])(?:comment\w*|replies|reply|respond|disqus\w*)(?=$|[\s_-])", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")  # mainNav names a nav as main-nav does
-_LAYOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]\S+", re.I)  # classes that only name what surrounds
+# classes that only name what surrounds, and names that are phrases
+_LAYOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]\S+|\S+[-_](?:of|for|the|and|to|in|on|by|from|about)[-_]\S+", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|post\w*|story|text)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WHOLE = frozenset(("article", "main"))  # kept whole if they hold the best container
 KEEP_HEADER = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TEXTS = frozenset(("p", "pre", "blockquote", "td", "th", "tr", "li", "dd", "dt", "figcaption", "caption", "span", "b", "i", "em", "strong")) | KEEP_HEADER  # their names say nothing
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?=[/A-Za-z!?])[^<]*$", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -139,6 +143,12 @@ def _unlikely(node: Node, by_hint: bool) -> bool:
         return not (node.tag == "header" and node.parent is not None and node.parent.tag in ("article", "main") and _has_title(node))
     if not node.hint or not by_hint or node.tag in ("html", "body", "main", "#root"):
         return False
+    if node.tag in TEXTS:  # a text inside an article is part of it whatever it is called
+        walk = node.parent
+        while walk is not None and walk.tag not in WHOLE:
+            walk = walk.parent
+        if walk is not None:
+            return False
     hint = _LAYOUT.sub(" ", f"{node.hint} {_CAMEL.sub(' ', node.hint)}")
     if node.tag == "article":
         return bool(READERS.search(hint))
@@ -218,14 +228,39 @@ def link_density(node: Node) -> float:
     return node.link_len / node.text_len if node.text_len else 0.0
 
 
-def _drop_link_lists(root: Node) -> None:
-    """Takes out unnamed menus: containers below ``root``, outside inner articles, whose text is mostly links."""
+def _is_links(node: Node) -> bool:
+    return node.tag in ("ul", "ol", "dl", "div", "section", "table") and node.text_len > 0 and link_density(node) > 0.7
+
+
+def _reads(node: Node) -> bool:
+    """Whether a block holds text of its own that is not mostly links."""
+    return node.tag in PARAGRAPHS and node.text_len > 0 and link_density(node) < 0.5 and len(_own_text(node)) >= 25
+
+
+def _drop_edge_links(root: Node) -> None:
+    """Takes out unnamed menus: lists of links below ``root``, outside inner articles, before its first
+    paragraph, or after its last one unless a heading stands right before them."""
+    order, todo = [], [root]  # in page order
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    place = {id(n): k for k, n in enumerate(order)}
+    reading = [k for k, n in enumerate(order) if n is not root and _reads(n)]
+    first, last = (reading[0], reading[-1]) if reading else (len(order), -1)
     todo = [root]
     while todo:
         node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not (
-            c.tag in ("ul", "ol", "dl", "div", "section", "table") and c.text_len and link_density(c) > 0.7)]
-        todo += [c for c in node.children if isinstance(c, Node) and c.tag not in WHOLE]
+        kept: list[Node | str] = []
+        for c in node.children:
+            if isinstance(c, Node) and _is_links(c):
+                before = next((x for x in reversed(kept) if isinstance(x, Node) or x.strip()), None)
+                headed = isinstance(before, Node) and before.tag in KEEP_HEADER
+                if place[id(c)] < first or place[id(c)] > last and not headed:
+                    continue
+            kept.append(c)
+        node.children = kept
+        todo += [c for c in kept if isinstance(c, Node) and c.tag not in WHOLE]
 
 
 def _kept(root: Node) -> list[Node]:
@@ -236,7 +271,7 @@ def _kept(root: Node) -> list[Node]:
     # without any points (short texts only) an article goes before the whole body
     best = max(scored or [n for n in order if n.tag in WHOLE and n.text_len], key=lambda n: n.points, default=None)
     if best is None or best.tag in ("html", "#root"):
-        _drop_link_lists(body)
+        _drop_edge_links(body)
         return [body]
     points, around = best.points, best
     while around is not None and around.tag not in WHOLE:
@@ -247,25 +282,36 @@ def _kept(root: Node) -> list[Node]:
         best = best.parent
         points = best.points
     points = max(points, best.points)
-    _drop_link_lists(best if best.parent is None else best.parent)
+    if best.tag not in WHOLE:
+        _drop_edge_links(best)
     if best.parent is None or best.tag == "body":
         return [best]
-    out, headings = [], []
     enough = max(0.2 * points, min(10, 0.6 * points))
-    for n in best.parent.children:
-        if not isinstance(n, Node):
+    near = best.parent.children
+    wanted = []
+    for n in near:
+        if isinstance(n, str) or n is not best and _is_links(n):
+            wanted.append(False)
             continue
         bonus = 0.2 * points if n.hint and n.hint == best.hint else 0.0
         text = _own_text(n) if n.tag == "p" else ""
-        if n is best or n.has_points and n.points + bonus >= enough or n.tag in KEEP_HEADER and not out or n.tag == "p" and (
-                len(text) > 80 and link_density(n) < 0.25 or text and link_density(n) == 0 and re.search(r"\.( |$)", text)):
-            out += [*headings, n]
-            headings = []
-        elif n.tag in KEEP_HEADER:  # kept with what it heads
-            headings.append(n)
-        elif n.text_len:
-            headings = []
-    return out
+        wanted.append(n is best or n.has_points and n.points + bonus >= enough or n.tag in KEEP_HEADER and True not in wanted or n.tag == "p" and (
+            len(text) > 80 and link_density(n) < 0.25 or text != "" and link_density(n) == 0 and re.search(r"\.( |$)", text) is not None))
+    # what lies between two kept ones is kept with them, lists of links aside
+    first, last = wanted.index(True), len(wanted) - 1 - wanted[::-1].index(True)
+    inner = Node("#kept")
+    inner.children = [n for n in near[first : last + 1] if isinstance(n, str) or n is best or not _is_links(n) and (not n.text_len or link_density(n) < 0.5)]
+    # a heading whose section is gone goes with it
+    left = []
+    for k, n in enumerate(inner.children):
+        if isinstance(n, Node) and n.tag in KEEP_HEADER:
+            at = next(i for i, x in enumerate(near) if x is n)
+            heads = next((x for x in near[at + 1 :] if isinstance(x, Node) and x.text_len), None)
+            if heads is not None and not any(x is heads for x in inner.children[k + 1 :]):
+                continue
+        left.append(n)
+    inner.children = left
+    return [inner]
 
 
 def blocks(nodes: list[Node]) -> list[str]:

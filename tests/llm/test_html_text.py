@@ -55,6 +55,28 @@ def test_siblings_of_an_article():
     assert main_text(page) == f"Head\n\nA lead, short.\n\n{P1}\n\nPart two\n\n{P2_TEXT}\n\n{P2_TEXT}"
 
 
+def test_what_lies_inside_the_article_stays():
+    links = "<ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ul>"
+    for tag in ("div", "article"):
+        page = f"<body><div class=nav>x</div><{tag}><p>{P1}</p><p>{P2}</p><h2>Sources</h2>{links}</{tag}></body>"
+        assert main_text(page) == f"{P1}\n\n{P2_TEXT}\n\nSources\n\nFirst source\n\nSecond source"
+    between = "<pre>code  here</pre><table><tr><td>a cell</td></tr></table><ul><li>an item</li></ul><blockquote>Said.</blockquote><section><h2>Short</h2><p>Yes.</p></section>bare <b>text</b>"
+    kept = "code here\n\na cell\n\nan item\n\nSaid.\n\nShort\n\nYes.\n\nbare text"
+    page = f"<body><section><p>{P1}</p><p>{P2}</p></section>{between}<section><p>{P1}</p><p>{P2}</p></section></body>"
+    assert main_text(page) == f"{P1}\n\n{P2_TEXT}\n\n{kept}\n\n{P1}\n\n{P2_TEXT}"
+    page = f"<article><p>{P1}</p><p class='promotional'>Told twice.</p><div class='notice-of-law'>By law.</div><div class='cookie-notice'>{P1}</div><p class=notice>Kept, too.</p></article>"
+    assert main_text(page) == f"{P1}\n\nTold twice.\n\nBy law.\n\nKept, too."
+    # a list of links between two paragraphs, and menus around a container without a name
+    page = f"<body><div>{links}<p>{P1}</p>{links}<p>{P2}</p>{links}</div></body>"
+    assert main_text(page) == f"{P1}\n\nFirst source\n\nSecond source\n\n{P2_TEXT}"
+
+
+def test_very_long_page():
+    many = "".join(f"<p>{P1} {k}</p>" for k in range(20000))
+    text = main_text(f"<body><div class=menu>{P1}</div><div>{many}</div><footer>x</footer></body>")
+    assert text.count("\n\n") == 19999 and text.endswith(" 19999")
+
+
 def test_query_shape(spark, rows_of):
     rows = [(1, "u", f"<article><p>{P1}</p></article>", 5), (1, "u", None, 6), (None, None, "", None), (2, "v", "<p>é</p>", 7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
