@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from postloom.llm.words import chunks, split_words, texts_of
 
-RUN_BYTES = 4 << 20
-KNOWN_WORDS = 1 << 17  # strings and words of a generation that are kept with their ids; there are two
+RUN_BYTES = 1 << 20
+KNOWN_WORDS = 1 << 16  # strings and words of a generation that are kept with their ids; there are two
 _WIDE = regex.compile("[^\\x00-\\u02ff]")
 
 
