@@ -100,6 +100,19 @@ def seeded_preview(pool: DataFrame, n: int, seed: str, key: str = "post_id") ->
     return pool.orderBy(hash_hex(seed, key), F.col(key)).limit(n)
 
 
+def sample_sketch(pool: DataFrame, k: int, seed: str, key: str = "post_id", group: str = "platform") -> DataFrame:
+    """R1/R6, mergeable: the K rows of each group that come first in seeded hash order, with that hash as
+    ``sample_hash``.  Sketches of the parts of a pool merge into the sketch of the whole."""
+    hashed = pool.withColumn("sample_hash", hash_hex(seed, key))
+    return top_k_per_group(hashed, [group], k, [F.col("sample_hash"), F.col(key)], "__rn").drop("__rn")
+
+
+def merge_sketches(sketches: DataFrame, k: int, key: str = "post_id", group: str = "platform") -> DataFrame:
+    """One sketch of the union of sketches made with one seed and ``k`` or more; a row that several hold counts once."""
+    once = sketches.dropDuplicates([group, key])
+    return top_k_per_group(once, [group], k, [F.col("sample_hash"), F.col(key)], "__rn").drop("__rn")
+
+
 def length_bucket(platform: Column, length: Column, buckets: dict = config.LENGTH_BUCKETS) -> Column:
     """Bucket name by platform-specific length bounds; NULL outside all buckets."""
     def case(spec):

@@ -49,6 +49,18 @@ def random_k(spark, d):
     return SA.random_k(FL.pool_filter_sql(posts(spark, d)), N, SEED).select("platform", "post_id", "rn")
 
 
+@query("sample_sketches", "R1/R6", with_posts(f"""
+SELECT platform, post_id, rn FROM (
+  SELECT platform, post_id, row_number() OVER (PARTITION BY platform ORDER BY {_md5(SEED, 'post_id')}, post_id) AS rn
+  FROM posts_v WHERE {P1_SQL}) WHERE rn <= {N}"""))
+def sample_sketches(spark, d):
+    """A sketch per language and platform, merged into the sample of each platform."""
+    pool = FL.pool_filter_sql(posts(spark, d)).withColumn("part", F.concat_ws("|", "language", "platform"))
+    parts = SA.sample_sketch(pool, N, SEED, group="part")
+    merged = SA.merge_sketches(parts, N)
+    return SA.top_k_per_group(merged, ["platform"], N, [F.col("sample_hash"), F.col("post_id")]).select("platform", "post_id", "rn")
+
+
 @query("seeded_preview", "R6/S9", with_posts(f"""
 SELECT platform, post_id, CAST(length(text) AS BIGINT) AS text_length FROM posts_v WHERE {P2_SQL}
 ORDER BY {_md5('42', 'post_id')}, post_id LIMIT 100"""))

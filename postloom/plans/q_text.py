@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from postloom.functions import text as T
 from postloom.plans import sqlfrag as S
-from postloom.plans.registry import query, table
+from postloom.plans.registry import query, spread, table
 from postloom.plans.views import posts, with_posts
 
 
 @query("clean_text", "T7-T13", f"SELECT doc_id, {S.clean('text')} AS cleaned_text FROM documents")
 def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_text("text").alias("cleaned_text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.clean_text("text").alias("cleaned_text"))
 
 
 @query("clean_nonempty", "T13+P9", with_posts(f"""
@@ -26,7 +26,7 @@ def clean_nonempty(spark, d):
 
 @query("clean_pages", "T13 on markup", f"SELECT page_id, {S.clean('html')} AS cleaned_text FROM pages")
 def clean_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", T.clean_text("html").alias("cleaned_text"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", T.clean_text("html").alias("cleaned_text"))
 
 
 @query("extract_hashtags", "T1", with_posts(f"""

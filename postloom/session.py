@@ -83,6 +83,11 @@ def committed(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def mark_committed(spark: SparkSession, path: str) -> None:
+    """Put the marker of a finished job into ``path``."""
+    file_system(spark, path).create(hadoop_path(spark, f"{path}/_SUCCESS"), True).close()
+
+
 def sub_folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``; none if it does not exist.  Any other fault is raised."""
     if not exists(spark, path):

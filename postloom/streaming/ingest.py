@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 from postloom import config
 from postloom.operators import filters as FL
 from postloom.operators import normalize as NZ
+from postloom.operators import sampling as SA
 from postloom.operators import tables as TB
-from postloom.session import committed, materialize, sub_folders
+from postloom.session import committed, mark_committed, materialize, sub_folders
 from postloom.sources import keystore as KS
 from postloom.sources import manifest as MF
 from postloom.sources import payloads as PL
@@ -50,6 +51,8 @@ from postloom.sources.schemas import POSTS, SCRAPER_STATE
 KEY = ["platform", "post_id"]
 STORED_POSTS = f"{POSTS}, created_at_imputed boolean, created_on string, run string, batch int"
 CURSOR = ["platform", "query"]
+SAMPLE = "platform string, post_id string, text string, created_at timestamp, sample_hash string"
+SAMPLE_SEED = "pool"
 IMPUTED = "imputed"
 # Default files per micro-batch, so a batch stays bounded.
 MAX_FILES_PER_TRIGGER = 1000
@@ -64,9 +67,11 @@ def utc_now() -> dt.datetime:
 @dataclass(frozen=True)
 class Store:
     """Folder layout of the ingest tables (on shared storage): <table>/run=<run>/batch=<id>/...;
-    progress/<platform> holds the manifest, keys/<platform> the key store (``buckets`` must not change)."""
+    progress/<platform> holds the manifest, keys/<platform> the key store (``buckets`` must not change).
+    With ``sample`` each commit keeps a random sample of so many posts of the platform's pool (P1, R1)."""
     root: str
     buckets: int = KS.BUCKETS
+    sample: int = 0
 
     def folder(self, table: str, run: str, batch: int) -> str:
         return f"{self.root}/{table}/run={run}/batch={batch}"
@@ -86,6 +91,11 @@ class Store:
         folder = self.progress(spark, platform)[1]["cursors"]
         return spark.createDataFrame([], SCRAPER_STATE) if folder is None else spark.read.schema(SCRAPER_STATE).parquet(f"{self.root}/{folder}")
 
+    def sampled(self, spark: SparkSession, platform: str) -> DataFrame | None:
+        """The platform's sample: the first ``sample`` posts of the whole pool in seeded order, without reading the posts."""
+        folder = self.progress(spark, platform)[1].get("sample")
+        return None if folder is None else spark.read.schema(SAMPLE).parquet(f"{self.root}/{folder}")
+
     def committed(self, spark: SparkSession) -> list[tuple[str, int]]:
         """(run, batch) of every committed batch, from folder names and markers."""
         out = []
@@ -239,20 +249,29 @@ def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: S
             bad.drop("arrival").write.mode("overwrite").parquet(folder("rejects"))
             segment = f"b{run}-{batch}"
             keys.add(written.select("post_id"), segment)
-            tally = rows.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("offered"), F.count("reject_reason").alias("rejected"))
-            tally = tally.join(fresh.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("fresh")), CURSOR, "left")
-            tally = tally.join(written.groupBy(*CURSOR).agg(F.count(F.lit(1)).alias("saved")), CURSOR, "left").fillna(0, ["fresh", "saved"])
-            log = tally.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
+            # one group over what was offered, what passed the filter and what was saved
+            kinds = ("offered", "rejected", "fresh", "saved")
+            tally = lambda df, **of: df.select(*CURSOR, *[of.get(k, F.lit(0)).cast("long").alias(k) for k in kinds])
+            counted = tally(rows, offered=F.lit(1), rejected=F.col("reject_reason").isNotNull()).unionAll(
+                tally(fresh, fresh=F.lit(1))).unionAll(tally(written, saved=F.lit(1)))
+            counted = counted.groupBy(*CURSOR).agg(*[F.sum(k).alias(k) for k in kinds])
+            log = counted.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
             _write_log(log, folder("run_log"), run, batch, "ok", None, as_of, began)
+            document = {}
+            if store.sample:
+                pool = FL.pool_filter_sql(written).select("platform", "post_id", "text", "created_at")
+                sketch, old = SA.sample_sketch(pool, store.sample, SAMPLE_SEED), store.sampled(spark, platform)
+                document["sample"] = f"samples/{platform}/run={run}/batch={batch}-{uuid.uuid4().hex}"
+                merged = sketch if old is None else SA.merge_sketches(old.unionByName(sketch), store.sample)
+                merged.coalesce(1).write.parquet(f"{store.root}/{document['sample']}")
             table = f"cursors/{platform}/run={run}/batch={batch}-{uuid.uuid4().hex}"
             _moved(store.cursors(spark, platform), fresh, progress, as_of).coalesce(1).write.parquet(f"{store.root}/{table}")
         finally:
             rows.unpersist()
         # the batch counts from here on
-        spark.range(1).select(F.lit(run).alias("run_id"), F.lit(batch).alias("batch_id")).write.mode("overwrite").parquet(
-            store.folder("commits", run, batch))
+        mark_committed(spark, folder("commits"))
         segments, gone = keys.compact(spark, [s for s in live["segments"] if s[0] != segment])
-        MF.publish(spark, f"{store.root}/progress/{platform}", version + 1, {"segments": [*segments, [segment, 0]], "cursors": table})
+        MF.publish(spark, f"{store.root}/progress/{platform}", version + 1, document | {"segments": [*segments, [segment, 0]], "cursors": table})
         keys.drop(spark, gone)
     except Exception as e:
         none = F.lit(None).cast("long")

@@ -169,3 +169,21 @@ def test_a_batch_lists_no_history(spark, monkeypatch):
         ingest_once(spark, {"twitter": f"{root}/l{k}"}, store, clock=clock)
     assert set(listed) == {f"{store.root}/progress"}
     assert len(MF.versions(spark, f"{store.root}/progress/twitter")) == 3
+
+
+def test_the_sample_of_all_batches_equals_that_of_the_pool(spark):
+    from postloom.operators import filters as FL
+    from postloom.operators import sampling as SA
+    from postloom.streaming.ingest import SAMPLE_SEED
+
+    root = scratch_path(spark, "t-sample")
+    store = Store(f"{root}/store", 2, sample=5)
+    for k in range(3):
+        posts = [tweet(100 * k + i, 1) | {"text": "long enough text" if i % 3 else "short"} for i in range(12)]
+        _drop(spark, f"{root}/l{k}", posts + [tweet(3, 1) | {"text": "long enough text"}])
+        ingest_once(spark, {"twitter": f"{root}/l{k}"}, store, run=f"r{k}", clock=clock, incremental=False)
+    ingest_once(spark, {"twitter": f"{root}/l1"}, store, run="r1", clock=clock, incremental=False)  # done again
+    pool = FL.pool_filter_sql(store.read(spark, "posts"))
+    want = {r.post_id for r in SA.random_k(pool, 5, SAMPLE_SEED).collect()}
+    got = [r.post_id for r in store.sampled(spark, "twitter").collect()]
+    assert len(got) == 5 and set(got) == want
