@@ -7,7 +7,8 @@ import __spark_entry__ as E
 from postloom.plans.registry import REGISTRY
 from tests.conftest import SF001
 
-PYTHON_ALLOWED = {"batch_inference", "model_hook"}  # caller-supplied Python by design
+# caller-supplied Python by design; learned pieces and vectors work on Arrow batches
+PYTHON_ALLOWED = {"batch_inference", "model_hook", "subword_ids", "svd_embedding"}
 STREAMING = {n for n in REGISTRY if n.startswith("stream_")}  # run eagerly, return the stored table
 
 
