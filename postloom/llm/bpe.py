@@ -230,7 +230,8 @@ def _run(source, digest: bool, keep: list[str]):
                     out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in shown], pa.string())
                     yield pa.RecordBatch.from_pydict(out)
         finally:
-            bpe.forget()  # an idle worker holds no words
+            bpe.forget()  # an idle worker holds no words, and no memory beside its tables
+            pa.default_memory_pool().release_unused()
 
     return run
 
