@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postloom.plans.q_normalize import INGEST, bluesky_payloads, reddit_payloads, twitter_payloads
-from postloom.plans.registry import query, table
-from postloom.session import exists, scratch_path
+from postloom.plans.registry import query, spread, table
+from postloom.session import exists, materialize, scratch_path
 from postloom.sources import payloads as PL
 from postloom.streaming.ingest import Store, cursors, run_ingest, run_log
 
@@ -18,11 +18,10 @@ BUILDERS = {"twitter": twitter_payloads, "reddit": reddit_payloads, "bluesky": b
 _stores: dict[tuple[str, str], Store] = {}
 
 
-def _land(spark, d, root: str):
+def _land(spark, d, docs, root: str):
     """Write payload lines per platform and query (the document's language): every document, and
     a broken line for every 50th; the second drop delivers every line again (new files, same posts)."""
     landing = {}
-    docs = table(spark, d, "documents")
     for platform, build in BUILDERS.items():
         path = f"{root}/landing/{platform}"
         lines = build(spark, d, docs.withColumn("query", F.col("lang")), keep=("query",)).select(F.col("raw_json").alias("value"), "query")
@@ -37,8 +36,10 @@ def store_of(spark, d) -> Store:
     if key not in _stores or not exists(spark, _stores[key].root):
         root = scratch_path(spark, "stream")
         store = Store(f"{root}/store", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        # read six times: dealt out once, as one task reads a whole row group
+        docs = materialize(spread(table(spark, d, "documents")), "stream-documents")
         for _ in range(2):
-            landing = _land(spark, d, root)
+            landing = _land(spark, d, docs, root)
             run_ingest(spark, landing, store, f"{root}/checkpoint", clock=lambda: INGEST)
         _stores[key] = store
     return _stores[key]

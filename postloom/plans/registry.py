@@ -55,7 +55,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For heavy work on whole texts: a scan with fewer partitions than the cluster has cores (a
-    small file of one row group) is dealt out to all of them; any larger scan stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """For heavy work on whole texts: the scan is dealt out to all cores.  The number of its partitions
+    does not tell whether that is needed: a file is cut by bytes, but one task reads a whole row group,
+    so of many partitions a few may hold all rows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))

@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom import config
@@ -48,7 +48,6 @@ from postloom.sources import manifest as MF
 from postloom.sources import payloads as PL
 from postloom.sources.schemas import POSTS, SCRAPER_STATE
 
-KEY = ["platform", "post_id"]
 STORED_POSTS = f"{POSTS}, created_at_imputed boolean, created_on string, run string, batch int"
 CURSOR = ["platform", "query"]
 SAMPLE = "platform string, post_id string, text string, created_at timestamp, sample_hash string"
@@ -233,17 +232,20 @@ def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: S
             ok, bad = NZ.split_rejects(rows)
             fresh = ok
             if floors is not None:
+                # one row per query against whole posts: the posts stay where they are, also those of a busy query
                 if platform in ID_CURSOR:
-                    fresh = FL.after_id(ok, floors, CURSOR)
+                    fresh = FL.after_id(ok, F.broadcast(floors), CURSOR)
                 else:
-                    fresh = FL.after_cursor(ok, floors, CURSOR, keep_null_ts=True).drop("had_cursor")
+                    fresh = FL.after_cursor(ok, F.broadcast(floors), CURSOR, keep_null_ts=True).drop("had_cursor")
             day = F.when(F.col("created_at_imputed"), F.lit(IMPUTED)).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
-            first = TB.first_wins(fresh, KEY, ["arrival"]).withColumn("created_on", day)
+            fresh = fresh.withColumn("created_on", day)
+            # a batch is of one platform, so the id alone is the key: the rows then lie as the key store's buckets do
+            first = TB.first_wins(fresh, ["post_id"], ["arrival"])
             stored = keys.keys(spark, live["segments"])
             stored = stored if own is None else TB.new_only(stored, own, ["post_id"])
             new = first.join(stored, "post_id", "left_anti").drop("arrival")
             # query and tags go into the files too; readers of the posts table do not see them
-            new.write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts"))
+            _by_day(new, fresh).write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts"))
             written = spark.read.schema(f"{STORED_POSTS}, query string, hashtags array<string>").parquet(folder("posts"))
             TB.hashtag_rows(written).write.mode("overwrite").parquet(folder("post_hashtags"))
             bad.drop("arrival").write.mode("overwrite").parquet(folder("rejects"))
@@ -282,6 +284,18 @@ def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: S
         raise
 
 
+def _by_day(new: DataFrame, offered: DataFrame) -> DataFrame:
+    """``new`` dealt out by creation day, so a batch writes about a file per day and task, not one per
+    day in each task; a day with many posts is cut into as many parts as its share asks for."""
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = offered.groupBy("created_on").agg(F.count("*").alias("__n"))
+    share = F.col("__n") * tasks / F.sum("__n").over(Window.partitionBy(F.lit(0)))
+    parts = days.select(F.col("created_on").alias("__day"), F.ceil(share).cast("int").alias("__parts"))
+    dealt = new.join(F.broadcast(parts), F.col("created_on") == F.col("__day"), "left")
+    part = F.pmod(F.xxhash64("post_id"), F.coalesce("__parts", F.lit(1)))
+    return dealt.withColumn("__part", part).repartition(tasks, "created_on", "__part").drop("__day", "__parts", "__part")
+
+
 def _moved(old: DataFrame, fresh: DataFrame, progress: DataFrame | None, as_of: dt.datetime) -> DataFrame:
     """J9 + J7: the platform's cursor table after a batch; cursors move forward only."""
     if progress is None:

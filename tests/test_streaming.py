@@ -216,3 +216,32 @@ def test_polling_uses_each_platforms_interval(spark):
     finally:
         for q in queries.values():
             q.stop()
+
+
+def test_a_batch_writes_a_file_per_day_not_per_day_and_task(spark):
+    root = scratch_path(spark, "t-days")
+    store, landing = Store(f"{root}/store", 8), {"twitter": f"{root}/landing/twitter"}
+    _drop(spark, landing["twitter"], [tweet(i) for i in range(540)] + [tweet(i) | {"created_at": ""} for i in range(1000, 1300)])
+    ingest_once(spark, landing, store, clock=clock)
+    posts = store.read(spark, "posts")
+    assert posts.count() == 840
+    files = posts.select("created_on", F.input_file_name().alias("file")).distinct()
+    per_day = {r.created_on: r["count"] for r in files.groupBy("created_on").count().collect()}
+    assert len(per_day) == 28 and sum(per_day.values()) <= 28 + 8  # 27 days and the imputed ones, 8 tasks
+    assert per_day["imputed"] > 1  # a large day is cut, so it makes no large task
+
+
+def test_a_scan_of_one_row_group_is_dealt_out(spark):
+    from postloom.plans.registry import spread
+
+    path = scratch_path(spark, "t-spread")
+    spark.range(4000).selectExpr("id", "repeat(md5(cast(id as string)), 30) AS text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        scan = spark.read.parquet(path)
+        held = lambda df: sum(n > 0 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        assert scan.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and held(scan) == 1
+        assert held(spread(scan)) > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
