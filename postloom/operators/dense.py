@@ -32,7 +32,7 @@ FEATURES = 1 << 15
 DIM, EXTRA, POWER = 64, 10, 3
 FAN = 64
 SEED = 42
-_BLOCK_ROWS = 256  # texts that are worked on together
+_BLOCK_ROWS = 16  # texts that are worked on together: their products stay in the processor's cache
 _PART_ROWS = 2048  # matrix rows in one piece of a product
 _PRODUCT = "id long, part int, data binary"
 
@@ -42,17 +42,33 @@ def hashed(tokens: Column, features: int = FEATURES) -> Column:
     return F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
 
 
-def _weighted(columns: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, feature columns that occur, dense block over these) for some texts at a time."""
+def _weighted(columns: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, and of each entry that is not zero its row, feature column, value), by row, for some texts at a time."""
     for i in range(0, len(columns), _BLOCK_ROWS):
         some = columns[i : i + _BLOCK_ROWS]
         n = len(some)
-        size = some.value_lengths().fill_null(0).to_numpy()
-        row, (cols, place) = np.repeat(np.arange(n), size), np.unique(some.flatten().to_numpy(), return_inverse=True)
-        block = np.bincount(row * max(1, len(cols)) + place, minlength=n * len(cols)).reshape(n, len(cols)).astype(np.float64)
-        block = np.where(block > 0, 1 + np.log(np.maximum(block, 1)), 0) * idf[cols]
-        norm = np.sqrt((block * block).sum(1, keepdims=True))
-        yield i, i + n, cols, block / np.where(norm > 0, norm, 1)
+        place = np.repeat(np.arange(n), some.value_lengths().fill_null(0).to_numpy()) * len(idf) + some.flatten().to_numpy()
+        place, tf = np.unique(place, return_counts=True)
+        row, col = place // len(idf), place % len(idf)
+        value = (1 + np.log(tf)) * idf[col]
+        norm = np.sqrt(np.bincount(row, weights=value * value, minlength=n))
+        yield i, i + n, row, col, value / np.where(norm > 0, norm, 1)[row]
+
+
+def _added_up(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``into[at] += rows`` for sorted ``at``, which may repeat."""
+    if len(at):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        into[at[starts]] += np.add.reduceat(rows, starts, axis=0)
+
+
+def _times(n: int, row: np.ndarray, col: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``n`` rows times ``x``."""
+    y = np.zeros((n, x.shape[1]))
+    part = x[col]
+    part *= value[:, None]
+    _added_up(y, row, part)
+    return y
 
 
 def _sum_products(table: pa.Table, fan: int) -> pa.Table:
@@ -81,12 +97,15 @@ def _product(rows: DataFrame, sent, gram: bool) -> list[np.ndarray]:
         idf, x = sent.value
         total = np.zeros((x.shape[1], x.shape[1]) if gram else x.shape)
         for batch in batches:
-            for _, _, cols, block in _weighted(batch["columns"], idf):
-                y = block @ x[cols]
+            for i, j, row, col, value in _weighted(batch["columns"], idf):
+                y = _times(j - i, row, col, value, x)
                 if gram:
                     total += y.T @ y
                 else:
-                    total[cols] += block.T @ y
+                    order = np.argsort(col, kind="stable")
+                    part = y[row[order]]
+                    part *= value[order][:, None]
+                    _added_up(total, col[order], part)
         parts = [total[i : i + _PART_ROWS].tobytes() for i in range(0, len(total), _PART_ROWS)]
         yield pa.RecordBatch.from_pydict({"id": pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()),
                                           "part": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())})
@@ -139,8 +158,8 @@ def project(rows: DataFrame, vectors: Vectors, col: str = "columns", out: str =
         idf, right = sent.value
         for batch in batches:
             y = np.zeros((batch.num_rows, right.shape[1]))
-            for i, j, cols, block in _weighted(batch[col], idf):
-                y[i:j] = block @ right[cols]
+            for i, j, *entries in _weighted(batch[col], idf):
+                y[i:j] = _times(j - i, *entries, right)
             if unit:
                 norm = np.sqrt((y * y).sum(1, keepdims=True))
                 y = y / np.where(norm > 1e-12, norm, 1)

@@ -10,18 +10,23 @@ term is uniform over the words and one class for unknown ones, so the probabilit
 any word sum to 1 over the vocabulary and that class; after an unknown word they are p1.
 
 Plan: bigrams are counted per text first, then per corpus; what is stored is one row per distinct
-bigram, per word and per context.  Texts look their bigrams up as in ``features`` (hot ones by
-broadcast, the rest by hash); only texts scored with a model of other texts need the tables of words
-and contexts too, for bigrams that the model has not seen."""
+bigram, per word and per context.  Texts scored with a model of other texts look their bigrams up as in
+``features`` (hot ones by broadcast, the rest by hash), and words and contexts for bigrams that the model
+has not seen.  Texts scored with their own model get its numbers by blocks (``lexicon``)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators import features as FE
+from postloom.operators import lexicon as LX
 from postloom.session import materialize
 
 PLAIN_DISCOUNT = 0.5
@@ -59,11 +64,9 @@ def kneser_ney(df: DataFrame, text: str = "text", max_tokens: int | None = None)
     return KneserNey(materialize(scored, "kn-bigrams"), contexts, words, unseen, (d, d1))
 
 
-def _look_up(model: KneserNey, own: bool):
+def _look_up(model: KneserNey):
     def run(occ: DataFrame) -> DataFrame:
         found = FE._look_up(occ, model.bigrams, ["prev", "w"], "nll", "c_bw", [FE.ROW])
-        if own:  # every bigram of these texts is in the model
-            return found
         known = found.withColumnRenamed("nll", "__nll")
         with_prev = FE._look_up(known, model.contexts, ["prev"], "back_off", "c_prev", [FE.ROW])
         both = FE._look_up(with_prev, model.words, ["w"], "p1", "c_w", [FE.ROW])
@@ -73,17 +76,109 @@ def _look_up(model: KneserNey, own: bool):
     return run
 
 
+_SPREAD = "bucket int, ends binary, letters binary, n binary, ones long, twos long"
+_SLOTS = 4  # values of an entry: the pair's count; and of a word how often, before and after how many it stands
+
+
+def _neighbours(blocks: LX.Blocks) -> DataFrame:
+    """From each bucket's distinct pairs, to the buckets of their words: pairs that begin with the word (occurrences,
+    distinct ones) and distinct pairs that end with it; with the pairs that occur once and twice (on one row)."""
+    buckets = blocks.buckets
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = LX.unpacked(t["ends"].to_pylist(), t["letters"].to_pylist()).dictionary_encode()
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in t["n"].to_pylist()])
+        total = np.bincount(keys.indices.to_numpy(), weights=n, minlength=len(keys.dictionary))
+        pair = pc.match_substring(keys.dictionary, " ").to_numpy(zero_copy_only=False)
+        total, both = total[pair], pc.split_pattern(keys.dictionary.filter(pa.array(pair)), " ").flatten()
+        first = np.arange(len(both)) % 2 == 0
+        words = both.dictionary_encode()
+        code, m = words.indices.to_numpy(), len(words.dictionary)
+        three = np.stack([np.bincount(code[first], weights=total, minlength=m), np.bincount(code[first], minlength=m), np.bincount(code[~first], minlength=m)], 1)
+        bucket = (LX.bucket_hash(words.dictionary) % np.uint64(buckets)).astype(np.int64)
+        rows = [(b, e, w, k) for b, e, w, _, k in LX.dealt(words.dictionary, np.arange(m), three, bucket)]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        seen = lambda x: pa.array(([int((total == x).sum())] + [0] * len(rows))[: len(rows)], pa.int64())
+        return pa.table({"bucket": pa.array(columns[0], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("ends", "letters", "n"), columns[1:], strict=True)},
+                         "ones": seen(1), "twos": seen(2)})
+
+    return blocks.pieces.groupBy("bucket").applyInArrow(run, _SPREAD)
+
+
+def _word_answers(blocks: LX.Blocks, spread: DataFrame) -> DataFrame:
+    """Answers for the words of each block (three values each) and of each bucket the sums that the model needs (on one row)."""
+
+    def run(p: pa.Table, t: pa.Table) -> pa.Table:
+        known = LX.unpacked(t["ends"].to_pylist(), t["letters"].to_pylist()).dictionary_encode()
+        code, m = known.indices.to_numpy(), len(known.dictionary)
+        three = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(x, np.int64).reshape(-1, 3) for x in t["n"].to_pylist()]])
+        sums = np.stack([np.bincount(code, weights=three[:, c], minlength=m) for c in range(3)] , 1).astype(np.int64)
+        before = sums[:, 2]
+        answers = np.concatenate([np.zeros((1, 3), np.int64), sums])
+        at, value = [], []
+        for a, e, w in zip(p["at"].to_pylist(), p["ends"].to_pylist(), p["letters"].to_pylist(), strict=True):
+            keys = LX.unpacked([e], [w])
+            word = ~pc.match_substring(keys, " ").to_numpy(zero_copy_only=False)
+            place = pc.index_in(keys.filter(pa.array(word)), value_set=known.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+            at.append((np.frombuffer(a, np.int32)[word][:, None] * _SLOTS + np.arange(1, _SLOTS)).astype(np.int32).tobytes())
+            value.append(answers[place + 1].tobytes())
+        here = lambda x: pa.array(([int(x)] + [0] * len(at))[: len(at)], pa.int64())
+        return pa.table({"block": p["block"], "at": pa.array(at, pa.binary()), "value": pa.array(value, pa.binary()), "types": here(before.sum()),
+                         "followers": here((before > 0).sum()), "ones": here((before == 1).sum()), "twos": here((before == 2).sum())})
+
+    return blocks.pieces.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(
+        run, f"{LX.ANSWER}, types long, followers long, ones long, twos long")
+
+
+def _own_perplexity(blocks: LX.Blocks) -> DataFrame:
+    """``carried`` and perplexity of every text under the model of all of them: the same numbers as ``kneser_ney``
+    gives, brought to the texts by blocks, without a table of scored bigrams."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [(np.frombuffer(x, np.int32) * _SLOTS).tobytes() for x in b["at"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"block": b["block"], "at": pa.array(at, pa.binary()), "value": b["value"]})
+
+    def share(n1: int, n2: int) -> float:
+        return n1 / (n1 + 2 * n2) if n1 else PLAIN_DISCOUNT
+
+    of_pairs = materialize(LX.bigram_answers(blocks), "kn-counts")
+    spread = materialize(_neighbours(blocks), "kn-neighbours")
+    of_words = materialize(_word_answers(blocks, spread), "kn-words")
+    vocabulary = of_pairs.agg(F.sum("words")).first()[0] or 0
+    d = share(*[x or 0 for x in spread.agg(F.sum("ones"), F.sum("twos")).first()])
+    types, followers, n1, n2 = [x or 0 for x in of_words.agg(*[F.sum(c) for c in ("types", "followers", "ones", "twos")]).first()]
+    d1 = share(n1, n2)
+
+    def make(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> dict:
+        u, w, _, place = LX.pairs(codes, sizes)
+        n_words = int(codes.max()) + 1 if len(codes) else 0
+        v = np.zeros(((n_words + len(u)) * _SLOTS,), np.int64)
+        v[: len(values)] = values
+        v = v.reshape(-1, _SLOTS)
+        c_prev, n_after, n_before = v[u, 1], v[u, 2], v[w, 3]
+        p1 = np.maximum(n_before - d1, 0) / max(types, 1) + d1 * followers / max(types, 1) / (vocabulary + 1)
+        p = np.maximum(v[n_words:, 0] - d, 0) / c_prev + d * n_after / c_prev * p1
+        return {"perplexity": pa.array(LX.mean_of_pairs(sizes, -np.log(p)[place]))}
+
+    both = of_pairs.select("block", "at", "value").mapInArrow(placed, LX.ANSWER).unionByName(of_words.select("block", "at", "value"))
+    return blocks.answered(both, make, "perplexity double")
+
+
 def kneser_ney_perplexity(df: DataFrame, key: str | list[str], text: str = "text", model: KneserNey | None = None,
                           max_tokens: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """Perplexity of every row (0.0 for fewer than two tokens) under ``model``, by default that of the texts
     themselves; with its keys and ``carry`` columns, one row per row given."""
-    own = model is None
-    model = model or kneser_ney(df, text, max_tokens)
-    return FE._scored_texts(df, [*FE._keys(key), *(carry or [])], text, max_tokens, _look_up(model, own))
+    columns = [*FE._keys(key), *(carry or [])]
+    if model is None:
+        toks = F.slice(FE.words(text), 1, max_tokens) if max_tokens else FE.words(text)
+        blocks = LX.Blocks(df, toks, columns, F.length(text), with_pairs=True)
+        return _own_perplexity(blocks).select("carried.*", "perplexity")
+    return FE._scored_texts(df, columns, text, max_tokens, _look_up(model))
 
 
 def probability(model: KneserNey, pairs: DataFrame) -> DataFrame:
     """``pairs`` (prev, w) and p, seen or not."""
     numbered = pairs.withColumn(FE.ROW, F.monotonically_increasing_id())
     p: Column = F.exp(-F.col("nll"))
-    return _look_up(model, False)(numbered).select(*pairs.columns, p.alias("p"))
+    return _look_up(model)(numbered).select(*pairs.columns, p.alias("p"))

@@ -294,3 +294,42 @@ def test_texts_without_periods_have_no_abbreviations(spark):
     df = spark.createDataFrame([(1, "no end here"), (2, "nor here! yes")], "k int, text string")
     assert SE.abbreviations(materialize(SE.type_counts(df), "types")).count() == 0
     assert sorted((r.k, r.lengths) for r in SE.sentence_lengths(df, "k").collect()) == [(1, [3]), (2, [3, 1])]
+
+
+def test_counts_and_lookups_by_blocks_do_not_depend_on_the_cut(spark, monkeypatch):
+    """Blocks of a few words, several buckets, repeated and null keys, texts without words: as counted by hand."""
+    import math
+    from collections import Counter
+
+    from postloom.operators import features as FE
+    from postloom.operators import lexicon as LX
+
+    texts = ["a b a b c", "b a", "a", "", None, "été a b", "c c c c c c c c c c c c", "a b a b c"]
+    rows = [(None if i == 2 else i % 3, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, text string")
+    toks = [(t or "").split() for t in texts]
+    one, two = Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(t, t[1:]))
+    want = []
+    for (k, t), ws in zip(rows, toks):
+        logs = [-math.log((two[p] + 1) / (one[p[0]] + len(one))) for p in zip(ws, ws[1:])]
+        want.append((str(k), round(math.exp(sum(logs) / len(logs)), 9) if logs else 0.0))
+    seen = {}
+    for block, chars in ((1 << 19, 1 << 23), (3, 2)):
+        monkeypatch.setattr(LX, "BLOCK", block)
+        monkeypatch.setattr(LX, "CHARS", chars)
+        got = [(str(r.k), round(r.perplexity, 9)) for r in FE.bigram_perplexity(df, "k").collect()]
+        assert sorted(got) == sorted(want)
+        ids = FE.token_ids(df, "k", "text", max_len=6)
+        seen[block] = sorted((str(r.k), r.seq_no, tuple(r.input_ids)) for r in ids.collect())
+    assert seen[3] == seen[1 << 19] and sum(len(x[2]) - 2 for x in seen[3]) == sum(map(len, toks))
+    assert LX.Blocks(df, FE.words("text"), ["k"], FE.F.length("text")).pieces.columns == [c.split()[0] for c in LX.PIECE.split(", ")]
+
+
+def test_a_hot_word_is_one_entry_of_a_block(spark):
+    from postloom.operators import features as FE
+    from postloom.operators import lexicon as LX
+
+    df = spark.range(2000).selectExpr("id", "concat('hot hot hot w', id % 7) AS text").coalesce(1)
+    blocks = LX.Blocks(df, FE.words("text"), ["id"], FE.F.length("text"))
+    assert blocks.pieces.count() <= 8  # a piece per block and bucket, not 8000 words
+    assert {r.word: r.cnt for r in blocks.words().collect()} == {"hot": 6000} | {f"w{i}": len(range(i, 2000, 7)) for i in range(7)}
