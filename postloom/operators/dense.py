@@ -32,7 +32,8 @@ FEATURES = 1 << 15
 DIM, EXTRA, POWER = 64, 10, 3
 FAN = 64
 SEED = 42
-_BLOCK_ROWS = 16  # texts that are worked on together: their products stay in the processor's cache
+_BLOCK_ROWS = 4096  # texts that are worked on together
+_SLICE = 1024  # entries of the matrix that are multiplied together
 _PART_ROWS = 2048  # matrix rows in one piece of a product
 _PRODUCT = "id long, part int, data binary"
 
@@ -55,19 +56,20 @@ def _weighted(columns: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, int, np
         yield i, i + n, row, col, value / np.where(norm > 0, norm, 1)[row]
 
 
-def _added_up(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``into[at] += rows`` for sorted ``at``, which may repeat."""
-    if len(at):
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-        into[at[starts]] += np.add.reduceat(rows, starts, axis=0)
+def _add_products(into: np.ndarray, at: np.ndarray, x: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
+    """``into[at] += x[row] * value`` for sorted ``at``, which may repeat: some entries at a time, so that their
+    products stay in the processor's cache."""
+    for i in range(0, len(at), _SLICE):
+        part, here = x[row[i : i + _SLICE]], at[i : i + _SLICE]
+        part *= value[i : i + _SLICE, None]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(here)) + 1])
+        into[here[starts]] += np.add.reduceat(part, starts, axis=0)
 
 
 def _times(n: int, row: np.ndarray, col: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
     """``n`` rows times ``x``."""
     y = np.zeros((n, x.shape[1]))
-    part = x[col]
-    part *= value[:, None]
-    _added_up(y, row, part)
+    _add_products(y, row, x, col, value)
     return y
 
 
@@ -103,9 +105,7 @@ def _product(rows: DataFrame, sent, gram: bool) -> list[np.ndarray]:
                     total += y.T @ y
                 else:
                     order = np.argsort(col, kind="stable")
-                    part = y[row[order]]
-                    part *= value[order][:, None]
-                    _added_up(total, col[order], part)
+                    _add_products(total, col[order], y, row[order], value[order])
         parts = [total[i : i + _PART_ROWS].tobytes() for i in range(0, len(total), _PART_ROWS)]
         yield pa.RecordBatch.from_pydict({"id": pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()),
                                           "part": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())})

@@ -333,3 +333,27 @@ def test_a_hot_word_is_one_entry_of_a_block(spark):
     blocks = LX.Blocks(df, FE.words("text"), ["id"], FE.F.length("text"))
     assert blocks.pieces.count() <= 8  # a piece per block and bucket, not 8000 words
     assert {r.word: r.cnt for r in blocks.words().collect()} == {"hot": 6000} | {f"w{i}": len(range(i, 2000, 7)) for i in range(7)}
+
+
+def test_products_take_time_and_memory_of_the_entries_not_of_a_dense_block():
+    """Every text has words of its own: a dense block of the texts' words would hold 4096 x 32768 numbers (1 GB)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from postloom.operators import dense as DE
+
+    rng = np.random.default_rng(1)
+    columns = rng.integers(0, DE.FEATURES, (4096, 20)).astype(np.int32)
+    idf, x = rng.random(DE.FEATURES) + 1, rng.normal(size=(DE.FEATURES, 5))
+    tracemalloc.start()
+    blocks = [(i, j, DE._times(j - i, *entries, x)) for i, j, *entries in DE._weighted(pa.array(list(columns)), idf)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and [b[:2] for b in blocks][-1][1] == 4096
+    for i in (0, 4095):
+        col, tf = np.unique(columns[i], return_counts=True)
+        w = (1 + np.log(tf)) * idf[col]
+        got = next(y[i - a] for a, b, y in blocks if a <= i < b)
+        assert np.allclose(got, (w / np.linalg.norm(w)) @ x[col])
