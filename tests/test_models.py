@@ -357,3 +357,11 @@ def test_products_take_time_and_memory_of_the_entries_not_of_a_dense_block():
         w = (1 + np.log(tf)) * idf[col]
         got = next(y[i - a] for a, b, y in blocks if a <= i < b)
         assert np.allclose(got, (w / np.linalg.norm(w)) @ x[col])
+
+
+def test_the_wide_embedding_is_the_embedding(spark):
+    from postloom.operators import features as FE
+
+    df = spark.createDataFrame([("a b a",), ("",), (None,), ("été x y z x x",)], "t string")
+    got = df.select(FE.embedding(FE.clean_words("t"), 7).alias("a"), FE.wide_embedding(FE.clean_words("t"), 7).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len(got) == 4
