@@ -44,9 +44,10 @@ def example_filter(df: DataFrame, platform: str, lo: int, hi: int, col: str = "t
 
 
 def after_cursor(posts: DataFrame, state: DataFrame, keys: list[str], ts: str = "created_at",
-                 state_ts: str = "last_timestamp", keep_null_ts: bool = False) -> DataFrame:
+                 state_ts: str = "last_timestamp", keep_null_ts: bool = False, flag: str | None = None) -> DataFrame:
     """P4/P5 with J8: keep rows newer than the cursor of their key, or all rows of a
-    key without cursor.  ``keys`` are matched null-safe (a NULL query is a key)."""
+    key without cursor.  ``keys`` are matched null-safe (a NULL query is a key).
+    With ``flag`` every row stays and a column of that name tells whether it is kept."""
     s = state.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(state_ts).alias("__cursor"))
     cond = None
     for k in keys:
@@ -56,15 +57,16 @@ def after_cursor(posts: DataFrame, state: DataFrame, keys: list[str], ts: str =
     keep = F.col("__cursor").isNull() | (F.col(ts) > F.col("__cursor"))
     if keep_null_ts:
         keep = keep | F.col(ts).isNull()
-    return j.filter(keep).withColumn("had_cursor", F.col("__cursor").isNotNull()).drop(
+    j = j.filter(keep) if flag is None else j.withColumn(flag, F.coalesce(keep, F.lit(False)))
+    return j.withColumn("had_cursor", F.col("__cursor").isNotNull()).drop(
         *[f"__s_{k}" for k in keys], "__cursor")
 
 
 def after_id(posts: DataFrame, state: DataFrame, keys: list[str], id_col: str = "post_id",
-             state_id: str = "last_post_id") -> DataFrame:
+             state_id: str = "last_post_id", flag: str | None = None) -> DataFrame:
     """Ids after the cursor.  Numeric ids compare as numbers of up to 38 digits (string ids
     compare wrongly); ids that are no such number sort after all numeric ones, among themselves by
-    (length, text), so a mixed feed still has one order and no row fails the job."""
+    (length, text), so a mixed feed still has one order and no row fails the job.  ``flag`` as in ``after_cursor``."""
     s = state.select(*[F.col(k).alias(f"__s_{k}") for k in keys], F.col(state_id).alias("__since"))
     cond = None
     for k in keys:
@@ -77,9 +79,9 @@ def after_id(posts: DataFrame, state: DataFrame, keys: list[str], id_col: str =
         word = F.when(number.isNull(), text)
         return F.struct(number.isNull().alias("word"), number.alias("n"), F.length(word).alias("size"), word.alias("t"))
 
-    return (posts.join(s, cond, "left")
-            .filter(F.col("__since").isNull() | (place(F.col(id_col)) > place(F.col("__since"))))
-            .drop(*[f"__s_{k}" for k in keys], "__since"))
+    j, keep = posts.join(s, cond, "left"), F.col("__since").isNull() | (place(F.col(id_col)) > place(F.col("__since")))
+    j = j.filter(keep) if flag is None else j.withColumn(flag, F.coalesce(keep, F.lit(False)))
+    return j.drop(*[f"__s_{k}" for k in keys], "__since")
 
 
 def within_hours(df: DataFrame, ts: str, as_of: Column | dt.datetime, hours: int = 24) -> DataFrame:

@@ -9,6 +9,9 @@ are kept as they came.  Below a platform's folder, ``query=<text>/`` sub-folders
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark.read.option("recursiveFileLookup", "true").text(path))
 
 
+def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The lines of some landing files, named by their URIs (as ``arrival`` does)."""
+    paths = [re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(f)) for f in files]  # a path is a pattern
+    raw = spark.read.option("recursiveFileLookup", "true").text(paths) if paths else None
+    kind = "value string, query string, arrival struct<mtime: timestamp, file: string>"
+    return spark.createDataFrame([], kind) if raw is None else _lines(raw)
+
+
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Streaming read of one platform's landing folder (new files only)."""
     r = spark.readStream.option("recursiveFileLookup", "true")

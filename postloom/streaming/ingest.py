@@ -12,8 +12,9 @@ What a batch needs of all batches before it does not grow with them:
 
 * Cursors and counters per (platform, query) are state of the stream (``with_progress``): the
   batch's lines are counted per task, the counts meet the state, and one row per touched query comes
-  back beside the lines, with the floor that the incremental filter uses.  The rows themselves never
-  pass the state operator, so a busy query makes no busy task.  Each commit publishes the cursors of
+  back, with the floor that the incremental filter uses and the names of the files its lines came in.
+  The lines themselves never pass the state operator, so a busy query makes no busy task, and are not
+  kept for the batch: it reads its files.  Each commit publishes the cursors of
   all queries of its platform as one small table, which batch runs and new checkpoints start from.
 * Keys of stored posts lie in a bucketed key store per platform (``sources.keystore``), so the exact
   check against every committed batch shuffles the batch's keys only.
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom import config
+from postloom.functions import text as T
 from postloom.operators import filters as FL
 from postloom.operators import normalize as NZ
 from postloom.operators import sampling as SA
@@ -46,7 +48,7 @@ from postloom.session import committed, mark_committed, materialize, sub_folders
 from postloom.sources import keystore as KS
 from postloom.sources import manifest as MF
 from postloom.sources import payloads as PL
-from postloom.sources.schemas import POSTS, SCRAPER_STATE
+from postloom.sources.schemas import POST_COLUMNS, POSTS, SCRAPER_STATE
 
 STORED_POSTS = f"{POSTS}, created_at_imputed boolean, created_on string, run string, batch int"
 CURSOR = ["platform", "query"]
@@ -117,9 +119,27 @@ class Store:
 def normalized(lines: DataFrame, platform: str, as_of: dt.datetime) -> DataFrame:
     """Payload lines (value, query, arrival) of one platform in the posts layout, with their query and arrival."""
     raw = PL.parse_payloads(lines, platform, keep=("query", "arrival"))
-    norm = NZ.NORMALIZERS[platform](raw, as_of, carry=("query", "arrival"))
-    # arrival order: landing-file time and name, then event time and payload as tie-breaks
-    return norm.withColumn("arrival", F.struct("arrival.mtime", "arrival.file", "created_at", F.md5("raw_json").alias("digest")))
+    return NZ.NORMALIZERS[platform](raw, as_of, carry=("query", "arrival"))
+
+
+def sifted(lines: DataFrame, platform: str, as_of: dt.datetime, floors: DataFrame | None) -> DataFrame:
+    """The normalized lines with ``fresh``: neither rejected nor at or before the floor of their query.  A line that is
+    neither fresh nor rejected is only counted, so its text and payload are left out; tags are found later, in what is stored."""
+    rows, ok = normalized(lines, platform, as_of).drop("hashtags"), F.col("reject_reason").isNull()
+    if floors is None:
+        return rows.withColumn("fresh", ok)
+    # one row per query against whole posts: the posts stay where they are, also those of a busy query
+    if platform in ID_CURSOR:
+        rows = FL.after_id(rows, F.broadcast(floors), CURSOR, flag="fresh")
+    else:
+        rows = FL.after_cursor(rows, F.broadcast(floors), CURSOR, keep_null_ts=True, flag="fresh").drop("had_cursor")
+    needed = F.col("fresh") | ~ok
+    return rows.withColumns({c: F.when(needed, F.col(c)) for c in ("text", "raw_json")} | {"fresh": F.col("fresh") & ok})
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    """Rows with the tags of their texts, where the normalizers have them."""
+    return rows.select(*[c for c, _ in POST_COLUMNS], T.hashtags("text").alias("hashtags"), *[c for c in rows.columns if c not in dict(POST_COLUMNS)])
 
 
 def cursors(spark: SparkSession, store: Store) -> DataFrame | None:
@@ -142,20 +162,20 @@ def pinned(spark: SparkSession, store: Store, run: str, platform: str) -> DataFr
 
 # -- cursors and counters as state of the stream ------------------------------------------------
 
-_PARTIAL = "platform string, query string, offered long, rejected long, newest_id string, newest_us long"
+_PARTIAL = "platform string, query string, offered long, rejected long, newest_id string, newest_us long, files array<string>"
 _STATE = "last_post_id string, last_us long, floor_id string, floor_us long, poll string, offered long, rejected long, batches long"
-PROGRESS = f"platform string, query string, {_STATE}"
+PROGRESS = f"platform string, query string, {_STATE}, files array<string>"  # the files are of the batch, no state
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per (platform, query) of some rows: how many, how many rejected, and the newest with a time of its own."""
+    """Per (platform, query) of some rows: how many, how many rejected, the newest with a time of its own, and their files."""
     for f in frames:
         for (platform, query), g in f.groupby(["platform", "query"], dropna=False):
             timed = g[g["us"].notna()].sort_values(["us", "post_id"])
             last = timed.iloc[-1] if len(timed) else None
             yield pd.DataFrame({"platform": [platform], "query": [None if pd.isna(query) else query], "offered": [len(g)], "rejected": [int(g["rejected"].sum())],
                                 "newest_id": [None if last is None else last["post_id"]],
-                                "newest_us": pd.array([None if last is None else int(last["us"])], "Int64")})
+                                "newest_us": pd.array([None if last is None else int(last["us"])], "Int64"), "files": [sorted(set(g["file"]))]})
 
 
 def _value(x):
@@ -166,11 +186,12 @@ def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
     """One (platform, query): its floor moves to its cursor when a new poll begins, its cursor only forward."""
     old = state.get if state.exists else None
     offered = rejected = 0
-    newest, first = None, None
+    newest, first, files = None, None, set()
     for f in frames:
         offered, rejected = offered + int(f["offered"].sum()), rejected + int(f["rejected"].sum())
         for r in f.itertuples(index=False):
             first = first or r
+            files.update(r.files)
             if _value(r.newest_us) is not None:
                 newest = max(newest or (int(r.newest_us), r.newest_id), (int(r.newest_us), r.newest_id))
     if old is None:  # a query that this checkpoint has not seen starts where the store's cursors stand
@@ -187,39 +208,35 @@ def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
     state.update(now)
     names = [c.split()[0] for c in _STATE.split(", ")]
     yield pd.DataFrame({"platform": [key[0]], "query": [_value(key[1])]} | {
-        c: pd.array([v], "Int64") if c in ("last_us", "floor_us") else [v] for c, v in zip(names, now, strict=True)})
+        c: pd.array([v], "Int64") if c in ("last_us", "floor_us") else [v] for c, v in zip(names, now, strict=True)} | {"files": [sorted(files)]})
 
 
 def with_progress(lines: DataFrame, platform: str, seeds: DataFrame, poll: str) -> DataFrame:
-    """A stream of lines and, for each query a batch touches, its progress: (value, query, arrival, progress).
+    """For each query that a batch of the stream of lines touches, its progress and the files of its lines.
 
     ``seeds``: cursors for queries without state; ``poll`` names the run, floors move when it changes."""
     rows = normalized(lines, platform, dt.datetime(1970, 1, 1, tzinfo=dt.UTC))  # imputed times are no cursors, so this one counts for nothing
     slim = rows.select("platform", "query", "post_id", F.col("reject_reason").isNotNull().alias("rejected"),
-                       F.when(~F.col("created_at_imputed") & F.col("reject_reason").isNull(), F.unix_micros("created_at")).alias("us"))
+                       F.when(~F.col("created_at_imputed") & F.col("reject_reason").isNull(), F.unix_micros("created_at")).alias("us"), F.col("arrival.file").alias("file"))
     own = seeds.select(*[F.col(c).alias(f"seed_{c}") for c in CURSOR], F.col("last_post_id").alias("seed_id"), F.unix_micros("last_timestamp").alias("seed_us"))
     same = [F.col(c).eqNullSafe(F.col(f"seed_{c}")) for c in CURSOR]
     counted = slim.mapInPandas(_partial, _PARTIAL).join(own, same, "left").drop(*[f"seed_{c}" for c in CURSOR])
-    state = counted.withColumn("poll", F.lit(poll)).groupBy(*CURSOR).applyInPandasWithState(_advance, PROGRESS, _STATE, "append", "NoTimeout")
-    kind = lines.schema
-    none = [F.lit(None).cast(kind[c].dataType).alias(c) for c in ("value", "query", "arrival")]
-    return lines.select("value", "query", "arrival", F.lit(None).cast(f"struct<{PROGRESS.replace(' ', ': ').replace(',: ', ', ')}>").alias("progress")).union(
-        state.select(*none, F.struct("*").alias("progress")))
+    return counted.withColumn("poll", F.lit(poll)).groupBy(*CURSOR).applyInPandasWithState(_advance, PROGRESS, _STATE, "append", "NoTimeout")
 
 
 def _floors(progress: DataFrame) -> DataFrame:
     return progress.select(*CURSOR, F.col("floor_id").alias("last_post_id"), F.timestamp_micros("floor_us").alias("last_timestamp"))
 
 
-def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: Store, clock: Callable[[], dt.datetime] = utc_now,
+def ingest_batch(lines: DataFrame | None, platform: str, run: str, batch: int, store: Store, clock: Callable[[], dt.datetime] = utc_now,
                  floors: DataFrame | None = None, progress: DataFrame | None = None) -> None:
     """foreachBatch body: N5 quarantine, P4-P6 incremental filter, J4 in-batch first-wins, J3 against
     the key store, J10 tags, J9 + J7 cursors per (platform, query), X5 run log.
 
     ``floors``: the cursors that the incremental filter uses; None leaves the filter out.
     ``progress``: the stream's state of the touched queries; without it the cursors are advanced from
-    the published ones.  A failure is logged with its reason and raised."""
-    spark, as_of, began = lines.sparkSession, clock(), time.monotonic()
+    the published ones.  ``lines`` None: those of the files that ``progress`` names.  A failure is logged with its reason and raised."""
+    spark, as_of, began = (progress if lines is None else lines).sparkSession, clock(), time.monotonic()
     folder = lambda table: store.folder(table, run, batch)
     try:
         keys = store.keys(platform)
@@ -227,16 +244,14 @@ def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: S
         # a batch that is done again replaces itself: its own keys do not count as stored
         again = committed(spark, store.folder("commits", run, batch))
         own = materialize(store.read(spark, "posts", [(run, batch)]).select("post_id"), "own-keys") if again else None
-        rows = normalized(lines, platform, as_of).persist()
+        if lines is None:  # at most the files of a trigger, which the source lists on the driver too
+            lines = PL.read_files(spark, sorted(r.file for r in progress.select(F.explode("files").alias("file")).distinct().collect()))
+        rows = sifted(lines, platform, as_of, floors).persist()
         try:
-            ok, bad = NZ.split_rejects(rows)
-            fresh = ok
-            if floors is not None:
-                # one row per query against whole posts: the posts stay where they are, also those of a busy query
-                if platform in ID_CURSOR:
-                    fresh = FL.after_id(ok, F.broadcast(floors), CURSOR)
-                else:
-                    fresh = FL.after_cursor(ok, F.broadcast(floors), CURSOR, keep_null_ts=True).drop("had_cursor")
+            # arrival order: landing-file time and name, then event time and payload as tie-breaks
+            order = F.struct("arrival.mtime", "arrival.file", "created_at", F.md5("raw_json").alias("digest"))
+            fresh = rows.where("fresh").drop("reject_reason", "fresh").withColumn("arrival", order)
+            bad = rows.where("reject_reason is not null").drop("fresh", "arrival")
             day = F.when(F.col("created_at_imputed"), F.lit(IMPUTED)).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
             fresh = fresh.withColumn("created_on", day)
             # a batch is of one platform, so the id alone is the key: the rows then lie as the key store's buckets do
@@ -245,17 +260,17 @@ def ingest_batch(lines: DataFrame, platform: str, run: str, batch: int, store: S
             stored = stored if own is None else TB.new_only(stored, own, ["post_id"])
             new = first.join(stored, "post_id", "left_anti").drop("arrival")
             # query and tags go into the files too; readers of the posts table do not see them
-            _by_day(new, fresh).write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts"))
+            _by_day(_tagged(new), fresh).write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts"))
             written = spark.read.schema(f"{STORED_POSTS}, query string, hashtags array<string>").parquet(folder("posts"))
             TB.hashtag_rows(written).write.mode("overwrite").parquet(folder("post_hashtags"))
-            bad.drop("arrival").write.mode("overwrite").parquet(folder("rejects"))
+            _tagged(bad).write.mode("overwrite").parquet(folder("rejects"))
             segment = f"b{run}-{batch}"
             keys.add(written.select("post_id"), segment)
             # one group over what was offered, what passed the filter and what was saved
             kinds = ("offered", "rejected", "fresh", "saved")
             tally = lambda df, **of: df.select(*CURSOR, *[of.get(k, F.lit(0)).cast("long").alias(k) for k in kinds])
-            counted = tally(rows, offered=F.lit(1), rejected=F.col("reject_reason").isNotNull()).unionAll(
-                tally(fresh, fresh=F.lit(1))).unionAll(tally(written, saved=F.lit(1)))
+            counted = tally(rows, offered=F.lit(1), rejected=F.col("reject_reason").isNotNull(), fresh=F.col("fresh")).unionAll(
+                tally(written, saved=F.lit(1)))
             counted = counted.groupBy(*CURSOR).agg(*[F.sum(k).alias(k) for k in kinds])
             log = counted.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
             _write_log(log, folder("run_log"), run, batch, "ok", None, as_of, began)
@@ -356,12 +371,11 @@ def run_ingest(spark: SparkSession, landing: dict[str, str], store: Store, check
 
         def body(df: DataFrame, batch: int, platform: str = platform) -> None:
             run = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-            df = df.persist()  # lines as they came; the state operator runs once
+            progress = df.persist()  # a row per touched query; the state operator runs once
             try:
-                progress = df.where("progress is not null").select("progress.*")
-                ingest_batch(df.where("progress is null").drop("progress"), platform, run, batch, store, clock, _floors(progress) if incremental else None, progress)
+                ingest_batch(None, platform, run, batch, store, clock, _floors(progress) if incremental else None, progress)
             finally:
-                df.unpersist()
+                progress.unpersist()
 
         lines = with_progress(PL.stream_lines(spark, path, max_files or MAX_FILES_PER_TRIGGER), platform, seeds, polls[platform][1])
         w = lines.writeStream.option("checkpointLocation", f"{checkpoint}/{platform}").foreachBatch(body)

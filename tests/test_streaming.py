@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from postloom.operators import tables as TB
 from postloom.plans.q_normalize import bluesky_payloads, reddit_payloads, twitter_payloads
 from postloom.session import scratch_path
+from postloom.sources import payloads as PL
 from postloom.sources import sinks as SK
 from postloom.sources import templates as TP
-from postloom.streaming.ingest import Store, cursors, ingest_once, run_ingest, run_log
+from postloom.sources.schemas import SCRAPER_STATE
+from postloom.streaming.ingest import Store, cursors, ingest_once, run_ingest, run_log, sifted, with_progress
 from tests.conftest import SF001
 
 AS_OF = dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
@@ -245,3 +247,26 @@ def test_a_scan_of_one_row_group_is_dealt_out(spark):
         assert held(spread(scan)) > 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_stream_carries_counts_and_file_names_not_lines(spark):
+    root = scratch_path(spark, "t-names")
+    path, odd = f"{root}/landing/twitter", "a/b {x} [1] é 50%*?"
+    rows = [(json.dumps(tweet(i)), odd if i % 2 else "en") for i in range(1, 9)] + [("{broken", odd)]
+    spark.createDataFrame(rows, "value string, query string").repartition(3).write.partitionBy("query").text(path)
+    seeds = spark.createDataFrame([], SCRAPER_STATE)
+    plan = with_progress(PL.stream_lines(spark, path), "twitter", seeds, "p")
+    assert "value" not in plan.columns and "files" in plan.columns
+    store = Store(f"{root}/s", 8)
+    run_ingest(spark, {"twitter": path}, store, f"{root}/ckpt", clock)
+    assert _keys(spark, store) == {("twitter", str(i)) for i in range(1, 9)}
+    log = run_log(spark, store).groupBy("query").agg(F.sum("offered").alias("n"), F.sum("rejected").alias("bad")).collect()
+    assert {tuple(r) for r in log} == {(odd, 5, 1), ("en", 4, 0)}
+
+
+def test_a_line_that_is_only_counted_leaves_its_text_behind(spark):
+    path = f"{scratch_path(spark, 't-sift')}/landing"
+    _drop(spark, path, [tweet(1), tweet(2), tweet(3), "{broken"])
+    floors = spark.createDataFrame([("twitter", None, "2", None, None, None)], SCRAPER_STATE).withColumn("query", F.lit(""))
+    got = {r.post_id: (r.fresh, r.text, r.raw_json is not None) for r in sifted(PL.read_lines(spark, path), "twitter", AS_OF, floors).collect()}
+    assert got == {"1": (False, None, False), "2": (False, None, False), "3": (True, "t3", True), None: (False, "", True)}
