@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +199,49 @@ def test_training_in_spark_equals_training_in_one_process(spark):
     assert all(abs(pieces.logs[p] - want[p]) < 1e-6 for p in want)
 
 
+def test_seeds_are_the_best_of_all_substrings(spark):
+    counted = {SW.START + w: n for n, w in enumerate(["international", "nationality", "rationally", "abcdefghijkl", "aaaaaaaaaaaa", "zz", "ab"], 1)}
+    words = materialize(spark.createDataFrame(list(counted.items()), "word string, n long"), "words")
+    every = Counter()
+    for w, n in counted.items():
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + SW.LONGEST + 1) + 1):
+                every[w[i:j]] += n
+    for seeds in (1, 5, 40, 100_000):
+        best = sorted((p for p, n in every.items() if len(p) > 1 and n > 1), key=lambda p: (-every[p] * len(p), p))[:seeds]
+        assert SW.seed_pieces(words, seeds) == {p: float(n) for p, n in every.items() if len(p) == 1 or p in best}
+
+
+def test_many_words_at_a_time_are_as_one_by_one(monkeypatch):
+    words = [SW.START + w for w in [*CORPUS, "", "lowlowlowlow" * 9, "漢字low"]]
+    n = np.arange(1, len(words) + 1)
+    counts = Counter(w[i:j] for w in words[:-1] for i in range(len(w)) for j in range(i + 1, min(len(w), i + 5) + 1))
+    logs = SW.normalised({p: float(c) for p, c in counts.items()})
+    want = Counter()
+    for w, k in zip(words, n.tolist(), strict=True):
+        for p, x in SW.expected_counts(w, logs).items():
+            want[p] += k * x
+    pieces = SW.Pieces.of(logs)
+    texts = [["low", "漢字low", "newest"], [], None, ["low"], ["😀"]]
+    for chars in (1, 20, 1 << 17):
+        monkeypatch.setattr(SW, "CHARS", chars)
+        got = dict(zip(logs, SW.expectation(words, n, SW.Trie(logs)).tolist(), strict=True))
+        assert got == pytest.approx({p: want[p] for p in logs})
+        ids = pieces.encode_lists(pa.array(texts, pa.list_(pa.string())))
+        assert ids.to_pylist() == [[i for w in t or [] for i in pieces.encode([w])] for t in texts]
+        assert pieces.decode_lists(ids).to_pylist() == [" ".join(t or []) for t in texts]
+
+
+def test_texts_are_encoded_once_whatever_uses_their_ids(spark):
+    docs = materialize(spark.createDataFrame([(1, "low newest")], "k int, c string"), "t-docs")
+    words = F.split("c", " ")
+    pieces = SW.Pieces.of(SW.normalised({c: 1.0 for c in SW.START + "lownest"}))
+    ids = docs.select("k", SW.piece_ids(pieces, docs, words).alias("ids"))
+    out = ids.select("k", SW.decoded(pieces, docs, F.col("ids")).alias("decoded"), F.size("ids").alias("n"))
+    assert len([x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in x and "encode(" in x]) == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "low newest", 11)]
+
+
 def test_no_word_is_unknown_and_ids_decode(spark):
     df = spark.createDataFrame([(1, "low lower lowest new newest"), (2, "unseen Wörter 漢字 😀 zzz"), (3, ""), (3, None), (None, "slow")], "k int, c string")
     train = spark.createDataFrame([(w,) for w in CORPUS], "w string")
