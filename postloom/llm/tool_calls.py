@@ -8,13 +8,15 @@ Messages are rows (conv_id, turn, role, text).  An assistant's text that is a JS
 Method: calls and results meet in a hash join on (conversation, identifier).  Of calls with one
 identifier the first (turn, then place in the message) counts, and of a call's results the
 first; both are found by an aggregation with partial sums before the join, so the joins pair
-each row with one row at most.  Calls are ordered topologically by their references: ``level`` 0
-needs nothing later, and ordering by (level, turn, idx) puts every call after those it refers
-to.  Where all references point backwards that order is (turn, idx) itself and costs nothing;
-only conversations with a forward reference go through rounds that place the calls whose
-references are placed (one round per step of the longest chain; a round that places none ends
-them, and what is left lies on a cycle).  Arguments are validated against the tool's JSON
-schema, a parameter of the job.  JSON is written canonically: keys sorted, no white space.
+each row with one row at most.  Calls are ordered topologically by their references: ``level`` is
+the most references to a later call on any chain of references from the call, so ordering by
+(level, turn, idx) puts every call after those it refers to: a later one is a level lower, an
+earlier one no level higher.  Without a forward reference in the conversation that is 0; the calls
+of the others go through rounds that place those whose references are placed (one round per step
+of the longest chain; a round that places none ends them, and what is left lies on a cycle or
+refers to one).  Level and ``cycle`` of every call are this step's.  Arguments are validated
+against the tool's JSON schema, a parameter of the job.  JSON is written canonically: keys sorted,
+no white space.
 
 One row per call, result or text, so a conversation of any length never meets in one task; a
 conversation that holds a large share of all rows is split by identifier.
@@ -159,28 +161,32 @@ def _parse(schemas: dict[str, dict]):
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv, call_id, level) of the first calls of conversations with a forward reference; level null on a cycle.
-
-    ``calls``: stored (conv, call_id, turn, idx, refs), one row per identifier."""
-    edges = calls.select("conv", "call_id", F.explode("refs").alias("ref"), "turn", "idx")
-    target = calls.select("conv", F.col("call_id").alias("ref"), F.col("turn").alias("ref_turn"), F.col("idx").alias("ref_idx"))
-    edges = materialize(edges.join(target, ["conv", "ref"]), "call-references")
-    late = F.struct(F.coalesce("ref_turn", F.lit(-(1 << 62))), "ref_idx") >= F.struct(F.coalesce("turn", F.lit(-(1 << 62))), "idx")
-    forward = materialize(edges.where(late).select("conv").distinct(), "forward-conversations")
-    waiting = calls.join(forward, "conv", "left_semi").select("conv", "call_id")
-    edges = edges.join(forward, "conv", "left_semi").select("conv", "call_id", "ref")
-    placed, level = None, 0
+    """The first calls with their ``level``, null on a cycle and for what refers to one.
+
+    ``calls``: stored (conv, call_id, call_at, call_refs), one row per identifier."""
+    at = F.struct(F.coalesce("call_at.turn", F.lit(-(1 << 62))).alias("turn"), "call_at.idx")
+    edges = calls.select("conv", "call_id", F.explode("call_refs").alias("ref"), at.alias("at"))
+    target = calls.select("conv", F.col("call_id").alias("ref"), at.alias("ref_at"))
+    edges = edges.join(target, ["conv", "ref"]).select("conv", "call_id", "ref", (F.col("ref_at") >= F.col("at")).cast("int").alias("later"))
+    edges = materialize(edges, "call-references")
+    forward = materialize(edges.where("later = 1").select("conv").distinct(), "forward-conversations")
+    backward = calls.join(forward, "conv", "left_anti").withColumn("level", F.lit(0))
+    # ``level`` of a waiting call: what its placed references ask for
+    waiting = calls.join(forward, "conv", "left_semi").select("conv", "call_id", F.lit(0).alias("level"))
+    edges = edges.join(forward, "conv", "left_semi")
+    placed = None
     while not waiting.isEmpty():
-        ready = waiting.join(edges, ["conv", "call_id"], "left_anti")
-        now = materialize(ready.withColumn("level", F.lit(level)), "placed-calls")
+        now = materialize(waiting.join(edges, ["conv", "call_id"], "left_anti"), "placed-calls")
         if now.isEmpty():  # the rest refer to one another in circles
-            rest = waiting.withColumn("level", F.lit(None).cast("int"))
-            return rest if placed is None else placed.union(rest)
+            now, waiting = waiting.withColumn("level", F.lit(None).cast("int")), now
+        else:
+            met = edges.join(now.select("conv", F.col("call_id").alias("ref"), F.col("level").alias("below")), ["conv", "ref"])
+            asked = met.groupBy("conv", "call_id").agg(F.max(F.col("below") + F.col("later")).alias("asked"))
+            rest = waiting.join(now, ["conv", "call_id"], "left_anti").join(asked, ["conv", "call_id"], "left")
+            waiting = materialize(rest.select("conv", "call_id", F.greatest("level", "asked").alias("level")), "waiting-calls")
+            edges = materialize(edges.join(now.select("conv", F.col("call_id").alias("ref")), ["conv", "ref"], "left_anti").select("conv", "call_id", "ref", "later"), "open-references")
         placed = now if placed is None else placed.union(now)
-        waiting = materialize(waiting.join(now, ["conv", "call_id"], "left_anti"), "waiting-calls")
-        edges = materialize(edges.join(now.select("conv", F.col("call_id").alias("ref")), ["conv", "ref"], "left_anti").select("conv", "call_id", "ref"), "open-references")
-        level += 1
-    return placed if placed is not None else waiting.withColumn("level", F.lit(0))
+    return backward if placed is None else backward.unionByName(calls.join(placed, ["conv", "call_id"]))
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -205,18 +211,16 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     named = ids.select("conv", "call_id", F.explode("call_refs").alias("ref"))
     unknown = named.join(ids.select("conv", F.col("call_id").alias("ref")), ["conv", "ref"], "left_anti").groupBy("conv", "call_id").agg(
         F.sort_array(F.collect_set(F.concat(F.lit("$: unknown reference "), F.col("ref")))).alias("unknown"))
-    levels = _levels(ids.select("conv", "call_id", "call_at.turn", "call_at.idx", F.col("call_refs").alias("refs")))
-    about = ids.drop("call_refs").join(first_result, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left").join(
-        levels.withColumn("ordered", F.lit(True)), ["conv", "call_id"], "left")
+    about = _levels(ids).drop("call_refs").join(first_result, ["conv", "call_id"], "left").join(unknown, ["conv", "call_id"], "left")
     about = materialize(about, "calls")
 
     tool = items.where("kind in ('call', 'result')").join(about, ["conv", "call_id"], "left")
     is_call, first = F.col("kind") == "call", place == F.col("call_at")
-    status = F.when(is_call & ~first, "duplicate").when(is_call & F.col("ordered") & F.col("level").isNull(), "cycle").when(
+    status = F.when(is_call & ~first, "duplicate").when(is_call & F.col("level").isNull(), "cycle").when(
         is_call, F.when(F.col("result_at").isNull(), "unanswered").otherwise("linked")).when(
         F.col("call_at").isNull() | ~F.coalesce(place > F.col("call_at"), F.lit(False)), "orphan").when(place == F.col("result_at"), "linked").otherwise("duplicate")
     errors = F.array_sort(F.concat("errors", F.when(is_call & first, F.coalesce("unknown", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))))
-    level = F.when(F.col("ordered"), F.col("level")).otherwise(F.lit(0))
+    level = F.when(F.col("call_at").isNull(), 0).otherwise(F.col("level"))  # 0: a result without a call
     other = items.where("kind in ('text', 'malformed')")
     shape = ["conv_id", "turn", "idx", "kind", "call_id", "name"]
     return tool.select(*shape, status.alias("status"), level.cast("int").alias("level"), F.array_join(errors, "; ").alias("errors"), "json").union(

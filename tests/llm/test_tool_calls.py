@@ -1,5 +1,7 @@
 import json
+import random
 
+from postloom.llm import tool_calls
 from postloom.llm.queries_chat import SCHEMAS
 from postloom.llm.tool_calls import as_tool_messages, canonical, link_tool_calls, validate
 
@@ -69,3 +71,52 @@ def test_one_hot_conversation(spark):
     rows = [(1, 2 * k + d, "assistant" if d == 0 else "tool", call((f"c{k}", "weather", {"city": {"$ref": f"c{k - 1}"} if k else "Rome"})) if d == 0 else result(f"c{k}")) for k in range(300) for d in (0, 1)]
     got = linked(spark, rows)
     assert len(got) == 600 and {g[5] for g in got} == {"linked"} and {g[6] for g in got} == {0}
+
+
+def longest(calls, refs):
+    """Per call: the most references to a later call on a chain from it; None on a cycle or above one."""
+    out = {}
+
+    def level(c, above):
+        if c in above:
+            return None
+        if c not in out:
+            below = [(level(r, above | {c}), calls.index(r) >= calls.index(c)) for r in refs[c]]
+            out[c] = None if any(b is None for b, _ in below) else max((b + late for b, late in below), default=0)
+        return out[c]
+
+    return {c: level(c, frozenset()) for c in calls}
+
+
+def test_one_rule_for_every_level(spark):
+    # backward chains beside a forward reference (d to e), and f above it
+    refs = {1: {"a": [], "b": ["a"], "c": ["b"], "d": ["e"], "e": [], "f": ["d"]}, 2: {"a": [], "b": ["a"], "c": ["a", "b"]}}
+    r = random.Random(7)
+    for conv in range(3, 33):
+        names = [f"n{k}" for k in range(6)]
+        refs[conv] = {c: sorted(r.sample([x for x in names if x != c or r.random() < 0.1], r.choice((0, 1, 1, 2)))) for c in names}
+    rows = [(conv, turn, "assistant", call((c, "weather", {"city": "Rome", "list": [{"$ref": x} for x in given]})))
+            for conv, all_calls in refs.items() for turn, (c, given) in enumerate(all_calls.items())]
+    want = {conv: longest(list(all_calls), all_calls) for conv, all_calls in refs.items()}
+    assert want[1] == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 0, "f": 1} and set(want[2].values()) == {0}
+    got = linked(spark, rows)
+    assert {(g[0], g[4]): g[6] for g in got} == {(conv, c): v for conv, levels in want.items() for c, v in levels.items()}
+    assert all((g[5] == "cycle") == (g[6] is None) for g in got) and len({g[6] for g in got}) > 3
+    place = {(g[0], g[4]): (g[6], g[1], g[2]) for g in got}
+    assert all(place[conv, x] < place[conv, c] for conv, all_calls in refs.items() for c, given in all_calls.items() for x in given if want[conv][c] is not None)
+
+
+def test_levels_of_the_query_come_from_the_ordering(spark, monkeypatch):
+    talk = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(8)] + [(2, 0, "system", "s"), (2, 1, "assistant", "x")]
+    messages = as_tool_messages(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), "reply")
+    ordering, given = tool_calls._levels, []
+
+    def raised(calls):
+        out = ordering(calls)
+        given.append(sorted((x.conv, x.call_id, x.level) for x in out.collect()))
+        return out.withColumn("level", out.level + 5)
+
+    monkeypatch.setattr(tool_calls, "_levels", raised)
+    got = link_tool_calls(messages, SCHEMAS).collect()
+    assert given == [[("c1", f"1:{k}", 0) for k in (0, 2, 4, 6)]]
+    assert {(x.kind, x.status, x.level) for x in got} == {("call", "linked", 5), ("result", "linked", 5), ("result", "orphan", 0), ("text", "text", 0)}
