@@ -209,9 +209,9 @@ def ids_from_tokens(toks: DataFrame, key: str | list[str], vocab: DataFrame | No
     if vocab is None:
         vocab = materialize(_ranked_words(blocks.words()), "vocabulary")
 
-    def make(codes, sizes, values) -> dict:
+    def make(codes, sizes, values, _) -> dict:
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        return {"ids": pa.ListArray.from_arrays(ends, pa.array(values[codes], pa.int32()))}
+        return {"ids": pa.ListArray.from_arrays(ends, pa.array(values[codes, 0], pa.int32()))}
 
     ids = blocks.answered(blocks.look_up(vocab, "word", "id", UNK), make, "ids array<int>")
     return ids.select("carried.*", cut_sequences(F.col("ids"), max_len).alias("sequences"))

@@ -16,7 +16,6 @@ has not seen.  Texts scored with their own model get its numbers by blocks (``le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import features as FE
 from postloom.operators import lexicon as LX
-from postloom.session import materialize
+from postloom.session import discard, materialize, scratch_path
 
 PLAIN_DISCOUNT = 0.5
 
@@ -76,8 +75,7 @@ def _look_up(model: KneserNey):
     return run
 
 
-_SPREAD = "bucket int, ends binary, letters binary, n binary, ones long, twos long"
-_SLOTS = 4  # values of an entry: the pair's count; and of a word how often, before and after how many it stands
+_SPREAD = "bucket int, n int, data binary, ones long, twos long"
 
 
 def _neighbours(blocks: LX.Blocks) -> DataFrame:
@@ -86,82 +84,76 @@ def _neighbours(blocks: LX.Blocks) -> DataFrame:
     buckets = blocks.buckets
 
     def run(t: pa.Table) -> pa.Table:
-        keys = LX.unpacked(t["ends"].to_pylist(), t["letters"].to_pylist()).dictionary_encode()
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in t["n"].to_pylist()])
-        total = np.bincount(keys.indices.to_numpy(), weights=n, minlength=len(keys.dictionary))
-        pair = pc.match_substring(keys.dictionary, " ").to_numpy(zero_copy_only=False)
-        total, both = total[pair], pc.split_pattern(keys.dictionary.filter(pa.array(pair)), " ").flatten()
+        keys, n = LX.entries(t["data"].to_pylist(), t["n"].to_pylist())
+        keys = keys.dictionary_encode()
+        total = np.bincount(keys.indices.to_numpy(), weights=n[:, 0], minlength=len(keys.dictionary))
+        both = pc.split_pattern(keys.dictionary, " ").flatten()
         first = np.arange(len(both)) % 2 == 0
         words = both.dictionary_encode()
         code, m = words.indices.to_numpy(), len(words.dictionary)
         three = np.stack([np.bincount(code[first], weights=total, minlength=m), np.bincount(code[first], minlength=m), np.bincount(code[~first], minlength=m)], 1)
         bucket = (LX.bucket_hash(words.dictionary) % np.uint64(buckets)).astype(np.int64)
-        rows = [(b, e, w, k) for b, e, w, _, k in LX.dealt(words.dictionary, np.arange(m), three, bucket)]
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        seen = lambda x: pa.array(([int((total == x).sum())] + [0] * len(rows))[: len(rows)], pa.int64())
-        return pa.table({"bucket": pa.array(columns[0], pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("ends", "letters", "n"), columns[1:], strict=True)},
+        order = np.argsort(bucket, kind="stable")
+        rows = [(b, k, x) for b, _, k, x in LX.dealt(words.dictionary.take(pa.array(order)), three[order], bucket[order])]
+        columns = list(zip(*rows, strict=True))
+        seen = lambda x: pa.array([int((total == x).sum())] + [0] * (len(rows) - 1), pa.int64())
+        return pa.table({"bucket": pa.array(columns[0], pa.int32()), "n": pa.array(columns[1], pa.int32()), "data": pa.array(columns[2], pa.binary()),
                          "ones": seen(1), "twos": seen(2)})
 
-    return blocks.pieces.groupBy("bucket").applyInArrow(run, _SPREAD)
+    return blocks.pieces.where("pair").groupBy("bucket").applyInArrow(run, _SPREAD)
 
 
 def _word_answers(blocks: LX.Blocks, spread: DataFrame) -> DataFrame:
     """Answers for the words of each block (three values each) and of each bucket the sums that the model needs (on one row)."""
 
     def run(p: pa.Table, t: pa.Table) -> pa.Table:
-        known = LX.unpacked(t["ends"].to_pylist(), t["letters"].to_pylist()).dictionary_encode()
+        known, three = LX.entries(t["data"].to_pylist(), t["n"].to_pylist(), 3)
+        known = known.dictionary_encode()
         code, m = known.indices.to_numpy(), len(known.dictionary)
-        three = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(x, np.int64).reshape(-1, 3) for x in t["n"].to_pylist()]])
-        sums = np.stack([np.bincount(code, weights=three[:, c], minlength=m) for c in range(3)] , 1).astype(np.int64)
+        sums = np.stack([np.bincount(code, weights=three[:, c], minlength=m) for c in range(3)], 1).astype(np.int64)
         before = sums[:, 2]
         answers = np.concatenate([np.zeros((1, 3), np.int64), sums])
-        at, value = [], []
-        for a, e, w in zip(p["at"].to_pylist(), p["ends"].to_pylist(), p["letters"].to_pylist(), strict=True):
-            keys = LX.unpacked([e], [w])
-            word = ~pc.match_substring(keys, " ").to_numpy(zero_copy_only=False)
-            place = pc.index_in(keys.filter(pa.array(word)), value_set=known.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
-            at.append((np.frombuffer(a, np.int32)[word][:, None] * _SLOTS + np.arange(1, _SLOTS)).astype(np.int32).tobytes())
-            value.append(answers[place + 1].tobytes())
-        here = lambda x: pa.array(([int(x)] + [0] * len(at))[: len(at)], pa.int64())
-        return pa.table({"block": p["block"], "at": pa.array(at, pa.binary()), "value": pa.array(value, pa.binary()), "types": here(before.sum()),
-                         "followers": here((before > 0).sum()), "ones": here((before == 1).sum()), "twos": here((before == 2).sum())})
-
-    return blocks.pieces.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(
+        values = []
+        for data, n in zip(p["data"].to_pylist(), p["n"].to_pylist(), strict=True):
+            place = pc.index_in(LX.entries([data], [n])[0], value_set=known.dictionary).fill_null(-1).to_numpy(zero_copy_only=False)
+            values.append(answers[place + 1])
+        here = lambda x: pa.array(([int(x)] + [0] * len(values))[: len(values)], pa.int64())
+        return LX.answer(p, values, 1, types=here(before.sum()), followers=here((before > 0).sum()), ones=here((before == 1).sum()), twos=here((before == 2).sum()))
+
+    return blocks.pieces.where("not pair").groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInArrow(
         run, f"{LX.ANSWER}, types long, followers long, ones long, twos long")
 
 
 def _own_perplexity(blocks: LX.Blocks) -> DataFrame:
     """``carried`` and perplexity of every text under the model of all of them: the same numbers as ``kneser_ney``
-    gives, brought to the texts by blocks, without a table of scored bigrams."""
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [(np.frombuffer(x, np.int32) * _SLOTS).tobytes() for x in b["at"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"block": b["block"], "at": pa.array(at, pa.binary()), "value": b["value"]})
+    gives, brought to the texts by blocks, without a table of scored bigrams.  Of an entry a block gets the count, and of
+    a word how often, and before and after how many it stands."""
 
     def share(n1: int, n2: int) -> float:
         return n1 / (n1 + 2 * n2) if n1 else PLAIN_DISCOUNT
 
     of_pairs = materialize(LX.bigram_answers(blocks), "kn-counts")
-    spread = materialize(_neighbours(blocks), "kn-neighbours")
+    path = scratch_path(blocks.spark, "kn-neighbours")
+    spread = materialize(_neighbours(blocks), "kn-neighbours", path)
     of_words = materialize(_word_answers(blocks, spread), "kn-words")
+    blocks.done()
     vocabulary = of_pairs.agg(F.sum("words")).first()[0] or 0
     d = share(*[x or 0 for x in spread.agg(F.sum("ones"), F.sum("twos")).first()])
+    discard(blocks.spark, path)
     types, followers, n1, n2 = [x or 0 for x in of_words.agg(*[F.sum(c) for c in ("types", "followers", "ones", "twos")]).first()]
     d1 = share(n1, n2)
 
-    def make(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> dict:
-        u, w, _, place = LX.pairs(codes, sizes)
+    def make(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray, pairs: tuple) -> dict:
+        u, w, _, place = pairs
         n_words = int(codes.max()) + 1 if len(codes) else 0
-        v = np.zeros(((n_words + len(u)) * _SLOTS,), np.int64)
-        v[: len(values)] = values
-        v = v.reshape(-1, _SLOTS)
-        c_prev, n_after, n_before = v[u, 1], v[u, 2], v[w, 3]
+        if not len(u):
+            return {"perplexity": pa.array(np.zeros(len(sizes)))}
+        c_prev, n_after, n_before = values[u, 1], values[u, 2], values[w, 3]
         p1 = np.maximum(n_before - d1, 0) / max(types, 1) + d1 * followers / max(types, 1) / (vocabulary + 1)
-        p = np.maximum(v[n_words:, 0] - d, 0) / c_prev + d * n_after / c_prev * p1
+        p = np.maximum(values[n_words:, 0] - d, 0) / c_prev + d * n_after / c_prev * p1
         return {"perplexity": pa.array(LX.mean_of_pairs(sizes, -np.log(p)[place]))}
 
-    both = of_pairs.select("block", "at", "value").mapInArrow(placed, LX.ANSWER).unionByName(of_words.select("block", "at", "value"))
+    both = of_pairs.select(*LX.NAMES).unionByName(of_words.select(*LX.NAMES))
     return blocks.answered(both, make, "perplexity double")
 
 

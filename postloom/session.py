@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+COMPRESSION = "zstd"  # of what is written for later steps: texts take about three quarters of the room that snappy needs
+RELEASE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "postloom") -> SparkSession:
     """Session used by tests and bench.  On a cluster the caller brings its own session."""
@@ -95,11 +100,31 @@ def sub_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in file_system(spark, path).listStatus(hadoop_path(spark, path)) if s.isDirectory())
 
 
-def materialize(df, name: str):
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What is run here deletes its shuffle files when it is done: else they stay until the driver's garbage
+    collector happens to find them, and a chain of stored tables keeps those of all its steps on the disk."""
+    before = spark.conf.get(RELEASE_CONF, None)
+    spark.conf.set(RELEASE_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE_CONF) if before is None else spark.conf.set(RELEASE_CONF, before)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored intermediates that no later step reads (``release_scratch`` deletes the rest)."""
+    for path in paths:
+        file_system(spark, path).delete(hadoop_path(spark, path), True)
+
+
+def materialize(df, name: str, path: str | None = None):
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: the plan runs once, several consumers read the result, and the
-    lineage is cut (a lost executor does not force a recompute upstream)."""
+    lineage is cut (a lost executor does not force a recompute upstream).
+    With ``path`` (of ``scratch_path``) the caller can ``discard`` it."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    path = path or scratch_path(spark, name)
+    with shuffles_released(spark):
+        df.write.mode("overwrite").option("compression", COMPRESSION).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
