@@ -16,7 +16,7 @@ from postloom.operators import subwords as SW
 from postloom.plans import sqlfrag as S
 from postloom.plans.registry import query, spread, table
 from postloom.plans.views import posts, with_posts
-from postloom.session import materialize
+from postloom.session import discard, materialize, scratch_path
 
 WORD_RE = FE.WORD_RE
 
@@ -121,8 +121,10 @@ FROM documents d JOIN ppl USING (doc_id) JOIN sp USING (doc_id)""")
 def feature_table(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     split = SA.split_exact(docs.filter(F.col("text").isNotNull()), ["doc_id"], "42")
-    clean = materialize(split.filter(F.length(FE.T.clean_text("text")) > 0), "raw-track")
+    path = scratch_path(spark, "raw-track")
+    clean = materialize(split.filter(F.length(FE.T.clean_text("text")) > 0), "raw-track", path)
     out = FE.stylometric_features(clean, "doc_id", carry=["split_group"])
+    discard(spark, path)  # what is returned reads the blocks of the texts, stored by now
     return out.select("doc_id", "split_group", F.lit(0).alias("label"),
                       *[F.round(c, 6).alias(c) for c in ("perplexity", "burstiness", "punctuation_density",
                                                          "lexical_diversity")])
