@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from postloom.plans.q_normalize import INGEST, bluesky_payloads, reddit_payloads, twitter_payloads
 from postloom.plans.registry import query, spread, table
-from postloom.session import exists, materialize, scratch_path
+from postloom.session import discard, exists, materialize, scratch_path, shuffles_released
 from postloom.sources import payloads as PL
 from postloom.streaming.ingest import Store, cursors, run_ingest, run_log
 
 BUILDERS = {"twitter": twitter_payloads, "reddit": reddit_payloads, "bluesky": bluesky_payloads}
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}  # of the landing files
 _stores: dict[tuple[str, str], Store] = {}
 
 
@@ -26,7 +27,8 @@ def _land(spark, d, docs, root: str):
         path = f"{root}/landing/{platform}"
         lines = build(spark, d, docs.withColumn("query", F.col("lang")), keep=("query",)).select(F.col("raw_json").alias("value"), "query")
         broken = docs.where("doc_id % 50 = 0").select(F.format_string('{"broken": %d', F.col("doc_id")).alias("value"), F.col("lang").alias("query"))
-        lines.unionByName(broken).write.mode("append").partitionBy("query").text(path)
+        with shuffles_released(spark):
+            lines.unionByName(broken).write.mode("append").options(**PACKED).partitionBy("query").text(path)
         landing[platform] = path
     return landing
 
@@ -37,10 +39,13 @@ def store_of(spark, d) -> Store:
         root = scratch_path(spark, "stream")
         store = Store(f"{root}/store", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
         # read six times: dealt out once, as one task reads a whole row group
-        docs = materialize(spread(table(spark, d, "documents")), "stream-documents")
+        path = scratch_path(spark, "stream-documents")
+        docs = materialize(spread(table(spark, d, "documents")), "stream-documents", path)
         for _ in range(2):
             landing = _land(spark, d, docs, root)
             run_ingest(spark, landing, store, f"{root}/checkpoint", clock=lambda: INGEST)
+            discard(spark, *landing.values())  # their run has ended: no batch reads them again
+        discard(spark, path)
         _stores[key] = store
     return _stores[key]
 

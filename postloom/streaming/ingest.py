@@ -44,7 +44,7 @@ from postloom.operators import filters as FL
 from postloom.operators import normalize as NZ
 from postloom.operators import sampling as SA
 from postloom.operators import tables as TB
-from postloom.session import committed, mark_committed, materialize, sub_folders
+from postloom.session import COMPRESSION, committed, discard, mark_committed, materialize, scratch_path, shuffles_released, sub_folders
 from postloom.sources import keystore as KS
 from postloom.sources import manifest as MF
 from postloom.sources import payloads as PL
@@ -55,6 +55,7 @@ CURSOR = ["platform", "query"]
 SAMPLE = "platform string, post_id string, text string, created_at timestamp, sample_hash string"
 SAMPLE_SEED = "pool"
 IMPUTED = "imputed"
+PART = "__part"
 # Default files per micro-batch, so a batch stays bounded.
 MAX_FILES_PER_TRIGGER = 1000
 # Ids of this platform are numbers in order of time: its cursor is the last id.
@@ -246,30 +247,40 @@ def ingest_batch(lines: DataFrame | None, platform: str, run: str, batch: int, s
         own = materialize(store.read(spark, "posts", [(run, batch)]).select("post_id"), "own-keys") if again else None
         if lines is None:  # at most the files of a trigger, which the source lists on the driver too
             lines = PL.read_files(spark, sorted(r.file for r in progress.select(F.explode("files").alias("file")).distinct().collect()))
-        rows = sifted(lines, platform, as_of, floors).persist()
+        rows = sifted(lines, platform, as_of, floors)
+        day = F.when(F.col("created_at_imputed"), F.lit(IMPUTED)).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
+        # arrival order: landing-file time and name, then event time and payload as tie-breaks
+        order = F.struct("arrival.mtime", "arrival.file", "created_at", F.md5("raw_json").alias("digest"))
+        rows = rows.withColumns({"created_on": day, "arrival": order})
+        # what is counted, ordered and refused is stored, without the texts of what is not refused: these are read from the files
+        # once more, when they are written.  So no text lies beside its line and its post
+        path = scratch_path(spark, "sifted")
+        slim = materialize(rows.withColumns({c: F.when(F.col("reject_reason").isNotNull(), F.col(c)) for c in ("text", "raw_json")}), "sifted", path)
         try:
-            # arrival order: landing-file time and name, then event time and payload as tie-breaks
-            order = F.struct("arrival.mtime", "arrival.file", "created_at", F.md5("raw_json").alias("digest"))
-            fresh = rows.where("fresh").drop("reject_reason", "fresh").withColumn("arrival", order)
-            bad = rows.where("reject_reason is not null").drop("fresh", "arrival")
-            day = F.when(F.col("created_at_imputed"), F.lit(IMPUTED)).otherwise(F.date_format("created_at", "yyyy-MM-dd"))
-            fresh = fresh.withColumn("created_on", day)
+            fresh = slim.where("fresh")
+            bad = slim.where("reject_reason is not null").drop("fresh", "arrival", "created_on")
             # a batch is of one platform, so the id alone is the key: the rows then lie as the key store's buckets do
-            first = TB.first_wins(fresh, ["post_id"], ["arrival"])
+            first = fresh.groupBy("post_id").agg(F.min("arrival").alias("arrival"))
             stored = keys.keys(spark, live["segments"])
             stored = stored if own is None else TB.new_only(stored, own, ["post_id"])
-            new = first.join(stored, "post_id", "left_anti").drop("arrival")
+            behind = materialize(_other(fresh.select("post_id", "arrival"), first.join(stored, "post_id", "left_anti")).distinct(), "behind", f"{path}-behind")
+            new = _other(rows.where("fresh"), behind).drop("reject_reason", "fresh")
             # query and tags go into the files too; readers of the posts table do not see them
-            _by_day(_tagged(new), fresh).write.mode("overwrite").partitionBy("platform", "created_on").parquet(folder("posts"))
+            with shuffles_released(spark):
+                dealt = _by_day(new, fresh)
+                # a line that its file holds twice is left: its copies lie side by side
+                one = Window.partitionBy("created_on", PART, "post_id").orderBy("arrival")
+                dealt = dealt.withColumn("__rn", F.row_number().over(one)).where("__rn = 1").drop("__rn", PART, "arrival")
+                _tagged(dealt).write.mode("overwrite").option("compression", COMPRESSION).partitionBy("platform", "created_on").parquet(folder("posts"))
             written = spark.read.schema(f"{STORED_POSTS}, query string, hashtags array<string>").parquet(folder("posts"))
             TB.hashtag_rows(written).write.mode("overwrite").parquet(folder("post_hashtags"))
-            _tagged(bad).write.mode("overwrite").parquet(folder("rejects"))
+            _tagged(bad).write.mode("overwrite").option("compression", COMPRESSION).parquet(folder("rejects"))
             segment = f"b{run}-{batch}"
             keys.add(written.select("post_id"), segment)
             # one group over what was offered, what passed the filter and what was saved
             kinds = ("offered", "rejected", "fresh", "saved")
             tally = lambda df, **of: df.select(*CURSOR, *[of.get(k, F.lit(0)).cast("long").alias(k) for k in kinds])
-            counted = tally(rows, offered=F.lit(1), rejected=F.col("reject_reason").isNotNull(), fresh=F.col("fresh")).unionAll(
+            counted = tally(slim, offered=F.lit(1), rejected=F.col("reject_reason").isNotNull(), fresh=F.col("fresh")).unionAll(
                 tally(written, saved=F.lit(1)))
             counted = counted.groupBy(*CURSOR).agg(*[F.sum(k).alias(k) for k in kinds])
             log = counted.select(*CURSOR, "offered", "rejected", (F.col("offered") - F.col("rejected") - F.col("fresh")).alias("skipped"), "saved")
@@ -284,7 +295,7 @@ def ingest_batch(lines: DataFrame | None, platform: str, run: str, batch: int, s
             table = f"cursors/{platform}/run={run}/batch={batch}-{uuid.uuid4().hex}"
             _moved(store.cursors(spark, platform), fresh, progress, as_of).coalesce(1).write.parquet(f"{store.root}/{table}")
         finally:
-            rows.unpersist()
+            discard(spark, path, f"{path}-behind")
         # the batch counts from here on
         mark_committed(spark, folder("commits"))
         segments, gone = keys.compact(spark, [s for s in live["segments"] if s[0] != segment])
@@ -301,14 +312,21 @@ def ingest_batch(lines: DataFrame | None, platform: str, run: str, batch: int, s
 
 def _by_day(new: DataFrame, offered: DataFrame) -> DataFrame:
     """``new`` dealt out by creation day, so a batch writes about a file per day and task, not one per
-    day in each task; a day with many posts is cut into as many parts as its share asks for."""
+    day in each task; a day with many posts is cut into as many parts as its share asks for (``PART``)."""
     tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     days = offered.groupBy("created_on").agg(F.count("*").alias("__n"))
     share = F.col("__n") * tasks / F.sum("__n").over(Window.partitionBy(F.lit(0)))
     parts = days.select(F.col("created_on").alias("__day"), F.ceil(share).cast("int").alias("__parts"))
     dealt = new.join(F.broadcast(parts), F.col("created_on") == F.col("__day"), "left")
     part = F.pmod(F.xxhash64("post_id"), F.coalesce("__parts", F.lit(1)))
-    return dealt.withColumn("__part", part).repartition(tasks, "created_on", "__part").drop("__day", "__parts", "__part")
+    return dealt.withColumn(PART, part).repartition(tasks, "created_on", PART).drop("__day", "__parts")
+
+
+def _other(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """The ``rows`` whose (post_id, arrival) is not among ``some``; a busy post is spread by its arrivals."""
+    kinds = ("mtime", "file", "created_at", "digest")
+    s = some.select(F.col("post_id").alias("__id"), *[F.col(f"arrival.{k}").alias(f"__{k}") for k in kinds])
+    return rows.join(s, [F.col("post_id").eqNullSafe(F.col("__id")), *[F.col(f"arrival.{k}").eqNullSafe(F.col(f"__{k}")) for k in kinds]], "left_anti")
 
 
 def _moved(old: DataFrame, fresh: DataFrame, progress: DataFrame | None, as_of: dt.datetime) -> DataFrame:
