@@ -36,7 +36,7 @@ from postloom.functions import stylometry as ST
 from postloom.functions import text as T
 from postloom.operators import lexicon as LX
 from postloom.operators.sampling import exact_rank
-from postloom.session import materialize
+from postloom.session import discard, materialize, scratch_path
 
 WORD_RE = f"{T.WORD}+"
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -293,13 +293,14 @@ def clean_track(posts: DataFrame, key: list[str], split_seed: str = str(config.S
     split = split_exact(labelled, key, split_seed)
     # cleaned once per row: the filter sits on an exploded one-element array
     cleaned = split.withColumn("cleaned_text", F.explode(F.filter(F.array(T.clean_text(text)), lambda c: F.length(c) > 0)))
-    # stored with each row's number, by which its sequences come back to it
-    stored = materialize(_with_row(cleaned.withColumn("embedding", wide_embedding(clean_words("cleaned_text"), dim))), "clean-track")
-    toks = stored.select(ROW, clean_words("cleaned_text").alias("tokens"))
-    ids = ids_from_tokens(toks, [])
-    out = stored.join(ids, ROW)
-    return out.select(*key, F.col(text).alias("original_text"), "cleaned_text", "label", "category", "split_group",
-                      F.col("sequences").alias("input_ids"),
+    cleaned = cleaned.withColumn("embedding", wide_embedding(clean_words("cleaned_text"), dim))
+    own = [*key, "original_text", "cleaned_text", "label", "category", "split_group", "embedding"]
+    path = scratch_path(posts.sparkSession, "clean-track")
+    stored = materialize(cleaned.withColumn("original_text", F.col(text)).select(*own), "clean-track", path)
+    # the rows travel with the blocks of their texts, packed: they meet their ids there, without a join of whole texts
+    out = ids_from_tokens(stored.withColumn("tokens", clean_words("cleaned_text")), own)
+    discard(posts.sparkSession, path)
+    return out.select(*own[:-1], F.col("sequences").alias("input_ids"),
                       F.transform("sequences", lambda s: F.array_repeat(F.lit(1), F.size(s))).alias("attention_mask"), "embedding")
 
 

@@ -12,7 +12,7 @@ from postloom.plans import sqlfrag as S
 from postloom.plans.q_sampling import PLAN_SQL, _md5
 from postloom.plans.registry import query, spread, table
 from postloom.plans.views import posts, with_posts
-from postloom.session import scratch_path
+from postloom.session import COMPRESSION, scratch_path, shuffles_released
 from postloom.sources import payloads as PL
 from postloom.sources import sinks as SK
 from postloom.sources.buckets import BucketTable
@@ -93,7 +93,9 @@ def cleaned_scan(spark, d):
     from postloom.operators.features import clean_track
 
     path = scratch_path(spark, "cleaned-posts")
-    clean_track(spread(posts(spark, d)), ["platform", "post_id"]).write.mode("overwrite").parquet(path)
+    track = clean_track(spread(posts(spark, d)), ["platform", "post_id"])
+    with shuffles_released(spark):
+        track.write.mode("overwrite").option("compression", COMPRESSION).parquet(path)
     scanned = PL.scan_cleaned(spark, path)  # projected scan, NULL text dropped
     return scanned.groupBy("split_group", "label").agg(F.count(F.lit(1)).alias("n"))
 
