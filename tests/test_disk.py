@@ -78,6 +78,57 @@ def test_words_go_to_their_answers_without_the_pairs(spark):
     assert answers.count() == blocks.pieces.where("not pair").count() < blocks.pieces.count()
 
 
+def test_the_clean_track_leaves_its_rows_once(spark):
+    """Rows travel with the blocks of their texts: they are not stored beside these, nor joined to their ids."""
+    df, size = _texts(spark)
+    base = ensure_checkpoint_dir(spark)
+    folders = lambda: {p.getPath().toString() for p in file_system(spark, base).globStatus(hadoop_path(spark, f"{base}/clean-track-*"))}
+    before = folders()
+    rows = df.union(df.where("k < 3")).withColumn("platform", F.lit("p"))  # keys may repeat
+    out = FE.clean_track(rows, ["platform", "k"])
+    assert folders() <= before and "Join" not in out._jdf.queryExecution().optimizedPlan().toString().replace("CoGroup", "")
+    back = out.select("k", "original_text", "cleaned_text", F.size(F.flatten("input_ids")).alias("n"), F.size("embedding").alias("dim")).collect()
+    assert len(back) == TEXTS + 3 and {r.dim for r in back} == {768} and all(r.n == WORDS + 2 and r.original_text == r.cleaned_text for r in back)
+
+
+def test_lines_that_come_twice_are_stored_once(spark):
+    """Twice in a file, in two files of a batch, in a later batch; other payloads of an id too: the first arrival wins."""
+    import datetime as dt
+    import json
+
+    from postloom.streaming.ingest import Store, ingest_once, run_ingest
+
+    root = scratch_path(spark, "t-twice")
+    clock = lambda: dt.datetime(2026, 1, 1, tzinfo=dt.UTC)
+    line = lambda i, **more: json.dumps({"id_str": str(i), "text": f"t{i}", "created_at": f"2024-01-0{i}T00:00:00Z"} | more)
+    drop = lambda *lines: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{root}/landing/twitter")
+    drop(line(1), line(1), line(2), line(2, text="later", created_at="2024-01-09T00:00:00Z"), "{broken", "{broken")
+    drop(line(1), line(3), line(3, created_at=""))
+    for name, ingest in (("batch", lambda s: ingest_once(spark, {"twitter": f"{root}/landing/twitter"}, s, clock=clock)),
+                         ("stream", lambda s: run_ingest(spark, {"twitter": f"{root}/landing/twitter"}, s, f"{root}/ckpt", clock))):
+        store = Store(f"{root}/{name}", 2)
+        ingest(store)
+        got = sorted((r.post_id, r.text, str(r.created_on), r.created_at_imputed) for r in store.read(spark, "posts").collect())
+        assert [g[:2] for g in got] == [("1", "t1"), ("2", "t2"), ("3", "t3")] and got[2][3] is False
+        assert store.read(spark, "rejects").count() == 2
+        names = {f.rsplit("/", 1)[1].split(".", 1)[1] for f in store.read(spark, "posts").inputFiles()}
+        assert {n.split(".")[-2] for n in names} == {"zstd"}
+
+
+def test_an_ingest_caches_no_texts_and_ended_runs_leave_no_landing_files(spark):
+    from postloom.plans import q_stream
+
+    base = ensure_checkpoint_dir(spark)
+    left = lambda name: {p.getPath().toString() for p in file_system(spark, base).globStatus(hadoop_path(spark, f"{base}/{name}")) or []}
+    before = {n: left(n) for n in ("sifted-*", "stream-documents-*", "stream-*/landing/*")}
+    d = scratch_path(spark, "t-tables")
+    docs = [(i, f"text {i} #tag", "en" if i % 3 else "de", "web", 12) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    store = q_stream.store_of(spark, d)
+    assert store.read(spark, "posts").count() > 0
+    assert {n: left(n) - was for n, was in before.items()} == {n: set() for n in before}
+
+
 def test_a_pair_has_one_bucket_and_the_pairs_of_a_hot_word_many():
     import numpy as np
 
